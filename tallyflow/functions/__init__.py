@@ -15,3 +15,4 @@ from tallyflow.functions.classify import (  # noqa: F401
     size_band,
 )
 from tallyflow.functions.clock import at, day_text, hour_text, in_window, month_text  # noqa: F401
+from tallyflow.functions.numbers import tidy  # noqa: F401

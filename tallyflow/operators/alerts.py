@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import at, range_band
+from tallyflow.functions import at, range_band, tidy
 from tallyflow.operators.facts import sum_if
 
 # Edges of the quick classifier and the look-back hours.
@@ -67,7 +67,7 @@ def asof_stats(
     return long.groupBy("label").agg(
         *(F.sum(k).alias(k) for k in (first, second, incentive)),
         F.count_if(F.col("earned") > 0).alias("earners"),
-        *(F.round(F.sum(c), 2).alias(c) for c in ("earned_val", "incentive_val", "topup_val")),
+        *(tidy(F.sum(c), 2).alias(c) for c in ("earned_val", "incentive_val", "topup_val")),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, in_window, is_unbacked
+from tallyflow.functions import Scheme, at, in_window, is_unbacked, tidy
 from tallyflow.operators.facts import sum_if
 
 
@@ -47,15 +47,15 @@ def reconcile(
     net = pinned(ledger).groupBy("asset").agg(F.sum(signed()).alias("net"))
     stored = prev.select("asset", F.col("delta").alias("prev"))
     clean = F.lit(complete) & ~F.col("degraded")
-    delta = F.round(F.col("balance") - F.coalesce("net", F.lit(0.0)), 1)
+    delta = tidy(F.col("balance") - F.coalesce("net", F.lit(0.0)), 1)
     return (
         balances.join(net, "asset", "left").join(stored, "asset", "left")
         .withColumn("delta", delta)
-        .withColumn("drift", F.when(clean, F.round(F.col("delta") - F.col("prev"), 1)))
+        .withColumn("drift", F.when(clean, tidy(F.col("delta") - F.col("prev"), 1)))
         .select(
             "asset",
-            F.round(F.coalesce("net", F.lit(0.0)), 1).alias("net_cached"),
-            F.round("balance", 1).alias("balance"),
+            tidy(F.coalesce("net", F.lit(0.0)), 1).alias("net_cached"),
+            tidy("balance", 1).alias("balance"),
             "delta", "drift", "degraded",
             F.coalesce((F.col("drift") > hi) | (F.col("drift") < lo), F.lit(False)).alias("warn"),
         )
@@ -105,11 +105,11 @@ def balance_series(
     today = None if as_of is None else as_of.date()
     return moves.join(balances.select("asset", "balance"), "asset").select(
         "asset", "day",
-        F.round(F.col("balance") - after, 1).alias("qty"),
-        F.round("out", 1).alias("out"),
-        F.round("in_rec", 1).alias("in_rec"),
-        F.round("in_ext", 1).alias("in_ext"),
-        F.round(net, 1).alias("delta"),
+        tidy(F.col("balance") - after, 1).alias("qty"),
+        tidy("out", 1).alias("out"),
+        tidy("in_rec", 1).alias("in_rec"),
+        tidy("in_ext", 1).alias("in_ext"),
+        tidy(net, 1).alias("delta"),
         (F.lit(False) if today is None else F.col("day") == F.lit(today)).alias("partial"),
     )
 
@@ -117,14 +117,14 @@ def balance_series(
 def value_series(series: DataFrame, valued) -> DataFrame:
     """WIN9: the series in USD; ``valued`` adds ``rate`` and ``rate_src`` from ``(asset, day, val)``."""
     priced = valued(series.withColumn("val", F.col("qty")))
-    return priced.withColumn("usd", F.round("usd", 0)).drop("val", "rate")
+    return priced.withColumn("usd", tidy("usd", 0)).drop("val", "rate")
 
 
 def live_row(balances: DataFrame, live: DataFrame, as_of: datetime) -> DataFrame:
     """WIN9: today's running balance at the live rate, marked partial."""
     return balances.join(live.select("asset", "rate"), "asset").select(
-        "asset", F.lit(as_of.date()).alias("day"), F.round("balance", 1).alias("qty"),
-        F.round(F.col("balance") * F.col("rate"), 0).alias("usd"), F.lit(True).alias("partial"),
+        "asset", F.lit(as_of.date()).alias("day"), tidy("balance", 1).alias("qty"),
+        tidy(F.col("balance") * F.col("rate"), 0).alias("usd"), F.lit(True).alias("partial"),
     )
 
 
@@ -140,7 +140,7 @@ def trend_state(series: DataFrame, balances: DataFrame | None = None, flat_eps:
     per = ranked.groupBy("asset").agg(
         F.max("days").alias("days"),
         F.max("flat").alias("flat_run"),
-        F.round((qty_at(1) - qty_at(min_days)) / float(min_days - 1), 1).alias("slope"),
+        tidy((qty_at(1) - qty_at(min_days)) / float(min_days - 1), 1).alias("slope"),
         F.max(F.when(F.col("rn") == 1, F.col("qty"))).alias("closed_qty"),
     )
     if balances is not None:
@@ -200,7 +200,7 @@ def burn(ledger: DataFrame, as_of: datetime, scheme: Scheme) -> DataFrame:
 def value_balances(balances: DataFrame, live: DataFrame) -> DataFrame:
     """AGG37: balance and its value at the live rate, per asset."""
     return balances.join(live.select("asset", "rate"), "asset", "left").select(
-        "asset", F.round("balance", 0).alias("balance"), (F.col("balance") * F.col("rate")).alias("usd")
+        "asset", tidy("balance", 0).alias("balance"), (F.col("balance") * F.col("rate")).alias("usd")
     )
 
 
@@ -211,10 +211,10 @@ def ledger_range(ledger: DataFrame) -> DataFrame:
 
 def runway(burned: DataFrame, balance_usd: Column) -> DataFrame:
     """AGG22: days the balance lasts at each pace; null where nothing burns."""
-    last = lambda pace: F.when(F.col(pace) > 0, F.round(balance_usd / F.col(pace), 1))
+    last = lambda pace: F.when(F.col(pace) > 0, tidy(balance_usd / F.col(pace), 1))
     return burned.select(
-        F.round(balance_usd, 0).alias("bal_usd"),
-        F.round("burn24", 2).alias("burn24"), F.round("burn_prev", 2).alias("burn_prev"),
-        F.round("burn7avg", 2).alias("burn7avg"), F.round("span_days", 4).alias("span_days"),
+        tidy(balance_usd, 0).alias("bal_usd"),
+        tidy("burn24", 2).alias("burn24"), tidy("burn_prev", 2).alias("burn_prev"),
+        tidy("burn7avg", 2).alias("burn7avg"), tidy("span_days", 4).alias("span_days"),
         last("burn24").alias("runway24"), last("burn7avg").alias("runway7"), last("out7avg").alias("runway_total"),
     )

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyflow.functions import tidy
+
 # Upper edges of the gap bins, in seconds.
 GAP_EDGES = (30, 120, 600, 3600, 21600)
 BURST_SECONDS = 600
@@ -223,11 +225,11 @@ def fingerprints(
     tags = _present((n > high, "high volume"), (F.col("receives"), "earn+receive"))
     return shape.join(totals, "cp").select(
         "cp", "n",
-        F.round("span_h", 1).alias("span_h"),
-        F.round("ent", 2).alias("ent"),
-        F.round("acf", 2).alias("acf"),
-        F.round(burst * 100, 0).cast("long").alias("burst"),
-        F.round("usd", 2).alias("usd"),
+        tidy("span_h", 1).alias("span_h"),
+        tidy("ent", 2).alias("ent"),
+        tidy("acf", 2).alias("acf"),
+        tidy(burst * 100, 0).cast("long").alias("burst"),
+        tidy("usd", 2).alias("usd"),
         flags.alias("flags"),
         tags.alias("tags"),
         F.when(F.size(flags) > 0, "review").otherwise("organic").alias("status"),

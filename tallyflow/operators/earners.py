@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at
+from tallyflow.functions import EARNING, Scheme, at, tidy
 from tallyflow.operators.facts import share, sum_if
 
 
@@ -23,7 +23,7 @@ def category_totals(ledger: DataFrame, as_of: datetime) -> DataFrame:
     """AGG8: count, USD and last-24-hours count per coarse class."""
     recent = F.col("ts") > at(as_of - timedelta(hours=24))
     return outgoing(ledger).groupBy("cat").agg(
-        F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("usd"), F.count_if(recent).alias("n_24h")
+        F.count("*").alias("n"), tidy(F.sum("usd"), 2).alias("usd"), F.count_if(recent).alias("n_24h")
     )
 
 
@@ -40,8 +40,8 @@ def top_earners(ledger: DataFrame, k: int, cats: Sequence[str] = EARNING) -> Dat
     """AGG9, AGG36: the ``k`` largest earners with their share of all earnings."""
     board = earners(ledger, cats)
     total = outgoing(ledger).filter(F.col("cat").isin(*cats)).agg(F.sum("usd")).scalar()
-    top = board.orderBy(F.round("usd", 2).desc(), "cp").limit(k)
-    return top.withColumn("share", F.round(F.col("usd") / total * 100, 1)).withColumn("usd", F.round("usd", 2))
+    top = board.orderBy(tidy("usd", 2).desc(), "cp").limit(k)
+    return top.withColumn("share", tidy(F.col("usd") / total * 100, 1)).withColumn("usd", tidy("usd", 2))
 
 
 def earner_totals(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame:
@@ -49,15 +49,15 @@ def earner_totals(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame
     first, second = cats[0], cats[1]
     return earners(ledger, cats).agg(
         F.count("*").alias("earners"),
-        F.round(F.sum("usd"), 2).alias("usd"),
-        F.coalesce(F.round(F.try_divide(F.sum(first), F.sum(second)), 0), F.lit(0.0)).alias(f"{first}_per_{second}"),
+        tidy(F.sum("usd"), 2).alias("usd"),
+        F.coalesce(tidy(F.try_divide(F.sum(first), F.sum(second)), 0), F.lit(0.0)).alias(f"{first}_per_{second}"),
     )
 
 
 def fine_table(ledger: DataFrame) -> DataFrame:
     """AGG10, AGG36: fine classes with count, USD and share."""
     table = outgoing(ledger).groupBy("fine").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
-    return share(table, "usd").withColumn("usd", F.round("usd", 2))
+    return share(table, "usd").withColumn("usd", tidy("usd", 2))
 
 
 def earn_loop(ledger: DataFrame, scheme: Scheme, over: Sequence[float] = (10, 50)) -> DataFrame:
@@ -79,8 +79,8 @@ def earn_loop(ledger: DataFrame, scheme: Scheme, over: Sequence[float] = (10, 50
     return both.agg(
         F.count("*").alias("credit_recip_n"),
         F.count_if(loop).alias("loop_n"),
-        F.round(sum_if(loop, "usd"), 2).alias("loop_usd"),
-        *(F.count_if(loop & (F.round("usd", 2) > float(x))).alias(f"loop_gt{x:g}") for x in over),
+        tidy(sum_if(loop, "usd"), 2).alias("loop_usd"),
+        *(F.count_if(loop & (tidy("usd", 2) > float(x))).alias(f"loop_gt{x:g}") for x in over),
     )
 
 
@@ -90,11 +90,11 @@ def guard(fingerprints: DataFrame, earned_usd) -> DataFrame:
     return fingerprints.agg(
         F.count_if(flagged).alias("flagged_n"),
         F.count("*").alias("monitored_n"),
-        F.round(sum_if(flagged, "usd"), 2).alias("at_risk_usd"),
-    ).withColumn("total_usd", F.round(earned_usd, 2))
+        tidy(sum_if(flagged, "usd"), 2).alias("at_risk_usd"),
+    ).withColumn("total_usd", tidy(earned_usd, 2))
 
 
 def latest_unclassified(ledger: DataFrame, k: int = 40) -> DataFrame:
     """SRT5: the newest payouts outside the earning classes."""
     rest = outgoing(ledger).filter(~F.col("cat").isin(*EARNING))
-    return rest.orderBy(F.col("ts").desc(), "key").limit(k).select("ts", "key", "cp", F.round("usd", 2).alias("usd"), "fine")
+    return rest.orderBy(F.col("ts").desc(), "key").limit(k).select("ts", "key", "cp", tidy("usd", 2).alias("usd"), "fine")

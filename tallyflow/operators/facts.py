@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, band_names, day_text, hour_text, in_window, month_text, size_band
+from tallyflow.functions import Scheme, at, band_names, day_text, hour_text, in_window, month_text, size_band, tidy
 
 Window = tuple[str, datetime | None, datetime | None]
 
@@ -53,14 +53,14 @@ def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str |
         count(inward).alias("in_tx"),
         F.count_if(out).alias("out_wallets"),
         F.count_if(inward).alias("in_sources"),
-        *(F.round(sum_if(out, f"usd_{a}"), 2).alias(f"out_usd_{a}") for a in assets),
-        *(F.round(sum_if(out, f"raw_{a}"), 1).alias(f"out_raw_{a}") for a in assets),
-        *(F.round(sum_if(inward, f"raw_{a}"), 1).alias(f"in_raw_{a}") for a in assets),
+        *(tidy(sum_if(out, f"usd_{a}"), 2).alias(f"out_usd_{a}") for a in assets),
+        *(tidy(sum_if(out, f"raw_{a}"), 1).alias(f"out_raw_{a}") for a in assets),
+        *(tidy(sum_if(inward, f"raw_{a}"), 1).alias(f"in_raw_{a}") for a in assets),
     )
     return (
-        sums.withColumn("in_external_usd", F.round(F.col("in_usd") - F.col("in_recycled_usd"), 2))
-        .withColumn("net_usd", F.round(F.col("in_usd") - F.col("out_usd"), 2))
-        .withColumns({c: F.round(c, 2) for c in ("out_usd", "in_usd", "in_recycled_usd")})
+        sums.withColumn("in_external_usd", tidy(F.col("in_usd") - F.col("in_recycled_usd"), 2))
+        .withColumn("net_usd", tidy(F.col("in_usd") - F.col("out_usd"), 2))
+        .withColumns({c: tidy(c, 2) for c in ("out_usd", "in_usd", "in_recycled_usd")})
     )
 
 
@@ -116,17 +116,17 @@ def daily_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], schem
     entry = lambda b: F.struct(
         F.lit(b).alias("band"),
         F.struct(
-            F.sum(f"n_{b}").alias("n"), F.round(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")
+            F.sum(f"n_{b}").alias("n"), tidy(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")
         ).alias("v"),
     )
     present = F.filter(F.array(*[entry(b) for b in bands]), lambda e: e.v.n > 0)
     facts = rows.groupBy("day").agg(
-        F.round(sum_if(out, "usd"), 2).alias("out_usd"),
-        F.round(sum_if(~out, "usd"), 2).alias("in_usd"),
-        F.round(sum_if(~out, "usd") - sum_if(out, "usd"), 2).alias("net_usd"),
+        tidy(sum_if(out, "usd"), 2).alias("out_usd"),
+        tidy(sum_if(~out, "usd"), 2).alias("in_usd"),
+        tidy(sum_if(~out, "usd") - sum_if(out, "usd"), 2).alias("net_usd"),
         F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("out_tx"),
         F.count_if(out).alias("wallets"),
-        *(F.round(sum_if(out, f"raw_{a}"), 1).alias(f"raw_{a}") for a in assets),
+        *(tidy(sum_if(out, f"raw_{a}"), 1).alias(f"raw_{a}") for a in assets),
         F.map_from_entries(present).alias("bands"),
     )
     return facts.withColumn("partial", F.col("day") == F.lit(as_of.date()))
@@ -162,12 +162,12 @@ def leaderboard(ledger: DataFrame, direction: str, k: int, labels: DataFrame | N
         F.min("day").alias("first"), F.max("day").alias("last"),
     )
     total = side.agg(F.sum("usd")).scalar()
-    top = board.orderBy(F.round("usd", 2).desc(), "cp").limit(k)
+    top = board.orderBy(tidy("usd", 2).desc(), "cp").limit(k)
     top = with_label(top, labels) if labels is not None else top.withColumn("label", F.lit(None).cast("string"))
     return top.select(
-        "cp", "label", "n", F.round("usd", 2).alias("usd"), "days",
+        "cp", "label", "n", tidy("usd", 2).alias("usd"), "days",
         day_text("first").alias("first"), day_text("last").alias("last"),
-        F.round(F.col("usd") / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1).alias("share"),
+        tidy(F.col("usd") / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1).alias("share"),
     )
 
 
@@ -192,7 +192,7 @@ def hourly_counts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], day
 def share(df: DataFrame, column: str, alias: str = "share") -> DataFrame:
     """WIN19: percent of the total, where ``df`` is already an aggregate."""
     total = df.agg(F.sum(column)).scalar()
-    return df.withColumn(alias, F.round(F.col(column) / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1))
+    return df.withColumn(alias, tidy(F.col(column) / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1))
 
 
 def flow_ratios(facts: DataFrame, consumed_usd: Column | float | None = None, span_days: float = 7.0) -> DataFrame:
@@ -208,9 +208,9 @@ def flow_ratios(facts: DataFrame, consumed_usd: Column | float | None = None, sp
         row("7d", "out_usd").alias("week"),
     )
     return flat.select(
-        F.coalesce(F.round(F.try_divide("rec", "inn") * 100, 0), F.lit(0.0)).alias("recycled_share"),
-        F.round(F.try_divide(used, F.col("out")) * 100, 0).alias("consumption_ratio"),
-        F.round(F.col("week") / span_days, 2).alias("dist_pace"),
+        F.coalesce(tidy(F.try_divide("rec", "inn") * 100, 0), F.lit(0.0)).alias("recycled_share"),
+        tidy(F.try_divide(used, F.col("out")) * 100, 0).alias("consumption_ratio"),
+        tidy(F.col("week") / span_days, 2).alias("dist_pace"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import at, month_text
+from tallyflow.functions import at, month_text, tidy
 from tallyflow.operators.facts import sum_if
 from tallyflow.operators.rates import day_rate
 
@@ -44,8 +44,8 @@ def consumption(
         F.sum("n_7d").alias("n_7d"), F.min("day").alias("first"),
     )
     return per_wallet.agg(
-        F.sum("n").alias("total_n"), F.round(F.sum("val"), 0).alias("total_val"),
-        F.round(F.sum("usd"), 2).alias("total_usd"), F.round(F.sum("usd_7d"), 2).alias("usd_7d"),
+        F.sum("n").alias("total_n"), tidy(F.sum("val"), 0).alias("total_val"),
+        tidy(F.sum("usd"), 2).alias("total_usd"), tidy(F.sum("usd_7d"), 2).alias("usd_7d"),
         F.sum("n_24h").alias("n_24h"), F.count("*").alias("spenders_all"),
         F.count_if(F.col("n_7d") > 0).alias("spenders_7d"), F.min("first").alias("first_day"),
     )
@@ -54,7 +54,7 @@ def consumption(
 def consumption_daily(consumed: DataFrame, ledger: DataFrame, as_of: datetime, own: str, k: int = 30) -> DataFrame:
     """AGG11, SRT4: the last ``k`` days of consumption."""
     per_day = spends(consumed, ledger, as_of, own).groupBy("day").agg(
-        F.sum("n").alias("n"), F.round(F.sum("val"), 1).alias("val"), F.countDistinct("cp").alias("spenders")
+        F.sum("n").alias("n"), tidy(F.sum("val"), 1).alias("val"), F.countDistinct("cp").alias("spenders")
     )
     return per_day.orderBy(F.col("day").desc()).limit(k)
 
@@ -81,11 +81,11 @@ def funding_split(consumed: DataFrame, ledger: DataFrame, own: str = "", eps: fl
     per = per.withColumn("user", F.greatest(zero, F.col("spend") - F.col("credit")))
     excess = F.col("user") > eps
     return per.agg(
-        F.round(F.sum("spend"), 0).alias("consumed_usd"),
+        tidy(F.sum("spend"), 0).alias("consumed_usd"),
         F.count("*").alias("spenders"),
-        F.round(F.sum(F.col("spend") - F.col("user")), 0).alias("backed_usd"),
-        F.round(F.sum("user"), 0).alias("user_usd"),
-        F.coalesce(F.round(F.try_divide(F.sum("user"), F.sum("spend")) * 100, 1), zero).alias("user_pct"),
+        tidy(F.sum(F.col("spend") - F.col("user")), 0).alias("backed_usd"),
+        tidy(F.sum("user"), 0).alias("user_usd"),
+        F.coalesce(tidy(F.try_divide(F.sum("user"), F.sum("spend")) * 100, 1), zero).alias("user_pct"),
         F.count_if(excess).alias("excess_n"),
         F.count_if(excess & (F.col("credit") == 0)).alias("never_credited_n"),
     )
@@ -107,8 +107,8 @@ def archive_rollup(archive: DataFrame, prices: DataFrame, default: float = 0.001
     )
     topped, spent = F.col("out_n") > 0, F.col("in_n") > 0
     return per.agg(
-        F.round(F.sum("out_val"), 0).alias("out_val"), F.round(F.sum("in_val"), 0).alias("in_val"),
-        F.round(F.sum("out_usd"), 2).alias("out_usd"), F.round(F.sum("in_usd"), 2).alias("in_usd"),
+        tidy(F.sum("out_val"), 0).alias("out_val"), tidy(F.sum("in_val"), 0).alias("in_val"),
+        tidy(F.sum("out_usd"), 2).alias("out_usd"), tidy(F.sum("in_usd"), 2).alias("in_usd"),
         F.sum("out_n").alias("out_tx"), F.sum("in_n").alias("in_tx"),
         F.count_if(topped).alias("topped_n"), F.count_if(spent).alias("spent_n"), F.count_if(topped & spent).alias("both_n"),
         F.min("first").alias("first_spend"), F.max("last").alias("last_spend"),
@@ -119,8 +119,8 @@ def archive_monthly(archive: DataFrame, prices: DataFrame, default: float = 0.00
     """JN9, AGG14: in and out per month; a missing side is zero."""
     out = F.col("direction") == "OUT"
     return _priced_archive(archive, prices, default).groupBy(month_text("day").alias("month")).agg(
-        F.round(sum_if(out, "val"), 0).alias("out_val"), F.round(sum_if(~out, "val"), 0).alias("in_val"),
-        F.round(sum_if(out, "usd"), 2).alias("out_usd"), F.round(sum_if(~out, "usd"), 2).alias("in_usd"),
+        tidy(sum_if(out, "val"), 0).alias("out_val"), tidy(sum_if(~out, "val"), 0).alias("in_val"),
+        tidy(sum_if(out, "usd"), 2).alias("out_usd"), tidy(sum_if(~out, "usd"), 2).alias("in_usd"),
     )
 
 
@@ -160,20 +160,20 @@ def sweep_summary(series: DataFrame) -> DataFrame:
     old = (d >= F.col("r0")) & (d <= F.col("r1"))
     new = d >= F.col("s0")
     has_i = F.col("n_i") > 0
-    pct = lambda a, b: F.round(F.try_divide(a, b) * 100, 1)
+    pct = lambda a, b: tidy(F.try_divide(a, b) * 100, 1)
     flat = _bounded(series).agg(
         F.count_if(F.col("n_s") > 0).alias("days"),
         F.max("s0").alias("first"), F.max("s1").alias("last"),
-        F.round(F.sum("s"), 2).alias("total"),
+        tidy(F.sum("s"), 2).alias("total"),
         pct(F.sum("s"), sum_if(new, "i")).alias("share_cum"),
         F.count_if(F.col("n_r") > 0).alias("recycle_n"),
-        F.round(F.sum("r"), 2).alias("recycle_total"),
+        tidy(F.sum("r"), 2).alias("recycle_total"),
         pct(F.sum("r"), sum_if(old, "i")).alias("recycle_share_cum"),
         (F.datediff(F.max("r1"), F.max("r0")) + 1).cast("long").alias("recycle_span_days"),
-        F.round(F.avg(F.when(old & has_i, F.col("i"))), 0).alias("intake_pre"),
-        F.round(F.avg(F.when(new & has_i, F.col("i"))), 0).alias("intake_post"),
+        tidy(F.avg(F.when(old & has_i, F.col("i"))), 0).alias("intake_pre"),
+        tidy(F.avg(F.when(new & has_i, F.col("i"))), 0).alias("intake_post"),
     )
-    median = lagged_share(series).agg(F.round(F.median("share") * 100, 1)).scalar()
+    median = lagged_share(series).agg(tidy(F.median("share") * 100, 1)).scalar()
     return flat.withColumn("share_median", median)
 
 
@@ -184,11 +184,11 @@ def contract_audit(series: DataFrame, pct: float = 0.40, rate: float = 1.0) -> D
         sum_if((F.col("day") >= F.col("r0")) & (F.col("day") <= F.col("r1")), "i").alias("base_old"), F.sum("r").alias("got_old"),
     )
     owed = F.col("base") * pct
-    share = lambda a, b: F.round(F.try_divide(F.col(a), F.nullif(b, F.lit(0.0))) * 100, 1)
+    share = lambda a, b: tidy(F.try_divide(F.col(a), F.nullif(b, F.lit(0.0))) * 100, 1)
     return flat.select(
         share("got_old", "base_old").alias("old_pct"), share("got", "base").alias("new_pct"),
-        F.round(owed, 0).alias("expected"), F.round("got", 0).alias("actual"),
-        F.round(F.col("got") - owed, 0).alias("variance"), F.round((F.col("got") - owed) * rate, 0).alias("variance_usd"),
+        tidy(owed, 0).alias("expected"), tidy("got", 0).alias("actual"),
+        tidy(F.col("got") - owed, 0).alias("variance"), tidy((F.col("got") - owed) * rate, 0).alias("variance_usd"),
     )
 
 
@@ -197,6 +197,6 @@ def contract_months(series: DataFrame, pct: float = 0.40) -> DataFrame:
     since = _bounded(series).filter(F.col("day") >= F.col("s0"))
     per = since.groupBy(month_text("day").alias("month")).agg(F.sum("s").alias("got"), F.sum("i").alias("base"))
     return per.filter(F.col("base") != 0).select(
-        "month", F.round(F.col("got") / F.col("base") * 100, 1).alias("pct"),
-        F.round(F.col("base") * pct - F.col("got"), 0).alias("short"),
+        "month", tidy(F.col("got") / F.col("base") * 100, 1).alias("pct"),
+        tidy(F.col("base") * pct - F.col("got"), 0).alias("short"),
     )

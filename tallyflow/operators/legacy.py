@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at, bucket_of, folded_class, hour_text, in_window
+from tallyflow.functions import EARNING, Scheme, at, bucket_of, folded_class, hour_text, in_window, tidy
 from tallyflow.operators.facts import sum_if
 
 FOLDED = ("invoke", "equip", "growth", "micro")
@@ -29,7 +29,7 @@ def _out(rows: DataFrame) -> DataFrame:
 def asset_totals(rows: DataFrame, as_of: datetime) -> DataFrame:
     """AGG34: count, amount and last-24-hours count per folded class."""
     return _out(rows).groupBy("lcat").agg(
-        F.count("*").alias("n"), F.round(F.sum("val"), 1).alias("val"),
+        F.count("*").alias("n"), tidy(F.sum("val"), 1).alias("val"),
         F.count_if(F.col("ts") > at(as_of - timedelta(hours=24))).alias("n_24h"),
     )
 
@@ -46,7 +46,7 @@ def asset_hourly(rows: DataFrame, as_of: datetime) -> DataFrame:
     hours = start.select(F.explode(F.sequence(F.col("h0"), until, F.expr("INTERVAL 1 HOUR"))).alias("hour"))
     blank = hours.select("hour", *(F.lit(0).cast("long").alias(c) for c in FOLDED), F.lit(0.0).alias("val"))
     return counted.unionByName(blank).groupBy("hour").agg(
-        *(F.sum(c).alias(c) for c in FOLDED), F.round(F.sum("val"), 1).alias("val")
+        *(F.sum(c).alias(c) for c in FOLDED), tidy(F.sum("val"), 1).alias("val")
     ).select(hour_text("hour").alias("h"), *FOLDED, "val")
 
 
@@ -62,7 +62,7 @@ def asset_daily(rows: DataFrame, as_of: datetime) -> DataFrame:
         F.lit(as_of.date()).alias("day"), *(F.lit(0).cast("long").alias(c) for c in FOLDED), F.lit(0.0).alias("earned"), F.lit(0.0).alias("other")
     )
     return counted.unionByName(today).groupBy("day").agg(
-        *(F.sum(c).alias(c) for c in FOLDED), F.round(F.sum("earned"), 1).alias("earned"), F.round(F.sum("other"), 1).alias("other")
+        *(F.sum(c).alias(c) for c in FOLDED), tidy(F.sum("earned"), 1).alias("earned"), tidy(F.sum("other"), 1).alias("other")
     )
 
 
@@ -70,7 +70,7 @@ def asset_earners(rows: DataFrame) -> DataFrame:
     """AGG34: recipients of the earning classes in the asset's own amount."""
     earned = _out(rows).filter(F.col("lcat").isin(*EARNING))
     return earned.groupBy("cp").agg(
-        *(F.count_if(F.col("lcat") == c).alias(c) for c in EARNING), F.round(F.sum("val"), 1).alias("val")
+        *(F.count_if(F.col("lcat") == c).alias(c) for c in EARNING), tidy(F.sum("val"), 1).alias("val")
     )
 
 
@@ -88,11 +88,11 @@ def asset_treasury(rows: DataFrame, scheme: Scheme) -> DataFrame:
     )
     entry = lambda b: F.struct(
         F.lit(b).alias("bucket"),
-        F.struct(F.round(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")).alias("v"),
+        F.struct(tidy(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")).alias("v"),
     )
     return per.groupBy("day").agg(
-        F.round(F.sum("out"), 1).alias("out"), F.round(F.sum("out_usd"), 2).alias("out_usd"),
-        F.round(F.sum("inn"), 1).alias("inn"), F.round(F.sum("inn") - F.sum("out"), 1).alias("net"),
+        tidy(F.sum("out"), 1).alias("out"), tidy(F.sum("out_usd"), 2).alias("out_usd"),
+        tidy(F.sum("inn"), 1).alias("inn"), tidy(F.sum("inn") - F.sum("out"), 1).alias("net"),
         F.map_from_entries(F.filter(F.array(*[entry(b) for b in names]), lambda e: e.v.w > 0)).alias("buckets"),
     )
 
@@ -124,22 +124,22 @@ def asset_guard(
         sum_if(out & F.col("lcat").isin(*EARNING), "val").alias("earned"),
     )
     per_day = rows.filter(F.col("day") < F.lit(as_of.date())).groupBy("day").agg(sum_if(out, "usd").alias("usd"))
-    burn7 = per_day.orderBy(F.col("day").desc()).limit(7).agg(F.round(F.coalesce(F.avg("usd"), F.lit(0.0)), 2)).scalar()
+    burn7 = per_day.orderBy(F.col("day").desc()).limit(7).agg(tidy(F.coalesce(F.avg("usd"), F.lit(0.0)), 2)).scalar()
     c = F.col
     growth = F.when(c("burn_prev") > 0, F.least(c("burn24") / c("burn_prev"), F.lit(2.0))).otherwise(1.0)
     funded = (balance > 0) & (c("burn24") > 0)
     risk = (F.lit(0.0) if at_risk_usd is None else F.coalesce(at_risk_usd, F.lit(0.0))) / rate
     base = F.coalesce(F.nullif(c("earned"), F.lit(0.0)), F.lit(1.0))
     return flat.select(
-        F.round((base - risk) / base * 100, 1).alias("organic_share"),
-        F.round(risk * rate, 2).alias("at_risk_usd"),
-        F.round(c("in24") - c("out24"), 0).alias("bal_delta24"),
-        F.round("topup24", 0).alias("topup24"),
-        F.when(funded, F.round(F.greatest(F.lit(0.0), 7 * c("burn24") - balance * rate) / rate, 0)).alias("topup_needed"),
-        F.when(funded, F.round(balance * rate / c("burn24"), 1)).alias("runway_days"),
-        F.when(funded, F.round(balance * rate / (c("burn24") * growth), 1)).alias("runway_adj"),
-        F.round("burn24", 2).alias("burn24"), F.round("burn_prev", 2).alias("burn_prev"),
-        F.round("promised", 2).alias("promised_usd"),
-        F.when(c("promised") != 0, F.round((c("settled") - c("promised")) / c("promised") * 100, 1)).otherwise(0.0).alias("fx_drift_pct"),
+        tidy((base - risk) / base * 100, 1).alias("organic_share"),
+        tidy(risk * rate, 2).alias("at_risk_usd"),
+        tidy(c("in24") - c("out24"), 0).alias("bal_delta24"),
+        tidy("topup24", 0).alias("topup24"),
+        F.when(funded, tidy(F.greatest(F.lit(0.0), 7 * c("burn24") - balance * rate) / rate, 0)).alias("topup_needed"),
+        F.when(funded, tidy(balance * rate / c("burn24"), 1)).alias("runway_days"),
+        F.when(funded, tidy(balance * rate / (c("burn24") * growth), 1)).alias("runway_adj"),
+        tidy("burn24", 2).alias("burn24"), tidy("burn_prev", 2).alias("burn_prev"),
+        tidy("promised", 2).alias("promised_usd"),
+        F.when(c("promised") != 0, tidy((c("settled") - c("promised")) / c("promised") * 100, 1)).otherwise(0.0).alias("fx_drift_pct"),
         burn7.alias("burn7_usd"),
     )

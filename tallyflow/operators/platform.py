@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, is_unbacked
+from tallyflow.functions import Scheme, at, is_unbacked, tidy
 from tallyflow.operators.facts import sum_if
 
 
@@ -41,7 +41,7 @@ def event_days(
 
     def measure(m: EventMeasure) -> Column:
         hit = F.col(kind).isin(*m.types)
-        return F.round(sum_if(hit, _number(properties, m.paths)), 2) if m.paths else F.count_if(hit)
+        return tidy(sum_if(hit, _number(properties, m.paths)), 2) if m.paths else F.count_if(hit)
 
     return wanted.groupBy(F.to_date(ts).alias("day")).agg(*(measure(m).alias(name) for name, m in spec.items()))
 
@@ -82,9 +82,9 @@ def period_ratio(ledger: DataFrame, snapshot: DataFrame, scheme: Scheme) -> Data
     paid = period.agg(sum_if(is_unbacked(scheme), "usd")).scalar()
     proceeds = F.coalesce(F.nullif("net_proceeds", F.lit(0.0)), F.col("net") - F.col("fees"))
     return snapshot.select(
-        F.round(paid, 2).alias("unbacked_usd"),
-        F.round(proceeds, 2).alias("proceeds"),
-        F.when(proceeds != 0, F.round(paid / proceeds, 1)).alias("ratio"),
+        tidy(paid, 2).alias("unbacked_usd"),
+        tidy(proceeds, 2).alias("proceeds"),
+        F.when(proceeds != 0, tidy(paid / proceeds, 1)).alias("ratio"),
     )
 
 
@@ -102,13 +102,13 @@ def settled_tier(
         F.sum("topup_usd").alias("topup"), F.sum("topups").alias("topups"), F.sum("awakens").alias("awakens"),
         F.coalesce(F.sum("backed"), F.lit(0.0)).alias("backed"), F.coalesce(F.sum("unbacked"), F.lit(0.0)).alias("unbacked"),
     )
-    cost = F.lit(None).cast("double") if burn7avg is None or wau is None else F.when(wau > 0, F.round(burn7avg * 7 / wau, 2))
+    cost = F.lit(None).cast("double") if burn7avg is None or wau is None else F.when(wau > 0, tidy(burn7avg * 7 / wau, 2))
     return flat.select(
-        "first_day", "last_day", F.round("topup", 2).alias("topup_usd"), "topups", "awakens",
-        F.round("backed", 2).alias("backed_out_usd"),
-        F.round(F.round("backed", 2) - F.round("topup", 2), 2).alias("diverge_usd"),
-        F.round("unbacked", 2).alias("unbacked_usd"),
-        F.when(F.round("topup", 2) != 0, F.round(F.round("unbacked", 2) / F.round("topup", 2), 1)).alias("subsidy_ratio"),
+        "first_day", "last_day", tidy("topup", 2).alias("topup_usd"), "topups", "awakens",
+        tidy("backed", 2).alias("backed_out_usd"),
+        tidy(tidy("backed", 2) - tidy("topup", 2), 2).alias("diverge_usd"),
+        tidy("unbacked", 2).alias("unbacked_usd"),
+        F.when(tidy("topup", 2) != 0, tidy(tidy("unbacked", 2) / tidy("topup", 2), 1)).alias("subsidy_ratio"),
         cost.alias("cost_per_user"),
     )
 
@@ -120,9 +120,9 @@ def ratio_weeks(days: DataFrame, ledger: DataFrame, scheme: Scheme, size: int =
     both = settled.join(ledger_days(ledger, scheme), "day", "left")
     per = both.groupBy("run").agg(
         F.count("*").alias("days"), F.max("day").alias("end_day"), F.sum("topup_usd").alias("topup"),
-        F.round(F.coalesce(F.sum("unbacked"), F.lit(0.0)), 2).alias("unbacked"),
+        tidy(F.coalesce(F.sum("unbacked"), F.lit(0.0)), 2).alias("unbacked"),
     )
     return per.filter(F.col("days") == size).select(
-        "end_day", F.round("topup", 2).alias("topup"), "unbacked",
-        F.when(F.col("topup") != 0, F.round(F.col("unbacked") / F.col("topup"), 1)).alias("ratio"),
+        "end_day", tidy("topup", 2).alias("topup"), "unbacked",
+        F.when(F.col("topup") != 0, tidy(F.col("unbacked") / F.col("topup"), 1)).alias("ratio"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import at
+from tallyflow.functions import at, tidy
 from tallyflow.session import settle
 
 
@@ -105,8 +105,8 @@ def market_deviation(rates: DataFrame, market: DataFrame, pct: float = 15) -> Da
         .agg(
             F.count("*").alias("n"),
             F.count_if(F.col("dev") <= pct).alias("within"),
-            F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dev DESC)"), 1).alias("median_dev"),
-            F.round(F.max("dev"), 1).alias("max_dev"),
+            tidy(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dev DESC)"), 1).alias("median_dev"),
+            tidy(F.max("dev"), 1).alias("max_dev"),
         )
     )
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.functions import classified, day_text, in_window
+from tallyflow.functions import classified, day_text, in_window, tidy
 from tallyflow.operators import alerts, balance, behaviour, earners, facts, funding, legacy, platform, quotes, rates, registry
 from tallyflow.operators.implied import implied_rates
 from tallyflow.plans import roles
@@ -55,7 +55,7 @@ def flow_windows(spark, folder):
 @query
 def monthly_flows(spark, folder):
     """AGG2, JN9, SET1"""
-    return facts.monthly_facts(adapters.order_ledger(spark, folder), datetime(2001, 6, 15), ("B",), "C7")
+    return facts.monthly_facts(adapters.order_ledger(spark, folder), datetime(2001, 6, 15), ("B",), "c7")
 
 
 @query
@@ -181,7 +181,7 @@ def _valued(spark, folder):
 @query
 def asof_rates(spark, folder):
     """JN2, PRJ3"""
-    return _valued(spark, folder).select("key", F.round("rate", 8).alias("rate"), "rate_src", F.round("usd", 6).alias("usd"))
+    return _valued(spark, folder).select("key", F.round("rate", 8).alias("rate"), "rate_src", tidy("usd", 6).alias("usd"))
 
 
 @query
@@ -265,7 +265,7 @@ def cadence(spark, folder):
     """WIN2-WIN5, JN13"""
     shape = behaviour.cadence(roles.behaviour_events(spark, folder).filter("cat = 'invoke'"), slice_seconds=5 * 86400)
     return shape.select(
-        "cp", "n", *(F.round(c, p).alias(c) for c, p in (("span_h", 2), ("ent", 4), ("acf", 4), ("burst", 4)))
+        "cp", "n", *(tidy(c, p).alias(c) for c, p in (("span_h", 2), ("ent", 4), ("acf", 4), ("burst", 4)))
     )
 
 
@@ -434,7 +434,7 @@ def _sweeps(spark, folder):
 def sweep_series(spark, folder):
     """JN9, AGG18, SET1"""
     series = _sweeps(spark, folder)
-    return text_days(series.withColumns({c: F.round(c, 1) for c in "irs"}), "day")
+    return text_days(series.withColumns({c: tidy(c, 1) for c in "irs"}), "day")
 
 
 @query

@@ -39,7 +39,7 @@ def order_ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("B").alias("asset"),
         F.col("l_quantity").alias("val"),
         F.col("l_orderkey").alias("blk"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("cp"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("cp"),
         F.col("l_extendedprice").alias("usd"),
     )
     inward = table(spark, folder, "orders").select(
@@ -50,7 +50,7 @@ def order_ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("B").alias("asset"),
         F.lit(1.0).alias("val"),
         F.col("o_orderkey").alias("blk"),
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cp"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cp"),
         F.col("o_totalprice").alias("usd"),
     )
     return out.unionByName(inward)
