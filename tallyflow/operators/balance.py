@@ -45,16 +45,24 @@ def reconcile(
     ``balances`` is ``(asset, balance, degraded)``, ``prev`` is ``(asset, delta)``.
     """
     net = pinned(ledger).groupBy("asset").agg(F.sum(signed()).alias("net"))
+    every = balances.select("asset").join(net, "asset", "left").select("asset", F.coalesce("net", F.lit(0.0)).alias("net"))
+    return judge_net(every, balances, prev, complete, hi, lo)
+
+
+def judge_net(
+    net: DataFrame, balances: DataFrame, prev: DataFrame, complete: bool = True, hi: float = 30, lo: float = -150
+) -> DataFrame:
+    """The rules of :func:`reconcile` for the assets in ``(asset, net)``, however that was summed."""
     stored = prev.select("asset", F.col("delta").alias("prev"))
     clean = F.lit(complete) & ~F.col("degraded")
-    delta = tidy(F.col("balance") - F.coalesce("net", F.lit(0.0)), 1)
+    delta = tidy(F.col("balance") - F.col("net"), 1)
     return (
-        balances.join(net, "asset", "left").join(stored, "asset", "left")
+        balances.join(net, "asset").join(stored, "asset", "left")
         .withColumn("delta", delta)
         .withColumn("drift", F.when(clean, tidy(F.col("delta") - F.col("prev"), 1)))
         .select(
             "asset",
-            tidy(F.coalesce("net", F.lit(0.0)), 1).alias("net_cached"),
+            tidy("net", 1).alias("net_cached"),
             tidy("balance", 1).alias("balance"),
             "delta", "drift", "degraded",
             F.coalesce((F.col("drift") > hi) | (F.col("drift") < lo), F.lit(False)).alias("warn"),

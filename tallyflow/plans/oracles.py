@@ -237,8 +237,28 @@ walk AS (
 SELECT asset, {d('day')} AS day, round(found, 10) AS rate, {last_open} AS is_open FROM walk WHERE found IS NOT NULL"""
 
 
+_WATERMARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
 _LIVE_REF = "SELECT * FROM (VALUES ('A0', 0.005::DOUBLE), ('A1', 0.004::DOUBLE)) t(asset, rate)"
 
+_QUOTES = f"""WITH RECURSIVE q AS (SELECT 'A' || CAST(user_id % 2 AS VARCHAR) AS asset, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, CAST(event_id AS VARCHAR)) AS k, ts,
+    CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 0.0 ELSE value END AS price, CASE WHEN event_id % 3 = 0 THEN value / 2 + 10 END AS fallback FROM events),
+  walk AS (
+    SELECT asset, CAST(0 AS BIGINT) AS k, anchor, CAST(NULL AS DOUBLE) AS pending, false AS accepted, CAST(NULL AS DOUBLE) AS rate, '' AS source
+    FROM (VALUES ('A0', 20.0::DOUBLE), ('A1', 30.0::DOUBLE)) t(asset, anchor)
+    UNION ALL
+    SELECT asset, k, CASE WHEN ok THEN CASE WHEN near THEN price ELSE anchor END WHEN fb THEN fallback ELSE anchor END,
+      CASE WHEN ok THEN price WHEN price IS NULL THEN pending END, accepted OR (ok AND near) OR (NOT ok AND fb),
+      CASE WHEN ok THEN price WHEN fb THEN fallback ELSE anchor END,
+      CASE WHEN ok THEN 'primary' WHEN fb THEN 'secondary' WHEN accepted THEN 'last-accepted' ELSE 'fallback' END
+    FROM (SELECT q.asset, q.k, q.price, q.fallback, w.anchor, w.pending, w.accepted,
+        coalesce(q.price > 0 AND q.price > w.anchor / 5 AND q.price < w.anchor * 5, false) AS ok,
+        coalesce(q.price > w.pending / 2 AND q.price < w.pending * 2, false) AS near,
+        coalesce(q.fallback > w.anchor / 5 AND q.fallback < w.anchor * 5, false) AS fb
+      FROM walk w JOIN q ON q.asset = w.asset AND q.k = w.k + 1))
+  SELECT q.asset, {d('q.ts')} AS day, source, count(*) AS n, round(sum(rate), 4) AS rate_sum, round(max(anchor), 4) AS anchor_max
+  FROM walk JOIN q USING (asset, k) GROUP BY q.asset, {d('q.ts')}, source"""
+
 ORACLES: dict[str, str] = {
     "daily_facts": f"""WITH {A} SELECT {d('day')} AS day, round({s('usd', "direction = 'OUT'")}, 2) AS out_usd,
       round({s('usd', "direction = 'IN'")}, 2) AS in_usd, round(round({s('usd', "direction = 'IN'")}, 6) - round({s('usd', "direction = 'OUT'")}, 6), 2) AS net_usd,
@@ -310,6 +330,8 @@ ORACLES: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY asset, q.day ORDER BY liquidity DESC, blk) = 1""",
     "implied_day_rates": _implied("SELECT asset, day, rate FROM rates WHERE false", _LIVE_REF, "walk.day = DATE '2024-01-30'"),
     "implied_with_kept_days": _implied("SELECT asset, day, round(rate / 6, 6) AS rate FROM rates WHERE day(day) % 5 = 0", _LIVE_REF, "false"),
+    "quote_validation": _QUOTES,
+    "quote_stream": _QUOTES,
     "event_gaps": f"""WITH {A}, w AS (SELECT cp, sec - lag(sec) OVER (PARTITION BY cp ORDER BY sec, blk) AS gap FROM a WHERE direction = 'OUT')
       SELECT cp, count(*) AS gaps, CAST(sum(gap) AS BIGINT) AS total, min(gap) AS shortest, max(gap) AS longest FROM w WHERE gap IS NOT NULL GROUP BY cp""",
     "cadence": f"WITH {_BEHAVE} SELECT cp, n, round(span_h, 2) AS span_h, round(ent, 4) AS ent, round(acf, 4) AS acf, round(burst, 4) AS burst FROM shape JOIN ent USING (cp)",
@@ -456,6 +478,22 @@ ORACLES: dict[str, str] = {
         CASE WHEN burn24 > 0 THEN round(greatest(0, 7 * burn24 - bal * r) / r, 0) END AS topup_needed, CASE WHEN burn24 > 0 THEN round(bal * r / burn24, 1) END AS runway_days,
         CASE WHEN burn24 > 0 THEN round(bal * r / (burn24 * growth), 1) END AS runway_adj, round(burn24, 2) AS burn24, round(burn_prev, 2) AS burn_prev, round(promised, 2) AS promised_usd,
         round((settled - promised) / promised * 100, 1) AS fx_drift_pct, burn7_usd FROM y""",
+    "stream_ingest": f"SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS val FROM events GROUP BY CAST(ts AS DATE)",
+    "settled_days_stream": f"""SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS usd FROM events
+      GROUP BY CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {_WATERMARK}""",
+    "provisional_days_stream": f"SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS usd FROM events GROUP BY CAST(ts AS DATE)",
+    "tumbling_counts_stream": f"""WITH {A} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, asset, direction, count(*) AS n, round(sum(usd), 2) AS usd FROM a
+      GROUP BY date_trunc('hour', ts), asset, direction HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_WATERMARK}""",
+    "sliding_kpis_stream": f"""WITH {A}, ends AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 HOUR)) AS e)
+      SELECT strftime(e, '%Y-%m-%d %H') AS as_of, round({s('usd', "direction = 'OUT'")}, 2) AS out_usd, round({s('usd', "direction = 'IN'")}, 2) AS in_usd, count(*) FILTER (WHERE direction = 'OUT') AS out_tx
+      FROM ends JOIN a ON ts >= e - INTERVAL 24 HOUR AND ts < e WHERE e <= {_WATERMARK} GROUP BY e""",
+    "publish_stream": f"""SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, CASE WHEN day(CAST(ts AS DATE)) <= 10 THEN 0.0::DOUBLE ELSE round(sum(value), 2) END AS usd FROM events
+      GROUP BY CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {_WATERMARK}""",
+    "alert_stream": f"""{_RECON.replace('WITH ' + A, 'WITH ' + _HISTORY)}, newest AS (SELECT max(ts) AS t FROM history)
+      SELECT 'low runway' AS rule, '' AS subject, round(runway, 1) AS value FROM runs WHERE ts = (SELECT t FROM newest)
+      UNION ALL SELECT 'burn accelerating', '', round(burn24 / burn_prev, 1) FROM history WHERE ts = (SELECT t FROM newest) AND burn_prev > 0 AND burn24 / burn_prev > 2
+      UNION ALL SELECT 'reconciliation drift', asset, round(balance - (SELECT sum(CASE WHEN direction = 'IN' THEN val ELSE -val END) FROM a WHERE a.asset = held.asset)
+         - CASE WHEN asset = 'A0' THEN round(balance, 1) ELSE 0 END, 1) FROM held WHERE true""",
 }
 
 ORACLES = {name: decimal_rounding(sql) for name, sql in ORACLES.items()}

@@ -16,6 +16,7 @@ from tallyflow.plans.roles import AS_OF, ASSETS, EVENTS, RECYCLE
 from tallyflow.session import scratch_path, settle
 from tallyflow.sources import adapters, ingest, readers, sinks
 from tallyflow.sources.normalise import excluded, normalise
+from tallyflow import streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -242,7 +243,10 @@ def implied_with_kept_days(spark, folder):
 def quote_validation(spark, folder):
     """WIN20"""
     anchors = spark.createDataFrame([("A0", 20.0), ("A1", 30.0)], "asset string, anchor double")
-    judged = quotes.validate_quotes(roles.quote_feed(spark, folder), anchors, rows_per_slice=2000)
+    return _quote_report(quotes.validate_quotes(roles.quote_feed(spark, folder), anchors, rows_per_slice=2000))
+
+
+def _quote_report(judged):
     return judged.groupBy("asset", F.to_date("ts").alias("d"), "source").agg(
         F.count("*").alias("n"), F.round(F.sum("rate"), 4).alias("rate_sum"), F.round(F.max("anchor"), 4).alias("anchor_max")
     ).select("asset", day_text("d").alias("day"), "source", "n", "rate_sum", "anchor_max")
@@ -824,3 +828,98 @@ def asset_guard(spark, folder):
     """AGG35"""
     held = roles.balances(spark, folder).filter("asset = 'A0'").agg(F.max("balance") * 0.02).scalar()
     return legacy.asset_guard(_single(spark, folder), AS_OF, 0.9, EVENTS, held, F.lit(123.0))
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def _event_stream(spark, folder, delay="1 day"):
+    schema = adapters.table(spark, folder, "events").schema
+    stream = streaming.landed(spark, folder, schema, delay, glob="events.parquet")
+    return stream.select(
+        "ts", "event_id", F.concat(F.lit("A"), (F.col("user_id") % 2).cast("string")).alias("asset"),
+        F.when(F.col("event_type") == "purchase", "IN").otherwise("OUT").alias("direction"), F.col("value").alias("usd"),
+    )
+
+
+@query
+def stream_ingest(spark, folder):
+    """ST1"""
+    path = scratch_path(spark, "landed")
+    ev = adapters.table(spark, folder, "events")
+    ev.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").write.parquet(path)
+    ev.filter("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").write.mode("append").parquet(path)
+    stream = streaming.stream_ledger(spark, path, ev.schema, ["event_id"], delay="10 days")
+    rows = streaming.drain(stream, scratch_path(spark, "ledger"))
+    per = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("val"))
+    return text_days(per, "day")
+
+
+@query
+def settled_days_stream(spark, folder):
+    """ST2"""
+    days = streaming.settled_days(_event_stream(spark, folder), usd=F.sum("usd"))
+    done = streaming.drain(days, scratch_path(spark, "settled"))
+    return text_days(done.withColumn("usd", F.round("usd", 2)), "day")
+
+
+@query
+def provisional_days_stream(spark, folder):
+    """ST2"""
+    days = streaming.settled_days(_event_stream(spark, folder), usd=F.sum("usd"))
+    seen = streaming.latest_updates(streaming.drain_updates(days, scratch_path(spark, "provisional")), ["day"])
+    return text_days(seen.withColumn("usd", F.round("usd", 2)), "day")
+
+
+@query
+def tumbling_counts_stream(spark, folder):
+    """ST3"""
+    counts = streaming.tumbling_counts(_event_stream(spark, folder), "1 hour", ("asset", "direction"))
+    done = streaming.drain(counts, scratch_path(spark, "tumbling"))
+    return done.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "asset", "direction", "n", F.round("usd", 2).alias("usd"))
+
+
+@query
+def sliding_kpis_stream(spark, folder):
+    """ST4"""
+    kpis = streaming.sliding_kpis(_event_stream(spark, folder))
+    done = streaming.drain(kpis, scratch_path(spark, "sliding"))
+    return done.select(
+        F.date_format("as_of", "yyyy-MM-dd HH").alias("as_of"), F.round("out_usd", 2).alias("out_usd"), F.round("in_usd", 2).alias("in_usd"), "out_tx"
+    )
+
+
+@query
+def quote_stream(spark, folder):
+    """ST5"""
+    path = scratch_path(spark, "quote_feed")
+    feed = roles.quote_feed(spark, folder)
+    feed.write.parquet(path)
+    stream = streaming.landed(spark, path, feed.schema)
+    judged = streaming.drain(streaming.validate_quotes_stream(stream, {"A0": 20.0, "A1": 30.0}), scratch_path(spark, "judged"))
+    return _quote_report(judged)
+
+
+@query
+def publish_stream(spark, folder):
+    """ST6, SNK3"""
+    path = scratch_path(spark, "published")
+    days = streaming.settled_days(_event_stream(spark, folder), usd=F.sum("usd"))
+    kept = days.select("day", "n", F.round("usd", 2).alias("usd"))
+    batch = adapters.table(spark, folder, "events").filter(F.day("ts") <= 10).groupBy(F.to_date("ts").alias("day"))
+    batch.agg(F.count("*").alias("n"), F.lit(0.0).alias("usd")).write.parquet(f"{path}/batch=-1")
+    done = streaming.each_batch(kept, path, streaming.publish_batch(path, ["day"]), "append")
+    return text_days(done.drop("batch"), "day")
+
+
+@query
+def alert_stream(spark, folder):
+    """ST7, WIN15"""
+    path = scratch_path(spark, "alerts")
+    held = settle(roles.balances(spark, folder), "balances")
+    prev = held.select("asset", F.round(F.when(F.col("asset") == "A0", F.col("balance")).otherwise(0.0), 1).alias("delta"))
+    history = settle(roles.hourly_history(spark, folder), "history")
+    net = _event_stream(spark, folder).groupBy("asset").agg(F.sum(balance.signed("usd")).alias("net"))
+    judge = lambda batch: balance.judge_net(batch, held, prev)
+    rows = streaming.each_batch(net, path, streaming.alert_batch(path, history, judge, every=True), "update")
+    return streaming.latest_updates(rows, ["rule", "subject"]).select("rule", "subject", F.round("value", 1).alias("value"))

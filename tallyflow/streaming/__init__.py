@@ -1,7 +1,10 @@
+from tallyflow.streaming.quotes import validate_quotes_stream  # noqa: F401
 from tallyflow.streaming.streams import (  # noqa: F401
     alert_batch,
     drain,
     drain_updates,
+    each_batch,
+    landed,
     latest_updates,
     publish_batch,
     settled_days,

@@ -24,13 +24,26 @@ def stream_ledger(
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """ST1: landed files as a stream in which each key arrives once within the watermark."""
+    timed = landed(spark, folder, schema, delay, glob, fmt, files_per_trigger)
+    return timed.dropDuplicatesWithinWatermark(list(keys))
+
+
+def landed(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    delay: str = "1 day",
+    glob: str | None = None,
+    fmt: str = "parquet",
+    files_per_trigger: int | None = None,
+) -> DataFrame:
+    """Files of a folder as a stream with event time; ``glob`` picks files by name."""
     reader = spark.readStream.format(fmt).schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    timed = reader.load(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    return reader.load(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def settled_days(stream: DataFrame, **measures: Column) -> DataFrame:
@@ -72,10 +85,11 @@ def drain_updates(stream: DataFrame, path: str) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _each_batch(stream, path, keep, "update")
+    return each_batch(stream, path, keep, "update")
 
 
-def _each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str) -> DataFrame:
+def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str) -> DataFrame:
+    """Run ``fn`` on every batch that has landed and return a scan of ``path``."""
     query = (
         stream.writeStream.foreachBatch(fn).outputMode(mode)
         .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
@@ -91,21 +105,33 @@ def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def publish_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """ST6: a batch function that adds unseen keys to the table at ``path`` and never changes stored ones."""
+    """ST6: a batch function that adds unseen keys to the table at ``path`` and never changes stored ones.
+
+    Each batch owns one folder and compares with the other folders only, so a
+    batch that runs twice writes the same rows.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(path)
-        earlier = state.filter(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        publish_closed(batch, earlier, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.limit(0).write.mode("ignore").parquet(f"{path}/batch=-1")
+        stored = batch.sparkSession.read.parquet(path).filter(F.col("batch") != batch_id)
+        publish_closed(batch, stored, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return publish
 
 
-def alert_batch(path: str, history: DataFrame, rules: AlertRules = AlertRules(), every: bool = False) -> Callable[[DataFrame, int], None]:
-    """ST7: a batch function for reconciliation rows that writes the alerts due with the newest snapshot."""
+def alert_batch(
+    path: str,
+    history: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+    rules: AlertRules = AlertRules(),
+    every: bool = False,
+) -> Callable[[DataFrame, int], None]:
+    """ST7: a batch function that reconciles what arrived and writes the alerts then due.
+
+    ``judge`` turns a batch of ``(asset, net)`` into reconciliation rows.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        alerts(history, batch, rules, every).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        alerts(history, judge(batch), rules, every).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return publish
