@@ -184,24 +184,28 @@ def last_moves(ledger: DataFrame, recycle_src: str | None = None) -> DataFrame:
 
 
 def burn(ledger: DataFrame, as_of: datetime, scheme: Scheme) -> DataFrame:
-    """AGG20, AGG21: unbacked burn and outflow; daily averages over at most 7, at least 1 day."""
+    """AGG20, AGG21: unbacked burn and outflow; daily averages over at most 7, at least 1 day.
+
+    Only the last week is read. Whether anything older exists takes one row.
+    """
     out = F.col("direction") == "OUT"
     ago = lambda **kw: as_of - timedelta(**kw)
     unbacked = out & is_unbacked(scheme)
     day, before = in_window("ts", ago(hours=24)), in_window("ts", ago(hours=48), ago(hours=24))
     week = in_window("ts", ago(days=7))
     age = (F.unix_seconds(at(as_of).cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))) / 86400
-    oldest = ledger.filter(out).agg(F.greatest(F.least(age, F.lit(7.0)), F.lit(1.0)).alias("span")).scalar()
+    older = ledger.filter(out & (F.col("ts") <= at(ago(days=7)))).limit(1).select(F.lit(7.0).alias("span")).scalar()
     recent = ledger.filter(out & in_window("ts", ago(days=7)))
+    span = F.coalesce(older, F.greatest(F.col("age"), F.lit(1.0)), F.lit(7.0))
     return recent.agg(
+        age.alias("age"),
         sum_if(unbacked & day, "usd").alias("burn24"),
         sum_if(unbacked & before, "usd").alias("burn_prev"),
         sum_if(unbacked & week, "usd").alias("burn7"),
         sum_if(week, "usd").alias("out7"),
     ).select(
-        "burn24", "burn_prev", F.coalesce(oldest, F.lit(7.0)).alias("span_days"),
-        (F.col("burn7") / F.coalesce(oldest, F.lit(7.0))).alias("burn7avg"),
-        (F.col("out7") / F.coalesce(oldest, F.lit(7.0))).alias("out7avg"),
+        "burn24", "burn_prev", span.alias("span_days"),
+        (F.col("burn7") / span).alias("burn7avg"), (F.col("out7") / span).alias("out7avg"),
     )
 
 

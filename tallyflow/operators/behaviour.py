@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions import tidy
+from tallyflow.session import settle
 
 # Upper edges of the gap bins, in seconds.
 GAP_EDGES = (30, 120, 600, 3600, 21600)
@@ -203,18 +204,20 @@ def fingerprints(
 ) -> DataFrame:
     """WIN1-WIN7: cadence of every earner with enough events, flags, tags and status.
 
-    ``ledger`` carries ``cat`` and ``fine``. Earnings and incentive receipts come
-    from one aggregate per recipient, so both sides of the join hold each
-    recipient once.
+    ``ledger`` carries ``cat`` and ``fine``. Earnings, incentive receipts and the
+    counts behind the volume threshold come from one aggregate per recipient,
+    written once, so both sides of the join hold each recipient once.
     """
     out = ledger.filter(F.col("direction") == "OUT")
     watched = out.filter(F.col("cat") == monitored)
     shape = cadence(watched, min_events=rules.min_events, slice_seconds=slice_seconds)
-    totals = out.groupBy("cp").agg(
+    per = out.groupBy("cp").agg(
+        F.count_if(F.col("cat") == monitored).alias("n"),
         F.sum(F.when(F.col("cat").isin(*earning), F.col("usd"))).alias("usd"),
         (F.count_if(F.col("fine").isin(*incentives)) > 0).alias("receives"),
     )
-    high = volume_threshold(watched.groupBy("cp").agg(F.count("*").alias("n")), rules).scalar()
+    totals = settle(per, "recipients")
+    high = volume_threshold(totals.filter("n > 0").select("n"), rules).scalar()
     n, ent, acf, burst = (F.col(x) for x in ("n", "ent", "acf", "burst"))
     bound = F.greatest(F.lit(rules.scripted_acf), 2 / F.sqrt(n - 1))
     flags = _present(
@@ -223,7 +226,7 @@ def fingerprints(
         ((n >= rules.burst_events) & (burst > rules.burst_share) & (F.col("span_h") > rules.burst_span_hours), "burst cluster"),
     )
     tags = _present((n > high, "high volume"), (F.col("receives"), "earn+receive"))
-    return shape.join(totals, "cp").select(
+    return shape.join(totals.drop("n"), "cp").select(
         "cp", "n",
         tidy("span_h", 1).alias("span_h"),
         tidy("ent", 2).alias("ent"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import EARNING, Scheme, at, tidy
 from tallyflow.operators.facts import share, sum_if
+from tallyflow.session import settle
 
 
 def outgoing(ledger: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def earners(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame:
 
 def top_earners(ledger: DataFrame, k: int, cats: Sequence[str] = EARNING) -> DataFrame:
     """AGG9, AGG36: the ``k`` largest earners with their share of all earnings."""
-    board = earners(ledger, cats)
-    total = outgoing(ledger).filter(F.col("cat").isin(*cats)).agg(F.sum("usd")).scalar()
+    board = settle(earners(ledger, cats), "earners")
+    total = board.agg(F.sum("usd")).scalar()
     top = board.orderBy(tidy("usd", 2).desc(), "cp").limit(k)
     return top.withColumn("share", tidy(F.col("usd") / total * 100, 1)).withColumn("usd", tidy("usd", 2))
 

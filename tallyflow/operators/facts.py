@@ -6,15 +6,17 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions import Scheme, at, band_names, day_text, hour_text, in_window, month_text, size_band, tidy
+from tallyflow.session import settle
 
-Window = tuple[str, datetime | None, datetime | None]
+Span = tuple[str, datetime | None, datetime | None]
 
 
 
-def standard_windows(as_of: datetime) -> list[Window]:
+def standard_windows(as_of: datetime) -> list[Span]:
     """PRJ5: the trailing windows every report shows, and the day before the last."""
     ago = lambda **kw: as_of - timedelta(**kw)
     return [
@@ -40,7 +42,7 @@ def _per_counterparty(assets: Sequence[str], cond: Column | None = None) -> list
     return [F.count_if(cond).alias("n"), sum_if(cond, "usd").alias("usd"), *(c.alias(n) for n, c in by_asset)]
 
 
-def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str | None) -> DataFrame:
+def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str | None, *more: Column) -> DataFrame:
     """Facts from rows that hold one (group, direction, counterparty) each."""
     out, inward = F.col("direction") == "OUT", F.col("direction") == "IN"
     recycled = inward & (F.col("cp") == F.lit((recycle_src or "").lower()))
@@ -56,6 +58,7 @@ def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str |
         *(tidy(sum_if(out, f"usd_{a}"), 2).alias(f"out_usd_{a}") for a in assets),
         *(tidy(sum_if(out, f"raw_{a}"), 1).alias(f"out_raw_{a}") for a in assets),
         *(tidy(sum_if(inward, f"raw_{a}"), 1).alias(f"in_raw_{a}") for a in assets),
+        *more,
     )
     return (
         sums.withColumn("in_external_usd", tidy(F.col("in_usd") - F.col("in_recycled_usd"), 2))
@@ -64,7 +67,7 @@ def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str |
     )
 
 
-def flow_facts(ledger: DataFrame, windows: Sequence[Window], assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
+def flow_facts(ledger: DataFrame, windows: Sequence[Span], assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
     """AGG1: facts of overlapping windows in one pass over the ledger.
 
     The ledger is reduced to one row per counterparty holding every window's
@@ -86,16 +89,18 @@ def flow_facts(ledger: DataFrame, windows: Sequence[Window], assets: Sequence[st
 
 def monthly_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
     """AGG2: the same facts per month; an unfinished or late-starting month says so."""
-    rows = ledger.groupBy(F.trunc("day", "month").alias("month"), "direction", "cp").agg(*_per_counterparty(assets))
-    facts = _finish(rows, "month", assets, recycle_src)
-    start = ledger.filter(F.col("direction") == "OUT").agg(F.min("day")).scalar()
+    first_out = F.min(F.when(F.col("direction") == "OUT", F.col("day"))).alias("first_out")
+    rows = ledger.groupBy(F.trunc("day", "month").alias("month"), "direction", "cp").agg(first_out, *_per_counterparty(assets))
+    facts = _finish(rows, "month", assets, recycle_src, F.min("first_out").alias("first_out"))
+    every_month = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = F.min("first_out").over(every_month)
     name = month_text("month")
     label = (
         F.when(name == as_of.strftime("%Y-%m"), F.concat(name, F.lit(" (partial)")))
         .when((F.trunc(start, "month") == F.col("month")) & (F.dayofmonth(start) != 1), F.concat(name, F.lit(" (from "), day_text(start), F.lit(")")))
         .otherwise(name)
     )
-    return facts.withColumn("label", label).drop("month")
+    return facts.withColumn("label", label).drop("month", "first_out")
 
 
 def daily_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], scheme: Scheme) -> DataFrame:
@@ -152,8 +157,9 @@ def with_label(df: DataFrame, labels: DataFrame, column: str = "cp") -> DataFram
 def leaderboard(ledger: DataFrame, direction: str, k: int, labels: DataFrame | None = None) -> DataFrame:
     """AGG5, AGG6, SRT2: the ``k`` largest counterparties by USD.
 
-    Labels are joined to the ``k`` rows only, and the total behind the share is
-    its own small aggregate, so no window runs over all counterparties.
+    The board has one row per counterparty and is written once: the top rows and
+    the total behind the share both come from it, so the ledger is read once and
+    no window runs over all counterparties. Labels are joined to the top rows.
     """
     side = ledger.filter(F.col("direction") == direction)
     per_day = side.groupBy("cp", "day").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
@@ -161,7 +167,8 @@ def leaderboard(ledger: DataFrame, direction: str, k: int, labels: DataFrame | N
         F.sum("n").alias("n"), F.sum("usd").alias("usd"), F.count("*").alias("days"),
         F.min("day").alias("first"), F.max("day").alias("last"),
     )
-    total = side.agg(F.sum("usd")).scalar()
+    board = settle(board, "board")
+    total = board.agg(F.sum("usd")).scalar()
     top = board.orderBy(tidy("usd", 2).desc(), "cp").limit(k)
     top = with_label(top, labels) if labels is not None else top.withColumn("label", F.lit(None).cast("string"))
     return top.select(
@@ -190,8 +197,8 @@ def hourly_counts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], day
 
 
 def share(df: DataFrame, column: str, alias: str = "share") -> DataFrame:
-    """WIN19: percent of the total, where ``df`` is already an aggregate."""
-    total = df.agg(F.sum(column)).scalar()
+    """WIN19: percent of the total, for an aggregate of a few rows."""
+    total = F.sum(column).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return df.withColumn(alias, tidy(F.col(column) / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1))
 
 

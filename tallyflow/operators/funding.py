@@ -139,10 +139,16 @@ def sweep_series(sweep: DataFrame, recycle: DataFrame, intake: DataFrame) -> Dat
 
 
 def lagged_share(series: DataFrame, days: int = 1) -> DataFrame:
-    """JN10: each sweep over the intake of exactly ``days`` days earlier; days without intake drop out."""
-    base = series.filter(F.col("i") != 0).select(F.date_add("day", days).alias("day"), F.col("i").alias("base"))
-    swept = series.filter(F.col("n_s") > 0).select("day", "s")
-    return swept.join(base, "day").select("day", "s", "base", (F.col("s") / F.col("base")).alias("share"))
+    """JN10: each sweep over the intake of exactly ``days`` days earlier; days without intake drop out.
+
+    Every day hands its intake on to the later day, so the two meet in one
+    aggregate and the series is not computed twice for a self-join.
+    """
+    none = F.lit(None).cast("double")
+    own = F.struct("day", F.when(F.col("n_s") > 0, F.col("s")).alias("s"), none.alias("base"))
+    later = F.struct(F.date_add("day", days).alias("day"), none.alias("s"), F.nullif("i", F.lit(0.0)).alias("base"))
+    met = series.select(F.inline(F.array(own, later))).groupBy("day").agg(F.max("s").alias("s"), F.max("base").alias("base"))
+    return met.filter(F.col("s").isNotNull() & F.col("base").isNotNull()).withColumn("share", F.col("s") / F.col("base"))
 
 
 def _bounded(series: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ _WINDOWS = {
 
 _BAND_COUNTS = "count(*) AS n, round(sum(usd), 2) AS usd, count(DISTINCT cp) AS w"
 
-_CANDLES = """pools AS (SELECT asset, event_type AS pool, day, arg_max(val, {ts: ts, id: blk}) / 1000 AS close,
+_CANDLES = """pools AS (SELECT asset, event_type AS pool, day, arg_max(val, blk) / 1000 AS close,
      round(sum(val), 2) AS volume, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS pool_rank
    FROM a GROUP BY asset, event_type, day),
 closes AS (SELECT asset, day, round(close, 8) AS close FROM pools WHERE true

@@ -59,15 +59,14 @@ def sparse_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool_candles(spark: SparkSession, folder: str) -> DataFrame:
-    """Event types as pools: volume and last value per asset and day."""
-    order = F.struct("ts", "blk")
+    """Event types as pools: volume, first and last value by block per asset and day."""
     rank = F.when(F.col("pool") == "click", 0).when(F.col("pool") == "view", 1).otherwise(2)
     return (
         event_ledger(spark, folder).withColumnRenamed("event_type", "pool")
         .groupBy("asset", "pool", "day")
         .agg(
-            F.min_by("val", order).alias("open"), F.max("val").alias("high"), F.min("val").alias("low"),
-            (F.max_by("val", order) / 1000).alias("close"), F.round(F.sum("val"), 2).alias("volume"),
+            F.min_by("val", "blk").alias("open"), F.max("val").alias("high"), F.min("val").alias("low"),
+            (F.max_by("val", "blk") / 1000).alias("close"), F.round(F.sum("val"), 2).alias("volume"),
         )
         .withColumn("pool_rank", rank)
     )
