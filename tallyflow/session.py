@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tallyflow
+
 
 def session(app: str = "tallyflow", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -25,18 +26,13 @@ def session(app: str = "tallyflow", master: str | None = None, **conf: str) -> S
     return prepare(builder.getOrCreate())
 
 
-_shipped: set[str] = set()
+# Functions of this package travel to workers inside the job, so nothing needs installing there.
+cloudpickle.register_pickle_by_value(tallyflow)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Day and hour keys are UTC whatever session the caller brings; workers get the package once."""
+    """Day and hour keys are UTC whatever session the caller brings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="tallyflow-")) / root.name
-        spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
-        _shipped.add(app)
     return spark
 
 
