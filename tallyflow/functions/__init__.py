@@ -14,5 +14,5 @@ from tallyflow.functions.classify import (  # noqa: F401
     short_key,
     size_band,
 )
-from tallyflow.functions.clock import at, day_text, hour_text, in_window, month_text  # noqa: F401
-from tallyflow.functions.numbers import tidy  # noqa: F401
+from tallyflow.functions.clock import at, day_text, hour_text, in_window, moment, month_text, within  # noqa: F401
+from tallyflow.functions.numbers import exprs, quoted, sum_if, sum_where, tidied, tidy  # noqa: F401

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.functions.numbers import quoted
+
 EARNING = ("invoke", "equip")
 UNBACKED = ("invoke", "equip", "growth")
 
@@ -54,66 +56,60 @@ DEFAULT_SCHEME = Scheme(
 )
 
 
-def _case(key: Column, mapping: Mapping[str, str], default: Column) -> Column:
-    pairs = list(mapping.items())
-    chain = F.when(key == pairs[0][0], pairs[0][1])
-    for k, v in pairs[1:]:
-        chain = chain.when(key == k, v)
-    return chain.otherwise(default)
+def _case(key: str, mapping: Mapping[str, str], default: str) -> str:
+    whens = " ".join(f"WHEN {quoted([k])} THEN {quoted([v])}" for k, v in mapping.items())
+    return f"CASE {key} {whens} ELSE {default} END"
 
 
 def band_names(scheme: Scheme) -> list[str]:
     return ["micro", *(band for _, band in scheme.grid), "other"]
 
 
-def size_band(usd: Column, scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    """CLS1: below the floor, the first grid price within tolerance, or other."""
-    chain = F.when(usd < scheme.floor, "micro")
-    for price, band in scheme.grid:
-        chain = chain.when(F.abs(usd - float(price)) / float(price) <= scheme.tolerance, band)
-    return chain.otherwise("other")
+def size_band(usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS1 as SQL text: below the floor, the first grid price within tolerance, or other."""
+    near = " ".join(
+        f"WHEN abs({usd} - {float(price)}D) / {float(price)}D <= {scheme.tolerance}D THEN {quoted([band])}" for price, band in scheme.grid
+    )
+    return f"CASE WHEN {usd} < {scheme.floor}D THEN 'micro' {near} ELSE 'other' END"
 
 
-def fine_class(band: Column, usd: Column, scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    """CLS2: named grid sizes; everything off the grid stays visible on its own."""
-    off_grid = F.when(usd < scheme.small_below, "nonstandard (small)").otherwise("nonstandard (large)")
+def fine_class(band: str = "band", usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS2 as SQL text: named grid sizes; everything off the grid stays visible on its own."""
+    off_grid = f"CASE WHEN {usd} < {scheme.small_below}D THEN 'nonstandard (small)' ELSE 'nonstandard (large)' END"
     return _case(band, scheme.fine, off_grid)
 
 
-def coarse_class(fine: Column, scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    off_grid = fine.startswith("nonstandard")
-    return F.when(off_grid, "nonstandard").otherwise(_case(fine, scheme.coarse, F.lit("growth")))
+def coarse_class(fine: str = "fine", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS2 as SQL text."""
+    return f"CASE WHEN {fine} LIKE 'nonstandard%' THEN 'nonstandard' ELSE {_case(fine, scheme.coarse, quoted(['growth']))} END"
 
 
 def classified(df: DataFrame, scheme: Scheme = DEFAULT_SCHEME) -> DataFrame:
     """Adds ``band``, ``fine`` and ``cat`` from ``usd``."""
-    return (
-        df.withColumn("band", size_band(F.col("usd"), scheme))
-        .withColumn("fine", fine_class(F.col("band"), F.col("usd"), scheme))
-        .withColumn("cat", coarse_class(F.col("fine"), scheme))
+    return df.selectExpr(
+        "*", f"{size_band(scheme=scheme)} AS band", f"{fine_class(scheme=scheme)} AS fine", f"{coarse_class(scheme=scheme)} AS cat"
     )
 
 
-def is_unbacked(scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    """FLT4: classified payouts that no purchase pays for."""
-    return F.col("cat").isin(*UNBACKED) & ~F.col("fine").isin(*scheme.backed)
+def is_unbacked(scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """FLT4 as SQL text: classified payouts that no purchase pays for."""
+    return f"(cat IN ({quoted(UNBACKED)}) AND fine NOT IN ({quoted(scheme.backed)}))"
 
 
-def range_band(usd: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
-    """CLS3 and CLS6: plain ranges; ``names`` has one more entry than ``edges``."""
-    chain = F.when(usd < float(edges[0]), names[0])
-    for edge, name in zip(edges[1:], names[1:]):
-        chain = chain.when(usd < float(edge), name)
-    return chain.otherwise(names[-1])
+def range_band(usd: str, edges: Sequence[float], names: Sequence[str]) -> str:
+    """CLS3 and CLS6 as SQL text: plain ranges; ``names`` has one more entry than ``edges``."""
+    whens = " ".join(f"WHEN {usd} < {float(edge)}D THEN {quoted([name])}" for edge, name in zip(edges, names))
+    return f"CASE {whens} ELSE {quoted([names[-1]])} END"
 
 
-def folded_class(cat: Column, usd: Column, scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    """CLS4: the older reading that folds off-grid sizes into a class."""
-    return F.when(cat != "nonstandard", cat).when(usd < scheme.small_below, "invoke").otherwise("growth")
+def folded_class(cat: str = "cat", usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS4 as SQL text: the older reading that folds off-grid sizes into a class."""
+    return f"CASE WHEN {cat} <> 'nonstandard' THEN {cat} WHEN {usd} < {scheme.small_below}D THEN 'invoke' ELSE 'growth' END"
 
 
-def bucket_of(fine: Column, scheme: Scheme = DEFAULT_SCHEME) -> Column:
-    return _case(fine, scheme.buckets, F.lit("other"))
+def bucket_of(fine: str = "fine", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """The older bucket of a fine class, as SQL text."""
+    return _case(fine, scheme.buckets, "'other'")
 
 
 def short_key(address: Column, head: int, tail: int = 4) -> Column:

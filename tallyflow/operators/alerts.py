@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import at, range_band, tidy
-from tallyflow.operators.facts import sum_if
+from tallyflow.functions import exprs, quoted, range_band, sum_where, tidied, within
+from tallyflow.operators.facts import OUT
 
 # Edges of the quick classifier and the look-back hours.
 EDGES = (0.06, 0.4, 2, 7)
@@ -44,30 +44,25 @@ def asof_stats(
     shuffled once and distinct earners are counts.
     """
     micro, first, second, incentive, topup = names
-    cutoffs = {label: at(as_of - timedelta(hours=h)) for label, h in lookback.items()}
-    rows = ledger.filter((F.col("direction") == "OUT") & (F.col("ts") <= at(as_of))).withColumn(
-        "kind", range_band(F.col("val") * rate, edges, names)
-    )
-    kind = F.col("kind")
-    earning = kind.isin(first, second)
-
-    def block(label: str):
-        upto = F.col("ts") <= cutoffs[label]
-        return F.struct(
-            F.lit(label).alias("label"),
-            *(F.count_if(upto & (kind == k)).alias(k) for k in (first, second, incentive)),
-            F.count_if(upto & earning).alias("earned"),
-            sum_if(upto & earning, "val").alias("earned_val"),
-            sum_if(upto & kind.isin(incentive, micro), "val").alias("incentive_val"),
-            sum_if(upto & (kind == topup), "val").alias("topup_val"),
-        )
-
-    wide = rows.groupBy("cp").agg(*(block(x).alias(f"c{i}") for i, x in enumerate(cutoffs)))
-    long = wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(cutoffs))])))
+    rows = ledger.filter(f"{OUT} AND {within(hi=as_of)}").selectExpr("*", f"{range_band(f'val * {rate}D', edges, names)} AS kind")
+
+    def block(label: str, hours: int) -> str:
+        upto = within(hi=as_of - timedelta(hours=hours))
+        is_kind = lambda *kinds: f"{upto} AND kind IN ({quoted(kinds)})"
+        parts = [f"count_if({is_kind(k)}) AS {k}" for k in (first, second, incentive)]
+        parts += [f"count_if({is_kind(first, second)}) AS earned"]
+        sums = {"earned_val": (first, second), "incentive_val": (incentive, micro), "topup_val": (topup,)}
+        parts += [f"{sum_where(is_kind(*kinds), 'val')} AS {name}" for name, kinds in sums.items()]
+        return f"struct({quoted([label])} AS label, {', '.join(parts)})"
+
+    wide = rows.groupBy("cp").agg(*exprs([f"{block(*item)} AS c{i}" for i, item in enumerate(lookback.items())]))
+    long = wide.selectExpr(f"inline(array({', '.join(f'c{i}' for i in range(len(lookback)))}))")
     return long.groupBy("label").agg(
-        *(F.sum(k).alias(k) for k in (first, second, incentive)),
-        F.count_if(F.col("earned") > 0).alias("earners"),
-        *(tidy(F.sum(c), 2).alias(c) for c in ("earned_val", "incentive_val", "topup_val")),
+        *exprs(
+            [f"sum({k}) AS {k}" for k in (first, second, incentive)],
+            "count_if(earned > 0) AS earners",
+            [f"{tidied(f'sum({c})', 2)} AS {c}" for c in ("earned_val", "incentive_val", "topup_val")],
+        )
     )
 
 

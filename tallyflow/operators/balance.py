@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, in_window, is_unbacked, tidy
-from tallyflow.operators.facts import sum_if
+from tallyflow.functions import Scheme, exprs, is_unbacked, moment, quoted, sum_where, tidy, within
+from tallyflow.operators.facts import IN, OUT
 
 
 def pin_block(ledger: DataFrame) -> DataFrame:
@@ -76,19 +76,16 @@ def day_moves(ledger: DataFrame, assets: Sequence[str], recycle_src: str | None
     Assets are columns of one aggregate and become rows afterwards, so every
     asset has every day of the ledger without crossing the two sets.
     """
-    src = F.lit((recycle_src or "").lower())
-    def measures(a: str) -> list[Column]:
-        mine = F.col("asset") == a
-        inward = mine & (F.col("direction") == "IN")
-        return [
-            F.lit(a).alias("asset"),
-            sum_if(mine & (F.col("direction") == "OUT"), "val").alias("out"),
-            sum_if(inward & (F.col("cp") == src), "val").alias("in_rec"),
-            sum_if(inward & (F.col("cp") != src), "val").alias("in_ext"),
-        ]
+    src = quoted([(recycle_src or "").lower()])
 
-    wide = ledger.groupBy("day").agg(*(F.struct(*measures(a)).alias(f"a{i}") for i, a in enumerate(assets)))
-    return wide.select("day", F.inline(F.array(*[f"a{i}" for i in range(len(assets))])))
+    def measures(asset: str) -> str:
+        mine = f"asset = {quoted([asset])}"
+        parts = {"out": f"{mine} AND {OUT}", "in_rec": f"{mine} AND {IN} AND cp = {src}", "in_ext": f"{mine} AND {IN} AND cp <> {src}"}
+        sums = ", ".join(f"{sum_where(cond, 'val')} AS {name}" for name, cond in parts.items())
+        return f"struct({quoted([asset])} AS asset, {sums})"
+
+    wide = ledger.groupBy("day").agg(*exprs([f"{measures(a)} AS a{i}" for i, a in enumerate(assets)]))
+    return wide.selectExpr("day", f"inline(array({', '.join(f'a{i}' for i in range(len(assets)))}))")
 
 
 def balance_series(
@@ -188,25 +185,21 @@ def burn(ledger: DataFrame, as_of: datetime, scheme: Scheme) -> DataFrame:
 
     Only the last week is read. Whether anything older exists takes one row.
     """
-    out = F.col("direction") == "OUT"
     ago = lambda **kw: as_of - timedelta(**kw)
-    unbacked = out & is_unbacked(scheme)
-    day, before = in_window("ts", ago(hours=24)), in_window("ts", ago(hours=48), ago(hours=24))
-    week = in_window("ts", ago(days=7))
-    age = (F.unix_seconds(at(as_of).cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))) / 86400
-    older = ledger.filter(out & (F.col("ts") <= at(ago(days=7)))).limit(1).select(F.lit(7.0).alias("span")).scalar()
-    recent = ledger.filter(out & in_window("ts", ago(days=7)))
-    span = F.coalesce(older, F.greatest(F.col("age"), F.lit(1.0)), F.lit(7.0))
-    return recent.agg(
-        age.alias("age"),
-        sum_if(unbacked & day, "usd").alias("burn24"),
-        sum_if(unbacked & before, "usd").alias("burn_prev"),
-        sum_if(unbacked & week, "usd").alias("burn7"),
-        sum_if(week, "usd").alias("out7"),
-    ).select(
-        "burn24", "burn_prev", span.alias("span_days"),
-        (F.col("burn7") / span).alias("burn7avg"), (F.col("out7") / span).alias("out7avg"),
+    week, unbacked = within(ago(days=7)), is_unbacked(scheme)
+    day, before = within(ago(hours=24)), within(ago(hours=48), ago(hours=24))
+    older = ledger.filter(f"{OUT} AND {within(hi=ago(days=7))}").limit(1).selectExpr("7D AS span").scalar()
+    sums = ledger.filter(f"{OUT} AND {week}").agg(
+        *exprs(
+            f"(unix_seconds(CAST({moment(as_of)} AS TIMESTAMP)) - unix_seconds(CAST(min(ts) AS TIMESTAMP))) / 86400 AS age",
+            f"{sum_where(f'{unbacked} AND {day}', 'usd')} AS burn24",
+            f"{sum_where(f'{unbacked} AND {before}', 'usd')} AS burn_prev",
+            f"{sum_where(unbacked, 'usd')} AS burn7",
+            f"{sum_where('true', 'usd')} AS out7",
+        )
     )
+    spanned = sums.withColumn("span_days", F.coalesce(older, F.expr("greatest(age, 1D)"), F.lit(7.0)))
+    return spanned.selectExpr("burn24", "burn_prev", "span_days", "burn7 / span_days AS burn7avg", "out7 / span_days AS out7avg")
 
 
 def value_balances(balances: DataFrame, live: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at, tidy
-from tallyflow.operators.facts import share, sum_if
+from tallyflow.functions import EARNING, Scheme, at, sum_if, tidy
+from tallyflow.operators.facts import share
 from tallyflow.session import settle
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, band_names, day_text, hour_text, in_window, month_text, size_band, tidy
+from tallyflow.functions import Scheme, band_names, day_text, exprs, hour_text, month_text, quoted, size_band, sum_where, tidied, tidy, within
 from tallyflow.session import settle
 
 Span = tuple[str, datetime | None, datetime | None]
@@ -28,42 +28,40 @@ def standard_windows(as_of: datetime) -> list[Span]:
     ]
 
 
-def sum_if(cond: Column, value: str | Column) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0))
+OUT, IN = "direction = 'OUT'", "direction = 'IN'"
 
 
-def _per_counterparty(assets: Sequence[str], cond: Column | None = None) -> list[Column]:
+def _per_counterparty(assets: Sequence[str], cond: str = "true") -> list[str]:
     """Measures of one counterparty's rows, all of one direction."""
-    cond = F.lit(True) if cond is None else cond
     by_asset = [
-        (name, sum_if(cond & (F.col("asset") == a), col)) for a in assets for name, col in ((f"usd_{a}", "usd"), (f"raw_{a}", "val"))
+        f"{sum_where(f'{cond} AND asset = {quoted([a])}', col)} AS {name}_{a}" for a in assets for name, col in (("usd", "usd"), ("raw", "val"))
     ]
-    return [F.count_if(cond).alias("n"), sum_if(cond, "usd").alias("usd"), *(c.alias(n) for n, c in by_asset)]
+    return [f"count_if({cond}) AS n", f"{sum_where(cond, 'usd')} AS usd", *by_asset]
 
 
-def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str | None, *more: Column) -> DataFrame:
+def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str | None, *more: str) -> DataFrame:
     """Facts from rows that hold one (group, direction, counterparty) each."""
-    out, inward = F.col("direction") == "OUT", F.col("direction") == "IN"
-    recycled = inward & (F.col("cp") == F.lit((recycle_src or "").lower()))
-    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    sums = rows.groupBy(by).agg(
-        sum_if(out, "usd").alias("out_usd"),
-        sum_if(inward, "usd").alias("in_usd"),
-        sum_if(recycled, "usd").alias("in_recycled_usd"),
-        count(out).alias("out_tx"),
-        count(inward).alias("in_tx"),
-        F.count_if(out).alias("out_wallets"),
-        F.count_if(inward).alias("in_sources"),
-        *(tidy(sum_if(out, f"usd_{a}"), 2).alias(f"out_usd_{a}") for a in assets),
-        *(tidy(sum_if(out, f"raw_{a}"), 1).alias(f"out_raw_{a}") for a in assets),
-        *(tidy(sum_if(inward, f"raw_{a}"), 1).alias(f"in_raw_{a}") for a in assets),
-        *more,
-    )
-    return (
-        sums.withColumn("in_external_usd", tidy(F.col("in_usd") - F.col("in_recycled_usd"), 2))
-        .withColumn("net_usd", tidy(F.col("in_usd") - F.col("out_usd"), 2))
-        .withColumns({c: tidy(c, 2) for c in ("out_usd", "in_usd", "in_recycled_usd")})
+    recycled = f"{IN} AND cp = {quoted([(recycle_src or '').lower()])}"
+    per_asset = [
+        f"{tidied(sum_where(way, f'{col}_{a}'), digits)} AS {name}_{a}"
+        for name, way, col, digits in (("out_usd", OUT, "usd", 2), ("out_raw", OUT, "raw", 1), ("in_raw", IN, "raw", 1))
+        for a in assets
+    ]
+    out, inn, rec = (sum_where(cond, "usd") for cond in (OUT, IN, recycled))
+    return rows.groupBy(by).agg(
+        *exprs(
+            f"{tidied(out, 2)} AS out_usd",
+            f"{tidied(inn, 2)} AS in_usd",
+            f"{tidied(rec, 2)} AS in_recycled_usd",
+            f"{tidied(f'{inn} - {rec}', 2)} AS in_external_usd",
+            f"{tidied(f'{inn} - {out}', 2)} AS net_usd",
+            f"coalesce(sum(n) FILTER (WHERE {OUT}), 0L) AS out_tx",
+            f"coalesce(sum(n) FILTER (WHERE {IN}), 0L) AS in_tx",
+            f"count_if({OUT}) AS out_wallets",
+            f"count_if({IN}) AS in_sources",
+            per_asset,
+            more,
+        )
     )
 
 
@@ -74,33 +72,30 @@ def flow_facts(ledger: DataFrame, windows: Sequence[Span], assets: Sequence[str]
     measures, combined before the only large shuffle. Windows become rows after
     that, and distinct counterparties are then plain counts.
     """
-    flags = {label: in_window("ts", lo, hi) for label, lo, hi in windows}
     rows = ledger
     if all(lo is not None for _, lo, _ in windows):
-        rows = ledger.filter(F.col("ts") > at(min(lo for _, lo, _ in windows)))
+        rows = ledger.filter(within(min(lo for _, lo, _ in windows)))
     measures = [
-        F.struct(F.lit(label).alias("label"), *_per_counterparty(assets, cond)).alias(f"w{i}")
-        for i, (label, cond) in enumerate(flags.items())
+        f"struct({quoted([label])} AS label, {', '.join(_per_counterparty(assets, within(lo, hi)))}) AS w{i}"
+        for i, (label, lo, hi) in enumerate(windows)
     ]
-    wide = rows.groupBy("direction", "cp").agg(*measures)
-    long = wide.select("direction", "cp", F.inline(F.array(*[f"w{i}" for i in range(len(windows))]))).filter(F.col("n") > 0)
+    wide = rows.groupBy("direction", "cp").agg(*exprs(measures))
+    long = wide.selectExpr("direction", "cp", f"inline(array({', '.join(f'w{i}' for i in range(len(windows)))}))").filter("n > 0")
     return _finish(long, "label", assets, recycle_src)
 
 
 def monthly_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
     """AGG2: the same facts per month; an unfinished or late-starting month says so."""
-    first_out = F.min(F.when(F.col("direction") == "OUT", F.col("day"))).alias("first_out")
-    rows = ledger.groupBy(F.trunc("day", "month").alias("month"), "direction", "cp").agg(first_out, *_per_counterparty(assets))
-    facts = _finish(rows, "month", assets, recycle_src, F.min("first_out").alias("first_out"))
-    every_month = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    start = F.min("first_out").over(every_month)
-    name = month_text("month")
-    label = (
-        F.when(name == as_of.strftime("%Y-%m"), F.concat(name, F.lit(" (partial)")))
-        .when((F.trunc(start, "month") == F.col("month")) & (F.dayofmonth(start) != 1), F.concat(name, F.lit(" (from "), day_text(start), F.lit(")")))
-        .otherwise(name)
+    rows = ledger.groupBy(F.trunc("day", "month").alias("month"), "direction", "cp").agg(
+        *exprs(f"min(day) FILTER (WHERE {OUT}) AS first_out", _per_counterparty(assets))
     )
-    return facts.withColumn("label", label).drop("month", "first_out")
+    facts = _finish(rows, "month", assets, recycle_src, "min(first_out) AS first_out")
+    every_month = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    named = facts.withColumn("start", F.min("first_out").over(every_month)).withColumn("name", month_text("month"))
+    label = f"""CASE WHEN name = '{as_of:%Y-%m}' THEN name || ' (partial)'
+        WHEN trunc(start, 'month') = month AND dayofmonth(start) <> 1 THEN name || ' (from ' || date_format(start, 'yyyy-MM-dd') || ')'
+        ELSE name END"""
+    return named.withColumn("label", F.expr(label)).drop("month", "first_out", "start", "name")
 
 
 def daily_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], scheme: Scheme) -> DataFrame:
@@ -109,32 +104,28 @@ def daily_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], schem
     One row per (day, direction, counterparty) first, with each band's count and
     amount beside it; distinct wallets per day and per band are counts of those.
     """
-    bands = band_names(scheme)
-    out = F.col("direction") == "OUT"
-    banded = ledger.withColumn("band", F.when(out, size_band(F.col("usd"), scheme)))
+    bands = list(enumerate(band_names(scheme)))
+    banded = ledger.selectExpr("*", f"CASE WHEN {OUT} THEN {size_band(scheme=scheme)} END AS size")
     per_band = [
-        c
-        for b in bands
-        for c in (F.count_if(F.col("band") == b).alias(f"n_{b}"), sum_if(F.col("band") == b, "usd").alias(f"u_{b}"))
+        text for i, b in bands for text in (f"count_if(size = {quoted([b])}) AS n{i}", f"{sum_where(f'size = {quoted([b])}', 'usd')} AS u{i}")
     ]
-    rows = banded.groupBy("day", "direction", "cp").agg(*_per_counterparty(assets), *per_band)
-    entry = lambda b: F.struct(
-        F.lit(b).alias("band"),
-        F.struct(
-            F.sum(f"n_{b}").alias("n"), tidy(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")
-        ).alias("v"),
+    rows = banded.groupBy("day", "direction", "cp").agg(*exprs(_per_counterparty(assets), per_band))
+    entries = ", ".join(
+        f"struct({quoted([b])} AS band, struct(sum(n{i}) AS n, {tidied(f'sum(u{i})', 2)} AS usd, count_if(n{i} > 0) AS w) AS v)" for i, b in bands
     )
-    present = F.filter(F.array(*[entry(b) for b in bands]), lambda e: e.v.n > 0)
-    facts = rows.groupBy("day").agg(
-        tidy(sum_if(out, "usd"), 2).alias("out_usd"),
-        tidy(sum_if(~out, "usd"), 2).alias("in_usd"),
-        tidy(sum_if(~out, "usd") - sum_if(out, "usd"), 2).alias("net_usd"),
-        F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("out_tx"),
-        F.count_if(out).alias("wallets"),
-        *(tidy(sum_if(out, f"raw_{a}"), 1).alias(f"raw_{a}") for a in assets),
-        F.map_from_entries(present).alias("bands"),
+    out, inn = sum_where(OUT, "usd"), sum_where(IN, "usd")
+    return rows.groupBy("day").agg(
+        *exprs(
+            f"{tidied(out, 2)} AS out_usd",
+            f"{tidied(inn, 2)} AS in_usd",
+            f"{tidied(f'{inn} - {out}', 2)} AS net_usd",
+            f"coalesce(sum(n) FILTER (WHERE {OUT}), 0L) AS out_tx",
+            f"count_if({OUT}) AS wallets",
+            [f"{tidied(sum_where(OUT, f'raw_{a}'), 1)} AS raw_{a}" for a in assets],
+            f"map_from_entries(filter(array({entries}), e -> e.v.n > 0)) AS bands",
+            f"day = DATE '{as_of:%Y-%m-%d}' AS partial",
+        )
     )
-    return facts.withColumn("partial", F.col("day") == F.lit(as_of.date()))
 
 
 def band_rows(daily: DataFrame) -> DataFrame:
@@ -185,15 +176,12 @@ def hourly_counts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], day
     first hour holds only the part after the cut.
     """
     cut = as_of - timedelta(days=days)
-    recent = ledger.filter((F.col("direction") == "OUT") & (F.col("ts") > at(cut)))
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    counted = recent.groupBy(hour.alias("hour")).agg(*(F.count_if(F.col("asset") == a).alias(a) for a in assets))
-    bounds = [F.to_timestamp(F.lit(t.strftime("%Y-%m-%d %H:00:00"))) for t in (cut, as_of)]
-    hours = ledger.sparkSession.range(1).select(F.explode(F.sequence(*bounds, F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    blank = hours.select("hour", *(F.lit(0).cast("long").alias(a) for a in assets))
-    return counted.unionByName(blank).groupBy("hour").agg(*(F.sum(a).alias(a) for a in assets)).select(
-        hour_text("hour").alias("h"), *assets
-    )
+    recent = ledger.filter(f"{OUT} AND {within(cut)}")
+    hour = F.expr("date_trunc('hour', CAST(ts AS TIMESTAMP))").alias("hour")
+    counted = recent.groupBy(hour).agg(*exprs([f"count_if(asset = {quoted([a])}) AS {a}" for a in assets]))
+    first, last = (f"TIMESTAMP '{t:%Y-%m-%d %H:00:00}'" for t in (cut, as_of))
+    blank = ledger.sparkSession.range(1).selectExpr(f"explode(sequence({first}, {last}, INTERVAL 1 HOUR)) AS hour", *(f"0L AS {a}" for a in assets))
+    return counted.unionByName(blank).groupBy("hour").agg(*(F.sum(a).alias(a) for a in assets)).select(hour_text("hour").alias("h"), *assets)
 
 
 def share(df: DataFrame, column: str, alias: str = "share") -> DataFrame:

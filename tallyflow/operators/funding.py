@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import at, month_text, tidy
-from tallyflow.operators.facts import sum_if
+from tallyflow.functions import at, exprs, month_text, sum_if, sum_where, tidied, tidy
+from tallyflow.operators.facts import IN, OUT
 from tallyflow.operators.rates import day_rate
 
 
@@ -95,32 +95,35 @@ def _priced_archive(archive: DataFrame, prices: DataFrame, default: float) -> Da
     return day_rate(archive, prices, default).withColumn("usd", F.col("val") * F.col("rate"))
 
 
+def _sides() -> list[str]:
+    return [f"{sum_where(way, col)} AS {side}_{col}" for side, way in (("out", OUT), ("in", IN)) for col in ("val", "usd")]
+
+
 def archive_rollup(archive: DataFrame, prices: DataFrame, default: float = 0.001) -> DataFrame:
     """JN4, AGG14, SET2: totals of the closed ledger; wallets on both sides from one aggregate."""
-    out = F.col("direction") == "OUT"
-    rows = _priced_archive(archive, prices, default)
-    per = rows.groupBy("cp").agg(
-        sum_if(out, "val").alias("out_val"), sum_if(~out, "val").alias("in_val"),
-        sum_if(out, "usd").alias("out_usd"), sum_if(~out, "usd").alias("in_usd"),
-        F.count_if(out).alias("out_n"), F.count_if(~out).alias("in_n"),
-        F.min(F.when(~out, F.col("day"))).alias("first"), F.max(F.when(~out, F.col("day"))).alias("last"),
+    per = _priced_archive(archive, prices, default).groupBy("cp").agg(
+        *exprs(
+            _sides(),
+            f"count_if({OUT}) AS out_n", f"count_if({IN}) AS in_n",
+            f"min(day) FILTER (WHERE {IN}) AS first", f"max(day) FILTER (WHERE {IN}) AS last",
+        )
     )
-    topped, spent = F.col("out_n") > 0, F.col("in_n") > 0
     return per.agg(
-        tidy(F.sum("out_val"), 0).alias("out_val"), tidy(F.sum("in_val"), 0).alias("in_val"),
-        tidy(F.sum("out_usd"), 2).alias("out_usd"), tidy(F.sum("in_usd"), 2).alias("in_usd"),
-        F.sum("out_n").alias("out_tx"), F.sum("in_n").alias("in_tx"),
-        F.count_if(topped).alias("topped_n"), F.count_if(spent).alias("spent_n"), F.count_if(topped & spent).alias("both_n"),
-        F.min("first").alias("first_spend"), F.max("last").alias("last_spend"),
+        *exprs(
+            f"{tidied('sum(out_val)', 0)} AS out_val", f"{tidied('sum(in_val)', 0)} AS in_val",
+            f"{tidied('sum(out_usd)', 2)} AS out_usd", f"{tidied('sum(in_usd)', 2)} AS in_usd",
+            "sum(out_n) AS out_tx", "sum(in_n) AS in_tx",
+            "count_if(out_n > 0) AS topped_n", "count_if(in_n > 0) AS spent_n", "count_if(out_n > 0 AND in_n > 0) AS both_n",
+            "min(first) AS first_spend", "max(last) AS last_spend",
+        )
     )
 
 
 def archive_monthly(archive: DataFrame, prices: DataFrame, default: float = 0.001) -> DataFrame:
     """JN9, AGG14: in and out per month; a missing side is zero."""
-    out = F.col("direction") == "OUT"
-    return _priced_archive(archive, prices, default).groupBy(month_text("day").alias("month")).agg(
-        tidy(sum_if(out, "val"), 0).alias("out_val"), tidy(sum_if(~out, "val"), 0).alias("in_val"),
-        tidy(sum_if(out, "usd"), 2).alias("out_usd"), tidy(sum_if(~out, "usd"), 2).alias("in_usd"),
+    months = _priced_archive(archive, prices, default).groupBy(F.trunc("day", "month").alias("first")).agg(*exprs(_sides()))
+    return months.select(
+        month_text("first").alias("month"), *(tidy(c, d).alias(c) for c, d in (("out_val", 0), ("in_val", 0), ("out_usd", 2), ("in_usd", 2)))
     )
 
 
@@ -132,10 +135,8 @@ def sweep_series(sweep: DataFrame, recycle: DataFrame, intake: DataFrame) -> Dat
     """
     tagged = [df.select("day", "val", F.lit(t).alias("leg")) for df, t in ((intake, "i"), (recycle, "r"), (sweep, "s"))]
     rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    leg = F.col("leg")
-    return rows.groupBy("day").agg(
-        *(sum_if(leg == t, "val").alias(t) for t in "irs"), *(F.count_if(leg == t).alias(f"n_{t}") for t in "irs")
-    )
+    legs = [text for t in "irs" for text in (f"{sum_where(f"leg = '{t}'", 'val')} AS {t}", f"count_if(leg = '{t}') AS n_{t}")]
+    return rows.groupBy("day").agg(*exprs(legs))
 
 
 def lagged_share(series: DataFrame, days: int = 1) -> DataFrame:

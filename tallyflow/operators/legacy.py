@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at, bucket_of, folded_class, hour_text, in_window, tidy
-from tallyflow.operators.facts import sum_if
+from tallyflow.functions import EARNING, Scheme, at, bucket_of, exprs, folded_class, hour_text, quoted, sum_if, sum_where, tidied, tidy, within
+from tallyflow.operators.facts import IN, OUT
 
 FOLDED = ("invoke", "equip", "growth", "micro")
 
@@ -17,8 +17,7 @@ def single_asset(ledger: DataFrame, asset: str, scheme: Scheme) -> DataFrame:
     """Rows of one asset with the folded class ``lcat`` and the bucket."""
     return (
         ledger.filter(F.col("asset") == asset)
-        .withColumn("lcat", folded_class(F.col("cat"), F.col("usd"), scheme))
-        .withColumn("bucket", bucket_of(F.col("fine"), scheme))
+        .selectExpr("*", f"{folded_class(scheme=scheme)} AS lcat", f"{bucket_of(scheme=scheme)} AS bucket")
     )
 
 
@@ -79,21 +78,23 @@ def asset_treasury(rows: DataFrame, scheme: Scheme) -> DataFrame:
 
     One row per day and wallet first, so wallets per bucket are counts.
     """
-    names = [*dict.fromkeys(scheme.buckets.values()), "other"]
-    out = F.col("direction") == "OUT"
-    hit = lambda b: out & (F.col("bucket") == b)
+    names = list(enumerate([*dict.fromkeys(scheme.buckets.values()), "other"]))
+    hit = lambda b: f"{OUT} AND bucket = {quoted([b])}"
     per = rows.groupBy("day", "cp").agg(
-        sum_if(out, "val").alias("out"), sum_if(out, "usd").alias("out_usd"), sum_if(~out, "val").alias("inn"),
-        *(sum_if(hit(b), "usd").alias(f"u_{b}") for b in names), *(F.count_if(hit(b)).alias(f"n_{b}") for b in names),
+        *exprs(
+            f"{sum_where(OUT, 'val')} AS out", f"{sum_where(OUT, 'usd')} AS out_usd", f"{sum_where(IN, 'val')} AS inn",
+            [text for i, b in names for text in (f"{sum_where(hit(b), 'usd')} AS u{i}", f"count_if({hit(b)}) AS n{i}")],
+        )
     )
-    entry = lambda b: F.struct(
-        F.lit(b).alias("bucket"),
-        F.struct(tidy(F.sum(f"u_{b}"), 2).alias("usd"), F.count_if(F.col(f"n_{b}") > 0).alias("w")).alias("v"),
+    entries = ", ".join(
+        f"struct({quoted([b])} AS bucket, struct({tidied(f'sum(u{i})', 2)} AS usd, count_if(n{i} > 0) AS w) AS v)" for i, b in names
     )
     return per.groupBy("day").agg(
-        tidy(F.sum("out"), 1).alias("out"), tidy(F.sum("out_usd"), 2).alias("out_usd"),
-        tidy(F.sum("inn"), 1).alias("inn"), tidy(F.sum("inn") - F.sum("out"), 1).alias("net"),
-        F.map_from_entries(F.filter(F.array(*[entry(b) for b in names]), lambda e: e.v.w > 0)).alias("buckets"),
+        *exprs(
+            f"{tidied('sum(out)', 1)} AS out", f"{tidied('sum(out_usd)', 2)} AS out_usd",
+            f"{tidied('sum(inn)', 1)} AS inn", f"{tidied('sum(inn) - sum(out)', 1)} AS net",
+            f"map_from_entries(filter(array({entries}), e -> e.v.w > 0)) AS buckets",
+        )
     )
 
 
@@ -106,24 +107,22 @@ def asset_guard(
     seven days that had any movement before today.
     """
     ago = lambda **kw: as_of - timedelta(**kw)
-    out = F.col("direction") == "OUT"
-    day, before = in_window("ts", ago(hours=24)), in_window("ts", ago(hours=48), ago(hours=24))
-    unbacked = out & (F.col("lcat").isin(*EARNING) | F.col("fine").isin(*scheme.incentives))
-    listed = F.lit(None).cast("double")
-    for fine, price in scheme.price_of.items():
-        listed = F.when(F.col("fine") == fine, float(price)).otherwise(listed)
-    promised = F.coalesce(listed, F.col("val") * rate)
-    flat = rows.agg(
-        (sum_if(unbacked & day, "val") * rate).alias("burn24"),
-        (sum_if(unbacked & before, "val") * rate).alias("burn_prev"),
-        sum_if(out & day, "val").alias("out24"),
-        sum_if(~out & day, "val").alias("in24"),
-        sum_if(~out & day & (F.col("val") >= 100), "val").alias("topup24"),
-        sum_if(out, promised).alias("promised"),
-        (sum_if(out, "val") * rate).alias("settled"),
-        sum_if(out & F.col("lcat").isin(*EARNING), "val").alias("earned"),
-    )
-    per_day = rows.filter(F.col("day") < F.lit(as_of.date())).groupBy("day").agg(sum_if(out, "usd").alias("usd"))
+    day, before = within(ago(hours=24)), within(ago(hours=48), ago(hours=24))
+    earning = f"lcat IN ({quoted(EARNING)})"
+    unbacked = f"{OUT} AND ({earning} OR fine IN ({quoted(scheme.incentives)}))"
+    listed = " ".join(f"WHEN {quoted([fine])} THEN {float(price)}D" for fine, price in scheme.price_of.items())
+    measures = {
+        "burn24": f"{sum_where(f'{unbacked} AND {day}', 'val')} * {rate}D",
+        "burn_prev": f"{sum_where(f'{unbacked} AND {before}', 'val')} * {rate}D",
+        "out24": sum_where(f"{OUT} AND {day}", "val"),
+        "in24": sum_where(f"{IN} AND {day}", "val"),
+        "topup24": sum_where(f"{IN} AND {day} AND val >= 100", "val"),
+        "promised": sum_where(OUT, f"CASE fine {listed} ELSE val * {rate}D END"),
+        "settled": f"{sum_where(OUT, 'val')} * {rate}D",
+        "earned": sum_where(f"{OUT} AND {earning}", "val"),
+    }
+    flat = rows.agg(*exprs([f"{text} AS {name}" for name, text in measures.items()]))
+    per_day = rows.filter(F.col("day") < F.lit(as_of.date())).groupBy("day").agg(sum_if(OUT, "usd").alias("usd"))
     burn7 = per_day.orderBy(F.col("day").desc()).limit(7).agg(tidy(F.coalesce(F.avg("usd"), F.lit(0.0)), 2)).scalar()
     c = F.col
     growth = F.when(c("burn_prev") > 0, F.least(c("burn24") / c("burn_prev"), F.lit(2.0))).otherwise(1.0)

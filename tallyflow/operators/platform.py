@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import Scheme, at, is_unbacked, tidy
-from tallyflow.operators.facts import sum_if
+from tallyflow.functions import Scheme, at, exprs, is_unbacked, moment, quoted, sum_if, sum_where, tidied, tidy
 
 
 @dataclass(frozen=True)
@@ -22,9 +21,9 @@ class EventMeasure:
     paths: tuple[str, ...] = ()
 
 
-def _number(properties: str, paths: Sequence[str]) -> Column:
-    fields = [F.get_json_object(properties, p).try_cast("double") for p in paths]
-    return F.coalesce(*fields, F.lit(0.0))
+def _number(properties: str, paths: Sequence[str]) -> str:
+    fields = [f"try_cast(get_json_object({properties}, {quoted([p])}) AS DOUBLE)" for p in paths]
+    return f"coalesce({', '.join(fields)}, 0D)"
 
 
 def event_days(
@@ -37,13 +36,13 @@ def event_days(
 ) -> DataFrame:
     """SRC11, AGG28: daily counts and sums; time and type filters reach the scan."""
     types = sorted({t for m in spec.values() for t in m.types})
-    wanted = events.filter((F.col(ts) >= at(since)) & F.col(kind).isin(*types))
+    wanted = events.filter(f"{ts} >= {moment(since)} AND {kind} IN ({quoted(types)})")
 
-    def measure(m: EventMeasure) -> Column:
-        hit = F.col(kind).isin(*m.types)
-        return tidy(sum_if(hit, _number(properties, m.paths)), 2) if m.paths else F.count_if(hit)
+    def measure(m: EventMeasure) -> str:
+        hit = f"{kind} IN ({quoted(m.types)})"
+        return tidied(sum_where(hit, _number(properties, m.paths)), 2) if m.paths else f"count_if({hit})"
 
-    return wanted.groupBy(F.to_date(ts).alias("day")).agg(*(measure(m).alias(name) for name, m in spec.items()))
+    return wanted.groupBy(F.to_date(ts).alias("day")).agg(*exprs([f"{measure(m)} AS {name}" for name, m in spec.items()]))
 
 
 def active_users(
@@ -67,7 +66,7 @@ def ledger_days(ledger: DataFrame, scheme: Scheme) -> DataFrame:
     out = ledger.filter(F.col("direction") == "OUT")
     return out.groupBy("day").agg(
         sum_if(is_unbacked(scheme), "usd").alias("unbacked"),
-        sum_if(F.col("fine").isin(*scheme.backed), "usd").alias("backed"),
+        sum_if(f"fine IN ({quoted(scheme.backed)})", "usd").alias("backed"),
     )
 
 

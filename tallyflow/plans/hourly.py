@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import DEFAULT_SCHEME, EARNING, Scheme, classified
+from tallyflow.functions import DEFAULT_SCHEME, EARNING, Scheme, classified, sum_if
 from tallyflow.operators import alerts, balance, behaviour, earners, facts, platform
 from tallyflow.operators.rates import asof_rate
 from tallyflow.sources.sinks import bank_days
@@ -39,7 +39,7 @@ def hourly_report(inputs: Inputs, as_of: datetime, scheme: Scheme = DEFAULT_SCHE
     burned = balance.burn(ledger, as_of, scheme)
     worth = balance.value_balances(inputs.balances, inputs.live)
     prints = behaviour.fingerprints(ledger, scheme.incentives)
-    earned = earners.outgoing(ledger).filter(F.col("cat").isin(*EARNING)).agg(facts.sum_if(F.lit(True), "usd")).scalar()
+    earned = earners.outgoing(ledger).filter(F.col("cat").isin(*EARNING)).agg(sum_if("true", "usd")).scalar()
     return {
         "windows": facts.flow_facts(ledger, facts.standard_windows(as_of), assets, src),
         "monthly": facts.monthly_facts(ledger, as_of, assets, src),
@@ -68,7 +68,7 @@ def kpi_snapshot(ledger: DataFrame, balances: DataFrame, runway: DataFrame, as_o
     days = {c: runway.select(c).scalar() for c in ("runway24", "runway7", "burn24", "burn_prev")}
     counts = out.groupBy("cp").agg(
         *(F.count_if(F.col("cat") == c).alias(c) for c in ("invoke", "equip", "growth")),
-        facts.sum_if(F.col("asset") == asset, "val").alias("amount"),
+        sum_if(F.col("asset") == asset, "val").alias("amount"),
     )
     return counts.agg(
         *(F.sum(c).alias(c) for c in ("invoke", "equip", "growth")),

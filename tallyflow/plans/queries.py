@@ -160,10 +160,10 @@ def range_bands(spark, folder):
     from tallyflow.functions import folded_class, range_band
 
     rows = roles.classified_events(spark, folder).filter("direction = 'OUT'")
-    four = range_band(F.col("usd"), (2, 8, 20), ("micro", "invoke", "equip", "large"))
-    five = range_band(F.col("usd") * 0.01, alerts.EDGES, alerts.NAMES)
-    folded = folded_class(F.col("cat"), F.col("usd"), EVENTS)
-    return rows.groupBy(five.alias("five"), four.alias("four"), folded.alias("folded")).agg(
+    four = range_band("usd", (2, 8, 20), ("micro", "invoke", "equip", "large"))
+    five = range_band("usd * 0.01D", alerts.EDGES, alerts.NAMES)
+    named = (f"{five} AS five", f"{four} AS four", f"{folded_class(scheme=EVENTS)} AS folded")
+    return rows.groupBy(*(F.expr(x) for x in named)).agg(
         F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("usd")
     )
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyflow.functions import exprs, sum_where
 from tallyflow.operators.alerts import AlertRules, alerts
-from tallyflow.operators.facts import sum_if
+from tallyflow.operators.facts import IN, OUT
 from tallyflow.sources.sinks import publish_closed
 
 
@@ -63,9 +64,10 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour", by: Sequence[str]
 
 def sliding_kpis(stream: DataFrame, width: str = "24 hours", step: str = "1 hour") -> DataFrame:
     """ST4: trailing flows, refreshed every ``step``."""
-    out = F.col("direction") == "OUT"
     return stream.groupBy(F.window("ts", width, step)).agg(
-        sum_if(out, "usd").alias("out_usd"), sum_if(~out, "usd").alias("in_usd"), F.count_if(out).alias("out_tx")
+        *exprs(
+            f"{sum_where(OUT, 'usd')} AS out_usd", f"{sum_where(IN, 'usd')} AS in_usd", f"count_if({OUT}) AS out_tx"
+        )
     ).select(F.col("window.end").alias("as_of"), "out_usd", "in_usd", "out_tx")
 
 

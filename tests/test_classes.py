@@ -22,8 +22,8 @@ def test_size_bands_and_classes(spark):
 def test_folded_ranges_buckets_and_short_keys(spark):
     df = spark.createDataFrame([("nonstandard", 0.3, "0xABCDEF0123456789"), ("nonstandard", 3.0, "0xabcDEFffff6789"), ("equip", 1.0, "0x1")], "cat string, usd double, a string")
     rows = df.select(
-        folded_class(F.col("cat"), F.col("usd")).alias("f"), range_band(F.col("usd"), (0.4, 2), ("s", "m", "l")).alias("r"),
-        short_key(F.col("a"), 6).alias("k"), bucket_of(F.lit("stripe $25")).alias("b"),
+        F.expr(folded_class()).alias("f"), F.expr(range_band("usd", (0.4, 2), ("s", "m", "l"))).alias("r"),
+        short_key(F.col("a"), 6).alias("k"), F.expr(bucket_of("'stripe $25'")).alias("b"),
     ).collect()
     assert [r.f for r in rows] == ["invoke", "growth", "equip"]
     assert [r.r for r in rows] == ["s", "l", "m"]
