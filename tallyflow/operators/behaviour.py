@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions import tidy
+from tallyflow.functions import exprs, quoted, tidied
 from tallyflow.session import settle
 
 # Upper edges of the gap bins, in seconds.
@@ -41,10 +41,10 @@ class CadenceRules:
     volume_entities: int = 20
 
 
-def _bin(gap: Column, i: int) -> Column:
-    low = GAP_EDGES[i - 1] if i > 0 else None
-    cond = F.lit(True) if low is None else gap >= low
-    return cond & (gap < GAP_EDGES[i]) if i < len(GAP_EDGES) else cond
+def _in_bin(gap: str, i: int) -> str:
+    edges = [f"{gap} >= {GAP_EDGES[i - 1]}"] if i > 0 else []
+    edges += [f"{gap} < {GAP_EDGES[i]}"] if i < len(GAP_EDGES) else []
+    return " AND ".join(edges)
 
 
 BINS = range(len(GAP_EDGES) + 1)
@@ -78,32 +78,24 @@ def _slice_summary(seconds: DataFrame, slice_seconds: int) -> DataFrame:
     The first seconds of a slice are lent to the slice before it, so a burst
     window that crosses the cut is counted whole.
     """
-    own = F.floor(F.col("sec") / slice_seconds)
-    lent = F.when(F.col("sec") % slice_seconds <= BURST_SECONDS, own - 1)
-    placed = seconds.select(
-        "entity", "sec", "n", own.alias("own"), F.explode(F.array_compact(F.array(own, lent))).alias("slice")
-    )
-    order = W.partitionBy("entity", "slice").orderBy("sec")
-    seen = placed.select(
+    own = f"floor(sec / {slice_seconds})"
+    lent = f"CASE WHEN sec % {slice_seconds} <= {BURST_SECONDS} THEN {own} - 1 END"
+    placed = seconds.selectExpr("entity", "sec", "n", f"{own} AS own", f"explode(array_compact(array({own}, {lent}))) AS slice")
+    order = "PARTITION BY entity, slice ORDER BY sec"
+    seen = placed.selectExpr(
         "*",
-        (F.col("sec") - F.lag("sec").over(order)).alias("gap"),
-        F.when(F.lead("own").over(order) == F.col("slice"), F.lead("sec").over(order) - F.col("sec")).alias("next_gap"),
-        F.sum("n").over(order.rangeBetween(0, BURST_SECONDS)).alias("burst"),
-    ).filter(F.col("own") == F.col("slice"))
-    gap, next_gap = F.col("gap"), F.col("next_gap")
+        f"sec - lag(sec) OVER ({order}) AS gap",
+        f"CASE WHEN lead(own) OVER ({order}) = slice THEN lead(sec) OVER ({order}) - sec END AS next_gap",
+        f"sum(n) OVER ({order} RANGE BETWEEN CURRENT ROW AND {BURST_SECONDS} FOLLOWING) AS burst",
+    ).filter("own = slice")
     return seen.groupBy("entity", "slice").agg(
-        F.count("*").alias("secs"),
-        F.sum("n").alias("events"),
-        F.min("sec").alias("first_sec"),
-        F.max("sec").alias("last_sec"),
-        F.sum(F.when(gap.isNull(), F.col("n"))).alias("first_n"),
-        F.sum(F.when(next_gap.isNull(), F.col("n"))).alias("last_n"),
-        F.sum(F.when(gap.isNull(), next_gap)).alias("first_gap"),
-        F.sum(F.when(next_gap.isNull(), gap)).alias("last_gap"),
-        F.sum(gap * gap).alias("squares"),
-        F.sum(F.when(F.col("n") == 1, gap * next_gap)).alias("products"),
-        F.max("burst").alias("burst"),
-        *(F.count_if(gap.isNotNull() & _bin(gap, i)).alias(f"bin{i}") for i in BINS),
+        *exprs(
+            "count(*) AS secs", "sum(n) AS events", "min(sec) AS first_sec", "max(sec) AS last_sec",
+            "sum(n) FILTER (WHERE gap IS NULL) AS first_n", "sum(n) FILTER (WHERE next_gap IS NULL) AS last_n",
+            "sum(next_gap) FILTER (WHERE gap IS NULL) AS first_gap", "sum(gap) FILTER (WHERE next_gap IS NULL) AS last_gap",
+            "sum(gap * gap) AS squares", "sum(gap * next_gap) FILTER (WHERE n = 1) AS products", "max(burst) AS burst",
+            [f"count_if({_in_bin('gap', i)}) AS bin{i}" for i in BINS],
+        )
     )
 
 
@@ -116,59 +108,43 @@ def cadence(
     exact, so constant gaps give a variance of exactly zero.
     """
     slices = _slice_summary(active_seconds(events, entity, ts), slice_seconds)
-    order = W.partitionBy("entity").orderBy("slice")
-    gap_in = F.col("first_sec") - F.lag("last_sec").over(order)
-    gap_out = F.lead("first_sec").over(order) - F.col("last_sec")
-    stitched = slices.withColumn("gap_in", gap_in).withColumn("gap_out", gap_out)
-    c = F.col
-    single = c("secs") == 1
-    # A second between two gaps adds their product only when it holds one event.
-    edge_products = F.when(
-        single, F.when(c("first_n") == 1, c("gap_in") * c("gap_out"))
-    ).otherwise(
-        F.coalesce(F.when(c("first_n") == 1, c("gap_in") * c("first_gap")), F.lit(0))
-        + F.coalesce(F.when(c("last_n") == 1, c("last_gap") * c("gap_out")), F.lit(0))
+    order = "PARTITION BY entity ORDER BY slice"
+    stitched = slices.selectExpr(
+        "*",
+        f"first_sec - lag(last_sec) OVER ({order}) AS gap_in",
+        f"lead(first_sec) OVER ({order}) - last_sec AS gap_out",
     )
-    opening = F.when(c("gap_in").isNull(), F.when(c("first_n") > 1, 0).otherwise(F.coalesce("first_gap", "gap_out")))
-    closing = F.when(c("gap_out").isNull(), F.when(c("last_n") > 1, 0).otherwise(F.coalesce("last_gap", "gap_in")))
-    zeros = F.sum(c("events") - c("secs"))
-    exact = lambda col: F.coalesce(col, F.lit(0)).cast("decimal(38,0)")
+    # A second between two gaps adds their product only when it holds one event.
+    joint = """CASE WHEN secs = 1 THEN CASE WHEN first_n = 1 THEN gap_in * gap_out END
+        ELSE coalesce(CASE WHEN first_n = 1 THEN gap_in * first_gap END, 0) + coalesce(CASE WHEN last_n = 1 THEN last_gap * gap_out END, 0) END"""
+    opening = "CASE WHEN gap_in IS NULL THEN CASE WHEN first_n > 1 THEN 0 ELSE coalesce(first_gap, gap_out) END END"
+    closing = "CASE WHEN gap_out IS NULL THEN CASE WHEN last_n > 1 THEN 0 ELSE coalesce(last_gap, gap_in) END END"
+    exact = lambda text: f"CAST(coalesce({text}, 0) AS DECIMAL(38, 0))"
+    binned = [f"sum(bin{i}) + count_if({_in_bin('gap_in', i)}) AS bin{i}" for i in BINS]
+    binned[0] = f"sum(bin0) + count_if({_in_bin('gap_in', 0)}) + sum(events - secs) AS bin0"
     per = stitched.groupBy("entity").agg(
-        F.sum("events").alias("n"),
-        F.min("first_sec").alias("t0"),
-        F.max("last_sec").alias("t1"),
-        F.max("burst").alias("burst"),
-        exact(F.sum("squares")).alias("inner_sq"),
-        exact(F.sum(c("gap_in") * c("gap_in"))).alias("edge_sq"),
-        exact(F.sum("products")).alias("inner_pr"),
-        exact(F.sum(edge_products)).alias("edge_pr"),
-        exact(F.max(opening)).alias("g_first"),
-        exact(F.max(closing)).alias("g_last"),
-        *(
-            (F.sum(f"bin{i}") + F.count_if(c("gap_in").isNotNull() & _bin(c("gap_in"), i)) + (zeros if i == 0 else F.lit(0))).alias(f"bin{i}")
-            for i in BINS
-        ),
-    ).filter(c("n") >= min_events)
-    gaps_n = c("n") - 1
-    parts = [F.when(c(f"bin{i}") > 0, (c(f"bin{i}") / gaps_n) * F.ln(c(f"bin{i}") / gaps_n)).otherwise(0.0) for i in BINS]
-    entropy = F.greatest(F.lit(0.0), -sum(parts[1:], parts[0]) / F.ln(F.lit(float(len(BINS)))))
-    total = exact(c("t1") - c("t0"))
-    squares = c("inner_sq") + c("edge_sq")
-    pairs = (c("n") - 2).cast("decimal(38,0)")
-    head, tail = total - c("g_last"), total - c("g_first")
-    co = pairs * (c("inner_pr") + c("edge_pr")) - head * tail
-    var_head = pairs * (squares - c("g_last") * c("g_last")) - head * head
-    var_tail = pairs * (squares - c("g_first") * c("g_first")) - tail * tail
-    spread = F.sqrt(var_head.cast("double")) * F.sqrt(var_tail.cast("double"))
-    defined = (gaps_n >= 3) & (var_head > 0) & (var_tail > 0)
-    return per.select(
-        c("entity").alias("cp"),
-        "n",
-        ((c("t1") - c("t0")) / 3600).alias("span_h"),
-        F.when(gaps_n > 0, entropy).otherwise(0.0).alias("ent"),
-        F.when(defined, co.cast("double") / spread).otherwise(0.0).alias("acf"),
-        (c("burst") / c("n")).alias("burst"),
+        *exprs(
+            "sum(events) AS n", "min(first_sec) AS t0", "max(last_sec) AS t1", "max(burst) AS burst",
+            f"{exact('sum(squares)')} + {exact('sum(gap_in * gap_in)')} AS squares",
+            f"{exact('sum(products)')} + {exact(f'sum({joint})')} AS products",
+            f"{exact(f'max({opening})')} AS g_first", f"{exact(f'max({closing})')} AS g_last",
+            binned,
+        )
+    ).filter(f"n >= {min_events}")
+    part = lambda i: f"CASE WHEN bin{i} > 0 THEN bin{i} / (n - 1) * ln(bin{i} / (n - 1)) ELSE 0D END"
+    moments = per.selectExpr(
+        "entity AS cp", "n", "(t1 - t0) / 3600 AS span_h", "burst / n AS burst",
+        f"CASE WHEN n > 1 THEN greatest(0D, -({' + '.join(part(i) for i in BINS)}) / ln({len(BINS)}D)) ELSE 0D END AS ent",
+        "CAST(n - 2 AS DECIMAL(38, 0)) AS pairs", "products", "squares", "g_first", "g_last",
+        f"{exact('t1 - t0')} - g_last AS head", f"{exact('t1 - t0')} - g_first AS tail",
+    ).selectExpr(
+        "*",
+        "CAST(pairs * products - head * tail AS DOUBLE) AS co",
+        "CAST(pairs * (squares - g_last * g_last) - head * head AS DOUBLE) AS var_head",
+        "CAST(pairs * (squares - g_first * g_first) - tail * tail AS DOUBLE) AS var_tail",
     )
+    acf = "CASE WHEN n >= 4 AND var_head > 0 AND var_tail > 0 THEN co / (sqrt(var_head) * sqrt(var_tail)) ELSE 0D END AS acf"
+    return moments.selectExpr("cp", "n", "span_h", "ent", acf, "burst")
 
 
 def volume_threshold(counts: DataFrame, rules: CadenceRules = CadenceRules()) -> DataFrame:
@@ -178,20 +154,19 @@ def volume_threshold(counts: DataFrame, rules: CadenceRules = CadenceRules()) ->
     grow with the square root of the ledger, so one task can order them.
     """
     hist = counts.groupBy("n").agg(F.count("*").alias("entities"))
-    everyone = W.orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = hist.select(
+    ranked = hist.selectExpr(
         "n",
-        F.sum("entities").over(W.orderBy("n")).alias("upto"),
-        F.sum("entities").over(everyone).alias("total"),
+        "sum(entities) OVER (ORDER BY n) AS upto",
+        "sum(entities) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total",
     )
-    at_rank = F.min(F.when(F.col("upto") > F.floor(F.col("total") * rules.volume_quantile), F.col("n")))
+    at_rank = f"min(n) FILTER (WHERE upto > floor(total * {rules.volume_quantile}D))"
     return ranked.agg(
-        F.when(F.max("total") >= rules.volume_entities, F.greatest(F.lit(rules.volume_floor).cast("long"), at_rank)).alias("high_volume")
+        F.expr(f"CASE WHEN max(total) >= {rules.volume_entities} THEN greatest({rules.volume_floor}L, {at_rank}) END AS high_volume")
     )
 
 
-def _present(*flags: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, name) for cond, name in flags]))
+def _present(flags: dict[str, str]) -> str:
+    return f"array_compact(array({', '.join(f'CASE WHEN {cond} THEN {quoted([name])} END' for name, cond in flags.items())}))"
 
 
 def fingerprints(
@@ -208,34 +183,30 @@ def fingerprints(
     counts behind the volume threshold come from one aggregate per recipient,
     written once, so both sides of the join hold each recipient once.
     """
-    out = ledger.filter(F.col("direction") == "OUT")
+    out = ledger.filter("direction = 'OUT'")
     watched = out.filter(F.col("cat") == monitored)
     shape = cadence(watched, min_events=rules.min_events, slice_seconds=slice_seconds)
     per = out.groupBy("cp").agg(
-        F.count_if(F.col("cat") == monitored).alias("n"),
-        F.sum(F.when(F.col("cat").isin(*earning), F.col("usd"))).alias("usd"),
-        (F.count_if(F.col("fine").isin(*incentives)) > 0).alias("receives"),
+        *exprs(
+            f"count_if(cat = {quoted([monitored])}) AS watched",
+            f"sum(usd) FILTER (WHERE cat IN ({quoted(earning)})) AS usd",
+            f"count_if(fine IN ({quoted(incentives)})) > 0 AS receives",
+        )
     )
     totals = settle(per, "recipients")
-    high = volume_threshold(totals.filter("n > 0").select("n"), rules).scalar()
-    n, ent, acf, burst = (F.col(x) for x in ("n", "ent", "acf", "burst"))
-    bound = F.greatest(F.lit(rules.scripted_acf), 2 / F.sqrt(n - 1))
-    flags = _present(
-        ((n >= rules.uniform_events) & (ent < rules.uniform_entropy), "uniform cadence"),
-        ((n >= rules.scripted_events) & (F.abs(acf) > bound), "scripted pattern"),
-        ((n >= rules.burst_events) & (burst > rules.burst_share) & (F.col("span_h") > rules.burst_span_hours), "burst cluster"),
-    )
-    tags = _present((n > high, "high volume"), (F.col("receives"), "earn+receive"))
-    return shape.join(totals.drop("n"), "cp").select(
+    high = volume_threshold(totals.filter("watched > 0").selectExpr("watched AS n"), rules).scalar()
+    flags = {
+        "uniform cadence": f"n >= {rules.uniform_events} AND ent < {rules.uniform_entropy}D",
+        "scripted pattern": f"n >= {rules.scripted_events} AND abs(acf) > greatest({rules.scripted_acf}D, 2 / sqrt(n - 1))",
+        "burst cluster": f"n >= {rules.burst_events} AND burst > {rules.burst_share}D AND span_h > {rules.burst_span_hours}D",
+    }
+    tags = {"high volume": "n > high", "earn+receive": "receives"}
+    return shape.join(totals, "cp").withColumn("high", high).selectExpr(
         "cp", "n",
-        tidy("span_h", 1).alias("span_h"),
-        tidy("ent", 2).alias("ent"),
-        tidy("acf", 2).alias("acf"),
-        tidy(burst * 100, 0).cast("long").alias("burst"),
-        tidy("usd", 2).alias("usd"),
-        flags.alias("flags"),
-        tags.alias("tags"),
-        F.when(F.size(flags) > 0, "review").otherwise("organic").alias("status"),
+        f"{tidied('span_h', 1)} AS span_h", f"{tidied('ent', 2)} AS ent", f"{tidied('acf', 2)} AS acf",
+        f"CAST({tidied('burst * 100', 0)} AS BIGINT) AS burst", f"{tidied('usd', 2)} AS usd",
+        f"{_present(flags)} AS flags", f"{_present(tags)} AS tags",
+        f"CASE WHEN size({_present(flags)}) > 0 THEN 'review' ELSE 'organic' END AS status",
     )
 
 
