@@ -55,6 +55,11 @@ def earner_totals(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame
     )
 
 
+def unclassified_summary(ledger: DataFrame) -> DataFrame:
+    """AGG36: the fine classes outside the earning ones, with their share of that rest."""
+    return fine_table(ledger.filter(~F.col("cat").isin(*EARNING)))
+
+
 def fine_table(ledger: DataFrame) -> DataFrame:
     """AGG10, AGG36: fine classes with count, USD and share."""
     table = outgoing(ledger).groupBy("fine").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,7 +26,8 @@ def rate_calendar(rates: DataFrame, open_rate: DataFrame | None = None, live: Da
     assets = marks.select("asset")
     if live is not None:
         assets = assets.unionByName(live.select("asset"))
-    days = F.sequence(marks.agg(F.min("day")).scalar(), marks.agg(F.max("day")).scalar())
+    edge = lambda fn: F.coalesce(marks.agg(fn("day")).scalar(), F.lit(date(1970, 1, 1)))
+    days = F.sequence(edge(F.min), edge(F.max))
     blank = assets.distinct().select(
         "asset", F.explode(days).alias("day"),
         F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("open_rate"),

@@ -303,6 +303,8 @@ ORACLES: dict[str, str] = {
     "earner_totals": f"""WITH {C} SELECT count(DISTINCT cp) AS earners, round(sum(usd), 2) AS usd,
       round(count(*) FILTER (WHERE cat = 'invoke') / count(*) FILTER (WHERE cat = 'equip'), 0) AS invoke_per_equip FROM o WHERE cat IN ('invoke', 'equip')""",
     "fine_table": f"""WITH {C} SELECT fine, count(*) AS n, round(sum(usd), 2) AS usd, round(sum(usd) / (SELECT sum(usd) FROM o) * 100, 1) AS share FROM o GROUP BY fine""",
+    "unclassified_summary": f"""WITH {C}, r AS (SELECT * FROM o WHERE cat NOT IN ('invoke', 'equip'))
+      SELECT fine, count(*) AS n, round(sum(usd), 2) AS usd, round(sum(usd) / (SELECT sum(usd) FROM r) * 100, 1) AS share FROM r GROUP BY fine""",
     "earn_loop": f"""WITH {C}, credited AS (SELECT DISTINCT cp FROM o WHERE fine = 'credit'),
       earned AS (SELECT cp, round(sum(usd), 2) AS usd FROM o WHERE cat IN ('invoke', 'equip') GROUP BY cp), both_sides AS (SELECT * FROM earned WHERE cp IN (SELECT cp FROM credited))
       SELECT (SELECT count(*) FROM credited) AS credit_recip_n, count(*) AS loop_n, round(sum(usd), 2) AS loop_usd,
@@ -359,6 +361,7 @@ ORACLES: dict[str, str] = {
       SELECT round(bal, 0) AS bal_usd, round(burn24, 2) AS burn24, round(burn_prev, 2) AS burn_prev, round(burn7 / span, 2) AS burn7avg, round(span, 4) AS span_days,
         CASE WHEN burn24 > 0 THEN round(bal / burn24, 1) END AS runway24, CASE WHEN burn7 > 0 THEN round(bal / (burn7 / span), 1) END AS runway7,
         CASE WHEN out7 > 0 THEN round(bal / (out7 / span), 1) END AS runway_total FROM z, bal""",
+    "live_balances": f"WITH {A}, {_BALANCE} SELECT asset, '2024-01-31' AS day, round(balance, 1) AS qty, round(balance * CASE asset WHEN 'A0' THEN 0.5 ELSE 0.25 END, 0) AS usd, true AS partial FROM held",
     "valued_balances": f"WITH {A}, {_BALANCE} SELECT asset, round(balance, 0) AS balance, round(balance * CASE asset WHEN 'A0' THEN 0.5 ELSE 0.25 END, 2) AS usd FROM held",
     "ledger_range": f"SELECT {d('min(l_shipdate)')} AS first_day, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS last_ts FROM lineitem",
     "consumption": f"""WITH {A}, {SPARSE}, {_SPENDS}, v AS (SELECT x.*, x.val * coalesce(rate, 0.02::DOUBLE) AS worth FROM spends x LEFT JOIN rates ON rates.asset = x.asset AND rates.day = x.day)
@@ -479,6 +482,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN burn24 > 0 THEN round(bal * r / (burn24 * growth), 1) END AS runway_adj, round(burn24, 2) AS burn24, round(burn_prev, 2) AS burn_prev, round(promised, 2) AS promised_usd,
         round((settled - promised) / promised * 100, 1) AS fx_drift_pct, burn7_usd FROM y""",
     "stream_ingest": f"SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS val FROM events GROUP BY CAST(ts AS DATE)",
+    "stream_ingest_batches": f"SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS val FROM events GROUP BY CAST(ts AS DATE)",
     "settled_days_stream": f"""SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS usd FROM events
       GROUP BY CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {_WATERMARK}""",
     "provisional_days_stream": f"SELECT {d('CAST(ts AS DATE)')} AS day, count(*) AS n, round(sum(value), 2) AS usd FROM events GROUP BY CAST(ts AS DATE)",

@@ -154,6 +154,12 @@ def latest_unclassified(spark, folder):
     return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query
+def unclassified_summary(spark, folder):
+    """AGG36"""
+    return earners.unclassified_summary(roles.classified_events(spark, folder))
+
+
 @query
 def range_bands(spark, folder):
     """CLS3, CLS4, CLS6"""
@@ -332,6 +338,13 @@ def balance_points(spark, folder):
     return text_days(points.select("asset", "day", "qty", "usd", "rate_src", "delta"), "day")
 
 
+@query
+def live_balances(spark, folder):
+    """WIN9"""
+    live = spark.createDataFrame([("A0", 0.5), ("A1", 0.25)], "asset string, rate double")
+    return text_days(balance.live_row(roles.balances(spark, folder), live, AS_OF), "day")
+
+
 @query
 def trend_state(spark, folder):
     """WIN10, WIN11"""
@@ -514,11 +527,13 @@ def ratio_weeks(spark, folder):
 @query
 def period_ratio(spark, folder):
     """JN15, AGG25, FLT2, SRC12"""
-    snapshot = _telemetry(spark, folder).filter(F.day("day").between(8, 22)).agg(
-        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.lit(None).cast("double").alias("net_proceeds"),
-        F.sum("topup_usd").alias("net"), (F.sum("topups") * 0.5).alias("fees"),
-    )
-    return platform.period_ratio(roles.classified_events(spark, folder), settle(snapshot, "snapshot"), EVENTS)
+    path = scratch_path(spark, "revenue")
+    _telemetry(spark, folder).filter(F.day("day").between(8, 22)).agg(
+        F.array(day_text(F.min("day")), day_text(F.max("day"))).alias("period"),
+        F.sum("topup_usd").alias("net_usd"), (F.sum("topups") * 0.5).alias("fees_est_usd"),
+        F.create_map(F.lit("all"), F.sum("topups")).alias("tiers"),
+    ).write.json(path)
+    return platform.period_ratio(roles.classified_events(spark, folder), readers.read_revenue(spark, path), EVENTS)
 
 
 # --- alerts -----------------------------------------------------------------
@@ -855,6 +870,19 @@ def stream_ingest(spark, folder):
     return text_days(per, "day")
 
 
+@query
+def stream_ingest_batches(spark, folder):
+    """ST1, SRC2"""
+    path = scratch_path(spark, "landed")
+    ev = adapters.table(spark, folder, "events")
+    ev.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").write.parquet(path)
+    ev.filter("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").write.mode("append").parquet(path)
+    bank = scratch_path(spark, "bank")
+    rows = streaming.each_batch(streaming.landed(spark, path, ev.schema), bank, streaming.ingest_batch(bank, ["event_id"]), "append")
+    per = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("val"))
+    return text_days(per, "day")
+
+
 @query
 def settled_days_stream(spark, folder):
     """ST2"""

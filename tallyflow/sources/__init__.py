@@ -8,6 +8,7 @@ from tallyflow.sources.readers import (  # noqa: F401
     read_ohlcv,
     read_price_map,
     read_quotes,
+    read_revenue,
     read_state,
     read_transfers,
 )

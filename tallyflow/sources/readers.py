@@ -132,6 +132,15 @@ def read_document(spark: SparkSession, path: str, schema, multi_line: bool = Tru
     return _json(spark, path, schema, multi_line)
 
 
+def read_revenue(spark: SparkSession, path: str) -> DataFrame:
+    """SRC12: a revenue snapshot document as one row with the days it covers."""
+    schema = "period array<date>, net_usd double, fees_est_usd double, net_proceeds_est_usd double, tiers map<string, long>"
+    return read_document(spark, path, schema).select(
+        F.col("period")[0].alias("first_day"), F.col("period")[1].alias("last_day"),
+        F.col("net_proceeds_est_usd").alias("net_proceeds"), F.col("net_usd").alias("net"), F.col("fees_est_usd").alias("fees"), "tiers",
+    )
+
+
 def read_state(spark: SparkSession, path: str, field: str, multi_line: bool = True) -> DataFrame:
     """SRC13: ``{field: {asset: {day: rate}}}`` as ``(asset, day, rate)``."""
     schema = f"`{field}` map<string, map<string, double>>"

@@ -4,6 +4,7 @@ from tallyflow.streaming.streams import (  # noqa: F401
     drain,
     drain_updates,
     each_batch,
+    ingest_batch,
     landed,
     latest_updates,
     publish_batch,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallyflow.functions import exprs, sum_where
 from tallyflow.operators.alerts import AlertRules, alerts
 from tallyflow.operators.facts import IN, OUT
+from tallyflow.sources.ingest import unseen
 from tallyflow.sources.sinks import publish_closed
 
 
@@ -63,12 +64,20 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour", by: Sequence[str]
 
 
 def sliding_kpis(stream: DataFrame, width: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """ST4: trailing flows, refreshed every ``step``."""
-    return stream.groupBy(F.window("ts", width, step)).agg(
+    """ST4: trailing flows, refreshed every ``step``.
+
+    Rows are summed per step first and only those sums enter the overlapping
+    windows, so a row is not copied into every window that covers it.
+    """
+    steps = stream.groupBy(F.window("ts", step)).agg(
         *exprs(
             f"{sum_where(OUT, 'usd')} AS out_usd", f"{sum_where(IN, 'usd')} AS in_usd", f"count_if({OUT}) AS out_tx"
         )
-    ).select(F.col("window.end").alias("as_of"), "out_usd", "in_usd", "out_tx")
+    )
+    sums = [F.sum(c).alias(c) for c in ("out_usd", "in_usd", "out_tx")]
+    return steps.groupBy(F.window("window", width, step).alias("span")).agg(*sums).select(
+        F.col("span.end").alias("as_of"), "out_usd", "in_usd", "out_tx"
+    )
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -121,6 +130,21 @@ def publish_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
     return publish
 
 
+def ingest_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """ST1 without a watermark: a batch function that adds records the table at ``path`` does not hold.
+
+    Copies of a key combine before they are shuffled, however many there are,
+    and only the stored records in the batch's time range are compared.
+    """
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        batch.limit(0).write.mode("ignore").parquet(f"{path}/batch=-1")
+        stored = batch.sparkSession.read.parquet(path).filter(F.col("batch") != batch_id)
+        unseen(batch, stored, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return ingest
+
+
 def alert_batch(
     path: str,
     history: DataFrame,
