@@ -11,8 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at, sum_if, tidy
-from tallyflow.operators.facts import share
+from tallyflow.functions import EARNING, Scheme, at, exprs, quoted, sum_if, tidied, tidy
+from tallyflow.operators.facts import count_where, rows_in, share
 from tallyflow.session import settle
 
 
@@ -28,12 +28,17 @@ def category_totals(ledger: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def class_totals(ledger: DataFrame) -> DataFrame:
+    """AGG8: count and USD per coarse class, from a ledger or a rollup."""
+    return outgoing(ledger).groupBy("cat").agg(*exprs(f"sum({rows_in(ledger)}) AS n", f"{tidied('sum(usd)', 2)} AS usd"))
+
+
 def earners(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame:
     """AGG9: per recipient, the count of each earning class and their USD."""
     return (
         outgoing(ledger).filter(F.col("cat").isin(*cats))
         .groupBy("cp")
-        .agg(*(F.count_if(F.col("cat") == c).alias(c) for c in cats), F.sum("usd").alias("usd"))
+        .agg(*exprs([f"{count_where(f'cat = {quoted([c])}', rows_in(ledger))} AS {c}" for c in cats], "sum(usd) AS usd"))
     )
 
 
@@ -62,7 +67,7 @@ def unclassified_summary(ledger: DataFrame) -> DataFrame:
 
 def fine_table(ledger: DataFrame) -> DataFrame:
     """AGG10, AGG36: fine classes with count, USD and share."""
-    table = outgoing(ledger).groupBy("fine").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    table = outgoing(ledger).groupBy("fine").agg(*exprs(f"sum({rows_in(ledger)}) AS n", "sum(usd) AS usd"))
     return share(table, "usd").withColumn("usd", tidy("usd", 2))
 
 

@@ -31,12 +31,43 @@ def standard_windows(as_of: datetime) -> list[Span]:
 OUT, IN = "direction = 'OUT'", "direction = 'IN'"
 
 
-def _per_counterparty(assets: Sequence[str], cond: str = "true") -> list[str]:
+def rows_in(df: DataFrame) -> str:
+    """How many transfers a row stands for: its ``n`` in a rollup, otherwise one."""
+    return "n" if "n" in df.columns else "1L"
+
+
+def count_where(cond: str, rows: str) -> str:
+    return f"coalesce(sum(CASE WHEN {cond} THEN {rows} END), 0L)"
+
+
+def rollup(ledger: DataFrame) -> DataFrame:
+    """Transfers of a classified ledger counted per day, counterparty and class.
+
+    Monthly, daily, leaderboard and class figures read this table as they read
+    the ledger. A closed day never changes, so it is rolled up once.
+    """
+    return ledger.groupBy("day", "direction", "asset", "cp", "band", "fine", "cat").agg(
+        *exprs("count(*) AS n", "sum(usd) AS usd", "sum(val) AS val")
+    )
+
+
+def roll_forward(state: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A stored rollup and the days after it, which alone are read from the ledger.
+
+    Store the new days that are over with ``publish_closed``; after a backfill
+    into stored days, rewrite those days.
+    """
+    last = state.agg(F.max("day")).first()[0]
+    tail = ledger if last is None else ledger.filter(F.col("day") > F.lit(last))
+    return state.unionByName(settle(rollup(tail), "rollup_tail"))
+
+
+def _per_counterparty(assets: Sequence[str], rows: str, cond: str = "true") -> list[str]:
     """Measures of one counterparty's rows, all of one direction."""
     by_asset = [
         f"{sum_where(f'{cond} AND asset = {quoted([a])}', col)} AS {name}_{a}" for a in assets for name, col in (("usd", "usd"), ("raw", "val"))
     ]
-    return [f"count_if({cond}) AS n", f"{sum_where(cond, 'usd')} AS usd", *by_asset]
+    return [f"{count_where(cond, rows)} AS n", f"{sum_where(cond, 'usd')} AS usd", *by_asset]
 
 
 def _finish(rows: DataFrame, by: str, assets: Sequence[str], recycle_src: str | None, *more: str) -> DataFrame:
@@ -76,7 +107,7 @@ def flow_facts(ledger: DataFrame, windows: Sequence[Span], assets: Sequence[str]
     if all(lo is not None for _, lo, _ in windows):
         rows = ledger.filter(within(min(lo for _, lo, _ in windows)))
     measures = [
-        f"struct({quoted([label])} AS label, {', '.join(_per_counterparty(assets, within(lo, hi)))}) AS w{i}"
+        f"struct({quoted([label])} AS label, {', '.join(_per_counterparty(assets, rows_in(ledger), within(lo, hi)))}) AS w{i}"
         for i, (label, lo, hi) in enumerate(windows)
     ]
     wide = rows.groupBy("direction", "cp").agg(*exprs(measures))
@@ -87,7 +118,7 @@ def flow_facts(ledger: DataFrame, windows: Sequence[Span], assets: Sequence[str]
 def monthly_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
     """AGG2: the same facts per month; an unfinished or late-starting month says so."""
     rows = ledger.groupBy(F.trunc("day", "month").alias("month"), "direction", "cp").agg(
-        *exprs(f"min(day) FILTER (WHERE {OUT}) AS first_out", _per_counterparty(assets))
+        *exprs(f"min(day) FILTER (WHERE {OUT}) AS first_out", _per_counterparty(assets, rows_in(ledger)))
     )
     facts = _finish(rows, "month", assets, recycle_src, "min(first_out) AS first_out")
     every_month = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -105,11 +136,13 @@ def daily_facts(ledger: DataFrame, as_of: datetime, assets: Sequence[str], schem
     amount beside it; distinct wallets per day and per band are counts of those.
     """
     bands = list(enumerate(band_names(scheme)))
-    banded = ledger.selectExpr("*", f"CASE WHEN {OUT} THEN {size_band(scheme=scheme)} END AS size")
-    per_band = [
-        text for i, b in bands for text in (f"count_if(size = {quoted([b])}) AS n{i}", f"{sum_where(f'size = {quoted([b])}', 'usd')} AS u{i}")
-    ]
-    rows = banded.groupBy("day", "direction", "cp").agg(*exprs(_per_counterparty(assets), per_band))
+    n, size = rows_in(ledger), "band" if "band" in ledger.columns else size_band(scheme=scheme)
+    banded = ledger.selectExpr("*", f"CASE WHEN {OUT} THEN {size} END AS size")
+    per_band = []
+    for i, b in bands:
+        hit = f"size = {quoted([b])}"
+        per_band += [f"{count_where(hit, n)} AS n{i}", f"{sum_where(hit, 'usd')} AS u{i}"]
+    rows = banded.groupBy("day", "direction", "cp").agg(*exprs(_per_counterparty(assets, n), per_band))
     entries = ", ".join(
         f"struct({quoted([b])} AS band, struct(sum(n{i}) AS n, {tidied(f'sum(u{i})', 2)} AS usd, count_if(n{i} > 0) AS w) AS v)" for i, b in bands
     )
@@ -153,7 +186,7 @@ def leaderboard(ledger: DataFrame, direction: str, k: int, labels: DataFrame | N
     no window runs over all counterparties. Labels are joined to the top rows.
     """
     side = ledger.filter(F.col("direction") == direction)
-    per_day = side.groupBy("cp", "day").agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    per_day = side.groupBy("cp", "day").agg(*exprs(f"sum({rows_in(ledger)}) AS n", "sum(usd) AS usd"))
     board = per_day.groupBy("cp").agg(
         F.sum("n").alias("n"), F.sum("usd").alias("usd"), F.count("*").alias("days"),
         F.min("day").alias("first"), F.max("day").alias("last"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import DEFAULT_SCHEME, EARNING, Scheme, classified, sum_if
 from tallyflow.operators import alerts, balance, behaviour, earners, facts, platform
 from tallyflow.operators.rates import asof_rate
+from tallyflow.session import settle
 from tallyflow.sources.sinks import bank_days
 
 
@@ -27,31 +28,41 @@ class Inputs:
     labels: DataFrame
     assets: Sequence[str]
     open_rate: DataFrame | None = None
+    rollup: DataFrame | None = None
     recycle_src: str | None = None
 
 
 def hourly_report(inputs: Inputs, as_of: datetime, scheme: Scheme = DEFAULT_SCHEME) -> Mapping[str, DataFrame]:
-    """Value and classify the ledger once, then one frame per section of the report."""
+    """One frame per section of the report.
+
+    Sections over all history read the rollup. Given a stored one, only days
+    after it are read from the ledger; the trailing windows read 30 days of it,
+    and balances and fingerprints the columns they need.
+    """
     valued = asof_rate(inputs.ledger, inputs.rates, inputs.open_rate, inputs.live)
     ledger = classified(valued, scheme)
+    history = settle(facts.rollup(ledger), "rollup") if inputs.rollup is None else facts.roll_forward(inputs.rollup, ledger)
+    trailing = [w for w in facts.standard_windows(as_of) if w[1] is not None]
     assets, src = inputs.assets, inputs.recycle_src
     series = balance.balance_series(ledger, inputs.balances, assets, recycle_src=src, as_of=as_of)
     burned = balance.burn(ledger, as_of, scheme)
     worth = balance.value_balances(inputs.balances, inputs.live)
     prints = behaviour.fingerprints(ledger, scheme.incentives)
-    earned = earners.outgoing(ledger).filter(F.col("cat").isin(*EARNING)).agg(sum_if("true", "usd")).scalar()
+    earned = earners.outgoing(history).filter(F.col("cat").isin(*EARNING)).agg(sum_if("true", "usd")).scalar()
     return {
-        "windows": facts.flow_facts(ledger, facts.standard_windows(as_of), assets, src),
-        "monthly": facts.monthly_facts(ledger, as_of, assets, src),
-        "daily": facts.daily_facts(ledger, as_of, assets, scheme),
+        "windows": facts.flow_facts(ledger, trailing, assets, src).unionByName(
+            facts.flow_facts(history, [("all history", None, None)], assets, src)
+        ),
+        "monthly": facts.monthly_facts(history, as_of, assets, src),
+        "daily": facts.daily_facts(history, as_of, assets, scheme),
         "hourly": facts.hourly_counts(ledger, as_of, assets),
-        "top_recipients": facts.leaderboard(ledger, "OUT", 25, inputs.labels),
-        "in_sources": facts.leaderboard(ledger, "IN", 10, inputs.labels),
-        "wallets": facts.entity_days(ledger),
-        "totals": earners.category_totals(ledger, as_of),
-        "earners": earners.top_earners(ledger, 25),
-        "fine_table": earners.fine_table(ledger),
-        "loop": earners.earn_loop(ledger, scheme),
+        "top_recipients": facts.leaderboard(history, "OUT", 25, inputs.labels),
+        "in_sources": facts.leaderboard(history, "IN", 10, inputs.labels),
+        "wallets": facts.entity_days(history),
+        "totals": earners.class_totals(history),
+        "earners": earners.top_earners(history, 25),
+        "fine_table": earners.fine_table(history),
+        "loop": earners.earn_loop(history, scheme),
         "fingerprints": prints,
         "guard": earners.guard(prints, earned),
         "recon": balance.reconcile(ledger, inputs.balances, inputs.prev_recon),

@@ -500,4 +500,5 @@ ORACLES: dict[str, str] = {
          - CASE WHEN asset = 'A0' THEN round(balance, 1) ELSE 0 END, 1) FROM held WHERE true""",
 }
 
+ORACLES["daily_from_rollup"] = ORACLES["daily_band_facts"]
 ORACLES = {name: decimal_rounding(sql) for name, sql in ORACLES.items()}

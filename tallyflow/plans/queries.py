@@ -47,6 +47,14 @@ def daily_band_facts(spark, folder):
     return text_days(facts.band_rows(facts.daily_facts(adapters.event_ledger(spark, folder), AS_OF, ASSETS, EVENTS)), "day")
 
 
+@query
+def daily_from_rollup(spark, folder):
+    """AGG3, SNK3"""
+    ledger = roles.classified_events(spark, folder)
+    stored = settle(facts.rollup(ledger.filter("day <= '2024-01-19'")), "rollup")
+    return text_days(facts.band_rows(facts.daily_facts(facts.roll_forward(stored, ledger), AS_OF, ASSETS, EVENTS)), "day")
+
+
 @query
 def flow_windows(spark, folder):
     """FLT1, PRJ5, AGG1"""

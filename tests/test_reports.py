@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyflow.functions import DEFAULT_SCHEME
 from tallyflow.operators.platform import EventMeasure, active_users
 from tallyflow.plans import hourly
 from tallyflow.sources import append_snapshot, read_revenue
@@ -43,6 +44,23 @@ def test_hourly_report_agrees_with_itself(inputs):
         assert df.count() > 0 or name in ("loop",), name
 
 
+def test_a_stored_rollup_changes_nothing(inputs):
+    from dataclasses import replace
+
+    from tallyflow.functions import classified
+    from tallyflow.operators import facts
+    from tallyflow.operators.rates import asof_rate
+
+    ledger = classified(asof_rate(inputs.ledger, inputs.rates, live=inputs.live))
+    stored = facts.rollup(ledger.filter("day <= '2024-01-05'"))
+    whole, grown = (hourly.hourly_report(x, AS_OF) for x in (inputs, replace(inputs, rollup=stored)))
+    for name, keys in (("windows", ["label"]), ("daily", ["day"]), ("top_recipients", ["cp"]), ("fine_table", ["fine"]), ("loop", ["loop_n"])):
+        assert by(whole[name], *keys) == by(grown[name], *keys), name
+    history = facts.rollup(ledger)
+    assert by(facts.monthly_facts(history, AS_OF, ("T", "U")), "label") == by(facts.monthly_facts(ledger, AS_OF, ("T", "U")), "label")
+    assert by(facts.daily_facts(history, AS_OF, ("T", "U"), DEFAULT_SCHEME), "day") == by(facts.daily_facts(ledger, AS_OF, ("T", "U"), DEFAULT_SCHEME), "day")
+
+
 def test_snapshots_feed_the_notification(spark, inputs, tmp_path):
     report = hourly.hourly_report(inputs, AS_OF)
     from tallyflow.functions import classified
