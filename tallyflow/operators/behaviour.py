@@ -61,7 +61,7 @@ def gaps(events: DataFrame, entity: str = "cp", ts: str = "ts", slice_seconds: i
 
     ``n`` counts equal gaps ending in that second: events sharing a second are 0 apart.
     """
-    seconds = active_seconds(events, entity, ts).withColumn("slice", F.floor(F.col("sec") / slice_seconds))
+    seconds = settle(active_seconds(events, entity, ts), "seconds").withColumn("slice", F.floor(F.col("sec") / slice_seconds))
     edges = seconds.groupBy("entity", "slice").agg(F.max("sec").alias("last_sec"))
     edges = edges.withColumn("before", F.lag("last_sec").over(W.partitionBy("entity").orderBy("slice"))).drop("last_sec")
     previous = F.lag("sec").over(W.partitionBy("entity", "slice").orderBy("sec"))
@@ -72,11 +72,12 @@ def gaps(events: DataFrame, entity: str = "cp", ts: str = "ts", slice_seconds: i
     return entered.select("entity", "sec", F.inline(F.filter(both, lambda x: x.gap.isNotNull() & (x.n > 0))))
 
 
-def _slice_summary(seconds: DataFrame, slice_seconds: int) -> DataFrame:
+def slice_summaries(seconds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """One row per (entity, slice): sums over inner gaps, the edges, and the fullest burst.
 
     The first seconds of a slice are lent to the slice before it, so a burst
-    window that crosses the cut is counted whole.
+    window that crosses the cut is counted whole. A slice is final once those
+    seconds have passed; its row can be stored and only later events summarised.
     """
     own = f"floor(sec / {slice_seconds})"
     lent = f"CASE WHEN sec % {slice_seconds} <= {BURST_SECONDS} THEN {own} - 1 END"
@@ -102,14 +103,18 @@ def _slice_summary(seconds: DataFrame, slice_seconds: int) -> DataFrame:
 def cadence(
     events: DataFrame, entity: str = "cp", ts: str = "ts", min_events: int = 10, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
-    """WIN1-WIN5, JN13: count, span, gap entropy, lag-1 autocorrelation and burst ratio.
+    """WIN1-WIN5, JN13: count, span, gap entropy, lag-1 autocorrelation and burst ratio."""
+    return stitched(slice_summaries(active_seconds(events, entity, ts), slice_seconds), min_events)
+
+
+def stitched(slices: DataFrame, min_events: int = 10) -> DataFrame:
+    """The measures of :func:`cadence` from slice summaries.
 
     Sums of gaps, squares and neighbouring products are whole numbers and stay
     exact, so constant gaps give a variance of exactly zero.
     """
-    slices = _slice_summary(active_seconds(events, entity, ts), slice_seconds)
     order = "PARTITION BY entity ORDER BY slice"
-    stitched = slices.selectExpr(
+    joined = slices.selectExpr(
         "*",
         f"first_sec - lag(last_sec) OVER ({order}) AS gap_in",
         f"lead(first_sec) OVER ({order}) - last_sec AS gap_out",
@@ -122,7 +127,7 @@ def cadence(
     exact = lambda text: f"CAST(coalesce({text}, 0) AS DECIMAL(38, 0))"
     binned = [f"sum(bin{i}) + count_if({_in_bin('gap_in', i)}) AS bin{i}" for i in BINS]
     binned[0] = f"sum(bin0) + count_if({_in_bin('gap_in', 0)}) + sum(events - secs) AS bin0"
-    per = stitched.groupBy("entity").agg(
+    per = joined.groupBy("entity").agg(
         *exprs(
             "sum(events) AS n", "min(first_sec) AS t0", "max(last_sec) AS t1", "max(burst) AS burst",
             f"{exact('sum(squares)')} + {exact('sum(gap_in * gap_in)')} AS squares",

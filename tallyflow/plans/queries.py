@@ -186,7 +186,7 @@ def range_bands(spark, folder):
 
 
 def _valued(spark, folder):
-    sparse = roles.sparse_rates(spark, folder)
+    sparse = settle(roles.sparse_rates(spark, folder), "rates")
     known = sparse.filter((F.col("day") > F.lit(datetime(2024, 1, 4).date())) & (F.day("day") < 29))
     opening = sparse.filter(F.day("day") == 29)
     live = spark.createDataFrame([("A0", 0.05), ("A1", 0.06)], "asset string, rate double")
@@ -217,7 +217,7 @@ def daily_close(spark, folder):
 @query
 def market_deviation(spark, folder):
     """JN6, AGG16"""
-    market = rates.daily_close(roles.pool_candles(spark, folder), before=AS_OF)
+    market = settle(rates.daily_close(roles.pool_candles(spark, folder), before=AS_OF), "closes")
     return rates.market_deviation(roles.sparse_rates(spark, folder), market, pct=50)
 
 

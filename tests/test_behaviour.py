@@ -70,6 +70,17 @@ def test_gaps_match_brute_force(ledger, slice_seconds):
         assert sorted(got.get(cp, [])) == sorted(y - x for x, y in zip(secs, secs[1:]))
 
 
+def test_stored_slices_and_later_events_give_the_same(ledger):
+    data = feeds()
+    rows = ledger([("OUT", s, "T", 1, cp) for cp, secs in data.items() for s in secs])
+    length, start = 3600, 1704067200
+    cut = start + 4 * length
+    seconds = b.active_seconds(rows)
+    stored = b.slice_summaries(seconds.filter(f"sec <= {cut + 600}"), length).filter(f"slice < {cut // length}")
+    later = b.slice_summaries(seconds.filter(f"sec >= {cut}"), length).filter(f"slice >= {cut // length}")
+    assert by(b.stitched(stored.unionByName(later)), "cp") == by(b.cadence(rows, slice_seconds=length), "cp")
+
+
 def test_volume_threshold_reads_the_rank(spark):
     counts = [1] * 15 + [2, 3, 40, 50, 60]
     frame = spark.createDataFrame([(c,) for c in counts], "n long")
