@@ -65,23 +65,29 @@ def band_names(scheme: Scheme) -> list[str]:
     return ["micro", *(band for _, band in scheme.grid), "other"]
 
 
-def size_band(usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
-    """CLS1 as SQL text: below the floor, the first grid price within tolerance, or other."""
+def _by_size(usd: str, scheme: Scheme, values: Mapping[str, str], off_grid: str) -> str:
+    """One flat CASE over the grid, so a filter on the result stays a handful of comparisons."""
     near = " ".join(
-        f"WHEN abs({usd} - {float(price)}D) / {float(price)}D <= {scheme.tolerance}D THEN {quoted([band])}" for price, band in scheme.grid
+        f"WHEN abs({usd} - {float(price)}D) / {float(price)}D <= {scheme.tolerance}D THEN {quoted([values[band]])}" for price, band in scheme.grid
     )
-    return f"CASE WHEN {usd} < {scheme.floor}D THEN 'micro' {near} ELSE 'other' END"
+    return f"CASE WHEN {usd} < {scheme.floor}D THEN {quoted([values['micro']])} {near} ELSE {off_grid} END"
+
+
+def size_band(usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS1 as SQL text: below the floor, the first grid price within tolerance, or other."""
+    return _by_size(usd, scheme, {b: b for b in band_names(scheme)}, "'other'")
 
 
-def fine_class(band: str = "band", usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+def fine_class(usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
     """CLS2 as SQL text: named grid sizes; everything off the grid stays visible on its own."""
     off_grid = f"CASE WHEN {usd} < {scheme.small_below}D THEN 'nonstandard (small)' ELSE 'nonstandard (large)' END"
-    return _case(band, scheme.fine, off_grid)
+    return _by_size(usd, scheme, scheme.fine, off_grid)
 
 
-def coarse_class(fine: str = "fine", scheme: Scheme = DEFAULT_SCHEME) -> str:
-    """CLS2 as SQL text."""
-    return f"CASE WHEN {fine} LIKE 'nonstandard%' THEN 'nonstandard' ELSE {_case(fine, scheme.coarse, quoted(['growth']))} END"
+def coarse_class(usd: str = "usd", scheme: Scheme = DEFAULT_SCHEME) -> str:
+    """CLS2 as SQL text: the coarse class of each fine one; grid sizes without one are growth."""
+    coarse = {band: scheme.coarse.get(fine, "growth") for band, fine in scheme.fine.items()}
+    return _by_size(usd, scheme, coarse, "'nonstandard'")
 
 
 def classified(df: DataFrame, scheme: Scheme = DEFAULT_SCHEME) -> DataFrame:
