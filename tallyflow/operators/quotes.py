@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tallyflow.session import settle
 
 
+STATE = "anchor double, pending double, accepted boolean"
+
+
 class QuoteState(NamedTuple):
     """Anchor to judge against, the last in-band quote, and whether any quote set the anchor."""
 
@@ -84,42 +87,38 @@ def validate_quotes(
 
     ``quotes`` is ``(asset, ts, key, price, fallback)``; ``anchors`` is
     ``(asset, anchor)``. The machine is sequential, yet all slices run at once:
-    first from the given anchor, then from the end state of the slice before,
-    until no start state changes. Each slice then began where its predecessor
-    ended, which is the sequential result; usually two or three rounds do.
+    first from the given anchor, then, where that differs, from the end state
+    of the slice before, until no start state changes. Each slice then began
+    where its predecessor ended, which is the sequential result; usually two or
+    three rounds do, and only slices whose start moved run again.
     """
     rows = settle(sliced(quotes.select("asset", "ts", "key", "price", "fallback"), rows_per_slice), "quotes")
-    seed = anchors.select(
-        "asset", F.col("anchor").alias("seed"), F.lit(None).cast("double").alias("pending"), F.lit(False).alias("accepted")
-    )
-    starts = settle(
-        rows.select("asset", "slice").distinct().join(seed, "asset").withColumn("anchor", F.col("seed")), "quote_starts"
+    seed = anchors.selectExpr("asset", "anchor AS seed", "anchor", "CAST(NULL AS DOUBLE) AS pending", "false AS accepted")
+    state = settle(
+        rows.select("asset", "slice").distinct().join(seed, "asset").selectExpr(
+            "*", "CAST(NULL AS STRUCT<anchor: DOUBLE, pending: DOUBLE, accepted: BOOLEAN>) AS ended", "true AS stale"
+        ),
+        "quote_state",
     )
-    in_order = W.partitionBy("asset").orderBy("slice")
 
-    def ended(group: pd.DataFrame) -> pd.DataFrame:
+    def end_state(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
         end, _ = run_quotes(_state_of(first), group.sort_values(["ts", "key"]), factor, confirm)
-        return pd.DataFrame([(first["asset"], first["slice"], *end)], columns=["asset", "slice", "e_anchor", "e_pending", "e_accepted"])
-
-    while True:
-        ends = (
-            rows.join(starts, ["asset", "slice"]).groupBy("asset", "slice")
-            .applyInPandas(ended, "asset string, slice long, e_anchor double, e_pending double, e_accepted boolean")
-        )
-        moved = settle(
-            starts.join(ends, ["asset", "slice"]).select(
-                "asset", "slice", "seed",
-                F.coalesce(F.lag("e_anchor").over(in_order), F.col("seed")).alias("anchor"),
-                F.lag("e_pending").over(in_order).alias("pending"),
-                F.coalesce(F.lag("e_accepted").over(in_order), F.lit(False)).alias("accepted"),
-                F.struct("anchor", "pending", "accepted").alias("was"),
-            ),
-            "quote_starts",
+        return pd.DataFrame([(first["asset"], first["slice"], *end)], columns=["asset", "slice", *QuoteState._fields])
+
+    before = "lag(ended) OVER (PARTITION BY asset ORDER BY slice)"
+    start = [f"coalesce({before}.anchor, seed) AS anchor", f"{before}.pending AS pending", f"coalesce({before}.accepted, false) AS accepted"]
+    while not state.filter("stale").isEmpty():
+        due = state.filter("stale").select("asset", "slice", *QuoteState._fields)
+        ran = rows.join(due, ["asset", "slice"]).groupBy("asset", "slice").applyInPandas(end_state, f"asset string, slice long, {STATE}")
+        ends = ran.select("asset", "slice", F.struct(*QuoteState._fields).alias("new_end"))
+        moved = state.join(ends, ["asset", "slice"], "left").selectExpr(
+            "asset", "slice", "seed", "coalesce(new_end, ended) AS ended", "struct(anchor, pending, accepted) AS began"
+        ).selectExpr("asset", "slice", "seed", "ended", "began", *start)
+        state = settle(
+            moved.selectExpr("* EXCEPT (began)", "NOT (struct(anchor, pending, accepted) <=> began) AS stale"), "quote_state"
         )
-        starts = moved.drop("was")
-        if moved.filter(~F.struct("anchor", "pending", "accepted").eqNullSafe(F.col("was"))).isEmpty():
-            break
+    starts = state.select("asset", "slice", *QuoteState._fields)
 
     def judged(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts", "key"])

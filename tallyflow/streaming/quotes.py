@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyflow.operators.quotes import QuoteState, run_quotes
+from tallyflow.operators.quotes import STATE, QuoteState, run_quotes
 
-STATE_SCHEMA = "anchor double, pending double, accepted boolean"
 OUTPUT_SCHEMA = "asset string, ts timestamp, key string, price double, rate double, source string, anchor double"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,7 +21,7 @@ class QuoteProcessor(StatefulProcessor):
         self.anchors, self.factor, self.confirm = anchors, factor, confirm
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("quote", STATE_SCHEMA)
+        self.state = handle.getValueState("quote", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (asset,) = key
