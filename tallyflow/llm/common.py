@@ -37,6 +37,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """A batch of texts in pieces of about ``most`` bytes, so that work on it stays small; a longer text is a piece of its own."""
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1] if len(column) else np.zeros(0, np.int64)
+    at, base = 0, int(np.frombuffer(column.buffers()[1], np.int64)[column.offset]) if len(column) else 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield column.slice(at, stop - at)
+        at, base = stop, int(ends[stop - 1])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MULTIPLIER
     return h ^ (h >> np.uint64(29))
@@ -113,24 +124,23 @@ def hashed_words(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE)
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles; fewer words make one shingle of the whole sequence."""
-    raw, bounds = text_bytes(column)
-    words, before = hashed_words(raw, bounds)
     odd = [np.uint64(0xD6E8FEB86659FD93 + 2 * k * 0x51ED270B) for k in range(width)]
-    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for k in range(width):
-        rolled += mixed(words[k : k + len(rolled)] * odd[k])
-    rolled = mixed(rolled)
-    for i in range(len(column)):
-        a, b = int(before[i]), int(before[i + 1])
-        if b - a >= width:
-            yield np.unique(rolled[a : b - width + 1])
-        elif b > a:
-            whole = np.uint64(b - a)
-            for k in range(b - a):
-                whole = whole + mixed(words[a + k : a + k + 1] * odd[k])
-            yield mixed(mixed(whole))
-        else:
-            yield np.zeros(0, np.uint64)
+    for piece in slices(column):
+        words, before = hashed_words(*text_bytes(piece))
+        rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+        for k in range(width):
+            rolled += mixed(words[k : k + len(rolled)] * odd[k])
+        rolled = mixed(rolled)
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            if b - a >= width:
+                yield np.unique(rolled[a : b - width + 1])
+            elif b > a:
+                whole = np.uint64(b - a)
+                for k in range(b - a):
+                    whole = whole + mixed(words[a + k : a + k + 1] * odd[k])
+                yield mixed(mixed(whole))
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 # --- tokens ------------------------------------------------------------------

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import MARKS, hashed_words, mixed, text_bytes
+from tallyflow.llm.common import MARKS, hashed_words, mixed, slices, text_bytes
 from tallyflow.session import settle
 
 
@@ -50,17 +50,17 @@ def features(column: pa.Array, bits: int) -> Iterator[np.ndarray]:
     Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z. Coordinate
     0 is the bias, which every text has, an empty one too.
     """
-    raw, bounds = text_bytes(column)
-    words, before = hashed_words(raw, bounds, MARKS)
-    right = mixed(words * np.uint64(0xD6E8FEB86659FD93))
-    gap = mixed(words * np.uint64(0xC2B2AE3D27D4EB4F))
     shift = np.uint64(64 - bits)
-    one = (mixed(words) >> shift).astype(np.int32)
-    two = (mixed(words[:-1] + right[1:]) >> shift).astype(np.int32)
-    skip = (mixed(words[:-2] + gap[2:]) >> shift).astype(np.int32)
     bias = np.zeros(1, np.int32)
-    for a, b in zip(before[:-1], before[1:], strict=True):
-        yield np.unique(np.concatenate([bias, one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]]))
+    for piece in slices(column):
+        words, before = hashed_words(*text_bytes(piece), MARKS)
+        right = mixed(words * np.uint64(0xD6E8FEB86659FD93))
+        gap = mixed(words * np.uint64(0xC2B2AE3D27D4EB4F))
+        one = (mixed(words) >> shift).astype(np.int32)
+        two = (mixed(words[:-1] + right[1:]) >> shift).astype(np.int32)
+        skip = (mixed(words[:-2] + gap[2:]) >> shift).astype(np.int32)
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            yield np.unique(np.concatenate([bias, one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]]))
 
 
 def weights(z: np.ndarray, n: np.ndarray, p: Ftrl) -> np.ndarray:
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label: str = "toxi
 
 def _feature_rows(bits: int):
     def rows(text: pa.Array) -> pa.Array:
-        return pa.array(list(features(text, bits)), pa.list_(pa.int32()))
+        pieces = [pa.array(list(features(piece, bits)), pa.list_(pa.int32())) for piece in slices(text)]
+        return pa.concat_arrays(pieces) if pieces else pa.array([], pa.list_(pa.int32()))
 
     return rows
 
