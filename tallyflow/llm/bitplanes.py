@@ -44,7 +44,7 @@ def from_planes(planes: np.ndarray, n: int, kind: str) -> np.ndarray:
     if kind == "byte":
         return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
     bits = np.unpackbits(planes, axis=1, count=n)
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 def write_file(documents: list[bytes], kind: str = "byte", chunk_ids: int = 1 << 16, level: int = 3) -> bytes:
