@@ -37,7 +37,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": memory, "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": memory, "spark.ui.enabled": "false",
+           "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH", os.path.abspath("spark-warehouse"))},
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

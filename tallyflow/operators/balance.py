@@ -198,7 +198,7 @@ def burn(ledger: DataFrame, as_of: datetime, scheme: Scheme) -> DataFrame:
             f"{sum_where('true', 'usd')} AS out7",
         )
     )
-    spanned = sums.withColumn("span_days", F.coalesce(older, F.expr("greatest(age, 1D)"), F.lit(7.0)))
+    spanned = sums.withColumn("span_days", F.coalesce(older, F.expr("CASE WHEN age IS NULL THEN 7D ELSE greatest(age, 1D) END")))
     return spanned.selectExpr("burn24", "burn_prev", "span_days", "burn7 / span_days AS burn7avg", "out7 / span_days AS out7avg")
 
 

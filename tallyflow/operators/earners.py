@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions import EARNING, Scheme, at, exprs, quoted, sum_if, tidied, tidy
+from tallyflow.functions import EARNING, Scheme, at, exprs, folded_class, quoted, sum_if, tidied, tidy
 from tallyflow.operators.facts import count_where, rows_in, share
 from tallyflow.session import settle
 
@@ -60,9 +60,14 @@ def earner_totals(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame
     )
 
 
-def unclassified_summary(ledger: DataFrame) -> DataFrame:
-    """AGG36: the fine classes outside the earning ones, with their share of that rest."""
-    return fine_table(ledger.filter(~F.col("cat").isin(*EARNING)))
+def unclassified(ledger: DataFrame, scheme: Scheme) -> DataFrame:
+    """AGG36: payouts whose folded class is no earning one; small amounts off the grid fold into the first class."""
+    return ledger.filter(~F.expr(folded_class(scheme=scheme)).isin(*EARNING))
+
+
+def unclassified_summary(ledger: DataFrame, scheme: Scheme) -> DataFrame:
+    """AGG36: the fine classes of unclassified payouts, with their share of that rest."""
+    return fine_table(unclassified(ledger, scheme))
 
 
 def fine_table(ledger: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def guard(fingerprints: DataFrame, earned_usd) -> DataFrame:
     ).withColumn("total_usd", tidy(earned_usd, 2))
 
 
-def latest_unclassified(ledger: DataFrame, k: int = 40) -> DataFrame:
-    """SRT5: the newest payouts outside the earning classes."""
-    rest = outgoing(ledger).filter(~F.col("cat").isin(*EARNING))
+def latest_unclassified(ledger: DataFrame, scheme: Scheme, k: int = 40) -> DataFrame:
+    """SRT5: the newest unclassified payouts."""
+    rest = unclassified(outgoing(ledger), scheme)
     return rest.orderBy(F.col("ts").desc(), "key").limit(k).select("ts", "key", "cp", tidy("usd", 2).alias("usd"), "fine")

@@ -52,14 +52,17 @@ def rollup(ledger: DataFrame) -> DataFrame:
 
 
 def roll_forward(state: DataFrame, ledger: DataFrame) -> DataFrame:
-    """A stored rollup and the days after it, which alone are read from the ledger.
+    """A stored rollup brought up to date with the ledger.
 
-    Store the new days that are over with ``publish_closed``; after a backfill
-    into stored days, rewrite those days.
+    Days whose row count is not the stored one (new, still open when they were
+    stored, or with late rows) are rolled up anew; the others stay as stored.
+    Of those only the day is read from the ledger.
     """
-    last = state.agg(F.max("day")).first()[0]
-    tail = ledger if last is None else ledger.filter(F.col("day") > F.lit(last))
-    return state.unionByName(settle(rollup(tail), "rollup_tail"))
+    stored = state.groupBy("day").agg(F.sum("n").alias("stored"))
+    moved = ledger.groupBy("day").agg(F.count("*").alias("found")).join(stored, "day", "left")
+    moved = settle(moved.filter(~F.col("found").eqNullSafe(F.col("stored"))).select("day"), "moved_days")
+    tail = settle(rollup(ledger.join(moved, "day", "left_semi")), "rollup_tail")
+    return state.join(moved, "day", "left_anti").unionByName(tail)
 
 
 def _per_counterparty(assets: Sequence[str], rows: str, cond: str = "true") -> list[str]:

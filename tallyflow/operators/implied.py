@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,28 +14,32 @@ from tallyflow.session import settle
 BINS = 4096
 
 
-def group_median(values: DataFrame, keys: Sequence[str], place: Column) -> DataFrame:
+def group_median(values: DataFrame, keys: Sequence[str], place: Column, levels: int = 2) -> DataFrame:
     """Exact median of ``val`` counted ``n`` times, per ``keys``, with the count.
 
     ``place`` is a number in [0, 1) that grows with ``val``. Counts per bin of
-    ``place`` show which bin holds the middle; only that bin is ordered, so a
-    group of any size is never gathered in one task.
+    ``place`` show which bin holds the middle, counts per part of that bin which
+    part does, ``levels`` times; only that part is ordered, so neither a large
+    group nor amounts that lie close together are gathered in one task.
     """
     keys = list(keys)
-    binned = values.withColumn("bin", F.floor(place * BINS))
-    hist = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin"))
-    group = W.partitionBy(*keys)
-    upto = F.sum("in_bin").over(group.orderBy("bin"))
-    ranked = hist.withColumn("before", upto - F.col("in_bin")).withColumn("total", F.sum("in_bin").over(group))
-    lower, upper = F.expr("(total - 1) div 2"), F.expr("total div 2")
-    holds = [(F.col("before") <= r) & (r < F.col("before") + F.col("in_bin")) for r in (lower, upper)]
-    middle = settle(
-        ranked.filter(holds[0] | holds[1]).select(*keys, "bin", "before", "total", lower.alias("lo_rank"), upper.alias("hi_rank")),
-        "median_bins",
+    rows = values.withColumns({"place": place, "bin0": F.lit(0).cast("long")})
+    middle = rows.groupBy(*keys, "bin0").agg(F.sum("n").alias("total")).select(
+        *keys, "bin0", F.lit(0).cast("long").alias("before"), "total",
+        F.expr("(total - 1) div 2").alias("lo_rank"), F.expr("total div 2").alias("hi_rank"),
     )
-    inside = binned.join(middle, [*keys, "bin"])
-    end = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "bin").orderBy("val"))
-    picked = inside.withColumn("end", end)
+    kept = ["total", "lo_rank", "hi_rank"]
+    for level in range(1, levels + 1):
+        above, bin_ = f"bin{level - 1}", f"bin{level}"
+        rows = rows.withColumn(bin_, F.floor(F.col("place") * float(BINS) ** level))
+        counts = rows.join(middle, [*keys, above]).groupBy(*keys, above, bin_, "before", *kept).agg(F.sum("n").alias("in_bin"))
+        upto = F.sum("in_bin").over(W.partitionBy(*keys, above).orderBy(bin_))
+        counts = counts.withColumn("before", F.col("before") + upto - F.col("in_bin"))
+        holds = [(F.col("before") <= F.col(r)) & (F.col(r) < F.col("before") + F.col("in_bin")) for r in ("lo_rank", "hi_rank")]
+        middle = settle(counts.filter(holds[0] | holds[1]).select(*keys, bin_, "before", *kept), "median_bins")
+    last = f"bin{levels}"
+    inside = rows.join(middle, [*keys, last])
+    picked = inside.withColumn("end", F.col("before") + F.sum("n").over(W.partitionBy(*keys, last).orderBy("val")))
 
     def value_at(rank: str) -> Column:
         return F.max(F.when((F.col("end") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("end")), F.col("val")))
@@ -47,28 +49,8 @@ def group_median(values: DataFrame, keys: Sequence[str], place: Column) -> DataF
     )
 
 
-def _fold_asset(group: pd.DataFrame, notional: float, factor: float, min_seeds: int) -> pd.DataFrame:
-    """The recurrence itself, newest day first, over one asset's distinct amounts per day."""
-    ref, out = float(group["live"].iloc[0]), []
-    for day, rows in sorted(group.groupby("day"), reverse=True):
-        kept = rows["kept"].iloc[0]
-        if not pd.isna(kept):
-            ref = float(kept)
-            out.append((rows["asset"].iloc[0], day, ref, ref))
-            continue
-        target = notional / ref
-        seeds = rows[(rows["val"] > target / factor) & (rows["val"] < target * factor)].sort_values("val")
-        total = int(seeds["n"].sum())
-        if total >= min_seeds:
-            low, high = np.searchsorted(seeds["n"].cumsum(), [(total - 1) // 2, total // 2], side="right")
-            vals = seeds["val"].to_numpy()
-            ref = notional / ((vals[low] + vals[high]) / 2)
-            out.append((rows["asset"].iloc[0], day, None, ref))
-    return pd.DataFrame(out, columns=["asset", "day", "kept", "rate"])
-
-
 def _rounds(amounts: DataFrame, days: DataFrame, notional: float, factor: float, min_seeds: int) -> DataFrame:
-    """The same rates without ever holding an asset in one task."""
+    """All days at once from assumed rates, those whose assumption moved again, until none does."""
     later = W.partitionBy("asset").orderBy(F.col("day").desc()).rowsBetween(W.unboundedPreceding, -1)
 
     def chained(found: DataFrame) -> Column:
@@ -89,7 +71,7 @@ def _rounds(amounts: DataFrame, days: DataFrame, notional: float, factor: float,
         state = settle(
             again.select(
                 "asset", "day", "live", "kept", "rate",
-                (F.col("kept").isNull() & (F.col("next") != F.col("assumed"))).alias("stale"),
+                (F.col("kept").isNull() & ~F.col("next").eqNullSafe(F.col("assumed"))).alias("stale"),
                 F.col("next").alias("assumed"),
             ),
             "implied",
@@ -105,7 +87,6 @@ def implied_rates(
     notional: float = 0.10,
     factor: float = 2.5,
     min_seeds: int = 5,
-    fold_rows: int = 1_000_000,
 ) -> DataFrame:
     """AGG17: ``(asset, day, rate, is_open)`` for days with enough fixed-price payouts.
 
@@ -113,33 +94,22 @@ def implied_rates(
     never changes. A day's seeds are the amounts near ``notional`` priced at the
     nearest later day's rate, so each day depends on the one after it.
 
-    Amounts are first counted per asset, day and value. An asset with up to
-    ``fold_rows`` of those is walked day by day in one task. For a larger asset
-    all days are evaluated together from assumed rates, then those whose assumed
-    rate turned out different again, until none is left. Each round makes at
-    least one more day final, counted from the newest, and the only point where
-    nothing moves is the sequential answer. Clustered payouts need a round or
-    two, because the seed window is far wider than the cluster.
+    Amounts are first counted per asset, day and value. All days are evaluated
+    together from assumed rates, then those whose assumed rate turned out different
+    again, until none is left. Each round makes at least one more day final,
+    counted from the newest, and the only point where nothing moves is the
+    sequential answer. Clustered payouts need a round or two, because the seed
+    window is far wider than the cluster. An asset without a reference rate has
+    rates from its first persisted day on, going back.
     """
     amounts = settle(ledger.groupBy("asset", "day", "val").agg(F.count("*").alias("n")), "amounts")
     known = ref.select("asset", F.col("rate").alias("live"))
-    kept = None if persisted is None else persisted.select("asset", "day", F.col("rate").alias("kept"))
-
-    def with_refs(df: DataFrame) -> DataFrame:
-        live = df.join(known, "asset")
-        return live.withColumn("kept", F.lit(None).cast("double")) if kept is None else live.join(kept, ["asset", "day"], "left")
-
-    sizes = settle(amounts.groupBy("asset").agg((F.count("*") <= fold_rows).alias("small")), "asset_sizes")
-    small, large = sizes.filter("small").select("asset"), sizes.filter("not small").select("asset")
-    fold = lambda pdf: _fold_asset(pdf, notional, factor, min_seeds)
-    found = (
-        with_refs(amounts.join(small, "asset")).groupBy("asset")
-        .applyInPandas(fold, "asset string, day date, kept double, rate double")
-    )
-    if not large.isEmpty():
-        rest = settle(amounts.join(large, "asset"), "large_amounts")
-        days = with_refs(rest.select("asset", "day").distinct())
-        found = found.unionByName(_rounds(rest, days, notional, factor, min_seeds))
+    days = amounts.select("asset", "day").distinct().join(known, "asset", "left")
+    if persisted is None:
+        days = days.withColumn("kept", F.lit(None).cast("double"))
+    else:
+        days = days.join(persisted.select("asset", "day", F.col("rate").alias("kept")), ["asset", "day"], "left")
+    found = _rounds(amounts, days, notional, factor, min_seeds)
     is_open = F.lit(False) if as_of is None else F.col("day") == F.lit(as_of.date())
     return found.select(
         "asset", "day", F.round("rate", 10).alias("rate"), (is_open & F.col("kept").isNull()).alias("is_open")

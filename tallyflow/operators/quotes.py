@@ -18,7 +18,7 @@ STATE = "anchor double, pending double, accepted boolean"
 class QuoteState(NamedTuple):
     """Anchor to judge against, the last in-band quote, and whether any quote set the anchor."""
 
-    anchor: float
+    anchor: float | None
     pending: float | None
     accepted: bool
 
@@ -34,8 +34,11 @@ def quote_step(
 
     No price means the quote could not be fetched; a zero price is a rejected
     one and forgets the pending quote. Two close in-band quotes in a row move
-    the anchor; a sane fallback price moves it at once.
+    the anchor; a sane fallback price moves it at once. Without an anchor nothing
+    can be judged: there is no rate, and the source says so.
     """
+    if state.anchor is None:
+        return state, None, "no-anchor"
     if price is not None and price > 0 and _inside(price, state.anchor, factor):
         moved = _inside(price, state.pending, confirm)
         after = QuoteState(price if moved else state.anchor, price, state.accepted or moved)
@@ -60,7 +63,7 @@ def run_quotes(state: QuoteState, quotes: pd.DataFrame, factor: float, confirm:
 
 
 def _state_of(row: pd.Series) -> QuoteState:
-    return QuoteState(float(row["anchor"]), _optional(row["pending"]), bool(row["accepted"]))
+    return QuoteState(_optional(row["anchor"]), _optional(row["pending"]), bool(row["accepted"]))
 
 
 def sliced(quotes: DataFrame, rows_per_slice: int) -> DataFrame:
@@ -86,7 +89,8 @@ def validate_quotes(
     """WIN20: rate in force, its source and the anchor after every quote.
 
     ``quotes`` is ``(asset, ts, key, price, fallback)``; ``anchors`` is
-    ``(asset, anchor)``. The machine is sequential, yet all slices run at once:
+    ``(asset, anchor)``. Quotes of an asset without an anchor are kept, without a
+    rate. The machine is sequential, yet all slices run at once:
     first from the given anchor, then, where that differs, from the end state
     of the slice before, until no start state changes. Each slice then began
     where its predecessor ended, which is the sequential result; usually two or
@@ -95,8 +99,8 @@ def validate_quotes(
     rows = settle(sliced(quotes.select("asset", "ts", "key", "price", "fallback"), rows_per_slice), "quotes")
     seed = anchors.selectExpr("asset", "anchor AS seed", "anchor", "CAST(NULL AS DOUBLE) AS pending", "false AS accepted")
     state = settle(
-        rows.select("asset", "slice").distinct().join(seed, "asset").selectExpr(
-            "*", "CAST(NULL AS STRUCT<anchor: DOUBLE, pending: DOUBLE, accepted: BOOLEAN>) AS ended", "true AS stale"
+        rows.select("asset", "slice").distinct().join(seed, "asset", "left").selectExpr(
+            "* EXCEPT (accepted)", "coalesce(accepted, false) AS accepted", "CAST(NULL AS STRUCT<anchor: DOUBLE, pending: DOUBLE, accepted: BOOLEAN>) AS ended", "true AS stale"
         ),
         "quote_state",
     )

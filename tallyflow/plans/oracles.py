@@ -32,6 +32,7 @@ B = """b AS (
   UNION ALL
   SELECT 'IN', o_orderdate, CAST(o_orderdate AS DATE), 1.0, 'c' || CAST(o_custkey AS VARCHAR), o_totalprice FROM orders)"""
 
+FOLDED = "CASE WHEN cat <> 'nonstandard' THEN cat WHEN usd < 20 THEN 'invoke' ELSE 'growth' END"
 SPARSE = "rates AS (SELECT asset, day, avg(val) / 1000 AS rate FROM a WHERE day(day) % 2 = 1 GROUP BY asset, day)"
 
 D = "strftime({0}, '%Y-%m-%d')"
@@ -282,7 +283,7 @@ ORACLES: dict[str, str] = {
       count(DISTINCT CAST(l_shipdate AS DATE)) AS days, {d('min(l_shipdate)')} AS first, {d('max(l_shipdate)')} AS last,
       round(sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem) * 100, 1) AS share
       FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey ORDER BY usd DESC, cp LIMIT 25""",
-    "top_sources": f"""SELECT 'c' || CAST(o_custkey AS VARCHAR) AS cp, any_value(CASE WHEN c_custkey % 2 = 0 THEN c_name END) AS label, count(*) AS n,
+    "top_sources": f"""SELECT 'c' || CAST(o_custkey AS VARCHAR) AS cp, any_value(c_name) AS label, count(*) AS n,
       round(sum(o_totalprice), 2) AS usd, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, {d('min(o_orderdate)')} AS first, {d('max(o_orderdate)')} AS last,
       round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders) * 100, 1) AS share
       FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey ORDER BY usd DESC, cp LIMIT 10""",
@@ -303,14 +304,14 @@ ORACLES: dict[str, str] = {
     "earner_totals": f"""WITH {C} SELECT count(DISTINCT cp) AS earners, round(sum(usd), 2) AS usd,
       round(count(*) FILTER (WHERE cat = 'invoke') / count(*) FILTER (WHERE cat = 'equip'), 0) AS invoke_per_equip FROM o WHERE cat IN ('invoke', 'equip')""",
     "fine_table": f"""WITH {C} SELECT fine, count(*) AS n, round(sum(usd), 2) AS usd, round(sum(usd) / (SELECT sum(usd) FROM o) * 100, 1) AS share FROM o GROUP BY fine""",
-    "unclassified_summary": f"""WITH {C}, r AS (SELECT * FROM o WHERE cat NOT IN ('invoke', 'equip'))
+    "unclassified_summary": f"""WITH {C}, r AS (SELECT * FROM o WHERE {FOLDED} NOT IN ('invoke', 'equip'))
       SELECT fine, count(*) AS n, round(sum(usd), 2) AS usd, round(sum(usd) / (SELECT sum(usd) FROM r) * 100, 1) AS share FROM r GROUP BY fine""",
     "earn_loop": f"""WITH {C}, credited AS (SELECT DISTINCT cp FROM o WHERE fine = 'credit'),
       earned AS (SELECT cp, round(sum(usd), 2) AS usd FROM o WHERE cat IN ('invoke', 'equip') GROUP BY cp), both_sides AS (SELECT * FROM earned WHERE cp IN (SELECT cp FROM credited))
       SELECT (SELECT count(*) FROM credited) AS credit_recip_n, count(*) AS loop_n, round(sum(usd), 2) AS loop_usd,
         count(*) FILTER (WHERE usd > 10) AS loop_gt10, count(*) FILTER (WHERE usd > 50) AS loop_gt50 FROM both_sides""",
     "latest_unclassified": f"""WITH {C} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, key, cp, round(usd, 2) AS usd, fine
-      FROM o WHERE cat NOT IN ('invoke', 'equip') ORDER BY o.ts DESC, key LIMIT 40""",
+      FROM o WHERE {FOLDED} NOT IN ('invoke', 'equip') ORDER BY o.ts DESC, key LIMIT 40""",
     "range_bands": f"""WITH {C} SELECT CASE WHEN usd * 0.01::DOUBLE < 0.06::DOUBLE THEN 'micro' WHEN usd * 0.01::DOUBLE < 0.4::DOUBLE THEN 'invoke' WHEN usd * 0.01::DOUBLE < 2 THEN 'equip' WHEN usd * 0.01::DOUBLE < 7 THEN 'incentive' ELSE 'topup' END AS five,
       CASE WHEN usd < 2 THEN 'micro' WHEN usd < 8 THEN 'invoke' WHEN usd < 20 THEN 'equip' ELSE 'large' END AS four,
       CASE WHEN cat <> 'nonstandard' THEN cat WHEN usd < 20 THEN 'invoke' ELSE 'growth' END AS folded, count(*) AS n, round(sum(usd), 2) AS usd FROM o GROUP BY 1, 2, 3""",
@@ -444,7 +445,7 @@ ORACLES: dict[str, str] = {
     "label_scan": """SELECT '0x' || CAST(s_suppkey AS VARCHAR) AS cp, 'known' AS label FROM supplier WHERE s_suppkey < 10
       UNION ALL SELECT '0x' || CAST(s_suppkey AS VARCHAR), s_name || ' (named)' FROM supplier WHERE s_suppkey >= 10 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""",
     "archive_scan": f"WITH {A} SELECT direction, {d('day')} AS day, count(*) AS n, round(sum(val), 2) AS val, count(DISTINCT cp) AS cps FROM a GROUP BY direction, a.day",
-    "price_map_scan": f"WITH {A}, {SPARSE} SELECT asset, {d('day')} AS day, round(rate, 8) AS rate FROM rates WHERE asset = 'A0'",
+    "price_map_scan": f"WITH {A}, {SPARSE} SELECT asset, {d('day')} AS day, round(rate, 8) AS rate FROM rates",
     "ohlcv_scan": f"WITH {A}, {_CANDLES} SELECT asset, {d('day')} AS day, close FROM closes",
     "state_scan": f"WITH {A}, {SPARSE} SELECT asset, {d('day')} AS day, round(rate, 8) AS rate FROM rates",
     "quote_scan": f"""WITH {A}, q AS (SELECT *, CASE asset WHEN 'A0' THEN 20.0::DOUBLE ELSE 30.0::DOUBLE END AS anchor FROM a),
@@ -454,7 +455,7 @@ ORACLES: dict[str, str] = {
       SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_utc, direction, c.asset AS token, printf('%.6f', val) AS amount,
         CASE WHEN k.day IS NOT NULL THEN 'day-implied' WHEN day(c.day) = 29 THEN 'day-implied (open)' WHEN c.day > DATE '2024-01-05' THEN 'carry-forward' ELSE 'carry-back' END AS rate_source,
         printf('%.4f', usd) AS usd, CASE WHEN direction = 'OUT' THEN CASE band WHEN 'other' THEN 'other size' ELSE band END ELSE '' END AS size_band, cp AS counterparty,
-        coalesce(c_name, '') AS counterparty_label, key AS tx_hash FROM c LEFT JOIN known k ON k.asset = c.asset AND k.day = c.day LEFT JOIN customer ON c_custkey % 3 = 0 AND CAST(c_custkey AS VARCHAR) = cp""",
+        coalesce(c_name, '') AS counterparty_label, key AS tx_hash FROM c LEFT JOIN known k ON k.asset = c.asset AND k.day = c.day LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = cp""",
     "publish_closed": f"WITH {A}, {_CANDLES} SELECT asset, {d('day')} AS day, CASE WHEN day <= DATE '2024-01-12' THEN 1.0::DOUBLE ELSE close END AS close FROM closes",
     "snapshot_history": """SELECT 'mid' AS run, count(*) AS n, CAST(NULL AS DOUBLE) AS val FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-15'
       UNION ALL SELECT 'end', count(*), round(sum(value), 2) FROM events""",

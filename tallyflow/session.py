@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -38,26 +37,24 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, from ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a temporary folder; a cluster
-    without it is an error, because a machine-local folder would lose data.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_dir(spark.sparkContext.applicationId)
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is not set the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 @functools.cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="tallyflow-")
+def _expiring(spark: SparkSession, folder: str) -> str:
+    """A folder that is removed when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    own = _expiring(spark, f"{shared_dir(spark)}/tallyflow/{spark.sparkContext.applicationId}")
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -14,23 +14,18 @@ from tallyflow.functions import at
 def one_per_key(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One record per key, always the same one, combined before the shuffle."""
     rest = [c for c in batch.columns if c not in keys]
+    if not rest:
+        return batch.distinct()
     return batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*batch.columns)
 
 
-def unseen(batch: DataFrame, bank: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+def unseen(batch: DataFrame, bank: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JN1: batch records whose key the bank does not hold, each key once.
 
-    A record keeps its time, so only the part of the bank in the batch's time
-    range can hold one of its keys. The range is read first and reaches the
-    bank's scan as a plain filter, on ``day`` too where the bank has it.
+    The whole bank is compared, whatever times the records carry; of the bank only
+    the key columns are read.
     """
-    lo, hi = batch.agg(F.min(ts), F.max(ts)).first()
-    if lo is None:
-        return batch
-    near = bank.filter(F.col(ts).between(at(lo), at(hi)))
-    if "day" in bank.columns:
-        near = near.filter(F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
-    return one_per_key(batch, keys).join(near.select(*keys), list(keys), "left_anti")
+    return one_per_key(batch, keys).join(bank.select(*keys), list(keys), "left_anti")
 
 
 def gap_check(bank: DataFrame, batch: DataFrame, ts: str = "ts", exhausted: bool = False) -> DataFrame:
@@ -52,9 +47,9 @@ def ingest_increment(
     result of :func:`unseen` instead of rewriting where the bank is a table.
     """
     complete = gap_check(bank, batch, ts, exhausted).select("complete").scalar()
-    return bank.unionByName(unseen(batch, bank, keys, ts).filter(complete))
+    return bank.unionByName(unseen(batch, bank, keys).filter(complete))
 
 
 def backfill(bank: DataFrame, history: DataFrame, keys: Sequence[str], cutoff: datetime, ts: str = "ts") -> DataFrame:
     """SRC4: extend the bank back to ``cutoff``; nothing older enters, reruns add nothing."""
-    return bank.unionByName(unseen(history.filter(F.col(ts) >= at(cutoff)), bank, keys, ts))
+    return bank.unionByName(unseen(history.filter(F.col(ts) >= at(cutoff)), bank, keys))

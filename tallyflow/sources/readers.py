@@ -115,7 +115,7 @@ def read_labels(
     key = next((headers[a] for a in key_aliases if a in headers), None)
     name = next((headers[a] for a in name_aliases if a in headers), None)
     if key is None or name is None:
-        return spark.createDataFrame([], "cp string, label string")
+        return spark.createDataFrame([], "cp string, label string") if existing is None else existing.select("cp", "label")
     found = (
         rows.select(F.lower(F.trim(F.col(f"`{key}`"))).alias("cp"), F.trim(F.col(f"`{name}`")).alias("label"))
         .filter(F.col("cp").startswith(prefix) & (F.col("label") != ""))
@@ -124,7 +124,7 @@ def read_labels(
     )
     if existing is None:
         return found
-    return existing.select("cp", "label").unionByName(found.join(existing, "cp", "left_anti"))
+    return existing.select("cp", "label").unionByName(found.join(existing.select(F.lower("cp").alias("cp")), "cp", "left_anti"))
 
 
 def read_document(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:

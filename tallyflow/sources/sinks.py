@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.sources.ingest import one_per_key
+
 
 def export_rows(ledger: DataFrame, labels: DataFrame, band_labels: Mapping[str, str] | None = None) -> DataFrame:
     """SNK1: the per-transfer export, OUT before IN and newest first.
@@ -44,8 +46,8 @@ def append_snapshot(row: DataFrame, path: str) -> None:
 
 
 def publish_closed(new: DataFrame, state: DataFrame, keys: Sequence[str], path: str | None = None) -> DataFrame:
-    """SNK3: rows whose key the state lacks; stored keys never change."""
-    fresh = new.join(state.select(*keys), list(keys), "left_anti")
+    """SNK3: rows whose key the state lacks, one per key; stored keys never change."""
+    fresh = one_per_key(new, keys).join(state.select(*keys), list(keys), "left_anti")
     if path is not None:
         fresh.write.mode("append").parquet(path)
     return fresh

@@ -25,7 +25,7 @@ class QuoteProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (asset,) = key
-        stored = self.state.get() if self.state.exists() else (self.anchors[asset], None, False)
+        stored = self.state.get() if self.state.exists() else (self.anchors.get(asset), None, False)
         quotes = pd.concat(list(rows)).sort_values(["ts", "key"])
         end, out = run_quotes(QuoteState(*stored), quotes, self.factor, self.confirm)
         self.state.update(tuple(end))
@@ -40,7 +40,8 @@ class QuoteProcessor(StatefulProcessor):
 def validate_quotes_stream(quotes: DataFrame, anchors: dict[str, float], factor: float = 5, confirm: float = 2) -> DataFrame:
     """ST5: :func:`tallyflow.operators.quotes.validate_quotes` on a stream of quotes.
 
-    ``quotes`` is ``(asset, ts, key, price, fallback)``. A batch holds one
+    ``quotes`` is ``(asset, ts, key, price, fallback)``; an asset without an anchor
+    gets no rate. A batch holds one
     asset's quotes in memory, so size it with the source's files-per-trigger.
     Needs the RocksDB state store.
     """

@@ -133,8 +133,8 @@ def publish_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
 def ingest_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """ST1 without a watermark: a batch function that adds records the table at ``path`` does not hold.
 
-    Copies of a key combine before they are shuffled, however many there are,
-    and only the stored records in the batch's time range are compared.
+    Copies of a key combine before they are shuffled, however many there are;
+    of the stored records only the keys are read.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:

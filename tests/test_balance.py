@@ -95,3 +95,12 @@ def test_burn_span_and_runway(ledger, oldest, span):
     left = one(bal.runway(bal.burn(rows, as_of, DEFAULT_SCHEME), F.lit(100.0)))
     assert left["runway7"] == round(100 / (recent / span), 1)
     assert one(bal.runway(bal.burn(rows.filter("direction = 'IN'"), as_of, DEFAULT_SCHEME), F.lit(1.0)))["runway24"] is None
+
+
+def test_an_empty_ledger_spans_a_week(ledger):
+    from datetime import datetime
+
+    from tallyflow.functions import DEFAULT_SCHEME
+
+    nothing = ledger([("IN", 0, "T", 1, "x")]).filter("blk < 0")
+    assert one(bal.burn(nothing, datetime(2024, 1, 31), DEFAULT_SCHEME))["span_days"] == 7.0

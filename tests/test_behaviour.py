@@ -1,33 +1,11 @@
 import math
 import random
-import statistics
 
 import pytest
 
 from tallyflow.operators import behaviour as b
 from tests.conftest import by, one
 
-EDGES = [30, 120, 600, 3600, 21600]
-
-
-def brute(secs):
-    secs = sorted(secs)
-    n, gaps = len(secs), [y - x for x, y in zip(secs, secs[1:])]
-    hist = {}
-    for g in gaps:
-        i = sum(1 for e in EDGES if g >= e)
-        hist[i] = hist.get(i, 0) + 1
-    ent = max(-sum(c / len(gaps) * math.log(c / len(gaps)) for c in hist.values()) / math.log(6), 0.0)
-    acf = 0.0
-    if len(gaps) >= 3:
-        x, y = gaps[:-1], gaps[1:]
-        mx, my = statistics.mean(x), statistics.mean(y)
-        den = math.sqrt(sum((i - mx) ** 2 for i in x) * sum((j - my) ** 2 for j in y))
-        acf = sum((i - mx) * (j - my) for i, j in zip(x, y)) / den if den else 0.0
-    burst = max(sum(1 for u in secs if 0 <= u - t <= 600) for t in secs) / n
-    return {"n": n, "span_h": (secs[-1] - secs[0]) / 3600, "ent": ent, "acf": acf, "burst": burst}
-
-
 def feeds():
     rnd = random.Random(11)
     out = {
@@ -46,16 +24,30 @@ def feeds():
     return out
 
 
+LN6 = math.log(6)
+BY_HAND = {
+    # 39 gaps of 60 s in one bin; 600 s hold 11 of 40 events
+    "even": {"n": 40, "span_h": 0.65, "ent": 0.0, "acf": 0.0, "burst": 11 / 40},
+    "same": {"n": 12, "span_h": 0.0, "ent": 0.0, "acf": 0.0, "burst": 1.0},
+    # 20 gaps of 0 s and 19 of 1000 s take turns
+    "pairs": {"n": 40, "span_h": 19000 / 3600, "ent": -(20 / 39 * math.log(20 / 39) + 19 / 39 * math.log(19 / 39)) / LN6, "acf": -1.0, "burst": 2 / 40},
+}
+
+
 @pytest.mark.parametrize("slice_seconds", [700, 3600, 86400, b.SLICE_SECONDS])
-def test_cadence_matches_brute_force(ledger, slice_seconds):
+def test_cadence_by_hand_and_in_slices(ledger, slice_seconds):
     data = feeds()
     rows = [("OUT", s, "T", 1, cp) for cp, secs in data.items() for s in secs]
+    rows += [("OUT", s + 86400 * 3, "T", 1, f"later {cp}") for cp, secs in data.items() for s in secs]
     random.Random(1).shuffle(rows)
     got = by(b.cadence(ledger(rows), min_events=10, slice_seconds=slice_seconds), "cp")
-    assert set(got) == set(data) - {"few"}
-    for cp, row in got.items():
-        want = brute(data[cp])
-        assert {k: row[k] for k in want} == pytest.approx(want, abs=1e-9), cp
+    whole = by(b.cadence(ledger(rows), min_events=10), "cp")
+    assert set(got) == {f"{p}{cp}" for cp in set(data) - {"few"} for p in ("", "later ")}
+    for cp, want in BY_HAND.items():
+        assert {k: got[cp][k] for k in want} == pytest.approx(want, abs=1e-9), cp
+    for cp, row in got.items():  # neither the slices nor a shift of all times change a measure
+        for other in (whole[cp], got[cp.removeprefix("later ")]):
+            assert [row[k] for k in ("n", "span_h", "ent", "acf", "burst")] == pytest.approx([other[k] for k in ("n", "span_h", "ent", "acf", "burst")], abs=1e-9), cp
 
 
 @pytest.mark.parametrize("slice_seconds", [700, b.SLICE_SECONDS])
@@ -113,5 +105,4 @@ def test_one_recipient_with_a_third_of_the_ledger(spark):
     seconds = b.active_seconds(events)
     assert seconds.filter("entity = 'hot'").count() == 977
     row = by(b.cadence(events, min_events=1000), "cp")["hot"]
-    want = brute([i % 977 for i in range(2000)])
-    assert row["n"] == 200_000 and row["span_h"] == pytest.approx(976 / 3600) and row["burst"] > 0.6 and want["ent"] < 0.1
+    assert row["n"] == 200_000 and row["span_h"] == pytest.approx(976 / 3600) and row["burst"] > 0.6 and row["ent"] < 0.1

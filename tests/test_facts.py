@@ -80,3 +80,13 @@ def test_repeat_entities_and_projection(ledger):
     got = by(facts.project_day(daily, datetime(2024, 1, 2, 12), ["out_tx"]), "day")
     assert got[date(2024, 1, 2)]["projected_out_tx"] == 2.0 and got[date(2024, 1, 1)]["projected_out_tx"] is None
     assert by(facts.project_day(daily, datetime(2024, 1, 2, 23, 55), ["out_tx"]), "day")[date(2024, 1, 2)]["projected_out_tx"] is None
+
+
+def test_roll_forward_counts_late_rows(ledger):
+    from tallyflow.functions import DEFAULT_SCHEME, classified
+    from tallyflow.operators import facts
+
+    rows = classified(ledger([("OUT", s, "T", 1, "x") for s in (10, 20, 86400, 86410, 172800)]), DEFAULT_SCHEME)
+    stored = facts.rollup(rows.filter("blk in (1, 3)"))
+    grown = facts.roll_forward(stored, rows)
+    assert {r.day.day: r.n for r in grown.groupBy("day").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {1: 2, 2: 2, 3: 1}

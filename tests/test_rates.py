@@ -1,5 +1,4 @@
 import random
-import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -58,84 +57,69 @@ def test_market_deviation_takes_the_upper_median(spark):
     assert one(market_deviation(rates, market, pct=2)) == {"asset": "T", "n": 4, "within": 3, "median_dev": 2.0, "max_dev": 3.0}
 
 
-def brute_rates(rows, live, persisted, min_seeds=5):
-    out = {}
-    for asset, ref in live.items():
-        days = {}
-        for a, d, v in rows:
-            if a == asset:
-                days.setdefault(d, []).append(v)
-        for d in sorted(days, reverse=True):
-            if (asset, d) in persisted:
-                ref = persisted[asset, d]
-                out[asset, d] = round(ref, 10)
-                continue
-            target = 0.10 / ref
-            seeds = [v for v in days[d] if target / 2.5 < v < target * 2.5]
-            if len(seeds) >= min_seeds:
-                ref = 0.10 / statistics.median(seeds)
-                out[asset, d] = round(ref, 10)
-    return out
-
-
-@pytest.mark.parametrize("fold_rows", [1_000_000, 0])
-def test_implied_rates_match_the_sequential_walk(spark, ledger, fold_rows):
-    rnd = random.Random(3)
-    rows = []
-    for asset, start in (("T", 0.01), ("U", 0.02)):
-        price = start
-        for d in range(12, 0, -1):
-            price *= rnd.uniform(0.7, 1.4)
-            for _ in range(rnd.choice([0, 3, 9, 40])):
-                rows.append((asset, d, round(0.1 / price * rnd.uniform(0.95, 1.05), 3)))
-            rows += [(asset, d, rnd.choice([1.0, 300.0, 7.5])) for _ in range(6)]
-    rows += [("T", 6, 9.25)] * 400
-    live = {"T": 0.01, "U": 0.02}
-    persisted = {("U", 7): 0.018, ("T", 30): 5.0}
-    frame = ledger([("OUT", 86400 * (d - 1), a, v, "x") for a, d, v in rows])
-    ref = spark.createDataFrame(list(live.items()), "asset string, rate double")
-    kept = spark.createDataFrame([(a, day(d), r) for (a, d), r in persisted.items()], RATES)
-    got = implied_rates(frame, ref, kept, as_of=datetime(2024, 1, 12, 5), fold_rows=fold_rows).collect()
-    want = brute_rates(rows, live, persisted)
+def test_implied_rates_by_hand(spark, ledger):
+    """Notional 0.10, factor 2.5: at rate r the seeds lie between 0.04 / r and 0.25 / r."""
+    days = {
+        ("T", 12): [8, 9, 10, 11, 12, 4, 25],  # r 0.01: 4 and 25 are outside; median 10
+        ("T", 11): [5, 5, 5, 6, 6, 100],  # r 0.01: median 5
+        ("T", 10): [2.5] * 5 + [20] * 5,  # r 0.02: 2 to 12.5, median 2.5
+        ("T", 9): [2.5] * 4,  # too few
+        ("T", 8): [1.25] * 3 + [2] * 3,  # r 0.04: median 1.625
+        ("U", 7): [5] * 9,  # kept
+        ("U", 6): [0.1 / 0.018] * 3 + [6] * 2,  # r 0.018
+        ("W", 5): [10] * 9,  # no reference rate
+        ("Z", 4): [10] * 9,  # none either, but kept on that day
+        ("Z", 3): [0.1 / 0.02] * 5,
+    }
+    frame = ledger([("OUT", 86400 * (d - 1), a, v, "x") for (a, d), vs in days.items() for v in vs])
+    ref = spark.createDataFrame([("T", 0.01), ("U", 0.02)], "asset string, rate double")
+    kept = spark.createDataFrame([("U", day(7), 0.018), ("T", day(30), 5.0), ("Z", day(4), 0.019)], RATES)
+    got = implied_rates(frame, ref, kept, as_of=datetime(2024, 1, 12, 5)).collect()
+    want = {("T", 12): 0.01, ("T", 11): 0.02, ("T", 10): 0.04, ("T", 8): 0.1 / 1.625, ("U", 7): 0.018, ("U", 6): 0.018, ("Z", 4): 0.019, ("Z", 3): 0.02}
     assert {(r.asset, r.day.day): r.rate for r in got} == pytest.approx(want)
-    assert {r.day.day for r in got if r.is_open} <= {12}
-
-
-def brute_quotes(rows, anchor):
-    last, pending, accepted, out = anchor, None, False, []
-    for price, fallback in rows:
-        source = None
-        rate = last
-        band = last
-        if price is None:
-            pass
-        elif 0 < price and band / 5 < price < band * 5:
-            rate, source = price, "primary"
-            if pending is not None and pending / 2 < price < pending * 2:
-                last, accepted = price, True
-            pending = price
-        else:
-            pending = None
-        if source is None and fallback is not None and band / 5 < fallback < band * 5:
-            rate, source, last, accepted = fallback, "secondary", fallback, True
-        out.append((rate, source or ("last-accepted" if accepted else "fallback"), last))
-    return out
+    assert {(r.asset, r.day.day) for r in got if r.is_open} == {("T", 12)}
 
 
-@pytest.mark.parametrize("rows_per_slice", [3, 17, 10_000])
-def test_quotes_match_the_sequential_machine(spark, rows_per_slice):
-    rnd = random.Random(5)
-    feeds = {
-        "T": [(rnd.choice([None, 0.0, 10.0 * rnd.lognormvariate(0, 1)]), rnd.choice([None, 10.0 * rnd.lognormvariate(0, 0.7)])) for _ in range(120)],
-        "U": [(1.0, None), (1.5, None), (9.0, None), (1.2, None), (None, None), (1.3, None), (5.0, None), (6.5, None), (0.0, 1.1), (1.0, None)],
-    }
-    anchors = {"T": 10.0, "U": 1.0}
+def test_amounts_that_fall_in_one_bin_keep_their_order(spark, ledger):
+    amounts = [10 + i * 1e-9 for i in range(999)]
+    frame = ledger([("OUT", 0, "T", v, "x") for v in random.Random(2).sample(amounts, 999)])
+    ref = spark.createDataFrame([("T", 0.01)], "asset string, rate double")
+    (row,) = implied_rates(frame, ref).collect()
+    assert row.rate == round(0.1 / amounts[499], 10)
+
+
+def test_each_day_may_move_the_next(spark, ledger):
+    frame = ledger([("OUT", 86400 * (20 - k), "T", 10.0 * 2**k, "x") for k in range(20) for _ in range(5)])
+    got = implied_rates(frame, spark.createDataFrame([("T", 0.01)], "asset string, rate double")).collect()
+    assert {r.day.day: r.rate for r in got} == pytest.approx({21 - k: round(0.01 / 2**k, 10) for k in range(20)})
+
+
+def frame_of(spark, feeds):
     rows = [(a, T0 + timedelta(seconds=60 * i), f"{i:04}", p, f) for a, feed in feeds.items() for i, (p, f) in enumerate(feed)]
-    frame = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, key string, price double, fallback double")
-    start = spark.createDataFrame(list(anchors.items()), "asset string, anchor double")
-    got = q.validate_quotes(frame, start, rows_per_slice=rows_per_slice).orderBy("asset", "key").collect()
-    want = [(a, *r) for a in sorted(feeds) for r in brute_quotes(feeds[a], anchors[a])]
-    assert [(r.asset, r.rate, r.source, r.anchor) for r in got] == want
+    return spark.createDataFrame(rows, "asset string, ts timestamp_ntz, key string, price double, fallback double")
+
+
+def test_quotes_by_hand(spark):
+    feed = [
+        (1.0, None), (1.5, None), (9.0, None), (1.2, None), (None, None), (1.3, None), (5.0, None), (6.5, None), (0.0, 1.1), (1.0, None),
+    ]
+    want = [  # rate, source, anchor afterwards
+        (1.0, "primary", 1.0), (1.5, "primary", 1.5), (1.5, "last-accepted", 1.5), (1.2, "primary", 1.5), (1.5, "last-accepted", 1.5),
+        (1.3, "primary", 1.3), (5.0, "primary", 1.3), (1.3, "last-accepted", 1.3), (1.1, "secondary", 1.1), (1.0, "primary", 1.1),
+    ]
+    start = spark.createDataFrame([("U", 1.0)], "asset string, anchor double")
+    for rows_per_slice in (2, 10_000):
+        got = q.validate_quotes(frame_of(spark, {"U": feed, "X": feed[:2]}), start, rows_per_slice=rows_per_slice).orderBy("asset", "key").collect()
+        assert [(r.rate, r.source, r.anchor) for r in got if r.asset == "U"] == want
+        assert [(r.rate, r.source, r.anchor) for r in got if r.asset == "X"] == [(None, "no-anchor", None)] * 2
+
+
+def test_quotes_are_the_same_in_slices_of_any_length(spark):
+    rnd = random.Random(5)
+    feed = [(rnd.choice([None, 0.0, 10.0 * rnd.lognormvariate(0, 1)]), rnd.choice([None, 10.0 * rnd.lognormvariate(0, 0.7)])) for _ in range(120)]
+    start = spark.createDataFrame([("T", 10.0)], "asset string, anchor double")
+    runs = [q.validate_quotes(frame_of(spark, {"T": feed}), start, rows_per_slice=n).orderBy("key").collect() for n in (7, 50, 10_000)]
+    assert runs[0] == runs[1] == runs[2]
 
 
 def test_anchor_moves_only_after_two_close_quotes():

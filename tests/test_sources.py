@@ -52,6 +52,14 @@ def test_labels(spark, tmp_path):
     assert {k: v["label"] for k, v in rows.items()} == {"0xcc": "old", "0xaa": "Ann (x)"}
 
 
+def test_labels_without_a_header_or_with_other_case(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b\n0xAA,Ann\n")
+    (tmp_path / "l.csv").write_text("name,address\nAnn,0xAA\n")
+    known = spark.createDataFrame([("0xAa", "old")], "cp string, label string")
+    for name in ("n.csv", "l.csv"):
+        assert [tuple(r) for r in readers.read_labels(spark, str(tmp_path / name), existing=known).collect()] == [("0xAa", "old")]
+
+
 def test_archive_prices_state(spark, tmp_path):
     doc = {"in": [{"ts": "2024-01-01T00:00:00Z", "val": 2.0, "cp": "0xA"}], "out": [{"ts": "2024-01-02T00:00:00Z", "val": 3.0, "cp": "0xB"}]}
     rows = by(readers.read_archive(spark, write_lines(tmp_path / "a", [doc, {"in": []}])), "direction")
@@ -91,6 +99,18 @@ def test_ingest_is_idempotent_and_guarded(ledger):
     assert ingest.backfill(grown, bank, ["key"], datetime(2024, 1, 1, 0, 0, 2)).count() == 8
 
 
+def test_known_keys_stay_out_whatever_their_time(ledger, spark):
+    from pyspark.sql import functions as F
+
+    bank = ledger([("OUT", s, "T", 1, "x") for s in range(10)])
+    corrected = bank.withColumn("ts", F.expr("ts + INTERVAL 400 DAYS"))
+    timeless = bank.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    for batch in (bank, corrected, timeless, timeless.unionAll(timeless)):
+        assert ingest.unseen(batch, bank, ["key"]).count() == 0
+    assert ingest.unseen(timeless.unionAll(timeless), bank.limit(0), ["key"]).count() == 10
+    assert ingest.unseen(bank.select("key"), bank.filter("blk > 3"), ["key"]).count() == 3
+
+
 def test_one_copied_key_may_fill_the_batch(ledger):
     batch = ledger([("OUT", s, "T", 1, "x") for s in range(4)])
     many = batch.filter("blk = 1").crossJoin(batch.sparkSession.range(5000)).drop("id").unionByName(batch)
@@ -112,7 +132,7 @@ def test_publish_closed_never_changes_rows(spark, tmp_path):
     path = str(tmp_path / "state")
     first = spark.createDataFrame([("T", 1, 1.0), ("T", 2, 2.0)], "asset string, d int, rate double")
     first.write.parquet(path)
-    second = spark.createDataFrame([("T", 2, 9.0), ("T", 3, 3.0)], "asset string, d int, rate double")
+    second = spark.createDataFrame([("T", 2, 9.0), ("T", 3, 3.0), ("T", 3, 4.0)], "asset string, d int, rate double")
     for _ in range(2):
         sinks.publish_closed(second, spark.read.parquet(path), ["asset", "d"], path)
     assert {k: v["rate"] for k, v in by(spark.read.parquet(path), "d").items()} == {1: 1.0, 2: 2.0, 3: 3.0}
