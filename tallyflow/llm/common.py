@@ -160,7 +160,7 @@ class Chunked:
     are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -168,50 +168,44 @@ class Chunked:
         self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        new = {}
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[chunk] = array.array("I", e.ids).tobytes()
-        return new
+                yield chunk, array.array("I", e.ids).tobytes()
 
-    def __call__(self, text: str) -> bytes:
+    def learn(self, lists: list[list[str]]) -> None:
+        """Remembers what the chunks of some texts lack, in few calls of the library."""
+        seen = set().union(*lists)
+        missing = {c for c in seen.difference(self.known) if len(c) <= 64}
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = {c for _, c in zip(range(self.most), (c for c in seen if len(c) <= 64))}
+        # A mark behind a letter is a piece of its own, so the word before it is encoded once for all marks.
+        marked = {c for c in missing if c[-1] in ".,;:!?" and c[-2:-1].isalpha()}
+        apart = {c[:-1] for c in marked}.union(c[-1] for c in marked)
+        self.known.update(self._encoded(list(apart.union(missing.difference(marked)).difference(self.known))))
+        self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
+
+    def joined(self, chunks: list[str]) -> bytes:
         """Ids as unsigned 32-bit numbers, in the machine's order (little-endian here)."""
-        chunks = _CHUNKS.findall(text)
-        missing = set(chunks).difference(self.known)
-        if not missing:
+        try:
             return b"".join(map(self.known.__getitem__, chunks))
-        new = self._learn(list(missing))
-        both = {c: self.known[c] if c in self.known else new[c] for c in set(chunks)}
-        self._keep(new)
-        return b"".join(map(both.__getitem__, chunks))
-
-    def _keep(self, new: dict[str, bytes]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-        self.known.update((c, ids) for c, ids in new.items() if len(c) <= 64)
-
-    def learn_from(self, texts: list[str]) -> None:
-        """Encodes what a batch of texts needs in one call of the library."""
-        missing = set().union(*map(_CHUNKS.findall, texts)).difference(self.known) if texts else set()
-        self._keep(self._learn([c for c in missing if len(c) <= 64][: self.most]))
+        except KeyError:  # long chunks, which are not remembered
+            others = dict(self._encoded(list(set(chunks).difference(self.known))))
+            return b"".join([self.known[c] if c in self.known else others[c] for c in chunks])
 
 
 def token_bytes(path: str, texts: Iterator[str | None], at_once: int = 2_000_000) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit bytes; null counts as empty."""
     encode = per_process(f"tokens {path}", lambda: Chunked(path))
-    group, chars = [], 0
-
-    def flush():
-        encode.learn_from(group)
-        for text in group:
-            yield encode(text)
-
+    lists, chars = [], 0
     for text in texts:
-        group.append(text or "")
-        chars += len(group[-1])
+        lists.append(_CHUNKS.findall(text or ""))
+        chars += len(text or "")
         if chars >= at_once:
-            yield from flush()
-            group, chars = [], 0
-    yield from flush()
+            encode.learn(lists)
+            yield from map(encode.joined, lists)
+            lists, chars = [], 0
+    encode.learn(lists)
+    yield from map(encode.joined, lists)
