@@ -30,16 +30,17 @@ NO_ID = -(2**63)
 class Banding:
     """``percent`` of the union must be shared; ``star`` leaves are confirmed against one copy of their hub.
 
-    A sketch has one bit for each of 256 parts of the hash space. Pairs whose
-    sketches differ in more than ``sketch_bits`` are not confirmed: at the
-    threshold 32 differ on average, and 5 standard deviations are 26.
+    A sketch has for each of 256 parts of the hash space whether the set is there and
+    one bit of its smallest member. Of the parts where either of two sets is, an
+    eighth differ at a similarity of 0.75; pairs beyond that by more than
+    ``deviations`` standard deviations, or of sizes too far apart, are not confirmed.
     """
 
     per_side: int = 12
     rows: int = 2
     width: int = 5
     percent: int = 75
-    sketch_bits: int = 58
+    deviations: float = 5.0
     star: int = 64
 
 
@@ -47,10 +48,11 @@ SIGNED = "doc_id bigint, th bigint, n_shingles bigint, node bigint, halves array
 
 
 def _sketch(s: np.ndarray) -> list[int]:
-    """A bit of the smallest member in each part; members are sorted, so the first is the smallest."""
+    """The bits of the smallest member in each part, then the parts; members are sorted, so the first is the smallest."""
     part, at = np.unique(s & np.uint64(255), return_index=True)
-    bits = np.zeros(256, np.uint8)
+    bits = np.zeros(512, np.uint8)
     bits[part.astype(np.int64)] = (s[at] >> np.uint64(20)).astype(np.uint8) & 1
+    bits[256 + part.astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64).tolist()
 
 
@@ -115,16 +117,24 @@ def buckets(nodes: DataFrame, p: Banding) -> DataFrame:
     return settle(keys.join(hubs, "key"), "buckets")
 
 
-def _differing(a: str, b: str) -> Column:
-    return sum(F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(4))
+def _sketched(nodes: DataFrame, node: str, sketch: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(node), F.struct("sketch", "n_shingles").alias(sketch))
+
+
+def _may_link(a: str, b: str, p: Banding) -> Column:
+    word = lambda c, i: F.get(F.col(c)["sketch"], F.lit(i))
+    differ = sum(F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(4))
+    parts = sum(F.bit_count(word(a, i).bitwiseOR(word(b, i))) for i in range(4, 8))
+    share = (1 - p.percent / 100) / 2
+    small, large = (f(F.col(a)["n_shingles"], F.col(b)["n_shingles"]) for f in (F.least, F.greatest))
+    return (100 * small >= p.percent * large) & (differ <= share * parts + p.deviations * F.sqrt(share * (1 - share) * parts))
 
 
 def star_edges(members: DataFrame, nodes: DataFrame, p: Banding) -> DataFrame:
     """``hub, leaf`` of all cells, once each, whose sketches allow a link."""
     edges = members.filter("node != hub").select("hub", F.col("node").alias("leaf")).distinct()
-    of_hub = nodes.select(F.col("node").alias("hub"), F.col("sketch").alias("s"))
-    of_leaf = nodes.select(F.col("node").alias("leaf"), F.col("sketch").alias("t"))
-    return edges.join(of_hub, "hub").join(of_leaf, "leaf").filter(_differing("s", "t") <= p.sketch_bits).select("hub", "leaf")
+    edges = edges.join(_sketched(nodes, "hub", "s"), "hub").join(_sketched(nodes, "leaf", "t"), "leaf")
+    return edges.filter(_may_link("s", "t", p)).select("hub", "leaf")
 
 
 def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, p: Banding) -> DataFrame:
@@ -136,12 +146,12 @@ def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: D
     named = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     cells = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    named = named.join(cells.select("key", F.col("top.label").alias("top")), "key").join(nodes.select("node", "sketch"), "node")
+    named = named.join(cells.select("key", F.col("top.label").alias("top")), "key").join(_sketched(nodes, "node", "sketch"), "node")
     named = settle(named, "open")
     left = named.filter("label != top").select("key", F.col("node").alias("hub"), F.col("label").alias("of_hub"), F.col("sketch").alias("s"))
     right = named.select("key", F.col("node").alias("leaf"), F.col("label").alias("of_leaf"), F.col("sketch").alias("t"), "top")
     apart = (F.col("of_hub") != F.col("of_leaf")) & ((F.col("of_leaf") == F.col("top")) | (F.col("hub") < F.col("leaf")))
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & (_differing("s", "t") <= p.sketch_bits)).select("hub", "leaf").distinct()
+    pairs = left.join(right, (left["key"] == right["key"]) & apart & _may_link("s", "t", p)).select("hub", "leaf").distinct()
     done = tried.select("hub", "leaf").unionAll(tried.select(F.col("leaf").alias("hub"), F.col("hub").alias("leaf")))
     return pairs.join(done, ["hub", "leaf"], "left_anti")
 
@@ -218,8 +228,8 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     """
     rows = settle(_identified(docs).mapInArrow(_signer(p), SIGNED), "signed")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
-    nodes = settle(nodes.select("node", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch"), "nodes")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    nodes = settle(nodes.select("node", "n_shingles", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch"), "nodes")
     members = buckets(nodes, p)
     tried = settle(star_edges(members, nodes, p), "tried")
     links = confirmed(tried, nodes, docs, p)
