@@ -1,4 +1,4 @@
-"""The three recurring reports, composed from the operators. Nothing runs until a result is written."""
+"""The three recurring reports, composed from the operators. Tables that several sections read are written while a report is built."""
 
 from __future__ import annotations
 
