@@ -100,7 +100,7 @@ def test_burn_span_and_runway(ledger, oldest, span):
 def test_an_empty_ledger_spans_a_week(ledger):
     from datetime import datetime
 
-    from tallyflow.functions import DEFAULT_SCHEME
+    from tallyflow.functions import DEFAULT_SCHEME, classified
 
-    nothing = ledger([("IN", 0, "T", 1, "x")]).filter("blk < 0")
+    nothing = classified(ledger([("IN", 0, "T", 1, "x")]), DEFAULT_SCHEME).filter("blk < 0")
     assert one(bal.burn(nothing, datetime(2024, 1, 31), DEFAULT_SCHEME))["span_days"] == 7.0
