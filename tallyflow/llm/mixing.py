@@ -151,8 +151,7 @@ def plan(docs: DataFrame, schedule: Schedule = Schedule(), fill_rounds: int = 2,
     A source whose target is r times its size gives every document floor(r) copies.
     The rest of the target takes whole documents in the order of a hash as far as
     they fit, then the largest one that still fits, ``fill_rounds`` times, so a
-    document has three copies at most and a source misses less than its smallest
-    unused document. ``times`` has the training time of each copy.
+    document has three copies at most and a source misses little of its target. ``times`` has the training time of each copy.
 
     A document's place in its source is the running size in its slice of hash
     values (a window) after that of the slices before (a row per source and slice;
