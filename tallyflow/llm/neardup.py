@@ -34,6 +34,13 @@ class Banding:
     one bit of its smallest member. Of the parts where either of two sets is, an
     eighth differ at a similarity of 0.75; pairs beyond that by more than
     ``deviations`` standard deviations, or of sizes too far apart, are not confirmed.
+
+    An odd sketch has 1024 bits, each the parity of the members that fall on it, so two
+    of them differ in no more bits than their sets differ in members. Sets above 512
+    members are thinned by powers of two first. Members of a cell that are apart after
+    the first round meet only if their odd sketches allow a link as well.
+
+    Blocks of a cell hold ``block`` members on average.
     """
 
     per_side: int = 12
@@ -42,9 +49,12 @@ class Banding:
     percent: int = 75
     deviations: float = 5.0
     star: int = 64
+    block: int = 1024
 
 
-SIGNED = "doc_id bigint, th bigint, n_shingles bigint, node bigint, halves array<bigint>, sketch array<bigint>"
+SIGNED = "doc_id bigint, th bigint, n_shingles bigint, node bigint, halves array<bigint>, sketch array<bigint>, odd array<bigint>"
+#: Members an odd sketch takes unthinned.
+ODD_MEMBERS = 512
 
 
 def _sketch(s: np.ndarray) -> list[int]:
@@ -56,6 +66,13 @@ def _sketch(s: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def _odd_sketch(s: np.ndarray) -> list[int]:
+    """The parities; the higher bits of a member say whether it stays in a thinned set."""
+    thin = max(0, (len(s) - 1) // ODD_MEMBERS).bit_length()
+    s = s[(s >> np.uint64(40)) & np.uint64((1 << thin) - 1) == 0]
+    return np.packbits(np.bincount(((s >> np.uint64(24)) & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
 def _signer(p: Banding) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(75)
@@ -64,11 +81,11 @@ def _signer(p: Banding) -> Callable:
         times |= np.uint64(1)
         salt = np.arange(2 * p.per_side).astype(np.uint64)
         for batch in batches:
-            n, node, halves, sketch = [], [], [], []
+            n, node, halves, sketch, odd = [], [], [], [], []
             for s in shingle_sets(batch.column(2), p.width):
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), halves.append(None), sketch.append(None)
+                    node.append(None), halves.append(None), sketch.append(None), odd.append(None)
                     continue
                 least = np.full(number, 2**64 - 1, np.uint64)
                 for at in range(0, len(s), 1 << 14):
@@ -79,10 +96,11 @@ def _signer(p: Banding) -> Callable:
                 node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 halves.append(value.astype(np.int64))
                 sketch.append(_sketch(s))
+                odd.append(_odd_sketch(s))
             numbers = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(halves, numbers), pa.array(sketch, numbers)],
-                ["doc_id", "th", "n_shingles", "node", "halves", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(halves, numbers), pa.array(sketch, numbers), pa.array(odd, numbers)],
+                ["doc_id", "th", "n_shingles", "node", "halves", "sketch", "odd"],
             )
 
     return sign
@@ -101,7 +119,7 @@ def _id_key(doc_id: str = "doc_id") -> Column:
 
 
 def buckets(nodes: DataFrame, p: Banding) -> DataFrame:
-    """``key, node, hub``: the members of every table cell that holds two or more, and its smallest member.
+    """``key, place, node, hub``: the members of every table cell that holds two or more, the table's number, and the cell's smallest member.
 
     A band value that only one node has leads nowhere, so those are left out before
     values are paired into table keys.
@@ -112,7 +130,8 @@ def buckets(nodes: DataFrame, p: Banding) -> DataFrame:
     kept = settle(kept, "halves")  # at most 2 * per_side values a node
     keys = kept.select("node", "halves", F.explode(F.filter("halves", lambda h: h["pos"] < p.per_side)).alias("a"))
     keys = keys.select("node", "a", F.explode(F.filter("halves", lambda h: h["pos"] >= p.per_side)).alias("b"))
-    keys = keys.select("node", F.xxhash64("a.pos", "a.value", "b.pos", "b.value").alias("key"))
+    place = (F.col("a.pos") * p.per_side + F.col("b.pos") - p.per_side).cast("smallint")
+    keys = keys.select("node", place.alias("place"), F.xxhash64("a.pos", "a.value", "b.pos", "b.value").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return settle(keys.join(hubs, "key"), "buckets")
 
@@ -137,21 +156,104 @@ def star_edges(members: DataFrame, nodes: DataFrame, p: Banding) -> DataFrame:
     return edges.filter(_may_link("s", "t", p)).select("hub", "leaf")
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words.view(np.uint64)).sum(axis=1)
+
+
+def _thinned(n: np.ndarray) -> np.ndarray:
+    """How often a set of ``n`` was halved for its odd sketch."""
+    return np.frexp(np.maximum(0, n - 1) // ODD_MEMBERS)[1]
+
+
+def _oddly_may_link(odd: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, p: Banding) -> np.ndarray:
+    """Whether the odd sketches of sets of ``n`` and ``m`` leave room for a link; sets thinned unequally are let through."""
+    thin = _thinned(n)
+    most = (n + m) * (100 - p.percent) / (100 + p.percent) / 2.0**thin
+    slack = np.where(thin > 0, p.deviations * np.sqrt(most), 1e-6)
+    return (thin != _thinned(m)) | (_bits(odd ^ other) <= most + slack)
+
+
+def _sketches_may_link(sketch: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, p: Banding) -> np.ndarray:
+    """``_may_link`` for arrays."""
+    parts = _bits(sketch[:, 4:] | other[:, 4:])
+    share = (1 - p.percent / 100) / 2
+    sized = 100 * np.minimum(n, m) >= p.percent * np.maximum(n, m)
+    return sized & (_bits(sketch[:, :4] ^ other[:, :4]) <= share * parts + p.deviations * np.sqrt(share * (1 - share) * parts))
+
+
+#: What ``_meeter`` reads.
+OPEN = ("key", "lb", "rb", "role", "place", "node", "label", "top", "about")
+
+
+def _meeter(p: Banding) -> Callable:
+    """Pairs of the left and right rows of each block that may link; a block's left rows, at most a few ``p.block``, come first."""
+
+    def first_table(halves, other):
+        same = halves == other
+        return same[:, : p.per_side].argmax(axis=1) * p.per_side + same[:, p.per_side :].argmax(axis=1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.column_stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(8)])
+            rows = np.hstack([flat, batch.column(8).flatten().to_numpy().reshape(len(flat), -1)])
+            if kept is not None:
+                rows = np.vstack([kept, rows])
+            role, place, node, label, top = (rows[:, i] for i in range(3, 8))
+            sketch, odd, n, halves = rows[:, 8:16], rows[:, 16:32], rows[:, 32], rows[:, 33:]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+            group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            lefts = np.add.reduceat((role == 0).astype(np.int64), starts)
+            right = np.flatnonzero(role == 1)
+            after = np.cumsum(lefts[group[right]])
+            found, at = [], 0
+            while at < len(right):  # about a quarter of a million pairs at a time
+                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 18), "right")))
+                times = lefts[group[right[at:stop]]]
+                b = np.repeat(right[at:stop], times)
+                a = np.arange(len(b)) - np.repeat(np.cumsum(times) - times, times) + starts[group[b]]
+                at = stop
+                for may in (
+                    lambda a, b: (label[a] != label[b]) & ((label[b] == top[b]) | (node[a] < node[b])),
+                    lambda a, b: _sketches_may_link(sketch[a], sketch[b], n[a], n[b], p),
+                    lambda a, b: _oddly_may_link(odd[a], odd[b], n[a], n[b], p),
+                    lambda a, b: first_table(halves[a], halves[b]) == place[a],
+                ):
+                    chosen = may(a, b)
+                    a, b = a[chosen], b[chosen]
+                found.append(np.column_stack([node[a], node[b]]))
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["hub", "leaf"])
+            kept = rows[(group == group[-1]) & (role == 0)]
+
+    return meet
+
+
 def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, p: Banding) -> DataFrame:
     """``hub, leaf``: pairs of a cell that are in different components so far and weren't tried.
 
     In a cell, members of its largest component meet only members of others, so a
     large group of near copies, one component by now, makes no pairs within itself.
+    Of the cells two nodes share, only that of the first table gives their pair. Cells
+    are cut into blocks, and block is held against block, so no task gets a cell alone.
     """
-    named = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = members.select("key", "place", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    cells = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    named = named.join(cells.select("key", F.col("top.label").alias("top")), "key").join(_sketched(nodes, "node", "sketch"), "node")
-    named = settle(named, "open")
-    left = named.filter("label != top").select("key", F.col("node").alias("hub"), F.col("label").alias("of_hub"), F.col("sketch").alias("s"))
-    right = named.select("key", F.col("node").alias("leaf"), F.col("label").alias("of_leaf"), F.col("sketch").alias("t"), "top")
-    apart = (F.col("of_hub") != F.col("of_leaf")) & ((F.col("of_leaf") == F.col("top")) | (F.col("hub") < F.col("leaf")))
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & _may_link("s", "t", p)).select("hub", "leaf").distinct()
+    cells = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
+    cells = cells.select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
+    about = nodes.select("node", F.concat("sketch", "odd", F.array("n_shingles"), "halves").alias("about"))
+    named = settle(named.join(cells, "key").join(about, "node"), "open")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = [F.col("place").cast("int").alias("place"), "node", "label", "top", "about"]
+    left = named.filter("label != top").select("key", own.alias("lb"), every.alias("rb"), F.lit(0).alias("role"), *rest)
+    right = named.select("key", every.alias("lb"), own.alias("rb"), F.lit(1).alias("role"), *rest)
+    rows = left.unionAll(right).select(*OPEN)
+    rows = rows.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "role")
+    pairs = rows.mapInArrow(_meeter(p), "hub bigint, leaf bigint").distinct()
     done = tried.select("hub", "leaf").unionAll(tried.select(F.col("leaf").alias("hub"), F.col("hub").alias("leaf")))
     return pairs.join(done, ["hub", "leaf"], "left_anti")
 
@@ -228,8 +330,8 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     """
     rows = settle(_identified(docs).mapInArrow(_signer(p), SIGNED), "signed")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    nodes = settle(nodes.select("node", "n_shingles", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch"), "nodes")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
+    nodes = settle(nodes.select("node", "n_shingles", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch", "odd"), "nodes")
     members = buckets(nodes, p)
     tried = settle(star_edges(members, nodes, p), "tried")
     links = confirmed(tried, nodes, docs, p)
@@ -240,7 +342,7 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     linked = labels.join(nodes.select("node", "rep_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     linked = settle(linked.join(smallest, "label").select("node", "component_id"), "components")
-    alone = rows.drop("halves", "sketch").join(nodes.select("node", "rep_id"), "node", "left").join(linked, "node", "left")
+    alone = rows.drop("halves", "sketch", "odd").join(nodes.select("node", "rep_id"), "node", "left").join(linked, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "rep_id"))
     alone = alone.withColumn("component_id", own)
     return alone.select("doc_id", "th", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,37 @@ def test_one_document_of_each_group_stays(corpus, nothing):
     assert neardup.deduplicated(nothing).count() == 0
 
 
+def test_odd_sketches_drop_no_link():
+    rnd = random.Random(2)
+    numbers = lambda n: [rnd.getrandbits(64) for _ in range(n)]
+    rows, linked = [], []
+    for n in (1, 8, 150, 500, 512, 513, 600, 1024, 1030, 5000):
+        for share in (1.0, 0.9, 0.8, 0.76, 0.75, 0.7, 0.5, 0.0):
+            both = round(2 * n * share / (1 + share))
+            a = numbers(n)
+            b = a[:both] + numbers(n - both)
+            linked.append(100 * both >= 75 * (2 * n - both))
+            rows.append([neardup._odd_sketch(np.array(sorted(x), np.uint64)) for x in (a, b)] + [n])
+    odd, other, n = (np.array([r[k] for r in rows]) for k in range(3))
+    kept = set(np.flatnonzero(neardup._oddly_may_link(odd, other, n, n, neardup.Banding())))
+    assert {i for i, x in enumerate(linked) if x} <= kept
+    assert not any(i in kept for i in range(8, len(rows)) if i % 8 >= 6)  # half or less shared; a single member is all or nothing
+
+
+def test_many_texts_of_a_cell_that_stay_apart(corpus):
+    """Variants of one text around the threshold; small blocks, so that cells are split."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6])):
+            copy[rnd.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    got = neardup.near_duplicates(corpus(rows), neardup.Banding(block=16)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(1)
     chain = [(i, i + 1) for i in range(60)]
