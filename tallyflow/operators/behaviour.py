@@ -78,26 +78,30 @@ def slice_summaries(seconds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> D
     The first seconds of a slice are lent to the slice before it, so a burst
     window that crosses the cut is counted whole. A slice is final once those
     seconds have passed; its row can be stored and only later events summarised.
+    A second enters a running sum and leaves it after the burst window, so the
+    fullest window costs one ordered pass however dense the seconds are.
     """
     own = f"floor(sec / {slice_seconds})"
     lent = f"CASE WHEN sec % {slice_seconds} <= {BURST_SECONDS} THEN {own} - 1 END"
     placed = seconds.selectExpr("entity", "sec", "n", f"{own} AS own", f"explode(array_compact(array({own}, {lent}))) AS slice")
     order = "PARTITION BY entity, slice ORDER BY sec"
-    seen = placed.selectExpr(
-        "*",
-        f"sec - lag(sec) OVER ({order}) AS gap",
-        f"CASE WHEN lead(own) OVER ({order}) = slice THEN lead(sec) OVER ({order}) - sec END AS next_gap",
-        f"sum(n) OVER ({order} RANGE BETWEEN CURRENT ROW AND {BURST_SECONDS} FOLLOWING) AS burst",
-    ).filter("own = slice")
+    measures = {
+        "sec": "sec", "n": "n", "gap": f"sec - lag(sec) OVER ({order})",
+        "next_gap": f"CASE WHEN lead(own) OVER ({order}) = slice THEN lead(sec) OVER ({order}) - sec END",
+    }
+    inner = placed.selectExpr("entity", "slice", "sec AS at", "n AS more", *(f"CASE WHEN own = slice THEN {v} END AS {k}" for k, v in measures.items()))
+    left = f"at + {BURST_SECONDS + 1} AS at, -more AS more, {', '.join(f'CAST(NULL AS BIGINT) AS {k}' for k in measures)}"
+    marked = inner.selectExpr("entity", "slice", f"inline(array(struct(at, more, {', '.join(measures)}), struct({left})))")
+    seen = marked.selectExpr("*", "sum(more) OVER (PARTITION BY entity, slice ORDER BY at RANGE UNBOUNDED PRECEDING) AS burst")
     return seen.groupBy("entity", "slice").agg(
         *exprs(
-            "count(*) AS secs", "sum(n) AS events", "min(sec) AS first_sec", "max(sec) AS last_sec",
+            "count(sec) AS secs", "sum(n) AS events", "min(sec) AS first_sec", "max(sec) AS last_sec",
             "sum(n) FILTER (WHERE gap IS NULL) AS first_n", "sum(n) FILTER (WHERE next_gap IS NULL) AS last_n",
             "sum(next_gap) FILTER (WHERE gap IS NULL) AS first_gap", "sum(gap) FILTER (WHERE next_gap IS NULL) AS last_gap",
             "sum(gap * gap) AS squares", "sum(gap * next_gap) FILTER (WHERE n = 1) AS products", "max(burst) AS burst",
             [f"count_if({_in_bin('gap', i)}) AS bin{i}" for i in BINS],
         )
-    )
+    ).filter("secs > 0")
 
 
 def cadence(

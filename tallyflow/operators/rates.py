@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,29 +12,18 @@ from tallyflow.functions import at, tidy
 from tallyflow.session import settle
 
 
-def rate_calendar(rates: DataFrame, open_rate: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
-    """Every asset on every day between the first and last known day, filled both ways.
+def rates_on(days: DataFrame, rates: DataFrame, open_rate: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The known rate nearest to each ``(asset, day)`` of ``days``: the latest up to it, else the earliest after it.
 
-    One row per asset and calendar day, so its size follows the calendar, not
-    the ledger. Columns: asset, day, rate, rate_day, open_rate, live_rate.
+    One row per asset and day that ``days`` or the rates hold, whatever lies
+    between them. Columns: asset, day, rate, rate_day, open_rate, live_rate.
     """
-    marks = rates.select("asset", "day", F.col("rate").alias("rate"), F.lit(None).cast("double").alias("open_rate"))
+    none = F.lit(None).cast("double")
+    marks = rates.select("asset", "day", "rate", none.alias("open_rate"))
     if open_rate is not None:
-        marks = marks.unionByName(
-            open_rate.select("asset", "day", F.lit(None).cast("double").alias("rate"), F.col("rate").alias("open_rate"))
-        )
-    assets = marks.select("asset")
-    if live is not None:
-        assets = assets.unionByName(live.select("asset"))
-    edge = lambda fn: F.coalesce(marks.agg(fn("day")).scalar(), F.lit(date(1970, 1, 1)))
-    days = F.sequence(edge(F.min), edge(F.max))
-    blank = assets.distinct().select(
-        "asset", F.explode(days).alias("day"),
-        F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("open_rate"),
-    )
-    dense = blank.unionByName(marks).groupBy("asset", "day").agg(
-        F.max("rate").alias("rate"), F.max("open_rate").alias("open_rate")
-    )
+        marks = marks.unionByName(open_rate.select("asset", "day", none.alias("rate"), F.col("rate").alias("open_rate")))
+    wanted = days.select("asset", "day").distinct().select("asset", "day", none.alias("rate"), none.alias("open_rate"))
+    dense = wanted.unionByName(marks).groupBy("asset", "day").agg(F.max("rate").alias("rate"), F.max("open_rate").alias("open_rate"))
     by_day = W.partitionBy("asset").orderBy("day")
     known = F.when(F.col("rate").isNotNull(), F.struct("rate", F.col("day").alias("rate_day")))
     back = F.last(known, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, 0))
@@ -43,7 +32,7 @@ def rate_calendar(rates: DataFrame, open_rate: DataFrame | None = None, live: Da
         "asset", "day", F.col("near.rate").alias("rate"), F.col("near.rate_day").alias("rate_day"), "open_rate"
     )
     if live is None:
-        return filled.withColumn("live_rate", F.lit(None).cast("double"))
+        return filled.withColumn("live_rate", none)
     return filled.join(live.select("asset", F.col("rate").alias("live_rate")), "asset", "left")
 
 
@@ -53,19 +42,15 @@ def asof_rate(
     """JN2: each row's rate and where it came from, plus ``usd``.
 
     Exact day, else the open day's own rate, else the latest earlier day, else
-    the earliest later day, else the live rate. A day outside the calendar is
-    moved to its nearer end first, so the two-sided as-of search becomes one
-    equality join. The calendar is written before the join: Catalyst then knows
-    its size and leaves the ledger unshuffled when it is small enough.
+    the earliest later day, else the live rate. The ledger's distinct days are
+    combined before their shuffle and get their rates first, so the two-sided
+    as-of search becomes one equality join. Their table is written before it:
+    Catalyst then knows its size and leaves the ledger unshuffled when it is small enough.
     """
-    calendar = settle(rate_calendar(rates, open_rate, live), "rate_calendar")
-    first, last = calendar.agg(F.min("day")).scalar(), calendar.agg(F.max("day")).scalar()
-    cal = calendar.withColumnRenamed("day", "cal_day")
-    placed = ledger.drop("rate", "rate_src", "usd").withColumn(
-        "cal_day", F.greatest(F.least(F.col("day"), last), first)
-    )
+    placed = ledger.drop("rate", "rate_src", "usd")
+    found = settle(rates_on(placed, rates, open_rate, live), "day_rates")
     exact = F.col("rate_day") == F.col("day")
-    is_open = F.col("open_rate").isNotNull() & (F.col("cal_day") == F.col("day"))
+    is_open = F.col("open_rate").isNotNull()
     source = (
         F.when(exact, "day-implied")
         .when(is_open, "day-implied (open)")
@@ -74,12 +59,11 @@ def asof_rate(
         .otherwise("live")
     )
     chosen = F.when(exact, F.col("rate")).when(is_open, F.col("open_rate")).otherwise(F.coalesce("rate", "live_rate"))
-    joined = placed.join(cal, ["asset", "cal_day"], "left")
     return (
-        joined.withColumn("rate_src", source)
+        placed.join(found, ["asset", "day"], "left").withColumn("rate_src", source)
         .withColumn("rate", chosen)
         .withColumn("usd", F.col("val") * F.col("rate"))
-        .drop("cal_day", "rate_day", "open_rate", "live_rate")
+        .drop("rate_day", "open_rate", "live_rate")
     )
 
 
