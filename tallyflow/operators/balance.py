@@ -70,6 +70,12 @@ def judge_net(
     )
 
 
+def stored_deltas(recon: DataFrame, prev: DataFrame, complete: bool = True) -> DataFrame:
+    """JN14: the ``(asset, delta)`` the next run compares with: this run's where it was clean, else what was stored."""
+    fresh = recon.filter(F.lit(complete) & ~F.col("degraded")).select("asset", "delta")
+    return fresh.unionByName(prev.select("asset", "delta").join(fresh, "asset", "left_anti"))
+
+
 def day_moves(ledger: DataFrame, assets: Sequence[str], recycle_src: str | None = None) -> DataFrame:
     """Out, recycled-in and external-in per day for every listed asset, zero where nothing moved.
 

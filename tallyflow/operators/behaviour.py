@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions import exprs, quoted, tidied
+from tallyflow.operators.facts import with_label
 from tallyflow.session import settle
 
 # Upper edges of the gap bins, in seconds.
@@ -185,8 +186,9 @@ def fingerprints(
     earning: tuple[str, ...] = ("invoke", "equip"),
     monitored: str = "invoke",
     slice_seconds: int = SLICE_SECONDS,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
-    """WIN1-WIN7: cadence of every earner with enough events, flags, tags and status.
+    """WIN1-WIN7, JN5: cadence of every earner with enough events, flags, tags and status, and labels if given.
 
     ``ledger`` carries ``cat`` and ``fine``. Earnings, incentive receipts and the
     counts behind the volume threshold come from one aggregate per recipient,
@@ -210,13 +212,14 @@ def fingerprints(
         "burst cluster": f"n >= {rules.burst_events} AND burst > {rules.burst_share}D AND span_h > {rules.burst_span_hours}D",
     }
     tags = {"high volume": "n > high", "earn+receive": "receives"}
-    return shape.join(totals, "cp").withColumn("high", high).selectExpr(
+    prints = shape.join(totals, "cp").withColumn("high", high).selectExpr(
         "cp", "n",
         f"{tidied('span_h', 1)} AS span_h", f"{tidied('ent', 2)} AS ent", f"{tidied('acf', 2)} AS acf",
         f"CAST({tidied('burst * 100', 0)} AS BIGINT) AS burst", f"{tidied('usd', 2)} AS usd",
         f"{_present(flags)} AS flags", f"{_present(tags)} AS tags",
         f"CASE WHEN size({_present(flags)}) > 0 THEN 'review' ELSE 'organic' END AS status",
     )
+    return prints if labels is None else with_label(prints, labels)
 
 
 def review_order(fingerprints: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions import EARNING, Scheme, at, exprs, folded_class, quoted, sum_if, tidied, tidy
-from tallyflow.operators.facts import count_where, rows_in, share
+from tallyflow.operators.facts import count_where, rows_in, share, with_label
 from tallyflow.session import settle
 
 
@@ -42,11 +42,12 @@ def earners(ledger: DataFrame, cats: Sequence[str] = EARNING) -> DataFrame:
     )
 
 
-def top_earners(ledger: DataFrame, k: int, cats: Sequence[str] = EARNING) -> DataFrame:
-    """AGG9, AGG36: the ``k`` largest earners with their share of all earnings."""
+def top_earners(ledger: DataFrame, k: int, cats: Sequence[str] = EARNING, labels: DataFrame | None = None) -> DataFrame:
+    """AGG9, AGG36, JN5: the ``k`` largest earners with their share of all earnings, and their labels if given."""
     board = settle(earners(ledger, cats), "earners")
     total = board.agg(F.sum("usd")).scalar()
     top = board.orderBy(tidy("usd", 2).desc(), "cp").limit(k)
+    top = top if labels is None else with_label(top, labels)
     return top.withColumn("share", tidy(F.col("usd") / total * 100, 1)).withColumn("usd", tidy("usd", 2))
 
 

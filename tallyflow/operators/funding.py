@@ -119,6 +119,12 @@ def archive_rollup(archive: DataFrame, prices: DataFrame, default: float = 0.001
     )
 
 
+def archive_split(archive: DataFrame, prices: DataFrame, default: float = 0.001) -> DataFrame:
+    """AGG13: :func:`funding_split` of a closed ledger at each day's price, its own credits against its spending."""
+    priced = _priced_archive(archive, prices, default)
+    return funding_split(priced.filter(F.col("direction") == "IN"), priced).drop("never_credited_n")
+
+
 def archive_monthly(archive: DataFrame, prices: DataFrame, default: float = 0.001) -> DataFrame:
     """JN9, AGG14: in and out per month; a missing side is zero."""
     months = _priced_archive(archive, prices, default).groupBy(F.trunc("day", "month").alias("first")).agg(*exprs(_sides()))

@@ -47,7 +47,7 @@ def hourly_report(inputs: Inputs, as_of: datetime, scheme: Scheme = DEFAULT_SCHE
     series = balance.balance_series(ledger, inputs.balances, assets, recycle_src=src, as_of=as_of)
     burned = balance.burn(ledger, as_of, scheme)
     worth = balance.value_balances(inputs.balances, inputs.live)
-    prints = behaviour.fingerprints(ledger, scheme.incentives)
+    prints = behaviour.fingerprints(ledger, scheme.incentives, labels=inputs.labels)
     earned = earners.outgoing(history).filter(F.col("cat").isin(*EARNING)).agg(sum_if("true", "usd")).scalar()
     return {
         "windows": facts.flow_facts(ledger, trailing, assets, src).unionByName(
@@ -60,7 +60,7 @@ def hourly_report(inputs: Inputs, as_of: datetime, scheme: Scheme = DEFAULT_SCHE
         "in_sources": facts.leaderboard(history, "IN", 10, inputs.labels),
         "wallets": facts.entity_days(history),
         "totals": earners.class_totals(history),
-        "earners": earners.top_earners(history, 25),
+        "earners": earners.top_earners(history, 25, labels=inputs.labels),
         "fine_table": earners.fine_table(history),
         "loop": earners.earn_loop(history, scheme),
         "fingerprints": prints,
@@ -72,10 +72,12 @@ def hourly_report(inputs: Inputs, as_of: datetime, scheme: Scheme = DEFAULT_SCHE
     }
 
 
-def kpi_snapshot(ledger: DataFrame, balances: DataFrame, runway: DataFrame, as_of: datetime, rate: float, asset: str) -> DataFrame:
-    """SNK2: the one-row history entry of a run."""
+def kpi_snapshot(
+    ledger: DataFrame, balances: DataFrame, runway: DataFrame, as_of: datetime, rate: float, asset: str, second: str | None = None
+) -> DataFrame:
+    """SNK2: the one-row history entry of a run, with the balances of its asset and a second one (null where unknown)."""
     out = earners.outgoing(ledger)
-    held = balances.filter(F.col("asset") == asset).agg(F.max("balance")).scalar()
+    held, beside = (balances.filter(F.col("asset") == F.lit(a)).agg(F.max("balance")).scalar() for a in (asset, second))
     days = {c: runway.select(c).scalar() for c in ("runway24", "runway7", "burn24", "burn_prev")}
     counts = out.groupBy("cp").agg(
         *(F.count_if(F.col("cat") == c).alias(c) for c in ("invoke", "equip", "growth")),
@@ -87,7 +89,7 @@ def kpi_snapshot(ledger: DataFrame, balances: DataFrame, runway: DataFrame, as_o
         F.count_if((F.col("invoke") > 0) | (F.col("equip") > 0)).alias("creators"),
     ).select(
         F.lit(as_of).cast("timestamp_ntz").alias("ts"), "*",
-        F.lit(rate).alias("rate"), F.round(held, 1).alias("balance"), *(v.alias(k) for k, v in days.items()),
+        F.lit(rate).alias("rate"), F.round(held, 1).alias("balance"), F.round(beside, 1).alias("second_balance"), *(v.alias(k) for k, v in days.items()),
         days["runway7"].alias("runway_adj"),
     )
 

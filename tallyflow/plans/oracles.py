@@ -174,14 +174,14 @@ bank AS (SELECT day, {', '.join(f'CASE WHEN keep THEN o_{m} ELSE n_{m} END AS {m
     {', '.join(f'o.{m} AS o_{m}, n.{m} AS n_{m}' for m in _MEASURES)} FROM stored o FULL OUTER JOIN fresh n ON o.day = n.day)),
 ld AS (SELECT day, coalesce(sum(usd) FILTER (WHERE unbacked), 0) AS unbacked, coalesce(sum(usd) FILTER (WHERE fine = 'purchase'), 0) AS backed FROM o GROUP BY day)"""
 
-_SPENDS = f"""consumed AS (SELECT * FROM a WHERE event_type IN ('click', 'error') AND cp <> '5'),
-paid AS (SELECT * FROM a WHERE event_type IN ('view', 'signup') AND usd > 45),
+_SPENDS = f"""consumed AS (SELECT * FROM a WHERE event_type IN ('click', 'error') AND cp <> '5' UNION ALL SELECT * REPLACE ('x' || cp AS cp) FROM a WHERE event_type = 'purchase'),
+paid AS (SELECT * FROM a WHERE event_type IN ('view', 'signup')),
 spends AS (SELECT * FROM consumed WHERE cp IN (SELECT cp FROM paid))"""
 
 _SWEEP = """legs AS (
   SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice AS val, 'i' AS leg FROM orders
-  UNION ALL SELECT CAST(l_shipdate AS DATE), l_extendedprice, 'r' FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < '1998-01-01' AND l_shipdate >= '1995-06-01'
-  UNION ALL SELECT CAST(l_shipdate AS DATE), l_extendedprice, 's' FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= '1998-01-01'),
+  UNION ALL SELECT CAST(l_shipdate AS DATE), l_extendedprice, 'r' FROM lineitem WHERE l_shipdate < '1998-01-01'
+  UNION ALL SELECT CAST(l_shipdate AS DATE), l_extendedprice, 's' FROM lineitem WHERE l_shipdate >= '1998-01-01'),
 series AS (SELECT day, """ + ", ".join(
     f"{s('val', f'''leg = '{x}' ''')} AS {x}, count(*) FILTER (WHERE leg = '{x}') AS n_{x}" for x in "irs"
 ) + """ FROM legs GROUP BY day),
@@ -299,8 +299,8 @@ ORACLES: dict[str, str] = {
     "earner_board": f"""WITH {C} SELECT cp, count(*) FILTER (WHERE cat = 'invoke') AS invoke, count(*) FILTER (WHERE cat = 'equip') AS equip, round(sum(usd), 2) AS usd
       FROM o WHERE cat IN ('invoke', 'equip') GROUP BY cp""",
     "top_earners": f"""WITH {C}, t AS (SELECT cp, count(*) FILTER (WHERE cat = 'invoke') AS invoke, count(*) FILTER (WHERE cat = 'equip') AS equip, sum(usd) AS usd
-      FROM o WHERE cat IN ('invoke', 'equip') GROUP BY cp) SELECT cp, invoke, equip, round(usd, 2) AS usd, round(usd / (SELECT sum(usd) FROM t) * 100, 1) AS share
-      FROM t ORDER BY round(usd, 2) DESC, cp LIMIT 15""",
+      FROM o WHERE cat IN ('invoke', 'equip') GROUP BY cp) SELECT cp, c_name AS label, invoke, equip, round(usd, 2) AS usd, round(usd / (SELECT sum(usd) FROM t) * 100, 1) AS share
+      FROM t LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = cp ORDER BY round(usd, 2) DESC, cp LIMIT 15""",
     "earner_totals": f"""WITH {C} SELECT count(DISTINCT cp) AS earners, round(sum(usd), 2) AS usd,
       round(count(*) FILTER (WHERE cat = 'invoke') / count(*) FILTER (WHERE cat = 'equip'), 0) AS invoke_per_equip FROM o WHERE cat IN ('invoke', 'equip')""",
     "fine_table": f"""WITH {C} SELECT fine, count(*) AS n, round(sum(usd), 2) AS usd, round(sum(usd) / (SELECT sum(usd) FROM o) * 100, 1) AS share FROM o GROUP BY fine""",
@@ -339,10 +339,12 @@ ORACLES: dict[str, str] = {
       SELECT cp, count(*) AS gaps, CAST(sum(gap) AS BIGINT) AS total, min(gap) AS shortest, max(gap) AS longest FROM w WHERE gap IS NOT NULL GROUP BY cp""",
     "cadence": f"WITH {_BEHAVE} SELECT cp, n, round(span_h, 2) AS span_h, round(ent, 4) AS ent, round(acf, 4) AS acf, round(burst, 4) AS burst FROM shape JOIN ent USING (cp)",
     "cadence_flags": f"""WITH {_PRINTS} SELECT cp, n, round(span_h, 1) AS span_h, round(ent, 2) AS ent, round(acf, 2) AS acf, CAST(round(burst * 100, 0) AS BIGINT) AS burst,
-      round(usd, 2) AS usd, array_to_string(flags, ',') AS flags, array_to_string(tags, ',') AS tags, CASE WHEN len(flags) > 0 THEN 'review' ELSE 'organic' END AS status FROM flagged""",
+      round(usd, 2) AS usd, array_to_string(flags, ',') AS flags, array_to_string(tags, ',') AS tags, CASE WHEN len(flags) > 0 THEN 'review' ELSE 'organic' END AS status, c_name AS label
+      FROM flagged LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = cp""",
     "guard_summary": f"""WITH {_PRINTS} SELECT count(*) FILTER (WHERE len(flags) > 0) AS flagged_n, count(*) AS monitored_n, round({s('round(usd, 2)', 'len(flags) > 0')}, 2) AS at_risk_usd,
       (SELECT round(sum(usd), 2) FROM e WHERE cat IN ('invoke', 'equip')) AS total_usd FROM flagged""",
     "reconciliation": f"{_RECON} SELECT * FROM recon",
+    "recon_state": f"{_RECON} SELECT asset, CASE WHEN asset = 'A0' THEN delta ELSE 0.0::DOUBLE END AS delta FROM recon",
     "pinned_balance": f"""WITH {A}, {_PIN}, x AS (SELECT asset, max(val) FILTER (WHERE blk = pin) AS exact, arg_max(val, blk) AS live FROM a, pin GROUP BY asset)
       SELECT asset, coalesce(exact, live) AS balance, exact IS NULL AS degraded FROM x""",
     "backward_balance": f"WITH {_SERIES} SELECT * REPLACE ({d('day')} AS day) FROM series",
@@ -381,6 +383,11 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (WHERE direction = 'OUT') AS out_tx, count(*) FILTER (WHERE direction = 'IN') AS in_tx,
         (SELECT count(*) FROM topped) AS topped_n, (SELECT count(*) FROM spent) AS spent_n, (SELECT count(*) FROM (SELECT cp FROM topped INTERSECT SELECT cp FROM spent)) AS both_n,
         {d("min(v.day) FILTER (WHERE direction = 'IN')")} AS first_spend, {d("max(v.day) FILTER (WHERE direction = 'IN')")} AS last_spend FROM v""",
+    "archive_split": f"""WITH {A}, {SPARSE}, v AS (SELECT x.*, x.val * coalesce(rate, 0.001::DOUBLE) AS worth FROM a x LEFT JOIN rates ON rates.asset = x.asset AND rates.day = x.day),
+      j AS (SELECT cp, sum(worth) FILTER (WHERE direction = 'IN') AS spend, {s('worth', "direction = 'OUT'")} AS credit FROM v GROUP BY cp HAVING count(*) FILTER (WHERE direction = 'IN') > 0),
+      e AS (SELECT *, greatest(0, spend - credit) AS excess FROM j)
+      SELECT round(sum(spend), 0) AS consumed_usd, count(*) AS spenders, round(sum(spend - excess), 0) AS backed_usd, round(sum(excess), 0) AS user_usd,
+        round(sum(excess) / sum(spend) * 100, 1) AS user_pct, count(*) FILTER (WHERE excess > 0.01) AS excess_n FROM e""",
     "archive_monthly": f"""WITH {B}, prices AS (SELECT day, avg(usd) / 1e6 AS rate FROM b WHERE direction = 'OUT' AND day(day) % 2 = 0 GROUP BY day),
       v AS (SELECT b.*, val * coalesce(nullif(rate, 0), 0.001::DOUBLE) AS worth FROM b LEFT JOIN prices USING (day))
       SELECT strftime(day, '%Y-%m') AS month, round({s('val', "direction = 'OUT'")}, 0) AS out_val, round({s('val', "direction = 'IN'")}, 0) AS in_val,
@@ -503,3 +510,10 @@ ORACLES: dict[str, str] = {
 
 ORACLES["daily_from_rollup"] = ORACLES["daily_band_facts"]
 ORACLES = {name: decimal_rounding(sql) for name, sql in ORACLES.items()}
+
+ORACLES["review_board"] = f"""SELECT cp, label, n, usd, status, flags FROM ({ORACLES["cadence_flags"]}) ORDER BY status <> 'review', usd DESC, cp LIMIT 20"""
+ORACLES["kpi_snapshot"] = f"""WITH {C}, {_BALANCE},
+  t AS (SELECT count(*) FILTER (WHERE cat = 'invoke') AS invoke, count(*) FILTER (WHERE cat = 'equip') AS equip, count(*) FILTER (WHERE cat = 'growth') AS growth,
+    round(sum(val) FILTER (WHERE asset = 'A0'), 1) AS amount, count(DISTINCT cp) FILTER (WHERE cat IN ('invoke', 'equip')) AS creators FROM o),
+  h AS (SELECT round(max(balance) FILTER (WHERE asset = 'A0'), 1) AS balance, round(max(balance) FILTER (WHERE asset = 'A1'), 1) AS second_balance FROM held)
+  SELECT '2024-01-31 00:00' AS ts, t.*, 0.02::DOUBLE AS rate, h.*, runway24, runway7, burn24, burn_prev, runway7 AS runway_adj FROM t, h, ({ORACLES["burn_runway"]})"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import classified, day_text, in_window, tidy
 from tallyflow.operators import alerts, balance, behaviour, earners, facts, funding, legacy, platform, quotes, rates, registry
 from tallyflow.operators.implied import implied_rates
-from tallyflow.plans import roles
+from tallyflow.plans import hourly, roles
 from tallyflow.plans.roles import AS_OF, ASSETS, EVENTS, RECYCLE
 from tallyflow.session import scratch_path, settle
 from tallyflow.sources import adapters, ingest, readers, sinks
@@ -134,8 +134,8 @@ def earner_board(spark, folder):
 
 @query
 def top_earners(spark, folder):
-    """AGG9, AGG36, WIN19"""
-    return earners.top_earners(roles.classified_events(spark, folder), 15)
+    """AGG9, AGG36, JN5, WIN19"""
+    return earners.top_earners(roles.classified_events(spark, folder), 15, labels=roles.names(spark, folder))
 
 
 @query
@@ -290,14 +290,21 @@ def cadence(spark, folder):
 
 @query
 def cadence_flags(spark, folder):
-    """WIN6, WIN7"""
+    """WIN6, WIN7, JN5"""
     prints = _prints(spark, folder)
     return prints.withColumns({c: F.array_join(c, ",") for c in ("flags", "tags")})
 
 
 def _prints(spark, folder):
     rules = behaviour.CadenceRules(uniform_entropy=0.4, scripted_acf=0.2, burst_share=0.06, volume_quantile=0.9)
-    return behaviour.fingerprints(roles.behaviour_events(spark, folder), ("credit",), rules)
+    return behaviour.fingerprints(roles.behaviour_events(spark, folder), ("credit",), rules, labels=roles.names(spark, folder))
+
+
+@query
+def review_board(spark, folder):
+    """SRT3"""
+    first = behaviour.review_order(_prints(spark, folder)).limit(20)
+    return first.select("cp", "label", "n", "usd", "status", F.array_join("flags", ",").alias("flags"))
 
 
 @query
@@ -318,6 +325,14 @@ def reconciliation(spark, folder):
     return balance.reconcile(adapters.event_ledger(spark, folder), held, prev)
 
 
+@query
+def recon_state(spark, folder):
+    """JN14"""
+    held = settle(roles.balances(spark, folder).withColumn("degraded", F.col("asset") == "A1"), "balances")
+    prev = held.select("asset", F.lit(0.0).alias("delta"))
+    return balance.stored_deltas(balance.reconcile(adapters.event_ledger(spark, folder), held, prev), prev)
+
+
 @query
 def pinned_balance(spark, folder):
     """SRC15"""
@@ -399,11 +414,13 @@ def ledger_range(spark, folder):
 
 
 def _consumed(spark, folder):
-    return adapters.event_ledger(spark, folder).filter("event_type IN ('click', 'error')")
+    """Clicks and errors spend; purchases stand for spenders nobody paid."""
+    spends = adapters.event_ledger(spark, folder).filter("event_type IN ('click', 'error', 'purchase')")
+    return spends.withColumn("cp", F.when(F.col("event_type") == "purchase", F.concat(F.lit("x"), "cp")).otherwise(F.col("cp")))
 
 
 def _paid(spark, folder):
-    return adapters.event_ledger(spark, folder).filter("event_type IN ('view', 'signup') AND usd > 45")
+    return adapters.event_ledger(spark, folder).filter("event_type IN ('view', 'signup')")
 
 
 @query
@@ -423,7 +440,7 @@ def consumption_daily(spark, folder):
 
 @query
 def funding_split(spark, folder):
-    """JN8, AGG12, AGG13"""
+    """JN8, AGG12"""
     return funding.funding_split(_consumed(spark, folder), _paid(spark, folder), own="5")
 
 
@@ -438,6 +455,12 @@ def archive_rollup(spark, folder):
     return text_days(funding.archive_rollup(_archive(spark, folder), table), "first_spend", "last_spend")
 
 
+@query
+def archive_split(spark, folder):
+    """JN4, AGG13"""
+    return funding.archive_split(_archive(spark, folder), settle(roles.sparse_rates(spark, folder), "rates"))
+
+
 @query
 def archive_monthly(spark, folder):
     """JN4, AGG14"""
@@ -448,10 +471,9 @@ def archive_monthly(spark, folder):
 
 def _sweeps(spark, folder):
     out = adapters.table(spark, folder, "lineitem").select(
-        F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("val"), "l_returnflag"
+        F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("val")
     )
-    sweep = out.filter("l_returnflag = 'R' AND day >= '1998-01-01'").select("day", "val")
-    recycle = out.filter("l_returnflag = 'A' AND day < '1998-01-01' AND day >= '1995-06-01'").select("day", "val")
+    sweep, recycle = out.filter("day >= '1998-01-01'"), out.filter("day < '1998-01-01'")
     intake = adapters.table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("val"))
     return funding.sweep_series(sweep, recycle, intake)
 
@@ -791,6 +813,17 @@ def publish_closed(spark, folder):
     return spark.read.parquet(state_path)
 
 
+@query
+def kpi_snapshot(spark, folder):
+    """SNK2"""
+    ledger, held = roles.classified_events(spark, folder), roles.balances(spark, folder)
+    runway = balance.runway(balance.burn(ledger, AS_OF, EVENTS), held.agg(F.sum("balance")).scalar())
+    row = hourly.kpi_snapshot(ledger, held, settle(runway, "runway"), AS_OF, 0.02, "A0", "A1")
+    path = scratch_path(spark, "history")
+    sinks.append_snapshot(row, path)
+    return spark.read.parquet(path).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+
+
 @query
 def snapshot_history(spark, folder):
     """SNK2"""

@@ -52,6 +52,11 @@ def behaviour_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as labels of users."""
+    return table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("cp"), F.col("c_name").alias("label"))
+
+
 def sparse_rates(spark: SparkSession, folder: str) -> DataFrame:
     """A rate per asset on odd days; even days must be carried."""
     odd = event_ledger(spark, folder).filter(F.day("day") % 2 == 1)

@@ -104,3 +104,11 @@ def test_an_empty_ledger_spans_a_week(ledger):
 
     nothing = classified(ledger([("IN", 0, "T", 1, "x")]), DEFAULT_SCHEME).filter("blk < 0")
     assert one(bal.burn(nothing, datetime(2024, 1, 31), DEFAULT_SCHEME))["span_days"] == 7.0
+
+
+def test_stored_delta_moves_only_in_a_clean_run(spark):
+    recon = spark.createDataFrame([("T", 5.0, False), ("U", 7.0, True), ("V", 9.0, True)], "asset string, delta double, degraded boolean")
+    prev = spark.createDataFrame([("T", 1.0), ("U", 2.0), ("gone", 3.0)], "asset string, delta double")
+    state = lambda complete: {r.asset: r.delta for r in bal.stored_deltas(recon, prev, complete).collect()}
+    assert state(True) == {"T": 5.0, "U": 2.0, "gone": 3.0}
+    assert state(False) == {"T": 1.0, "U": 2.0, "gone": 3.0}

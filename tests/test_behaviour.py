@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyflow.operators import behaviour as b
 from tests.conftest import by, one
@@ -106,3 +107,14 @@ def test_one_recipient_with_a_third_of_the_ledger(spark):
     assert seconds.filter("entity = 'hot'").count() == 977
     row = by(b.cadence(events, min_events=1000), "cp")["hot"]
     assert row["n"] == 200_000 and row["span_h"] == pytest.approx(976 / 3600) and row["burst"] > 0.6 and row["ent"] < 0.1
+
+
+def test_fullest_burst_of_dense_seconds(spark):
+    """Windows hold both ends: 601 seconds in a row make one, and so do two seconds 600 apart across a cut."""
+    rows = [("dense", s, 1) for s in range(1000)] + [("apart", 1700, 4), ("apart", 2300, 5), ("apart", 2301, 2)]
+    seconds = spark.createDataFrame(rows, "entity string, sec long, n long")
+    for length in (2000, 86400):
+        got = {r.entity: r.burst for r in b.slice_summaries(seconds, length).groupBy("entity").agg(F.max("burst").alias("burst")).collect()}
+        assert got == {"dense": 601, "apart": 9}
+    plan = b.slice_summaries(seconds)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" in plan and "currentrow$(), 600" not in plan

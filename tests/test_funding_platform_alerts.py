@@ -36,6 +36,13 @@ def test_lagged_share_uses_calendar_days(spark):
     assert (audit["expected"], audit["actual"], audit["variance"], audit["variance_usd"], audit["old_pct"]) == (8.0, 17.0, 9.0, 18.0, 20.0)
 
 
+def test_archive_split_prices_each_day(spark, ledger):
+    prices = spark.createDataFrame([("T", date(2024, 1, 1), 2.0)], "asset string, day date, rate double")
+    rows = [("IN", 0, "T", 10, "a"), ("OUT", 1, "T", 4, "a"), ("IN", 86400, "T", 9000, "b"), ("OUT", 0, "T", 7, "c")]
+    got = one(funding.archive_split(ledger(rows), prices))
+    assert got == {"consumed_usd": 29.0, "spenders": 2, "backed_usd": 8.0, "user_usd": 21.0, "user_pct": 72.4, "excess_n": 2}  # 20 + 9, 8 credited
+
+
 def test_archive_defaults_missing_prices(spark, ledger):
     prices = spark.createDataFrame([("T", date(2024, 1, 1), 2.0)], "asset string, day date, rate double")
     rows = ledger([("IN", 0, "T", 10, "a"), ("OUT", 40 * 86400, "T", 1000, "a"), ("OUT", 0, "T", 1, "b")])
