@@ -8,6 +8,7 @@ Sorting by that time is the training order.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,47 +112,99 @@ def _starts(numbered: DataFrame) -> DataFrame:
     return settle(starts.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "starts")
 
 
-def _placed(numbered: DataFrame, starts: DataFrame) -> DataFrame:
+def _limited(numbered: DataFrame, starts: DataFrame) -> DataFrame:
+    """With each row, whether it takes a share of the rest: its size is at most the gap at the last step before it."""
     rows = numbered.join(starts, ["key", "slice"])
-    return rows.withColumn("begin", F.col("before") + F.col("stop") - F.col("size")).withColumn("fits", F.col("before") + F.col("stop") <= F.col("rest"))
+    limit = F.aggregate("steps", F.col("limit"), lambda now, s: F.when(s["nth"] <= F.col("nth"), s["limit"]).otherwise(now))
+    return rows.withColumn("fits", (F.col("size") <= limit) & (F.col("whole") < AT_MOST))
+
+
+def _placed(numbered: DataFrame, starts: DataFrame) -> DataFrame:
+    """With each row, the words of its source before it: of all, and of those that fit."""
+    rows = _limited(numbered, starts).withColumn("begin", F.col("before") + F.col("stop") - F.col("size"))
+    order = Window.partitionBy("key", "slice").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(order), F.lit(0))
+    return rows.withColumn("filled", F.col("begun") + earlier)
+
+
+STEP = "struct<slice:int,nth:int,limit:bigint>"
 
 
-def _filled(numbered: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
-    """Adds to ``starts`` the places of the documents that fill what whole prefixes leave of a source's target."""
-    starts = starts.withColumn("extra", F.array().cast("array<int>"))
-    for _ in range(rounds):
-        rows = _placed(numbered, starts).withColumn("taken", F.col("fits") | F.array_contains("extra", F.col("nth")))
-        used = rows.groupBy("key").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("used"))
-        gaps = settle(starts.select("key", "rest").distinct().join(used, "key").select("key", (F.col("rest") - F.col("used")).alias("gap")), "gaps")
-        best = rows.filter(~F.col("taken") & (F.col("size") > 0)).join(gaps, "key").filter(F.col("size") <= F.col("gap"))
-        best = best.groupBy("key").agg(F.max(F.struct("size", "turn", "slice", "nth")).alias("best"))
-        best = best.select("key", F.col("best.slice").alias("slice"), F.array("best.nth").alias("more"))
-        starts = starts.join(best, ["key", "slice"], "left")
-        starts = settle(starts.withColumn("extra", F.concat("extra", F.coalesce("more", F.array().cast("array<int>")))).drop("more"), "starts")
-    return starts
+def _walked(docs: Column, gap: Column) -> Column:
+    """Takes the documents of an ordered array as they fit into a gap: what is left of it, and a step for each that was too large."""
+
+    def walk(now, doc):
+        fits, too_large = doc["size"] <= now["gap"], (doc["size"] > now["gap"]) & (doc["size"] <= now["limit"])
+        step = F.array(F.struct(doc["slice"].alias("slice"), doc["nth"].alias("nth"), now["gap"].alias("limit")).cast(STEP))
+        return F.struct(
+            F.when(fits, now["gap"] - doc["size"]).otherwise(now["gap"]).alias("gap"), F.when(too_large, now["gap"]).otherwise(now["limit"]).alias("limit"),
+            F.when(too_large, F.concat(now["steps"], step)).otherwise(now["steps"]).alias("steps"),
+        )
+
+    none = F.array().cast(f"array<{STEP}>")
+    return F.aggregate(docs, F.struct(gap.alias("gap"), gap.alias("limit"), none.alias("steps")), walk)
+
+
+def _filled(numbered: DataFrame, starts: DataFrame, at_once: int) -> DataFrame:
+    """Adds to ``starts`` which documents fill the rest of a source's target, going through them in order and leaving out what does not fit.
+
+    All that fit into the gap are taken up to the slice where their running size
+    crosses it. From there the walk takes ``at_once`` of them, in whole slices, one by one; then the
+    same begins with what is left of the gap, until no untaken document fits.
+    """
+    rows = numbered.filter("size > 0").select("key", "slice", "nth", "size")
+    whole_gap = F.when(F.col("whole") < AT_MOST, F.greatest(F.floor("rest"), F.lit(0))).otherwise(0).cast("long")
+    none = F.array().cast(f"array<{STEP}>")
+    state = settle(starts.select("key", F.lit(-1).alias("at"), whole_gap.alias("gap"), none.alias("steps")).distinct(), "gaps")
+    past, order = [state], Window.partitionBy("key").orderBy("slice")
+    while True:
+        open_ = rows.join(state.select("key", "at", "gap"), "key").filter("slice > at and size <= gap")
+        sums = open_.groupBy("key", "gap", "slice").agg(F.sum("size").alias("n_words"), F.count("*").alias("n"))
+        sums = sums.withColumn("sofar", F.sum("n_words").over(order)).filter("sofar > gap")
+        sums = sums.withColumns({"ahead": F.sum("n").over(order) - F.col("n"), "first": F.first(F.col("gap") - F.col("sofar") + F.col("n_words")).over(order)})
+        walks = settle(sums.filter(F.col("ahead") < at_once).select("key", "slice", "gap", "first"), "walks")
+        of = rows.join(walks, ["key", "slice"]).filter("size <= gap")
+        of = of.groupBy("key", "first").agg(F.sort_array(F.collect_list(F.struct("slice", "nth", "size"))).alias("docs"))
+        of = of.join(walks.groupBy("key").agg(F.min("slice").alias("from"), F.max("slice").alias("to")), "key")
+        of = of.withColumn("end", _walked(F.col("docs"), F.col("first")))
+        begin = F.struct("from", F.lit(0).alias("nth"), F.col("first").alias("limit")).cast(STEP)
+        end = F.struct(F.col("to") + 1, F.lit(0).alias("nth"), F.col("end.gap").alias("limit")).cast(STEP)
+        state = settle(of.select("key", F.col("to").alias("at"), F.col("end.gap").alias("gap"), F.concat(F.array(begin), "end.steps", F.array(end)).alias("steps")), "gaps")
+        if state.isEmpty():
+            break
+        past.append(state)
+    steps = functools.reduce(DataFrame.unionAll, (s.select("key", F.lit(i).alias("i"), "gap", "steps") for i, s in enumerate(past)))
+    steps = steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "gap", "steps"))).alias("all"))
+    steps = steps.select("key", F.col("all")[0]["gap"].alias("whole_gap"), F.flatten("all.steps").alias("all"))
+    starts = starts.join(steps, "key")
+    earlier = F.filter("all", lambda s: s["slice"] < F.col("slice"))
+    starts = starts.withColumn("limit", F.coalesce(F.get(earlier, F.size(earlier) - 1)["limit"], "whole_gap"))
+    starts = settle(starts.withColumn("steps", F.filter("all", lambda s: s["slice"] == F.col("slice"))).drop("all", "whole_gap"), "limits")
+    used = _limited(numbered, starts).groupBy("key", "slice").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
+    begun = used.select("key", "slice", F.coalesce(F.sum("used").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
+    return settle(starts.join(begun, ["key", "slice"]), "starts")
 
 
 def _decided(rows: DataFrame, schedule: Schedule) -> DataFrame:
-    filler = F.array_contains("extra", F.col("nth"))
-    copies = F.col("whole") + F.when(F.col("fits") | filler, 1).otherwise(0)
+    copies = F.col("whole") + F.when(F.col("fits"), 1).otherwise(0)
     rows = rows.withColumns({"copies": copies, "taken": copies * F.col("size")})
-    last = F.when(F.col("fits"), F.col("begin")).otherwise(F.greatest(F.col("rest") - F.col("size"), F.lit(0.0)))
 
     def at(k: Column) -> Column:
-        offset = k * F.col("source_size") + F.when(k < F.col("whole"), F.col("begin")).otherwise(last)
+        offset = k * F.col("source_size") + F.when(k < F.col("whole"), F.col("begin")).otherwise(F.col("filled"))
         return time_of(F.coalesce(F.try_divide(offset, "target"), F.lit(0.0)), F.col("place"), schedule)
 
     none = F.array().cast("array<double>")
     return rows.withColumn("times", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(none))
 
 
-def plan(docs: DataFrame, schedule: Schedule = Schedule(), fill_rounds: int = 2, slices: int = 8) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, schedule: Schedule = Schedule(), slices: int = 8, at_once: int = 256) -> tuple[DataFrame, DataFrame]:
     """One row per document, ``doc_id, source, size, source_size, target, copies, taken, times``; and what :func:`training_order` needs.
 
     A source whose target is r times its size gives every document floor(r) copies.
-    The rest of the target takes whole documents in the order of a hash as far as
-    they fit, then the largest one that still fits, ``fill_rounds`` times, so a
-    document has three copies at most and a source misses little of its target. ``times`` has the training time of each copy.
+    The rest of the target takes whole documents in the order of a hash; one that does
+    not fit is left out and the next ones go on. So a document has three copies at
+    most, and a source misses less words than its smallest document that was left
+    out has. ``times`` has the training time of each copy.
 
     A document's place in its source is the running size in its slice of hash
     values (a window) after that of the slices before (a row per source and slice;
@@ -160,17 +213,17 @@ def plan(docs: DataFrame, schedule: Schedule = Schedule(), fill_rounds: int = 2,
     words (null, empty) take 0; repeated rows may trade their copies.
     """
     numbered = settle(_numbered(_lean(docs, slices)), "numbered")
-    starts = _filled(numbered, _starts(numbered), fill_rounds)
+    starts = _filled(numbered, _starts(numbered), at_once)
     rows = _decided(_placed(numbered, starts), schedule)
     return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken", "times"), starts
 
 
-def training_order(docs: DataFrame, schedule: Schedule = Schedule(), fill_rounds: int = 2, slices: int = 8) -> DataFrame:
+def training_order(docs: DataFrame, schedule: Schedule = Schedule(), slices: int = 8, at_once: int = 256) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, range-partitioned and sorted by training time.
 
     Same columns as ``docs``. The whole rows are shuffled twice: to their slice and to their time.
     """
-    _, starts = plan(docs, schedule, fill_rounds, slices)
+    _, starts = plan(docs, schedule, slices, at_once)
     rows = _numbered(_lean(docs, slices, F.struct("*").alias("row")))
     rows = _decided(_placed(rows, starts), schedule).select("row", "turn", F.explode("times").alias("time"))
     return rows.repartitionByRange("time", "turn").sortWithinPartitions("time", "turn").select("row.*")

@@ -100,6 +100,29 @@ def test_mixing_meets_targets(corpus):
     assert {(r.doc_id, r.size, r.taken) for r in again.collect()} == {(r.doc_id, r.size, r.taken) for r in got}
 
 
+def half_in_one(corpus):
+    """Source a's share of the mix has room for its long document only if that comes early; some that follow it are short."""
+    rnd = random.Random(3)
+    rows = [(1, "w " * 20_000, "a")] + [(10 + i, "w " * rnd.choice([0, 1, 7, 200, 200, 200, 200]), "a") for i in range(200)]
+    return corpus(rows + [(1000 + i, "w " * rnd.randrange(100, 1000), "b") for i in range(40)])
+
+
+@pytest.mark.parametrize("at_once", [1, 256])
+def test_mixing_leaves_out_only_what_does_not_fit(corpus, at_once):
+    got = mixing.plan(half_in_one(corpus), at_once=at_once)[0].collect()
+    for source in "ab":
+        rows = [r for r in got if r.source == source]
+        gap = rows[0].target - sum(r.taken for r in rows)
+        fewest = min(r.copies for r in rows)
+        assert 0 <= gap < min([r.size for r in rows if r.copies == fewest]), source
+    flat = [r for r in got if r.source == "a" and r.size and r.copies]
+    assert all(r.copies == 1 for r in flat) and rows[0].target > rows[0].source_size
+    begin = 0  # with the same weight at all times a document begins where the one before ends
+    for r in sorted(flat, key=lambda r: r.times):
+        assert r.times[0] * r.target == pytest.approx(begin, abs=1e-6)
+        begin += r.size
+
+
 def test_training_order_repeats_rows_by_time(corpus, odd, nothing):
     rows = many(corpus)
     docs = corpus(rows)
