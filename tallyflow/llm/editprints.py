@@ -176,22 +176,37 @@ def likeness(a: str, b: str) -> float:
     return float(both / either) if either else float(len(na) == len(nb))
 
 
+def _orders(number: int) -> np.ndarray:
+    """For each band an order of all windows, the same for every level."""
+    return per_process(f"orders {number}", lambda: np.array([np.random.default_rng(11 + i).permutation(ROWS) for i in range(number)]))
+
+
 def bands(print_: str, number: int = 8, width: int = 6) -> list[int]:
     """Keys of bit-sampled bands on the text's level and the next: texts near each other share one.
 
-    A band is ``width`` sampled windows of the first quarter of the most a level
-    has, which every text with windows of more than one step reaches.
+    A band has an order of all windows and samples the first ``width`` that the text
+    has notes in, so two texts of a likeness s share it with a probability of about
+    ``s ** width`` wherever they differ. A text without notes has none.
     """
-    few = NOTES // 4
-    picks = per_process(f"picks {number} {width}", lambda: np.random.default_rng(11).integers(0, few, (width, number)))
+    orders = _orders(number)
     level, notes = _parsed(print_)
     out = []
     for to in (level, level + 1):
-        seen = _coarser(level, notes[: 2 * few], to)[:few]
-        seen = np.concatenate([seen, np.zeros(few - len(seen), seen.dtype)]).astype(np.uint64)
+        seen = np.zeros(ROWS, np.uint64)
+        at = _coarser(level, notes, to)[:ROWS]
+        seen[: len(at)] = at
+        few = min(width, np.count_nonzero(seen))
+        for columns in (64, ROWS):  # the first windows of an order are enough for most texts
+            noted = seen[orders[:, :columns]] > 0
+            nth = np.cumsum(noted, axis=1)
+            if (nth[:, -1] >= few).all():
+                break
+        if not few:
+            continue
+        pick = np.take_along_axis(orders[:, :columns], np.nonzero(noted & (nth <= few))[1].reshape(number, few), axis=1)
         key = np.arange(number).astype(np.uint64) * np.uint64(64) + np.uint64(to)
-        for pick in picks:
-            key = (key + seen[pick]) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(few):
+            key = (key + pick[:, k].astype(np.uint64) * np.uint64(128) + seen[pick[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         out += key.astype(np.int64).tolist()
     return out

@@ -192,6 +192,21 @@ def test_likeness_follows_edits():
     assert editprints.likeness("0:", "0:") == 1 and editprints.likeness("0:", own) == 0
 
 
+@pytest.mark.parametrize("quarter", range(4))
+def test_bands_see_all_windows_of_a_text(quarter):
+    rnd = random.Random(8)
+    for n in (60, 130, 1000, 4000):
+        met = 0
+        for own in editprints.fingerprints(["".join(rnd.choice("etaoin shrdlu") for _ in range(n)) for _ in range(20)]):
+            level, notes = own.split(":")
+            few = len(notes) // 4
+            other = "".join(rnd.choice(editprints.LETTERS[1:]) for _ in range(few))
+            changed = notes[: quarter * few] + other + notes[(quarter + 1) * few :]
+            met += bool(set(editprints.bands(own)) & set(editprints.bands(f"{level}:{changed}")))
+        assert 13 <= met <= 20, n
+    assert editprints.bands("0:") == []
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
