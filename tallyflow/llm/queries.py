@@ -62,7 +62,7 @@ def op4_bitplane_tokens(spark, folder):
 
 @query
 def op5_edit_fingerprints(spark, folder):
-    return editprints.fingerprinted(table(spark, folder, "documents"))
+    return editprints.with_near(editprints.fingerprinted(table(spark, folder, "documents")))
 
 
 @query

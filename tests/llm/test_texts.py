@@ -207,6 +207,27 @@ def test_bands_see_all_windows_of_a_text(quarter):
     assert editprints.bands("0:") == []
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_near_documents_equal_brute_force(corpus, block):
+    rnd = random.Random(21)
+    draw = lambda n: "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+    texts = [None, "", "a", "ab"]
+    for n in (5, 30, 127, 300, 2000):
+        for _ in range(4):
+            text = draw(n)
+            texts += [text, text, draw(n), text + draw(1 + n // 40)]
+            for at in (n // 9, n // 2):
+                texts.append(text[:at] + "x" + text[at + 1 :])
+    rnd.shuffle(texts)
+    rows = editprints.with_near(editprints.fingerprinted(corpus(enumerate(texts))), block=block).collect()
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    want = {i: sum(j != i and editprints.likeness(p, q) >= 0.9 for j, q in prints.items()) for i, p in prints.items()}
+    assert {r.doc_id: r.near_docs for r in rows} == want and len(rows) == len(texts)
+    assert sum(n > 1 for n in want.values()) > 30 and 0 in want.values()
+    levels = {p.split(":")[0] for p in prints.values()}
+    assert len(levels) > 2
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
