@@ -85,10 +85,11 @@ def _lean(docs: DataFrame, slices: int, *carried: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     turn = F.xxhash64("doc_id", F.crc32(text))
     n = slices * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.shiftright((F.shiftright(turn, 32) + 2**31) * F.lit(n).cast("long"), 32).cast("int")  # slices in the order of the hash, whatever their number
     key = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
     return docs.select(
         *carried, F.col("doc_id").alias("id"), F.col("source").alias("source"), key.alias("key"), words(F.col("text")).alias("size"),
-        turn.alias("turn"), F.pmod(turn, F.lit(n)).cast("int").alias("slice"),
+        turn.alias("turn"), leading.alias("slice"),
     )
 
 
@@ -207,7 +208,7 @@ def plan(docs: DataFrame, schedule: Schedule = Schedule(), slices: int = 8, at_o
     out has. ``times`` has the training time of each copy.
 
     A document's place in its source is the running size in its slice of hash
-    values (a window) after that of the slices before (a row per source and slice;
+    values, cut by their leading bits (a window), after that of the slices before (a row per source and slice;
     ``slices`` times the shuffle partitions of them). So a source with most of all
     rows is spread over all tasks. Null sources are one source; documents without
     words (null, empty) take 0; repeated rows may trade their copies.

@@ -123,6 +123,12 @@ def test_mixing_leaves_out_only_what_does_not_fit(corpus, at_once):
         begin += r.size
 
 
+def test_mixing_is_the_same_in_any_number_of_slices(corpus):
+    docs = half_in_one(corpus)
+    few, many_ = ({(r.doc_id, r.copies, *r.times) for r in mixing.plan(docs, slices=n)[0].collect()} for n in (1, 5))
+    assert few == many_
+
+
 def test_training_order_repeats_rows_by_time(corpus, odd, nothing):
     rows = many(corpus)
     docs = corpus(rows)
