@@ -105,7 +105,7 @@ def _writer(path: str, end_id: int, kind: str, chunk_ids: int, file_ids: int) ->
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            tokens = token_bytes(path, (texts[i].as_py() for i in range(len(texts))))
+            tokens = token_bytes(path, texts)
             for name, t in zip(names.to_pylist(), tokens, strict=True):
                 ids.append(name)
                 docs.append(t + end)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import array
 import os
-import re
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -145,67 +143,170 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
 # --- tokens ------------------------------------------------------------------
 
-_WHITE = "\t-\r \x85\xa0  -     　"
-#: No pre-tokenizer of the vocabularies here joins letters across white space, but byte-level ones take one space before a word.
-_CHUNKS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: UTF-8 forms of white space above ASCII, by their length.
+_WIDE_WHITE = {2: ["\x85", "\xa0"], 3: ["\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]}
+#: Letters that composing and lower-casing turn into one letter each: ASCII and U+00C0 to U+017F, without the signs
+#: for times and division and without U+0130, which becomes a letter and a mark.
+_PLAIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+
+
+def _white(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are part of white space, and for the last byte of white space above ASCII its length, else 1."""
+    white, width = WHITE[raw], np.ones(len(raw), np.int8)
+    for size, members in _WIDE_WHITE.items():
+        codes = np.array([int.from_bytes(m.encode(), "big") for m in members])
+        lead = np.isin(raw[: len(raw) - size + 1], np.unique(codes >> 8 * (size - 1)))
+        at = np.flatnonzero(lead)
+        code = sum(raw[at + k].astype(np.int64) << 8 * (size - 1 - k) for k in range(size))
+        at = at[np.isin(code, codes)]
+        for k in range(size):
+            white[at + k] = True
+        width[at + size - 1] = size
+    return white, width
+
+
+def _behind_letter(raw: np.ndarray) -> np.ndarray:
+    """ASCII marks right behind a plain letter. No pre-tokenizer here joins a letter with such a mark."""
+    at = np.flatnonzero(_POINTS[raw])
+    at = at[at > 0]
+    last, lead = raw[at - 1], raw[at - 2]
+    two = (lead >= 0xC3) & (lead <= 0xC5) & (last >= 0x80) & (last <= 0xBF)
+    two &= ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC4) & (last == 0xB0)) & (at > 1)
+    return at[_LETTERS[last] | two]
+
+
+_POINTS = byte_table("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum()))
+_LETTERS = byte_table("".join(chr(b) for b in range(128) if chr(b).isalpha()))
+
+
+def chunk_starts(raw: np.ndarray, bounds: np.ndarray, keep_white: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of all texts begin, and which bytes belong to none.
+
+    With ``keep_white`` chunks tile the texts: a run without white space takes the one
+    space before it, of other white space before a run the last character is a chunk and
+    the rest another. Otherwise white space belongs to no chunk. A mark behind a plain
+    letter begins a chunk.
+    """
+    n = len(raw)
+    white, width = _white(raw)
+    first = np.zeros(n, bool)
+    first[bounds[bounds < n]] = True
+    begins = first.copy()
+    before = np.empty(n, bool)  # white space of the same text before it
+    if n:
+        before[0], before[1:] = False, white[:-1]
+    before &= ~first
+    words = np.flatnonzero(~white & before)
+    begins[_behind_letter(raw)] = True
+    if keep_white:
+        begins |= white & ~before
+        begins[words - width[words - 1]] = True
+        begins[words[raw[words - 1] != 32]] = True
+        begins[words[raw[words - 1] == 32]] = False
+        return np.flatnonzero(begins), np.zeros(n, bool)
+    begins[words] = True
+    return np.flatnonzero(begins & ~white), white
 
 
 class Chunked:
     """Token ids of whole texts, encoded chunk by chunk and remembered.
 
-    A chunk is a run without white space with the one space before it, or white
-    space. Both kinds of vocabulary split there whatever stands around, so the
-    ids of a text are those of its chunks in order. The memory holds at most
-    ``most`` chunks of up to 64 characters. Strings of special tokens in a text
-    are ordinary text.
+    A text's ids are those of its chunks in order: both kinds of vocabulary split
+    where chunks begin, whatever stands around. A batch's distinct chunks are found by
+    Arrow; those not met before go to the library, plain words straight to its model, as
+    its normalizing and splitting leave them whole. The memory holds at most ``most``
+    chunks of up to 64 bytes. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.keep_white, self.lower = bool(self._ids([" "])[0]), self._ids(["A"]) == self._ids(["a"])
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.as_byte = {b: 256 + i for i, b in enumerate(hidden)}  # how byte-level vocabularies write bytes that do not print
         self.most, self.known = most, {}
+        self.flat, self.ends, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(chunks), 20_000) for e in self.tokenizer.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of a plain word, with a space before it or not."""
+        word = word.lower() if self.lower else word
+        word = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin1").translate(self.as_byte)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _add(self, lists: list[list[int]]) -> np.ndarray:
+        """Puts ids at the end of the store and returns their numbers there."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first, used = self.count, int(self.ends[self.count])
+        self.count += len(lists)
+        ends = used + np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else used
+        while total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used:total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total - used)
+        self.ends[first + 1 : self.count + 1] = ends
+        return np.arange(first, self.count)
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """For each distinct chunk its number in the store; long chunks are last there, to be forgotten."""
+        known, values = self.known, chunks.to_pylist()
+        if len(known) + len(values) > self.most:
+            known.clear()
+            self.count = 0
+        numbers = np.fromiter((known.get(v, -1) for v in values), np.int64, len(values))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            plain = pc.match_substring_regex(chunks.take(pa.array(new)), f"^ ?[{_PLAIN}]+$").to_numpy(zero_copy_only=False)
+            size = pc.binary_length(chunks).to_numpy(zero_copy_only=False)[new]
+            words, others, long = new[plain & (size <= 64)], new[~plain & (size <= 64)], new[size > 64]
+            for part, ids in ((words, [self._word(values[i]) for i in words]), (others, self._ids([values[i] for i in others]))):
+                numbers[part] = self._add(ids)
+                known.update(zip((values[i] for i in part), numbers[part].tolist(), strict=True))
+            numbers[long] = self._add(self._ids([values[i] for i in long]))
+        return numbers
+
+    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin."""
+        starts, dropped = chunk_starts(raw, bounds, self.keep_white)
+        before = np.searchsorted(starts, bounds)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        if dropped.any():
+            kept = ~dropped
+            places = np.cumsum(kept)
+            starts, raw = places[starts] - 1, raw[kept]
+        offsets = np.append(starts, len(raw))
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = chunks.dictionary_encode()
+        numbers = self._numbers(coded.dictionary)
+        at = self.ends[numbers]
+        size = self.ends[numbers + 1] - at
+        codes = coded.indices.to_numpy()
+        sizes = size[codes]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(at[codes] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.count = len(self.known)  # long chunks leave the store
+        return ids, np.append(0, ends)[before]
+
+
+def token_ids(path: str, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of a batch of texts, some megabytes at a time: all ids, and where each text's begin; null counts as empty."""
+    encode = per_process(f"tokens {path}", lambda: Chunked(path))
+    for piece in slices(texts):
+        yield encode.encode(*text_bytes(piece))
 
-    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                yield chunk, array.array("I", e.ids).tobytes()
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Remembers what the chunks of some texts lack, in few calls of the library."""
-        seen = set().union(*lists)
-        missing = {c for c in seen.difference(self.known) if len(c) <= 64}
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = {c for _, c in zip(range(self.most), (c for c in seen if len(c) <= 64))}
-        # A mark behind a letter is a piece of its own, so the word before it is encoded once for all marks.
-        marked = {c for c in missing if c[-1] in ".,;:!?" and c[-2:-1].isalpha()}
-        apart = {c[:-1] for c in marked}.union(c[-1] for c in marked)
-        self.known.update(self._encoded(list(apart.union(missing.difference(marked)).difference(self.known))))
-        self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
-
-    def joined(self, chunks: list[str]) -> bytes:
-        """Ids as unsigned 32-bit numbers, in the machine's order (little-endian here)."""
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:  # long chunks, which are not remembered
-            others = dict(self._encoded(list(set(chunks).difference(self.known))))
-            return b"".join([self.known[c] if c in self.known else others[c] for c in chunks])
-
-
-def token_bytes(path: str, texts: Iterator[str | None], at_once: int = 2_000_000) -> Iterator[bytes]:
+
+def token_bytes(path: str, texts: pa.Array) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit bytes; null counts as empty."""
-    encode = per_process(f"tokens {path}", lambda: Chunked(path))
-    lists, chars = [], 0
-    for text in texts:
-        lists.append(_CHUNKS.findall(text or ""))
-        chars += len(text or "")
-        if chars >= at_once:
-            encode.learn(lists)
-            yield from map(encode.joined, lists)
-            lists, chars = [], 0
-    encode.learn(lists)
-    yield from map(encode.joined, lists)
+    for ids, bounds in token_ids(path, texts):
+        data = ids.astype("<u4").tobytes()
+        yield from (data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))

@@ -122,7 +122,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 def _cells(tokenizer: str, end_id: int, tiers: Tiers, with_ids: bool) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
-    def rows(cell: int, names: list, docs: list[bytes]) -> pa.RecordBatch:
+    def rows(first: int, group: int, names: list, docs: list[bytes]) -> tuple[pa.RecordBatch, int, int]:
         sequences = packed([len(d) // 4 for d in docs], tiers)
         sizes = [sum(p[2] for p in s) for s in sequences]
         groups = step_groups(sizes, tiers.step_tokens)
@@ -131,26 +131,28 @@ def _cells(tokenizer: str, end_id: int, tiers: Tiers, with_ids: bool) -> Callabl
             offset = 0
             for doc, start, length in sequence:
                 ids = docs[doc][4 * start : 4 * (start + length)]
-                for k, v in zip(out, (names[doc], start, length, zlib.crc32(ids), len(docs[doc]) // 4, cell << 32 | i, offset, sizes[i], cell << 32 | groups[i], ids)):
+                for k, v in zip(out, (names[doc], start, length, zlib.crc32(ids), len(docs[doc]) // 4, first + i, offset, sizes[i], group + groups[i], ids)):
                     out[k].append(v)
                 offset += length
         kinds = {k: pa.int64() for k in out} | {"tier": pa.int32()} | ({"ids": pa.binary()} if with_ids else {})
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out)), first + len(sequences), group + max(groups) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, names, docs, n = TaskContext.get().partitionId() << 12, [], [], 0
+        first = group = TaskContext.get().partitionId() << 40
+        names, docs, n = [], [], 0
         for batch in batches:
             texts = batch.column(1)
-            tokens = token_bytes(tokenizer, (texts[i].as_py() for i in range(len(texts))))
+            tokens = token_bytes(tokenizer, texts)
             for name, t in zip(batch.column(0).to_pylist(), tokens, strict=True):
                 names.append(name)
                 docs.append(t + end)
                 n += len(docs[-1]) // 4
                 if n >= tiers.cell_tokens:
-                    yield rows(cell, names, docs)
-                    cell, names, docs, n = cell + 1, [], [], 0
+                    found, first, group = rows(first, group, names, docs)
+                    yield found
+                    names, docs, n = [], [], 0
         if docs:
-            yield rows(cell, names, docs)
+            yield rows(first, group, names, docs)[0]
 
     return run
 

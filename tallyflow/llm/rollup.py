@@ -20,7 +20,7 @@ def token_count(tokenizer: str, end_tokens: int = 0) -> Callable[[Column], Colum
     """Tokens of a whole text by a vocabulary file; null counts as empty."""
 
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(t) // 4 + end_tokens for t in token_bytes(tokenizer, (texts[i].as_py() for i in range(len(texts))))], pa.int64())
+        return pa.array([len(t) // 4 + end_tokens for t in token_bytes(tokenizer, texts)], pa.int64())
 
     return lambda text: F.arrow_udf(count, "bigint")(F.coalesce(text, F.lit("")))
 

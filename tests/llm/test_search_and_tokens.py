@@ -1,14 +1,16 @@
 """Exact top-k, bit planes, packing: against brute force and exact round trips."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.llm import bitplanes, packing, topk
-from tallyflow.llm.common import token_bytes
+from tallyflow.llm.common import Chunked, text_bytes, token_bytes
 from tallyflow.llm.queries import vocabulary
 from tests.llm.conftest import ODD
 
@@ -57,10 +59,35 @@ def test_chunked_ids_are_those_of_whole_texts(path):
     marks = [chr(rnd.choice([32, 9, 10, 0x2003, 0x85, 0xA0, 65, 97, 0xE9, 0x4E2D, 0x1F600, 39, 115, 0x301, 0x1C, 0x200D])) for _ in range(3000)]
     texts = ["", " a  b\t\nc ", "it's  we'll 's　　q  ", "é Σας ΟΔΟΣ ́x", "don't''s 12 ½ ٣ <|endoftext|> z", "".join(marks), "y" * 300 + " y"]
     texts += [t for _, t, *_ in ODD if t]
-    got = [np.frombuffer(b, "<u4").tolist() for b in token_bytes(path, iter(texts))]
+    got = [np.frombuffer(b, "<u4").tolist() for b in token_bytes(path, pa.array(texts))]
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_every_letter_before_a_mark_and_random_texts_equal_the_library(path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rnd = random.Random(9)
+    marks = [chr(b) for b in range(33, 127) if not chr(b).isalnum()]
+    texts = ["ab" + c + rnd.choice(marks) + "x" for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LM"]
+    texts += ["".join(p) for m in marks for p in (("a", m), ("\u00e9", m), ("\u0130", m), ("\u0958", m), ("\u017f", m, m))]
+    pool = [*" \t\n\r'st.,!Aa", *"\x85\xa0\u1680\u2003\u2028\u3000\xe9\xd7\xf7\u0130\u0149\u017f\u0301\u0338\u0958\u4e2d\U0001f600\x1c\u200d\xbd\u0663\u03a3\u212b\xdf"]
+    texts += ["".join(rnd.choices(pool, k=rnd.randint(0, 30))) for _ in range(20_000)]
+    got = list(token_bytes(path, pa.array(texts)))
+    want = [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 5_000) for e in whole.encode_batch_fast(texts[at : at + 5_000], add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_a_full_memory_of_chunks_changes_no_ids():
+    texts = pa.array([f"w{i} w{i % 7} {'z' * 70}{i}, end" for i in range(300)])
+    small, large = Chunked(WORDS, most=50), Chunked(WORDS)
+    for at in range(0, 300, 20):
+        part = texts.slice(at, 20)
+        assert [a.tolist() for a in small.encode(*text_bytes(part))] == [a.tolist() for a in large.encode(*text_bytes(part))]
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_planes_and_files_round_trip(kind):
     rng = np.random.default_rng(1)
@@ -76,7 +103,7 @@ def test_planes_and_files_round_trip(kind):
 
 def tokens_of(path, end):
     texts = [t for _, t, *_ in ODD]
-    return [(i, np.append(np.frombuffer(b, "<u4"), end).astype("<u4")) for (i, *_), b in zip(ODD, token_bytes(path, iter(texts)))]
+    return [(i, np.append(np.frombuffer(b, "<u4"), end).astype("<u4")) for (i, *_), b in zip(ODD, token_bytes(path, pa.array(texts)))]
 
 
 @pytest.mark.parametrize("kind", ["bit", "byte"])
