@@ -78,15 +78,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tables if n < len(tables[1]) else make(n)
 
 
-def hashed_words(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, A-Z taken as a-z, and the words before each text.
+def word_spans(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, A-Z taken as a-z, where the word begins and where it ends.
 
     A word is a run of bytes outside ``apart``; none spans two texts. Runs in
     blocks, so memory beyond the words themselves does not follow the text.
     """
-    found, before, at = [], np.zeros(len(bounds), np.int64), 0
+    found, at = [], 0
     total = len(raw)
-    done = 0
     while at < total:
         stop = min(at + BLOCK, total)
         if stop < total:  # up to the next separator or text boundary
@@ -112,12 +111,17 @@ def hashed_words(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE)
         letters, up, down = _powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(letters[part] * up[:n], out=sums[1:])
-        found.append(mixed((sums[stops] - sums[starts]) * down[starts]))
-        before[first:last] = done + np.searchsorted(starts, cuts)
-        done += len(starts)
+        found.append((mixed((sums[stops] - sums[starts]) * down[starts]), starts + at, stops + at))
         at = stop
-    before[np.searchsorted(bounds, total, "left") :] = done
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), before
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def hashed_words(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the words before each text."""
+    words, starts, _ = word_spans(raw, bounds, apart)
+    return words, np.searchsorted(starts, bounds)
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
