@@ -99,8 +99,9 @@ def pair_keys(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 # --- cells that are frequent -------------------------------------------------
 
-COUNTS = "chunk int, data binary, key bigint, lang string, word string, n bigint"
-COUNTS_SCHEMA = pa.schema([("chunk", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+COUNTS = "chunk int, data binary, names binary, lang string, n bigint"
+COUNTS_SCHEMA = pa.schema([("chunk", pa.int32()), ("data", pa.binary()), ("names", pa.binary()), ("lang", pa.string()), ("n", pa.int64())])
+NAMES = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("other", pa.string())])
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -150,10 +151,10 @@ def _word_counter(p: Mining) -> Callable:
 
 
 def _pair_counter(p: Mining, frequent: Callable) -> Callable:
-    """Counts pairs of frequent words, and names each such word once a task."""
+    """Counts pairs of frequent words, and names each such word once a task, in a list for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_word, counts, named = frequent(), CellCounts(p), np.zeros(0, np.uint64)
+        is_word, counts, named, names = frequent(), CellCounts(p), np.zeros(0, np.uint64), []
         for langs, w in words_of(batches):
             kept = is_word[cell(w.keys, p)]
             first = np.flatnonzero(w.goes_on & kept & np.append(kept[1:], False))
@@ -164,12 +165,47 @@ def _pair_counter(p: Mining, frequent: Callable) -> Callable:
             named = np.concatenate([named, keys[new]])
             at, data = at[where[new]], w.raw.tobytes()
             spelled = [data[a:b].lower().decode() for a, b in zip(w.starts[at].tolist(), w.stops[at].tolist(), strict=True)]
-            yield _rows(key=keys[new].astype(np.int64), lang=[langs[i] for i in w.text[at].tolist()], word=spelled)
+            names.append(pa.table([keys[new].astype(np.int64), [langs[i] for i in w.text[at].tolist()], spelled, spelled], schema=NAMES))
         yield from counts.flush()
+        if len(named):
+            chunk = (named >> np.uint64(64 - p.chunks)).astype(np.int64)
+            order, all_names = np.argsort(chunk, kind="stable"), pa.concat_tables(names)
+            for at in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+                yield _rows(chunk=[int(chunk[at[0]])], names=[_written(all_names.take(pa.array(at)))])
 
     return run
 
 
+def _written(names: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, NAMES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(names)
+    return sink.getvalue().to_pybytes()
+
+
+def _once(names: list[pa.Table]) -> pa.Table:
+    """A row for each key, with its first and last word: two where two words have one key."""
+    found = pa.concat_tables(names).group_by("key").aggregate([("lang", "min"), ("word", "min"), ("other", "max")])
+    return found.select(["key", "lang_min", "word_min", "other_max"]).rename_columns(NAMES.names).cast(NAMES)
+
+
+def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of each chunk, those that many tasks give as one."""
+    now, names, least = None, [], 0
+    for batch in batches:
+        for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if chunk != now and names:
+                yield from _once(names).to_batches()
+                names, least = [], 0
+            now = chunk
+            names.append(pa.ipc.open_stream(data).read_all())
+            if sum(map(len, names)) > 2 * least + (1 << 16):
+                names = [_once(names)]
+                least = len(names[0])
+    if names:
+        yield from _once(names).to_batches()
+
+
 CELLS = "chunk int, frequent binary, begins binary, heavy binary"
 
 
@@ -205,7 +241,7 @@ class Cells:
     """What the sums say, on the driver and in every task: ``2 ** cells`` bits, and a few cells for each budget of suffixes."""
 
     def __init__(self, counts: DataFrame, p: Mining):
-        spread = counts.filter("chunk is not null").select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk")
+        spread = counts.filter("data is not null").select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk")
         rows = spread.mapInArrow(_summer(p), CELLS).collect()
         bits = np.zeros((1 << p.chunks, 1 << (p.cells - p.chunks)), bool)
         for r in rows:
@@ -364,7 +400,8 @@ def frequent_phrases(docs: DataFrame, p: Mining = Mining()) -> tuple[DataFrame,
     leaves = leaves.repartition("group").sortWithinPartitions("group")
     nodes = leaves.mapInArrow(_grower(words, pairs, p), "path array<bigint>, n bigint")
     nodes = settle(nodes.groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.least), "nodes")
-    named = counted.filter("key is not null").groupBy("key").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.max("word").alias("other"))
+    named = counted.filter("names is not null").select("chunk", "names").repartition("chunk").sortWithinPartitions("chunk")
+    named = named.mapInArrow(_namer, "key bigint, lang string, word string, other string")
     named = named.join(nodes.filter("size(path) = 1").select(F.col("path")[0].alias("key")), "key", "left_semi")
     same = F.when(F.col("word") == F.col("other"), F.col("word")).otherwise(F.raise_error(F.lit("two frequent words have one key")))
     named = settle(named.select("key", "lang", same.alias("word")), "named")
