@@ -294,16 +294,17 @@ def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, p: Banding) -
 # --- components --------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, label``: the smallest node reachable, for every node of the edges ``a, b``.
 
     Alternates large and small stars until nothing changes; each round is written,
     and its edges are no more than before. Degrees matter to no task: minima are
-    combined before the shuffle, and the joins can be split by key.
+    combined before the shuffle, and the joins can be split by key. After a number
+    of ``rounds`` given, labels may still differ within a component, but nodes of one label are connected.
     """
     now = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark = None
-    while True:
+    mark, done = None, 0
+    while done != rounds:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -311,19 +312,26 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(small, "a")
         moved = moved.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
         now = settle(moved.distinct(), "stars")
+        done += 1
+        if rounds:
+            continue
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    return settle(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")
+    least, ends = now.select(F.col("a").alias("node"), F.col("b").alias("label")), now.select(F.col("b").alias("node"))
+    if rounds:  # a node may still have several, or be another's label
+        least = least.groupBy("node").agg(F.min("label").alias("label"))
+        ends = ends.join(least, "node", "left_anti")
+    return settle(least.unionAll(ends.select("node", F.col("node").alias("label")).distinct()), "labels")
 
 
 def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, th`` (the text's hash), ``n_shingles, node, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, th`` (the text's hash), ``n_shingles, node, label, component_id, kept``.
 
     Words are runs without space and controls 9 to 13, A-Z as a-z; a text's set is
     its distinct five-word shingles, or its whole word sequence if shorter. Equal
-    sets are one node (64 bits of a hash), and a component's id is its smallest
+    sets are one node (64 bits of a hash), ``label`` is the component's smallest node (null without words), and a component's id is its smallest
     ``doc_id``. Texts without words (null, empty) are linked with nothing and kept.
     Null ids take part; their component has null only if no member has an id, and
     they are kept then. Rows that repeat an id stay rows of their own.
@@ -334,31 +342,28 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     nodes = settle(nodes.select("node", "n_shingles", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch", "odd"), "nodes")
     members = buckets(nodes, p)
     tried = settle(star_edges(members, nodes, p), "tried")
-    links = confirmed(tried, nodes, docs, p)
-    labels = components(links.select(F.col("hub").alias("a"), F.col("leaf").alias("b")))
-    rest = settle(open_edges(members, nodes, labels, tried, p), "rest")
-    more = confirmed(rest, nodes, docs, p)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more.select("hub", "leaf")))
+    links = confirmed(tried, nodes, docs, p).select(F.col("hub").alias("a"), F.col("leaf").alias("b"))
+    # The first labels only say which pairs need no look, so two rounds of them do.
+    rest = settle(open_edges(members, nodes, components(links, rounds=2), tried, p), "rest")
+    labels = components(links.unionAll(confirmed(rest, nodes, docs, p)))
     linked = labels.join(nodes.select("node", "rep_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("rep_id").alias("component_id"))
-    linked = settle(linked.join(smallest, "label").select("node", "component_id"), "components")
+    linked = settle(linked.join(smallest, "label").select("node", "label", "component_id"), "components")
     alone = rows.drop("halves", "sketch", "odd").join(nodes.select("node", "rep_id"), "node", "left").join(linked, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "rep_id"))
-    alone = alone.withColumn("component_id", own)
-    return alone.select("doc_id", "th", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("label").isNull(), F.col("rep_id")).otherwise(F.col("component_id"))
+    alone = alone.withColumns({"component_id": own, "label": F.coalesce("label", "node")})
+    return alone.select("doc_id", "th", "n_shingles", "node", "label", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest id, of rows that repeat it one.
+    """The rows of ``docs``, one of each component: that with the smallest id (null last), of rows that repeat it that of the smallest text hash.
 
-    Documents without words all stay.
+    Rows that repeat an id with texts that are not alike are of different components,
+    so each has its own. Documents without words all stay.
     """
-    found = settle(near_duplicates(docs, p), "found")
-    words = found.filter("n_shingles > 0 and kept")
-    # A component is known by its id, one without an id by its set.
-    of = F.when(F.col("component_id").isNull(), F.col("node"))
-    first = words.groupBy("component_id", of.alias("of")).agg(F.min("th").alias("th"))
-    chosen = first.select(_id_key("component_id").alias("id_key"), "th").distinct()
+    words = settle(near_duplicates(docs, p), "found").filter("n_shingles > 0")
+    first = words.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
+    chosen = first.select(_id_key("first.doc_id").alias("id_key"), F.col("first.th").alias("th"))
     counted = words.groupBy(_id_key().alias("id_key"), "th").agg(F.count("*").alias("n"))
     chosen = settle(counted.join(chosen, ["id_key", "th"], "left_semi"), "chosen")
     text = F.coalesce(F.col("text"), F.lit(""))

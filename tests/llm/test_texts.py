@@ -328,6 +328,20 @@ def test_many_texts_of_a_cell_that_stay_apart(corpus):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_texts_that_share_an_id_but_nothing_else_all_stay(corpus):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (6, b), (7, c), (None, "n1 " + a), (None, "z z z z z z z"), (None, "z z z z z z z"), (8, ""), (8, None)]
+    left = sorted(((r.doc_id, r.text) for r in neardup.deduplicated(corpus(rows)).collect()), key=repr)
+    assert left == sorted([(5, a), (5, b), (7, c), (None, "z z z z z z z"), (8, ""), (8, None)], key=repr)
+
+
+def test_labels_of_a_few_rounds_join_only_what_is_connected(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)]
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), rounds=2).collect()}
+    assert set(got) == {*range(51), 100, *range(200, 230)}
+    assert all((node <= 50) == (label <= 50) for node, label in got.items()) and len(set(got.values())) < len(got)
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(1)
     chain = [(i, i + 1) for i in range(60)]
