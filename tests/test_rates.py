@@ -1,8 +1,11 @@
 import random
+import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyflow.operators import implied
 from tallyflow.operators import quotes as q
 from tallyflow.operators.implied import implied_rates
 from tallyflow.operators.rates import asof_rate, day_rate, market_deviation
@@ -22,21 +25,13 @@ def test_asof_sources(spark, ledger):
     live = spark.createDataFrame([("T", 99.0), ("V", 8.0)], "asset string, rate double")
     got = {(r.asset, r.day.day): (r.rate, r.rate_src, r.usd) for r in asof_rate(rows, rates, opening, live).collect()}
     assert len(got) == 18
-    known, openings, lives = {"T": {5: 1.0, 9: 3.0}, "U": {6: 7.0}, "V": {}}, {"T": (12, 4.0)}, {"T": 99.0, "V": 8.0}
-    for (asset, d), (rate, source, usd) in got.items():
-        mine = known[asset]
-        prior, later = [k for k in mine if k <= d], [k for k in mine if k > d]
-        if d in mine:
-            want = mine[d], "day-implied"
-        elif openings.get(asset, (None,))[0] == d:
-            want = openings[asset][1], "day-implied (open)"
-        elif prior:
-            want = mine[max(prior)], "carry-forward"
-        elif later:
-            want = mine[min(later)], "carry-back"
-        else:
-            want = lives[asset], "live"
-        assert (rate, source) == want and usd == 2 * rate
+    implied, opened, forward, back, market = "day-implied", "day-implied (open)", "carry-forward", "carry-back", "live"
+    want = {
+        ("T", 1): (1.0, back), ("T", 5): (1.0, implied), ("T", 6): (1.0, forward), ("T", 9): (3.0, implied), ("T", 12): (4.0, opened), ("T", 13): (3.0, forward),
+        ("U", 1): (7.0, back), ("U", 5): (7.0, back), ("U", 6): (7.0, implied), ("U", 9): (7.0, forward), ("U", 12): (7.0, forward), ("U", 13): (7.0, forward),
+        ("V", 1): (8.0, market), ("V", 5): (8.0, market), ("V", 6): (8.0, market), ("V", 9): (8.0, market), ("V", 12): (8.0, market), ("V", 13): (8.0, market),
+    }
+    assert got == {k: (rate, source, 2 * rate) for k, (rate, source) in want.items()}
 
 
 def test_asof_leaves_the_ledger_unshuffled(spark, ledger):
@@ -94,6 +89,39 @@ def test_each_day_may_move_the_next(spark, ledger):
     assert {r.day.day: r.rate for r in got} == pytest.approx({21 - k: round(0.01 / 2**k, 10) for k in range(20)})
 
 
+def in_turn(rows, ref, kept):
+    """Day by day from the newest, with the median of sorted seeds."""
+    out = {}
+    for asset in {a for _, _, a, _, _ in rows}:
+        rate = ref.get(asset)
+        for d in sorted({s // 86400 for _, s, a, _, _ in rows if a == asset}, reverse=True):
+            if (asset, d) in kept:
+                rate = out[asset, d] = kept[asset, d]
+            elif rate:
+                seeds = sorted(v for _, s, a, v, _ in rows if (a, s // 86400) == (asset, d) and 0.1 / rate / 2.5 < v < 0.1 / rate * 2.5)
+                if len(seeds) >= 5:
+                    rate = out[asset, d] = 0.1 / statistics.median(seeds)
+    return {k: round(v, 10) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("slice_amounts", [1, 45, 110, 20_000])
+def test_implied_rates_do_not_depend_on_the_slices(spark, ledger, slice_amounts):
+    rnd = random.Random(6)
+    rows = [("OUT", 86400 * d, a, round(10 * 1.6 ** rnd.randint(0, d % 9) * rnd.uniform(0.7, 1.4), 3), "x") for a in "TUVW" for d in range(24) for _ in range(rnd.choice([3, 9, 30, 60]))]
+    ref, kept = {"T": 0.01, "U": 0.002, "V": 0.01}, {("U", 7): 0.004, ("W", 20): 0.01, ("T", 0): 0.5}
+    frames = spark.createDataFrame(list(ref.items()), "asset string, rate double"), spark.createDataFrame([(a, day(d + 1), r) for (a, d), r in kept.items()], RATES)
+    got = implied_rates(ledger(rows), *frames, slice_amounts=slice_amounts).collect()
+    assert {(r.asset, r.day.day - 1): r.rate for r in got} == pytest.approx(in_turn(rows, ref, kept))
+
+
+def test_a_slice_walks_its_days_in_one_round(spark, ledger):
+    rows = ledger([("OUT", 86400 * (20 - k), "T", 10.0 * 2**k, "x") for k in range(20) for _ in range(5)])
+    amounts = rows.groupBy("asset", "day", "val").agg(F.count("*").alias("n"))
+    days = amounts.select("asset", "day", F.lit(0.01).alias("live"), F.lit(None).cast("double").alias("kept"))
+    rounds = {size: implied._rounds(amounts, days, size, 0.1, 2.5, 5)[1] for size in (20_000, 200, 66)}
+    assert rounds[20_000] == 1 and rounds[200] <= 5 and rounds[66] <= 11
+
+
 def frame_of(spark, feeds):
     rows = [(a, T0 + timedelta(seconds=60 * i), f"{i:04}", p, f) for a, feed in feeds.items() for i, (p, f) in enumerate(feed)]
     return spark.createDataFrame(rows, "asset string, ts timestamp_ntz, key string, price double, fallback double")
