@@ -103,6 +103,10 @@ def drift_alerts(recon: DataFrame) -> DataFrame:
     return recon.filter("warn").select("asset", "drift")
 
 
+#: The columns of :func:`alerts`.
+DUE = "ts timestamp_ntz, rule string, subject string, value double"
+
+
 def alerts(history: DataFrame, recon: DataFrame, rules: AlertRules = AlertRules(), every: bool = False) -> DataFrame:
     """WIN13-WIN15: alerts due at the newest snapshot, as ``(ts, rule, subject, value)``."""
     newest = history.agg(F.max("ts")).scalar()

@@ -167,7 +167,7 @@ _TELEMETRY = """count(*) FILTER (WHERE event_type = 'purchase') AS topups,
 _MEASURES = ("topups", "topup_usd", "topup_intents", "awakens", "logins")
 
 _BANK = f"""fresh AS (SELECT CAST(ts AS DATE) AS day, {_TELEMETRY} FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1),
-stored AS (SELECT CAST(ts AS DATE) AS day, {_TELEMETRY} FROM events WHERE user_id % 2 = 1 AND day(ts) <= 25 GROUP BY 1),
+stored AS (SELECT * REPLACE (topups + 3 AS topups, topup_usd + 10.5 AS topup_usd, logins + 1 AS logins) FROM (SELECT CAST(ts AS DATE) AS day, {_TELEMETRY} FROM events WHERE day(ts) <= 25 GROUP BY 1)),
 bank AS (SELECT day, {', '.join(f'CASE WHEN keep THEN o_{m} ELSE n_{m} END AS {m}' for m in _MEASURES)},
     CASE WHEN keep THEN day(day) <= 20 ELSE day <= DATE '2024-01-29' END AS settled, false AS partial
   FROM (SELECT coalesce(o.day, n.day) AS day, (o.day IS NOT NULL AND day(o.day) <= 20) OR n.day IS NULL AS keep,

@@ -16,6 +16,7 @@ from tallyflow.plans import hourly, roles
 from tallyflow.plans.roles import AS_OF, ASSETS, EVENTS, RECYCLE
 from tallyflow.session import scratch_path, settle
 from tallyflow.sources import adapters, ingest, readers, sinks
+from tallyflow.sources.runs import Runs
 from tallyflow.sources.normalise import excluded, normalise
 from tallyflow import streaming
 
@@ -518,7 +519,9 @@ def _telemetry(spark, folder):
 
 
 def _bank(spark, folder):
-    return sinks.bank_days(_telemetry(spark, folder), roles.day_bank(spark, folder), AS_OF)
+    stored = Runs(spark, scratch_path(spark, "bank"))
+    stored.append("2024-01-25", roles.day_bank(spark, folder))
+    return sinks.store_bank(_telemetry(spark, folder), stored, "2024-01-31", AS_OF)
 
 
 @query
@@ -543,7 +546,7 @@ def bank_days(spark, folder):
 def settled_tier(spark, folder):
     """JN11, AGG26"""
     ledger = roles.classified_events(spark, folder)
-    bank = settle(_bank(spark, folder), "bank")
+    bank = _bank(spark, folder)
     pace = balance.burn(ledger, AS_OF, EVENTS).select("burn7avg").scalar()
     wau = platform.active_users(adapters.table(spark, folder, "events"), AS_OF).select("active_7d").scalar()
     return text_days(platform.settled_tier(bank, ledger, EVENTS, burn7avg=pace, wau=wau), "first_day", "last_day")
@@ -552,7 +555,7 @@ def settled_tier(spark, folder):
 @query
 def ratio_weeks(spark, folder):
     """JN11, AGG27"""
-    return text_days(platform.ratio_weeks(settle(_bank(spark, folder), "bank"), roles.classified_events(spark, folder), EVENTS), "end_day")
+    return text_days(platform.ratio_weeks(_bank(spark, folder), roles.classified_events(spark, folder), EVENTS), "end_day")
 
 
 @query
@@ -807,10 +810,11 @@ def export_rows(spark, folder):
 def publish_closed(spark, folder):
     """SNK3"""
     closes = text_days(rates.daily_close(roles.pool_candles(spark, folder)), "day")
-    state_path = scratch_path(spark, "closes")
-    closes.filter(F.col("day") <= "2024-01-12").withColumn("close", F.lit(1.0)).write.parquet(state_path)
-    sinks.publish_closed(closes, spark.read.parquet(state_path), ["asset", "day"], state_path)
-    return spark.read.parquet(state_path)
+    state = Runs(spark, scratch_path(spark, "closes"))
+    state.append("2024-01-12", closes.filter(F.col("day") <= "2024-01-12").withColumn("close", F.lit(1.0)))
+    for _ in range(2):  # a repeated run adds nothing
+        sinks.publish_closed(closes, state.read(closes.schema), ["asset", "day"], state, "2024-01-31")
+    return state.read(closes.schema)
 
 
 @query
@@ -819,21 +823,21 @@ def kpi_snapshot(spark, folder):
     ledger, held = roles.classified_events(spark, folder), roles.balances(spark, folder)
     runway = balance.runway(balance.burn(ledger, AS_OF, EVENTS), held.agg(F.sum("balance")).scalar())
     row = hourly.kpi_snapshot(ledger, held, settle(runway, "runway"), AS_OF, 0.02, "A0", "A1")
-    path = scratch_path(spark, "history")
-    sinks.append_snapshot(row, path)
-    return spark.read.parquet(path).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    history = Runs(spark, scratch_path(spark, "history"))
+    sinks.append_snapshot(row, history, str(AS_OF))
+    return history.read(row.schema).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
 
 
 @query
 def snapshot_history(spark, folder):
     """SNK2"""
-    path = scratch_path(spark, "history")
+    history = Runs(spark, scratch_path(spark, "history"))
     ledger = adapters.event_ledger(spark, folder)
     first = ledger.filter("day <= '2024-01-15'").agg(F.lit("mid").alias("run"), F.count("*").alias("n"))
     last = ledger.agg(F.lit("end").alias("run"), F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("val"))
-    sinks.append_snapshot(first, path)
-    sinks.append_snapshot(last, path)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    for run, row in (("mid", first), ("end", last), ("mid", first)):
+        sinks.append_snapshot(row, history, run)
+    return history.read(last.schema)
 
 
 @query
@@ -925,7 +929,7 @@ def stream_ingest_batches(spark, folder):
     ev.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").write.parquet(path)
     ev.filter("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").write.mode("append").parquet(path)
     bank = scratch_path(spark, "bank")
-    rows = streaming.each_batch(streaming.landed(spark, path, ev.schema), bank, streaming.ingest_batch(bank, ["event_id"]), "append")
+    rows = streaming.each_batch(streaming.landed(spark, path, ev.schema), bank, streaming.ingest_batch(bank, ["event_id"]), "append", ev.schema)
     per = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("val"))
     return text_days(per, "day")
 
@@ -983,7 +987,7 @@ def publish_stream(spark, folder):
     kept = days.select("day", "n", F.round("usd", 2).alias("usd"))
     batch = adapters.table(spark, folder, "events").filter(F.day("ts") <= 10).groupBy(F.to_date("ts").alias("day"))
     batch.agg(F.count("*").alias("n"), F.lit(0.0).alias("usd")).write.parquet(f"{path}/batch=-1")
-    done = streaming.each_batch(kept, path, streaming.publish_batch(path, ["day"]), "append")
+    done = streaming.each_batch(kept, path, streaming.publish_batch(path, ["day"]), "append", kept.schema)
     return text_days(done.drop("batch"), "day")
 
 
@@ -996,5 +1000,5 @@ def alert_stream(spark, folder):
     history = settle(roles.hourly_history(spark, folder), "history")
     net = _event_stream(spark, folder).groupBy("asset").agg(F.sum(balance.signed("usd")).alias("net"))
     judge = lambda batch: balance.judge_net(batch, held, prev)
-    rows = streaming.each_batch(net, path, streaming.alert_batch(path, history, judge, every=True), "update")
+    rows = streaming.each_batch(net, path, streaming.alert_batch(path, history, judge, every=True), "update", alerts.DUE)
     return streaming.latest_updates(rows, ["rule", "subject"]).select("rule", "subject", F.round("value", 1).alias("value"))

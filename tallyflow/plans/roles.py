@@ -78,12 +78,11 @@ def pool_candles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def day_bank(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored telemetry: odd user ids only, so a kept day differs from a refreshed one."""
+    """Telemetry of all users as stored up to a day, some measures higher, so a kept day differs from a refreshed one."""
     from tallyflow.operators.platform import event_days
 
-    events = table(spark, folder, "events").filter(F.col("user_id") % 2 == 1)
-    days = event_days(events, TELEMETRY, datetime(2024, 1, 1))
-    stored = days.filter(F.day("day") <= 25)
+    days = event_days(table(spark, folder, "events"), TELEMETRY, datetime(2024, 1, 1))
+    stored = days.filter(F.day("day") <= 25).withColumns({"topups": F.col("topups") + 3, "topup_usd": F.col("topup_usd") + 10.5, "logins": F.col("logins") + 1})
     return stored.withColumn("settled", F.day("day") <= 20).withColumn("partial", F.lit(False))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions import at
+from tallyflow.session import settle
 
 
 def one_per_key(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,9 +24,21 @@ def unseen(batch: DataFrame, bank: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JN1: batch records whose key the bank does not hold, each key once.
 
     The whole bank is compared, whatever times the records carry; of the bank only
-    the key columns are read.
+    the key columns are read. The batch is written first, so that its true size decides how
+    the bank is cut down to the batch's keys: where they are under the broadcast threshold, the bank
+    is filtered where it lies, and only keys of the batch are shuffled. For batches above it keep
+    the bank with :func:`store_bank_by_key`, which is joined without being shuffled either.
     """
-    return one_per_key(batch, keys).join(bank.select(*keys), list(keys), "left_anti")
+    fresh = settle(one_per_key(batch, keys), "batch")
+    known = bank.select(*keys).join(fresh.select(*keys), list(keys), "left_semi")
+    return fresh.join(known, list(keys), "left_anti")
+
+
+def store_bank_by_key(rows: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """A bank as a table in ``buckets`` parts by its keys' hash, each sorted: joins by these keys leave it where it is."""
+    written = rows.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path)
+    written.saveAsTable(table)
+    return rows.sparkSession.table(table)
 
 
 def gap_check(bank: DataFrame, batch: DataFrame, ts: str = "ts", exhausted: bool = False) -> DataFrame:

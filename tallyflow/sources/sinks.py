@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.sources.ingest import one_per_key
+from tallyflow.sources.runs import Runs
 
 
 def export_rows(ledger: DataFrame, labels: DataFrame, band_labels: Mapping[str, str] | None = None) -> DataFrame:
@@ -40,16 +41,19 @@ def export_rows(ledger: DataFrame, labels: DataFrame, band_labels: Mapping[str,
     )
 
 
-def append_snapshot(row: DataFrame, path: str) -> None:
-    """SNK2: add one KPI row; read the history back with ``mergeSchema``."""
-    row.write.mode("append").parquet(path)
+def append_snapshot(row: DataFrame, runs: Runs, run: str) -> bool:
+    """SNK2: add the KPI row of a run, once however often the run is repeated; read the history with ``runs.read``."""
+    return runs.append(run, row)
 
 
-def publish_closed(new: DataFrame, state: DataFrame, keys: Sequence[str], path: str | None = None) -> DataFrame:
-    """SNK3: rows whose key the state lacks, one per key; stored keys never change."""
+def publish_closed(new: DataFrame, state: DataFrame, keys: Sequence[str], runs: Runs | None = None, run: str = "") -> DataFrame:
+    """SNK3: rows whose key the state lacks, one per key; stored keys never change.
+
+    With ``runs`` they are stored as those of ``run``.
+    """
     fresh = one_per_key(new, keys).join(state.select(*keys), list(keys), "left_anti")
-    if path is not None:
-        fresh.write.mode("append").parquet(path)
+    if runs is not None:
+        runs.append(run, fresh)
     return fresh
 
 
@@ -66,6 +70,20 @@ def bank_days(new: DataFrame, bank: DataFrame, as_of: datetime, settle_days: int
     return both.select("day", *(F.when(keep, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in columns))
 
 
+def store_bank(new: DataFrame, runs: Runs, run: str, as_of: datetime, settle_days: int = 2) -> DataFrame:
+    """SNK4: the refreshed bank, stored as a version of its own; the newest committed version is the bank.
+
+    ``run`` sorts by time, such as ``2024-01-31T05``. A run that is repeated starts from the version
+    before its own and changes nothing once it is committed.
+    """
+    name = runs.name(run)
+    earlier = [folder for version, folder in runs.committed().items() if version < name]
+    schema = new.limit(0).selectExpr("*", "false AS settled", "false AS partial").schema
+    refreshed = bank_days(new, runs.read(schema, earlier[-1:] or []), as_of, settle_days)
+    runs.append(run, refreshed)
+    return runs.read(schema, [runs.committed()[name]])
+
+
 def to_document(rows: DataFrame, section: str) -> DataFrame:
     """SNK5: rows of one section as JSON texts, written in parallel."""
     return rows.select(F.lit(section).alias("section"), F.to_json(F.struct(*rows.columns)).alias("body"))

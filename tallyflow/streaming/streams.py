@@ -96,17 +96,21 @@ def drain_updates(stream: DataFrame, path: str) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return each_batch(stream, path, keep, "update")
+    return each_batch(stream, path, keep, "update", stream.schema)
 
 
-def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str) -> DataFrame:
-    """Run ``fn`` on every batch that has landed and return a scan of ``path``."""
+def each_batch(stream: DataFrame, path: str, fn: Callable[[DataFrame, int], None], mode: str, schema: T.StructType | str) -> DataFrame:
+    """Run ``fn`` on every batch that has landed and return a scan of ``path``: ``schema`` and ``batch``, no rows if nothing landed."""
     query = (
         stream.writeStream.foreachBatch(fn).outputMode(mode)
         .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    spark = stream.sparkSession
+    columns = spark.createDataFrame([], schema).schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.schema(T.StructType([*columns, T.StructField("batch", T.IntegerType())])).parquet(path)
 
 
 def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from tallyflow.functions import DEFAULT_SCHEME
 from tallyflow.operators.platform import EventMeasure, active_users
 from tallyflow.plans import hourly
 from tallyflow.sources import append_snapshot, read_revenue
+from tallyflow.sources.runs import Runs
 from tests.conftest import T0, by, one
 
 AS_OF = T0 + timedelta(days=10)
@@ -67,11 +68,11 @@ def test_snapshots_feed_the_notification(spark, inputs, tmp_path):
     from tallyflow.operators.rates import asof_rate
 
     valued = classified(asof_rate(inputs.ledger, inputs.rates, live=inputs.live))
-    path = str(tmp_path / "history")
-    for hours in (1, 0):
+    runs = Runs(spark, str(tmp_path / "history"))
+    for hours in (1, 0, 1):
         row = hourly.kpi_snapshot(valued, inputs.balances, report["runway"], AS_OF - timedelta(hours=hours), 0.02, "T")
-        append_snapshot(row, path)
-    history = spark.read.option("mergeSchema", "true").parquet(path)
+        append_snapshot(row, runs, f"run {hours}")
+    history = runs.read(row.schema)
     assert history.count() == 2 and history.first().creators == 5
     sent = hourly.notification(inputs.ledger, history, report["recon"], AS_OF, 0.02, every=True)
     assert {r.label for r in sent["deltas"].collect()} == {"1h", "24h", "7d"}

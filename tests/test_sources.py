@@ -5,6 +5,7 @@ import pytest
 
 from tallyflow.operators.rates import best_pair, daily_close, sane_quotes
 from tallyflow.sources import ingest, normalise, excluded, readers, sinks
+from tallyflow.sources.runs import Runs
 from tests.conftest import by
 
 
@@ -117,6 +118,39 @@ def test_one_copied_key_may_fill_the_batch(ledger):
     assert ingest.one_per_key(many, ["key"]).count() == 4
 
 
+def left_side(rows, join):
+    """The join's line in a plan, and the operators of its left side down to the scan."""
+    lines = [x.lstrip(" :+-") for x in rows._jdf.queryExecution().executedPlan().toString().splitlines()]
+    at = next(i for i, x in enumerate(lines) if join in x)
+    end = next(i for i, x in enumerate(lines) if i > at and "FileScan" in x)
+    return lines[at], lines[at + 1 : end]
+
+
+def test_a_small_batch_leaves_the_bank_unshuffled(spark, tmp_path):
+    path = str(tmp_path / "stored_bank")
+    spark.range(5000).selectExpr("id AS key", "id * 2 AS v").write.parquet(path)
+    batch = spark.range(4990, 5010).selectExpr("id AS key", "id AS v")
+    rows = ingest.unseen(batch, spark.read.parquet(path), ["key"])
+    join, bank_side = left_side(rows, "LeftSemi")
+    assert "BroadcastHashJoin" in join and not any("Exchange" in x or "Sort" in x for x in bank_side)
+    assert sorted(r.key for r in rows.collect()) == list(range(5000, 5010))
+
+
+def test_a_bank_by_key_stays_in_place_for_a_large_batch(spark, tmp_path):
+    path = str(tmp_path / "keyed_bank")
+    bank = ingest.store_bank_by_key(spark.range(3000).selectExpr("id AS key", "id * 2 AS v"), "keyed_bank", ["key"], 4, path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = ingest.unseen(spark.range(6000).selectExpr("id AS key", "id AS v"), bank, ["key"])
+        join, bank_side = left_side(rows, "LeftSemi")
+        assert "SortMergeJoin" in join and not any("Exchange" in x for x in bank_side)
+        assert sorted(r.key for r in rows.collect()) == list(range(3000, 6000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE keyed_bank")
+
+
 def test_bank_days_keeps_settled(spark):
     schema = "day date, n long, settled boolean, partial boolean"
     bank = spark.createDataFrame([(date(2024, 1, 1), 1, True, False), (date(2024, 1, 2), 2, False, False), (date(2023, 12, 1), 9, False, False)], schema)
@@ -129,13 +163,40 @@ def test_bank_days_keeps_settled(spark):
 
 
 def test_publish_closed_never_changes_rows(spark, tmp_path):
-    path = str(tmp_path / "state")
+    runs = Runs(spark, str(tmp_path / "state"))
     first = spark.createDataFrame([("T", 1, 1.0), ("T", 2, 2.0)], "asset string, d int, rate double")
-    first.write.parquet(path)
+    assert runs.append("first", first)
     second = spark.createDataFrame([("T", 2, 9.0), ("T", 3, 3.0), ("T", 3, 4.0)], "asset string, d int, rate double")
     for _ in range(2):
-        sinks.publish_closed(second, spark.read.parquet(path), ["asset", "d"], path)
-    assert {k: v["rate"] for k, v in by(spark.read.parquet(path), "d").items()} == {1: 1.0, 2: 2.0, 3: 3.0}
+        sinks.publish_closed(second, runs.read(first.schema), ["asset", "d"], runs, "second")
+    assert {k: v["rate"] for k, v in by(runs.read(first.schema), "d").items()} == {1: 1.0, 2: 2.0, 3: 3.0}
+
+
+def test_only_committed_runs_count_and_each_once(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"))
+    assert runs.committed() == {} and runs.read("n long").count() == 0
+    row = lambda n: spark.range(n, n + 1).withColumnRenamed("id", "n")
+    half = runs.fresh()
+    row(100).write.parquet(half)  # written, never marked
+    assert runs.read("n long").count() == 0
+    assert runs.append("a/1", row(1)) and runs.append("b", row(2)) and not runs.append("a/1", row(1))
+    twin = runs.fresh()
+    row(2).write.parquet(twin)
+    runs.mark("b", twin)  # two writers of one run
+    assert sorted(r.n for r in runs.read("n long").collect()) == [1, 2]
+    runs.mark("late", half)
+    assert sorted(r.n for r in runs.read("n long, more string").collect()) == [1, 2, 100]
+
+
+def test_a_stored_bank_keeps_settled_days_through_repeated_and_half_written_runs(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "bank"))
+    days = lambda factor, last: spark.createDataFrame([(date(2024, 1, d), factor * d) for d in range(1, last + 1)], "day date, n long")
+    first = sinks.store_bank(days(1, 3), runs, "2024-01-03T01", datetime(2024, 1, 3, 1))
+    assert {r.day.day: (r.n, r.settled, r.partial) for r in first.collect()} == {1: (1, True, False), 2: (2, False, False), 3: (3, False, True)}
+    days(500, 4).write.parquet(runs.fresh())  # a run that died before its marker
+    for factor in (10, 70):  # the second call repeats the run and changes nothing
+        second = sinks.store_bank(days(factor, 4), runs, "2024-01-04T01", datetime(2024, 1, 4, 1))
+        assert {r.day.day: r.n for r in second.collect()} == {1: 1, 2: 20, 3: 30, 4: 40}
 
 
 def test_export_order_and_format(ledger, spark):
