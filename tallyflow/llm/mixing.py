@@ -131,7 +131,7 @@ def _placed(numbered: DataFrame, starts: DataFrame) -> DataFrame:
 STEP = "struct<slice:int,nth:int,limit:bigint>"
 
 
-def _walked(docs: Column, gap: Column) -> Column:
+def _walked(docs: Column, gap: Column, limit: Column) -> Column:
     """Takes the documents of an ordered array as they fit into a gap: what is left of it, and a step for each that was too large."""
 
     def walk(now, doc):
@@ -143,34 +143,48 @@ def _walked(docs: Column, gap: Column) -> Column:
         )
 
     none = F.array().cast(f"array<{STEP}>")
-    return F.aggregate(docs, F.struct(gap.alias("gap"), gap.alias("limit"), none.alias("steps")), walk)
+    return F.aggregate(docs, F.struct(gap.alias("gap"), limit.alias("limit"), none.alias("steps")), walk)
 
 
 def _filled(numbered: DataFrame, starts: DataFrame, at_once: int) -> DataFrame:
     """Adds to ``starts`` which documents fill the rest of a source's target, going through them in order and leaving out what does not fit.
 
-    All that fit into the gap are taken up to the slice where their running size
-    crosses it. From there the walk takes ``at_once`` of them, in whole slices, one by one; then the
-    same begins with what is left of the gap, until no untaken document fits.
+    All that fit into the gap are taken up to the document where their running size
+    crosses it: a sum per slice finds the slice, a running sum within it the document. From there the walk takes
+    ``at_once`` of them one by one; then the same begins behind them with what is
+    left of the gap, until no untaken document fits.
     """
     rows = numbered.filter("size > 0").select("key", "slice", "nth", "size")
     whole_gap = F.when(F.col("whole") < AT_MOST, F.greatest(F.floor("rest"), F.lit(0))).otherwise(0).cast("long")
     none = F.array().cast(f"array<{STEP}>")
-    state = settle(starts.select("key", F.lit(-1).alias("at"), whole_gap.alias("gap"), none.alias("steps")).distinct(), "gaps")
+    state = settle(starts.select("key", F.lit(-1).alias("at"), F.lit(0).alias("at_nth"), whole_gap.alias("gap"), none.alias("steps")).distinct(), "gaps")
     past, order = [state], Window.partitionBy("key").orderBy("slice")
+    upto = Window.partitionBy("key").orderBy("slice", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    behind = "slice > at or slice = at and nth > at_nth"
     while True:
-        open_ = rows.join(state.select("key", "at", "gap"), "key").filter("slice > at and size <= gap")
-        sums = open_.groupBy("key", "gap", "slice").agg(F.sum("size").alias("n_words"), F.count("*").alias("n"))
+        open_ = rows.join(state.select("key", "at", "at_nth", "gap"), "key").filter(behind).filter("size <= gap")
+        sums = open_.groupBy("key", "gap", "at", "at_nth", "slice").agg(F.sum("size").alias("n_words"), F.count("*").alias("n"))
         sums = sums.withColumn("sofar", F.sum("n_words").over(order)).filter("sofar > gap")
-        sums = sums.withColumns({"ahead": F.sum("n").over(order) - F.col("n"), "first": F.first(F.col("gap") - F.col("sofar") + F.col("n_words")).over(order)})
-        walks = settle(sums.filter(F.col("ahead") < at_once).select("key", "slice", "gap", "first"), "walks")
-        of = rows.join(walks, ["key", "slice"]).filter("size <= gap")
-        of = of.groupBy("key", "first").agg(F.sort_array(F.collect_list(F.struct("slice", "nth", "size"))).alias("docs"))
-        of = of.join(walks.groupBy("key").agg(F.min("slice").alias("from"), F.max("slice").alias("to")), "key")
-        of = of.withColumn("end", _walked(F.col("docs"), F.col("first")))
-        begin = F.struct("from", F.lit(0).alias("nth"), F.col("first").alias("limit")).cast(STEP)
-        end = F.struct(F.col("to") + 1, F.lit(0).alias("nth"), F.col("end.gap").alias("limit")).cast(STEP)
-        state = settle(of.select("key", F.col("to").alias("at"), F.col("end.gap").alias("gap"), F.concat(F.array(begin), "end.steps", F.array(end)).alias("steps")), "gaps")
+        ahead = F.sum("n").over(order) - F.col("n") - F.first("n").over(order)
+        sums = sums.withColumns({"ahead": ahead, "first": F.first(F.col("gap") - F.col("sofar") + F.col("n_words")).over(order)})
+        walks = settle(sums.filter(F.col("ahead") < at_once).select("key", "slice", "at", "at_nth", "first"), "walks")
+        of = rows.join(walks, ["key", "slice"]).filter(behind).filter("size <= first")
+        of = of.withColumn("run", F.sum("size").over(upto)).withColumn("crossed", F.count_if(F.col("run") > F.col("first")).over(upto))
+        doc = F.struct("slice", "nth", "size")
+        of = of.groupBy("key").agg(
+            F.sum(F.when(F.col("crossed") == 0, F.col("size"))).alias("taken"),
+            F.sort_array(F.collect_list(F.when((F.col("crossed") > 0) & (F.col("crossed") <= at_once), doc))).alias("docs"),
+            (F.max("crossed") > at_once).alias("more"),
+        )
+        of = walks.groupBy("key", "at", "at_nth", "first").agg(F.min("slice").alias("from"), F.max("slice").alias("to")).join(of, "key", "left")
+        of = of.withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<slice:int,nth:int,size:bigint>>")))
+        of = of.withColumn("end", _walked(F.col("docs"), F.col("first") - F.coalesce("taken", F.lit(0)), F.col("first")))
+        last = F.when(F.col("more"), F.element_at("docs", -1)).otherwise(F.struct(F.col("to").alias("slice"), F.lit(2**31 - 2).alias("nth"), F.lit(0).cast("long").alias("size")))
+        begin = F.struct("from", F.when(F.col("from") == F.col("at"), F.col("at_nth") + 1).otherwise(0).alias("nth"), F.col("first").alias("limit")).cast(STEP)
+        of = of.withColumn("last", last)
+        end = F.array(F.struct("last.slice", F.col("last.nth") + 1, F.col("end.gap")).cast(STEP), F.struct(F.col("last.slice") + 1, F.lit(0), F.col("end.gap")).cast(STEP))
+        steps = F.concat(F.array(begin), "end.steps", end).alias("steps")
+        state = settle(of.select("key", F.col("last.slice").alias("at"), F.col("last.nth").alias("at_nth"), F.col("end.gap").alias("gap"), steps), "gaps")
         if state.isEmpty():
             break
         past.append(state)

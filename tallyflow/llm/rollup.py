@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import token_bytes
+from tallyflow.sources.runs import Runs
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -28,34 +27,33 @@ def token_count(tokenizer: str, end_tokens: int = 0) -> Callable[[Column], Colum
 class TokenRollup:
     """Totals in a folder that all executors share.
 
-    A batch of changes is summed by key and written once under its id; its success
-    marker commits it. A batch that is committed is left as it is, one that failed
-    half-way is written anew, so running a batch again changes nothing. Totals are
-    additive, so batches may come in any order. ``compact`` folds all committed
-    batches into one table and remembers their ids.
+    A batch of changes is summed by key and committed once under its id, as a run of its own
+    (:class:`tallyflow.sources.runs.Runs`): one that failed half-way left nothing that counts, and of two writers of an id one
+    counts. Totals are additive, so batches may come in any order. ``compact`` folds the
+    batches that one listing finds into one table and remembers their ids; batches committed
+    meanwhile stay batches.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _found(self, pattern: str) -> list[str]:
-        """Names of the folders that hold a success marker at ``pattern``, a ``*`` for the name."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        depth = len(pattern.split("*")[-1].strip("/").split("/")) if not pattern.endswith("*") else 0
-        return sorted(x.getPath().toString().split("/")[-2 - depth] for x in found)
-
-    def _base(self) -> tuple[int | None, set[str]]:
-        """The newest folded table's number and the batches in it."""
-        bases = [int(x) for x in self._found("base/*/totals")]
+        self.spark, self.runs = spark, Runs(spark, root)
+
+    def _listed(self) -> tuple[int, str | None, dict[str, str]]:
+        """From one listing: the newest folded table's number and folder, and the folders of the batches that are not in it, by id."""
+        found = self.runs.committed()
+        bases = {int(name[5:]): folder for name, folder in found.items() if name.startswith("base-")}
+        batches = {name[6:]: folder for name, folder in found.items() if name.startswith("batch-")}
         if not bases:
-            return None, set()
-        covered = self.spark.read.schema("batch string").parquet(f"{self.root}/base/{max(bases)}/batches")
-        return max(bases), {r.batch for r in covered.collect()}
+            return 0, None, batches
+        newest = max(bases)
+        folded = {r.batch for r in self._names(bases[newest]).collect()}
+        return newest, bases[newest], {b: folder for b, folder in batches.items() if b not in folded}
+
+    def _names(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{base}/batches")
 
     def committed(self) -> list[str]:
-        return sorted(set(self._found("deltas/*")) | self._base()[1])
+        _, base, batches = self._listed()
+        return sorted(set(batches) | ({r.batch for r in self._names(base).collect()} if base else set()))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch; False if it is committed already.
@@ -66,7 +64,7 @@ class TokenRollup:
         ``revise`` replaces a count; any other op is an error. Null sources, languages and
         tokenizers are values of their own; null counts are 0.
         """
-        name = batch_id if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch_id) else hashlib.sha1(batch_id.encode()).hexdigest()
+        name = Runs.name(batch_id)
         if name in self.committed():
             return False
         has = lambda c, otherwise: F.coalesce(F.col(c).cast("long"), F.lit(otherwise)) if c in changes.columns else F.lit(otherwise)
@@ -76,21 +74,22 @@ class TokenRollup:
         more = F.when(F.col("op") == "revise", tokens - has("old_tokens", 0)).otherwise(sign * tokens)
         rows = changes.select(*KEYS, (sign * docs).cast("long").alias("n_docs"), (more * docs).cast("long").alias("n_tokens"))
         rows = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        rows.write.mode("overwrite").parquet(f"{self.root}/deltas/{name}")
-        return True
+        return self.runs.append(f"batch-{name}", rows)
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` of everything committed; keys that came to nothing are left out."""
-        base, covered = self._base()
-        paths = [f"{self.root}/deltas/{b}" for b in self._found("deltas/*") if b not in covered]
-        paths += [f"{self.root}/base/{base}/totals"] if base is not None else []
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        _, base, batches = self._listed()
+        return self._summed(base, batches)
+
+    def _summed(self, base: str | None, batches: dict[str, str]) -> DataFrame:
+        rows = self.runs.read(TOTALS, [*batches.values(), *([f"{base}/totals"] if base else [])])
         rows = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return rows.filter("n_docs != 0 or n_tokens != 0")
 
     def compact(self) -> None:
-        base, _ = self._base()
-        batches, rows = self.committed(), self.totals()
-        to = f"{self.root}/base/{(base or 0) + 1}"
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{to}/batches")
-        rows.write.mode("overwrite").parquet(f"{to}/totals")
+        number, base, batches = self._listed()
+        folder = self.runs.fresh()
+        self._summed(base, batches).write.parquet(f"{folder}/totals")
+        names = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        (names.unionAll(self._names(base)) if base else names).coalesce(1).write.parquet(f"{folder}/batches")
+        self.runs.mark(f"base-{number + 1}", folder)

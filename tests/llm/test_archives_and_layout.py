@@ -81,6 +81,27 @@ def test_shards_cut_the_rows_evenly(corpus, nothing, copies):
     assert hilbert.along_curve(docs).columns == docs.columns and hilbert.along_curve(docs).count() == len(rows)
 
 
+def test_a_batch_committed_while_others_are_folded_counts_once(spark):
+    path = scratch_path(spark, "rollup-race")
+    totals, other = rollup.TokenRollup(spark, path), rollup.TokenRollup(spark, path)
+    row = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n)], "op string, source string, lang string, tokenizer string, tokens long")
+    totals.commit("one", row(1))
+    listing, late = totals.runs.committed, []
+
+    def committed(*args):
+        found = listing(*args)
+        if not late:
+            late.append(other.commit("two", row(10)))
+        return found
+
+    totals.runs.committed = committed
+    totals.compact()
+    for now in (totals, other, rollup.TokenRollup(spark, path)):
+        assert [tuple(r) for r in now.totals().collect()] == [("a", "en", "v1", 2, 11)] and now.committed() == ["one", "two"]
+    other.compact()
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", "en", "v1", 2, 11)] and not totals.commit("two", row(10))
+
+
 def test_rollup_batches_count_once(spark):
     totals = rollup.TokenRollup(spark, scratch_path(spark, "rollup-test"))
     schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
@@ -100,7 +121,7 @@ def test_rollup_batches_count_once(spark):
     with pytest.raises(Exception, match="unknown op"):
         totals.commit("bad", batch(("replace", "a", "en", "v1", 1, None)))
     # A batch that failed half-way has no marker and is written again.
-    load.limit(0).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{totals.root}/deltas/half")
+    load.limit(0).write.parquet(totals.runs.fresh())
     assert "half" not in totals.committed() and totals.commit("half", load)
 
 
