@@ -222,7 +222,7 @@ class Chunked:
     chunks of up to 64 bytes. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
