@@ -218,11 +218,11 @@ class Chunked:
     A text's ids are those of its chunks in order: both kinds of vocabulary split
     where chunks begin, whatever stands around. A batch's distinct chunks are found by
     Arrow; those not met before go to the library, plain words straight to its model, as
-    its normalizing and splitting leave them whole. The memory holds at most ``most``
-    chunks of up to 64 bytes. Strings of special tokens in a text are ordinary text.
+    its normalizing and splitting leave them whole. The memory knows a chunk of up to 64 bytes by
+    two 64-bit hashes, one to look it up and one to check it; it begins anew beyond ``most`` of them. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -233,7 +233,8 @@ class Chunked:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.as_byte = {b: 256 + i for i, b in enumerate(hidden)}  # how byte-level vocabularies write bytes that do not print
-        self.most, self.known = most, {}
+        self.most = most
+        self.hash, self.check, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.ends, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def _ids(self, chunks: list[str]) -> list[list[int]]:
@@ -260,22 +261,43 @@ class Chunked:
         self.ends[first + 1 : self.count + 1] = ends
         return np.arange(first, self.count)
 
+    def _hashes(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each chunk, from running sums over the bytes of all."""
+        letters = per_process("letters", lambda: np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64, endpoint=False))
+        raw, bounds = text_bytes(chunks)
+        _, up, down = _powers(len(raw))
+        out = []
+        for table in letters:
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
+            out.append(mixed((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]]))
+        return out[0], out[1]
+
     def _numbers(self, chunks: pa.Array) -> np.ndarray:
         """For each distinct chunk its number in the store; long chunks are last there, to be forgotten."""
-        known, values = self.known, chunks.to_pylist()
-        if len(known) + len(values) > self.most:
-            known.clear()
-            self.count = 0
-        numbers = np.fromiter((known.get(v, -1) for v in values), np.int64, len(values))
-        new = np.flatnonzero(numbers < 0)
+        if len(self.hash) + len(chunks) > self.most:
+            self.hash, self.check, self.number, self.count = self.hash[:0], self.check[:0], self.number[:0], 0
+        found, check = self._hashes(chunks)
+        place = np.searchsorted(self.hash, found)
+        near = np.minimum(place, max(0, len(self.hash) - 1))
+        known = (self.hash[near] == found) & (self.check[near] == check) if len(self.hash) else np.zeros(len(found), bool)
+        numbers = np.full(len(found), -1, np.int64)
+        numbers[known] = self.number[near[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            plain = pc.match_substring_regex(chunks.take(pa.array(new)), f"^ ?[{_PLAIN}]+$").to_numpy(zero_copy_only=False)
-            size = pc.binary_length(chunks).to_numpy(zero_copy_only=False)[new]
-            words, others, long = new[plain & (size <= 64)], new[~plain & (size <= 64)], new[size > 64]
-            for part, ids in ((words, [self._word(values[i]) for i in words]), (others, self._ids([values[i] for i in others]))):
-                numbers[part] = self._add(ids)
-                known.update(zip((values[i] for i in part), numbers[part].tolist(), strict=True))
-            numbers[long] = self._add(self._ids([values[i] for i in long]))
+            values = chunks.take(pa.array(new))
+            plain = pc.match_substring_regex(values, f"^ ?[{_PLAIN}]+$").to_numpy(zero_copy_only=False)
+            short = pc.binary_length(values).to_numpy(zero_copy_only=False) <= 64
+            spelled = np.array(values.to_pylist(), object)
+            words, others, long = (np.flatnonzero(x) for x in (plain & short, ~plain & short, ~short))
+            numbers[new[words]] = self._add([self._word(w) for w in spelled[words]])
+            numbers[new[others]] = self._add(self._ids(spelled[others].tolist()))
+            kept = new[short]
+            kept = kept[np.argsort(found[kept])]
+            at = place[kept]
+            self.hash, self.check = np.insert(self.hash, at, found[kept]), np.insert(self.check, at, check[kept])
+            self.number = np.insert(self.number, at, numbers[kept].astype(np.int32))
+            numbers[new[long]] = self._add(self._ids(spelled[long].tolist()))
         return numbers
 
     def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +320,7 @@ class Chunked:
         sizes = size[codes]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(at[codes] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self.count = len(self.known)  # long chunks leave the store
+        self.count = len(self.hash)  # long chunks leave the store
         return ids, np.append(0, ends)[before]
 
 
