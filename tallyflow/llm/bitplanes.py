@@ -113,6 +113,7 @@ def _writer(path: str, end_id: int, kind: str, chunk_ids: int, file_ids: int) ->
                 if n >= file_ids:
                     yield flush()
                     file, ids, docs, n = file + 1, [], [], 0
+            del batch, names, texts, tokens  # else it stays while the next one is read
         if docs:
             yield flush()
 

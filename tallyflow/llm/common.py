@@ -35,8 +35,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
-    """A batch of texts in pieces of about ``most`` bytes, so that work on it stays small; a longer text is a piece of its own."""
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """A batch of texts in pieces of about ``most`` bytes, so that work on it stays small beside the batch; a longer text is a piece of its own."""
     column = column.cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1] if len(column) else np.zeros(0, np.int64)
     at, base = 0, int(np.frombuffer(column.buffers()[1], np.int64)[column.offset]) if len(column) else 0
@@ -222,7 +222,7 @@ class Chunked:
     two 64-bit hashes, one to look it up and one to check it; it begins anew beyond ``most`` of them. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

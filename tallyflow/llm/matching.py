@@ -114,6 +114,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> Calla
                     length = len(ids) // 4
                     rows.append((name, piece, at // 4, length, zlib.crc32(ids), part, seen[length], ids)[: len(names)])
                     seen[length] += 1
+            del batch  # else it stays while the next one is read
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds, strict=True)], names)
 
     return cut

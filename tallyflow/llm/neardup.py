@@ -102,6 +102,7 @@ def _signer(p: Banding) -> Callable:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(halves, numbers), pa.array(sketch, numbers), pa.array(odd, numbers)],
                 ["doc_id", "th", "n_shingles", "node", "halves", "sketch", "odd"],
             )
+            del batch  # else it stays while the next one is read
 
     return sign
 
@@ -275,6 +276,7 @@ def _confirmer(p: Banding) -> Callable:
                     if 100 * both >= p.percent * (len(hub) + len(s) - both):
                         found.append((hubs[i], leaves[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["hub", "leaf"])
+            del batch  # else it stays while the next one is read
 
     return confirm
 

@@ -151,6 +151,7 @@ def _cells(tokenizer: str, end_id: int, tiers: Tiers, with_ids: bool) -> Callabl
                     found, first, group = rows(first, group, names, docs)
                     yield found
                     names, docs, n = [], [], 0
+            del batch, texts, tokens  # else it stays while the next one is read
         if docs:
             yield rows(first, group, names, docs)[0]
 

@@ -77,7 +77,7 @@ def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Wor
     """Languages and words of ``lang, text`` batches, some megabytes of text at a time."""
     for batch in batches:
         at, langs = 0, batch.column(0).to_pylist()
-        for piece in slices(batch.column(1)):
+        for piece in slices(batch.column(1), 4 << 20):
             mine = langs[at : at + len(piece)]
             at += len(piece)
             raw, bounds = text_bytes(piece)
