@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def per_process(name: str, make: Callable[[], Any]) -> Any:
@@ -74,7 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         return letters, np.cumprod(up), np.cumprod(down)
 
-    tables = per_process("powers", lambda: make(2 * BLOCK))
+    tables = per_process("powers", lambda: make(4 * BLOCK))
     return tables if n < len(tables[1]) else make(n)
 
 

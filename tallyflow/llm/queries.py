@@ -179,6 +179,18 @@ ORACLES: dict[str, str] = {
             UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
         ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op8_warc_revisit": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, url FROM pages),
+        d AS (
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex,
+                row_number() OVER w AS nth, first_value(page_id) OVER w AS first_id
+            FROM p WINDOW w AS (PARTITION BY sha1(html) ORDER BY page_id NULLS LAST, url NULLS LAST)
+        )
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first_id END AS refers_to
+        FROM d""",
     "op12_phrase_collocations": r"""
         WITH p AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece

@@ -2,16 +2,23 @@
 
 import base64
 import hashlib
+import math
 import os
+import random
+import re
 import zlib
+from collections import Counter
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyflow.llm import hilbert, mixing, queries, rollup, warc
-from tallyflow.session import scratch_path
+from tallyflow.llm import hilbert, mixing, queries, rollup, toxicity, warc
+from tallyflow.session import scratch_path, settle
 from tests.llm.conftest import ODD
 
 FOLDER = "/root/testdata/sf0.001"
@@ -181,3 +188,113 @@ def test_pipeline_stages_keep_what_they_should(spark):
     pieces = left.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
     whole = left.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.first("tier").alias("tier"))
     assert pieces[0] > 0 and whole.filter("n != tier").count() == 0
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+def plain_set(text):
+    words = plain_words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def planted(spark, folder, rows, labels):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, label string, time string"
+    full = [(i, t, "en", s, len(t or ""), "x", "y", "z") for i, t, s in rows]
+    spark.createDataFrame(full, columns).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def planted_rows():
+    """Clean and toxic documents, near and exact copies, odd texts, null and repeated ids."""
+    rnd = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"word{rnd.randint(0, 900)}" for _ in range(rnd.randint(12, 60))]
+        toxic = i % 5 == 1
+        for k in range(0, len(words), 4) if toxic else ():
+            words[k] = rnd.choice(["scum", "filth", "vermin"])
+        rows.append((i, " ".join(words), ["a", "b", None, "hot", "hot"][i % 5 if not toxic else 3]))
+        labels.append((i, 1, int(toxic)))
+    for i in range(40):  # copies, every other one with a word more
+        text = rows[5 * i][1]
+        rows.append((1000 + i, text + " tail" * (i % 2), "b"))
+    rows += [(2000, None, "a"), (2001, "", None), (2002, " \n ", "a"), (None, "no id but these words are here now", "b"), (2003, "long " * 3000 + "end", "hot")]
+    rows += [(2004, "same id one two three four five", "a"), (2004, "another text under this id six seven", "a"), (2005, "repeated row all of it here", "b"), (2005, "repeated row all of it here", "b")]
+    return rows, labels
+
+
+def test_the_pipeline_equals_plain_python_on_planted_documents(spark, tmp_path):
+    rows, labels = planted_rows()
+    planted(spark, tmp_path, rows, labels)
+    docs = queries.table(spark, str(tmp_path), "documents")
+    model = toxicity.fit(docs, queries.table(spark, str(tmp_path), "labels"), learnable=queries.in_five() != 0)
+    weight = dict(zip(model.at.tolist(), model.weight.tolist(), strict=True))
+    scores = [1 / (1 + math.exp(-sum(weight.get(int(k), 0.0) for k in f))) for f in toxicity.features(pa.array([t for _, t, _ in rows]), model.bits)]
+    clean = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
+    toxic = {i for i, _, t in labels if t}
+    assert {i for i, _, _ in rows[:400]} - {i for i, _, _ in clean} == toxic
+
+    sets, group = [plain_set(t) for _, t, _ in clean], list(range(len(clean)))
+    for a in range(len(clean)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                group = [group[b] if g == group[a] else g for g in group]
+    of = {}
+    for (i, text, _), s, g in zip(clean, sets, group, strict=True):
+        if s:
+            of.setdefault(g, []).append((i is None, i or 0, text))
+    unique = Counter((None if unnamed else i, text) for unnamed, i, text in (min(x) for x in of.values()))
+    unique += Counter((i, text) for (i, text, _), s in zip(clean, sets, strict=True) if not s)
+
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, left = left, settle(stage(spark, left, str(tmp_path)), name)
+        assert left.columns == docs.columns
+        if name == "toxicity":
+            assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t, _ in clean)
+        if name == "near_duplicates":
+            assert Counter((r.doc_id, r.text if plain_words(r.text) else None) for r in left.collect()) == Counter({(i, t if plain_words(t) else None): n for (i, t), n in unique.items()})
+    mixed, sizes, source = Counter((r.doc_id, r.text, r.source) for r in left.collect()), Counter(), {}
+    for r in before.collect():
+        sizes[r.source] += len(plain_words(r.text))
+        source[r.doc_id, r.text] = r.source
+    assert all((i, t) in unique and s == source[i, t] and n <= 3 for (i, t, s), n in mixed.items())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    share, total, weighs = {}, sum(sizes.values()), {s: k % 3 + 1 for k, s in enumerate(order)}
+    open_ = set(order)
+    while True:  # the excess of sources at their limit goes to the others by weight
+        rest = total - sum(3 * sizes[s] for s in order if s not in open_)
+        share = {s: rest * weighs[s] / sum(weighs[o] for o in open_) if s in open_ else 3 * sizes[s] for s in order}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        open_ -= over
+    for s in order:
+        taken = sum(n * len(plain_words(t)) for (_, t, of_), n in mixed.items() if of_ == s)
+        untaken = [len(plain_words(t)) for (i, t), of_ in source.items() if of_ == s and plain_words(t)]
+        assert taken <= share[s] + 1e-6 and share[s] - taken < max(untaken)
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    want = Counter()
+    for (i, t, _), n in mixed.items():
+        want[i, np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()] += n
+    tokens = Counter()
+    for (i, ids), n in want.items():
+        tokens[i] += n * len(ids) // 4
+    assert Counter({i: sum(r.length for r in pieces if r.doc_id == i) for i in {r.doc_id for r in pieces}}) == tokens
+    once = {i: ids for (i, ids), n in want.items() if n == 1 and sum(j == i for j, _ in want) == 1}
+    for i, ids in once.items():
+        assert b"".join(bytes(r.ids) for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)) == ids
+
+
+def test_the_pipeline_of_no_documents_gives_no_rows(spark, tmp_path):
+    planted(spark, tmp_path, [(1, None, None)], [(1, 0, 0)])
+    docs = queries.table(spark, str(tmp_path), "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = settle(stage(spark, docs, str(tmp_path)), "empty")
+    assert docs.count() == 0

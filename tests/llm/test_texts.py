@@ -1,6 +1,7 @@
 """Toxicity, mixing, edit fingerprints, near duplicates."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -30,6 +31,36 @@ def labelled(corpus, spark):
     return corpus(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), {i for i in range(600) if i % 4 == 0}
 
 
+def plain_ftrl(rows, p):
+    """One coordinate at a time, as the method is written down."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for at, label in rows:
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at:
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return z, n, {i: weight(i) for i in z}
+
+
+def test_learning_equals_plain_ftrl():
+    rnd, p = random.Random(4), toxicity.Ftrl(bits=8, l1=0.3, l2=0.1, alpha=0.7)
+    rows = [(np.array(sorted(rnd.sample(range(256), rnd.randint(1, 20))), np.int32), rnd.randint(0, 1)) for _ in range(300)]
+    z, n = np.zeros(256), np.zeros(256)
+    toxicity.learn(z, n, rows, p)
+    want_z, want_n, want_w = plain_ftrl([(at.tolist(), label) for at, label in rows], p)
+    assert z.tolist() == pytest.approx([want_z.get(i, 0.0) for i in range(256)]) and n.tolist() == pytest.approx([want_n.get(i, 0.0) for i in range(256)])
+    found = toxicity.weights(z, n, p)
+    assert found.tolist() == pytest.approx([want_w.get(i, 0.0) for i in range(256)]) and 0 < np.count_nonzero(found) < 256
+
+
 def test_toxicity_on_held_out_documents(corpus, spark):
     docs, labels, bad = labelled(corpus, spark)
     learnable = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
