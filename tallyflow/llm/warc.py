@@ -1,7 +1,7 @@
 """WARC archives whose repeated payloads are revisits.
 
-Headers alone are shuffled by payload digest: the record with the smallest page id
-keeps its payload, the others refer to it. Archives are gzip members, one per
+Headers are joined by payload digest: the record with the smallest page id is the
+response and the others refer to it. Each different payload moves once, to its response's archive; revisits move as headers. Archives are gzip members, one per
 record, many records to a file; files are rows of a Parquet table, so any store
 that Spark reaches will do. Reading joins revisits to their responses again.
 """

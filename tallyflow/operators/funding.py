@@ -167,27 +167,56 @@ def _bounded(series: DataFrame) -> DataFrame:
     )
 
 
-def sweep_summary(series: DataFrame) -> DataFrame:
-    """AGG18: totals, spans, cumulative and median previous-day shares, mean intake before and after."""
+def since_recycling(series: DataFrame) -> DataFrame:
+    """AGG18: the series from the first day of the recycling leg on; empty without one."""
+    return _bounded(series).filter(F.col("day") >= F.col("r0")).drop("s0", "s1", "r0", "r1")
+
+
+def daily_phase(series: DataFrame) -> DataFrame:
+    """AGG18: ``phase_first, phase_last, phase_days`` of the longest run of consecutive days with recycling, the earliest of equal ones.
+
+    A day minus its number among such days is the same all along a run.
+    """
+    days = series.filter("n_r > 0").select("day", F.row_number().over(W.orderBy("day")).alias("nth"))
+    runs = days.groupBy(F.expr("date_sub(day, nth)").alias("run")).agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n"))
+    best = F.max(F.struct("n", F.datediff(F.lit("1970-01-01").cast("date"), F.col("first")).alias("early"), "first", "last"))
+    return runs.agg(best.alias("best")).select(
+        F.col("best.first").alias("phase_first"), F.col("best.last").alias("phase_last"), F.coalesce("best.n", F.lit(0)).cast("long").alias("phase_days")
+    )
+
+
+def sweep_summary(series: DataFrame, outflow: DataFrame, collector_balance: Column) -> DataFrame:
+    """AGG18: totals, spans, cumulative and median previous-day shares, mean intake before and after.
+
+    ``outflow`` holds what the sweep's destination sent on (``val``). The mean intake before is taken
+    from the start of the recycling leg's daily phase to its last day.
+    """
     d = F.col("day")
     old = (d >= F.col("r0")) & (d <= F.col("r1"))
     new = d >= F.col("s0")
     has_i = F.col("n_i") > 0
+    phase = daily_phase(series)
+    from_phase = (d >= phase.select("phase_first").scalar()) & (d <= F.col("r1"))
     pct = lambda a, b: tidy(F.try_divide(a, b) * 100, 1)
     flat = _bounded(series).agg(
         F.count_if(F.col("n_s") > 0).alias("days"),
-        F.max("s0").alias("first"), F.max("s1").alias("last"),
+        F.max("s0").alias("first"), F.max("s1").alias("last"), F.max("r0").alias("recycle_first"), F.max("r1").alias("recycle_last"),
         tidy(F.sum("s"), 2).alias("total"),
         pct(F.sum("s"), sum_if(new, "i")).alias("share_cum"),
         F.count_if(F.col("n_r") > 0).alias("recycle_n"),
         tidy(F.sum("r"), 2).alias("recycle_total"),
         pct(F.sum("r"), sum_if(old, "i")).alias("recycle_share_cum"),
         (F.datediff(F.max("r1"), F.max("r0")) + 1).cast("long").alias("recycle_span_days"),
-        tidy(F.avg(F.when(old & has_i, F.col("i"))), 0).alias("intake_pre"),
+        tidy(F.avg(F.when(from_phase & has_i, F.col("i"))), 0).alias("intake_pre"),
         tidy(F.avg(F.when(new & has_i, F.col("i"))), 0).alias("intake_post"),
     )
     median = lagged_share(series).agg(tidy(F.median("share") * 100, 1)).scalar()
-    return flat.withColumn("share_median", median)
+    sent = outflow.agg(F.count("*").alias("n"), tidy(F.coalesce(F.sum("val"), F.lit(0.0)), 2).alias("val"))
+    scalars = {
+        "share_median": median, "phase_first": phase.select("phase_first").scalar(), "phase_days": phase.select("phase_days").scalar(),
+        "out_n": sent.select("n").scalar(), "out_total": sent.select("val").scalar(), "collector_bal": tidy(collector_balance, 2),
+    }
+    return flat.withColumns(scalars)
 
 
 def contract_audit(series: DataFrame, pct: float = 0.40, rate: float = 1.0) -> DataFrame:

@@ -392,13 +392,17 @@ ORACLES: dict[str, str] = {
       v AS (SELECT b.*, val * coalesce(nullif(rate, 0), 0.001::DOUBLE) AS worth FROM b LEFT JOIN prices USING (day))
       SELECT strftime(day, '%Y-%m') AS month, round({s('val', "direction = 'OUT'")}, 0) AS out_val, round({s('val', "direction = 'IN'")}, 0) AS in_val,
         round({s('worth', "direction = 'OUT'")}, 2) AS out_usd, round({s('worth', "direction = 'IN'")}, 2) AS in_usd FROM v GROUP BY 1""",
-    "sweep_series": f"WITH {_SWEEP} SELECT {d('day')} AS day, round(i, 1) AS i, round(r, 1) AS r, round(s, 1) AS s, n_i, n_r, n_s FROM series",
+    "sweep_series": f"WITH {_SWEEP} SELECT {d('day')} AS day, round(i, 1) AS i, round(r, 1) AS r, round(s, 1) AS s, n_i, n_r, n_s FROM series, edges WHERE day >= r0",
     "lagged_share": f"WITH {_SWEEP} SELECT {d('day')} AS day, round(s, 2) AS s, round(base, 2) AS base, round(share, 6) AS share FROM shares",
-    "sweep_summary": f"""WITH {_SWEEP} SELECT count(*) FILTER (WHERE n_s > 0) AS days, {d('any_value(s0)')} AS first, {d('any_value(s1)')} AS last, round(sum(s), 2) AS total,
+    "sweep_summary": f"""WITH {_SWEEP}, recycled AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM series WHERE n_r > 0),
+      phase AS (SELECT min(day) AS p0, count(*) AS phase_days FROM recycled GROUP BY day - CAST(n AS INTEGER) ORDER BY phase_days DESC, p0 LIMIT 1)
+      SELECT count(*) FILTER (WHERE n_s > 0) AS days, {d('any_value(s0)')} AS first, {d('any_value(s1)')} AS last, {d('any_value(r0)')} AS recycle_first, {d('any_value(r1)')} AS recycle_last, round(sum(s), 2) AS total,
         round(sum(s) / sum(i) FILTER (WHERE day >= s0) * 100, 1) AS share_cum, count(*) FILTER (WHERE n_r > 0) AS recycle_n, round(sum(r), 2) AS recycle_total,
         round(sum(r) / sum(i) FILTER (WHERE day BETWEEN r0 AND r1) * 100, 1) AS recycle_share_cum, CAST(any_value(r1) - any_value(r0) + 1 AS BIGINT) AS recycle_span_days,
-        round(avg(i) FILTER (WHERE n_i > 0 AND day BETWEEN r0 AND r1), 0) AS intake_pre, round(avg(i) FILTER (WHERE n_i > 0 AND day >= s0), 0) AS intake_post,
-        (SELECT round(median(share) * 100, 1) FROM shares) AS share_median FROM series, edges""",
+        round(avg(i) FILTER (WHERE n_i > 0 AND day BETWEEN p0 AND r1), 0) AS intake_pre, round(avg(i) FILTER (WHERE n_i > 0 AND day >= s0), 0) AS intake_post,
+        (SELECT round(median(share) * 100, 1) FROM shares) AS share_median, {d('any_value(p0)')} AS phase_first, any_value(phase_days) AS phase_days,
+        (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS out_n, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_orderstatus = 'P') AS out_total,
+        (SELECT round(sum(c_acctbal), 2) FROM customer) AS collector_bal FROM series, edges, phase""",
     "contract_audit": f"""WITH {_SWEEP}, z AS (SELECT sum(i) FILTER (WHERE day >= s0) AS base, sum(s) AS got, sum(i) FILTER (WHERE day BETWEEN r0 AND r1) AS base_old, sum(r) AS got_old FROM series, edges)
       SELECT round(got_old / base_old * 100, 1) AS old_pct, round(got / base * 100, 1) AS new_pct, round(base * 0.4::DOUBLE, 0) AS expected, round(got, 0) AS actual,
         round(got - base * 0.4::DOUBLE, 0) AS variance, round((got - base * 0.4::DOUBLE) * 0.5, 0) AS variance_usd FROM z""",
@@ -434,12 +438,17 @@ ORACLES: dict[str, str] = {
       k AS (SELECT DISTINCT cp, left(cp, 5) || right(cp, 3) AS short_key, left(cp, 6) || right(cp, 3) AS long_key FROM n),
       z AS (SELECT *, count(*) OVER (PARTITION BY short_key) AS sn, count(*) OVER (PARTITION BY long_key) AS ln FROM k)
       SELECT cp, short_key, long_key, CASE WHEN ln > 1 THEN 'table' ELSE 'short' END AS collision FROM z WHERE sn > 1""",
-    "extend_registry": """WITH lab AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS cp, s_name AS label FROM supplier WHERE s_suppkey % 3 = 0),
-      listed AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS cp FROM supplier WHERE s_suppkey % 6 = 0),
-      board AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS cp, count(*) AS n, round(sum(l_extendedprice), 2) AS usd FROM lineitem GROUP BY l_suppkey ORDER BY usd DESC, cp LIMIT 10),
-      fresh AS (SELECT cp, 'Top recipient over ' || CAST(n AS VARCHAR) AS role FROM board WHERE cp NOT IN (SELECT lower(cp) FROM lab) AND cp NOT IN (SELECT cp FROM listed))
-      SELECT cp, 'listed' AS role, 'Core' AS grp FROM listed UNION ALL SELECT cp, role, 'Recipients' FROM fresh
-      UNION ALL SELECT cp, label, 'Other labeled' FROM lab WHERE lower(cp) NOT IN (SELECT cp FROM listed UNION ALL SELECT lower(cp) FROM fresh)""",
+    "extend_registry": """WITH sup AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS cp, s_name || CASE WHEN s_nationkey > 20 THEN ' (branch)' ELSE '' END AS label, s_acctbal, s_nationkey FROM supplier),
+      lab AS (SELECT cp, label FROM sup WHERE s_acctbal >= 5000), listed AS (SELECT lower(cp) AS cp, s_acctbal < 0 AS warn FROM sup WHERE s_nationkey = 7),
+      out_board AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS cp, count(*) AS n, round(sum(l_extendedprice), 2) AS usd FROM lineitem GROUP BY l_suppkey ORDER BY usd DESC, cp LIMIT 10),
+      in_board AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS cp, count(*) AS n, round(sum(o_totalprice), 2) AS usd FROM orders GROUP BY o_custkey ORDER BY usd DESC, cp LIMIT 10),
+      lead AS (SELECT cp, 'Top recipient over ' || CAST(n AS VARCHAR) AS role, 'Recipients' AS grp FROM out_board WHERE cp NOT IN (SELECT lower(cp) FROM lab)
+        UNION ALL SELECT cp, 'Inflow source over ' || CAST(n AS VARCHAR), 'Funding sources' FROM in_board),
+      reg AS (SELECT cp, 'listed' AS role, 'Core' AS grp, warn FROM listed UNION ALL SELECT cp, role, grp, false FROM lead WHERE cp NOT IN (SELECT cp FROM listed)
+        UNION ALL SELECT cp, label, 'Other labeled', false FROM lab WHERE NOT contains(label, '(branch)') AND lower(cp) NOT IN (SELECT cp FROM listed UNION ALL SELECT cp FROM lead)),
+      shown AS (SELECT DISTINCT lower(cp) AS cp FROM (SELECT cp FROM reg UNION ALL SELECT cp FROM out_board UNION ALL SELECT cp FROM in_board)),
+      z AS (SELECT cp, count(*) OVER (PARTITION BY left(cp, 2) || right(cp, 1)) AS sn, count(*) OVER (PARTITION BY left(cp, 3) || right(cp, 1)) AS ln FROM shown)
+      SELECT reg.cp, role, grp, warn, CASE WHEN ln > 1 THEN 'table' WHEN sn > 1 THEN 'short' END AS collision FROM reg JOIN z ON z.cp = lower(reg.cp)""",
     "ingest_dedupe": f"WITH {A} SELECT key, direction, asset, cp, val FROM a",
     "ingest_gap": f"WITH {A} SELECT key, direction, asset, cp, val FROM a WHERE ts < TIMESTAMP '2024-01-20'",
     "gap_check": """SELECT strftime(min(ts) FILTER (WHERE ts >= TIMESTAMP '2024-01-15'), '%Y-%m-%d %H:%M:%S') AS batch_oldest, strftime(max(ts) FILTER (WHERE ts < TIMESTAMP '2024-01-20'), '%Y-%m-%d %H:%M:%S') AS bank_newest,

@@ -482,7 +482,7 @@ def _sweeps(spark, folder):
 @query
 def sweep_series(spark, folder):
     """JN9, AGG18, SET1"""
-    series = _sweeps(spark, folder)
+    series = funding.since_recycling(_sweeps(spark, folder))
     return text_days(series.withColumns({c: tidy(c, 1) for c in "irs"}), "day")
 
 
@@ -496,7 +496,10 @@ def lagged_share(spark, folder):
 @query
 def sweep_summary(spark, folder):
     """AGG18, PRJ5"""
-    return text_days(funding.sweep_summary(settle(_sweeps(spark, folder), "sweeps")), "first", "last")
+    sent = adapters.table(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_totalprice").alias("val"))
+    held = adapters.table(spark, folder, "customer").agg(F.sum("c_acctbal")).scalar()
+    found = funding.sweep_summary(settle(_sweeps(spark, folder), "sweeps"), sent, held)
+    return text_days(found, "first", "last", "recycle_first", "recycle_last", "phase_first")
 
 
 @query
@@ -631,13 +634,19 @@ def short_collisions(spark, folder):
 def extend_registry(spark, folder):
     """JN12, SET3, SET4"""
     named = adapters.table(spark, folder, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cp"), F.col("s_name").alias("label"), "s_suppkey"
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cp"), F.col("s_name").alias("label"), "s_acctbal", "s_nationkey"
     )
-    labels = named.filter("s_suppkey % 3 = 0").select("cp", "label")
-    listed = named.filter("s_suppkey % 6 = 0").select(F.lower("cp").alias("cp"), F.lit("listed").alias("role"), F.lit("Core").alias("grp"))
-    board = facts.leaderboard(adapters.order_ledger(spark, folder), "OUT", 10, labels)
-    leaders = board.select("cp", "label", F.concat(F.lit("Top recipient over "), "n").alias("role"), F.lit("Recipients").alias("grp"))
-    return registry.extend_registry(listed, leaders, labels)
+    # Suppliers whose account is low have no label yet; those of one nation are listed.
+    labels = named.select("cp", F.when(F.col("s_acctbal") >= 5000, F.concat("label", F.when(F.col("s_nationkey") > 20, " (branch)").otherwise(""))).alias("label"))
+    listed = named.filter("s_nationkey = 7").select(F.lower("cp").alias("cp"), F.lit("listed").alias("role"), F.lit("Core").alias("grp"), (F.col("s_acctbal") < 0).alias("warn"))
+    named_only = labels.filter("label is not null")
+
+    def board(direction, k, what, grp):
+        rows = facts.leaderboard(adapters.order_ledger(spark, folder), direction, k, named_only)
+        return rows.select("cp", "label", F.concat(F.lit(f"{what} over "), "n").alias("role"), F.lit(grp).alias("grp"))
+
+    leaders = [board("OUT", 10, "Top recipient", "Recipients"), board("IN", 10, "Inflow source", "Funding sources")]
+    return registry.extend_registry(listed, leaders, named_only, left_out="(branch)", short=(2, 1), long=(3, 1), per_split=5)
 
 
 # --- ingest and sinks -------------------------------------------------------

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -30,7 +31,9 @@ def test_lagged_share_uses_calendar_days(spark):
     series = funding.sweep_series(frame([(2, 4), (4, 9), (5, 3), (7, 1)]), frame([(1, 2)]), frame([(1, 10), (3, 0), (4, 6), (5, 8), (5, 2)]))
     got = by(funding.lagged_share(series), "day")
     assert {k.day: v["share"] for k, v in got.items()} == {2: 0.4, 5: 0.5}
-    total = one(funding.sweep_summary(series))
+    total = one(funding.sweep_summary(series, frame([(4, 1), (9, 2)]), F.lit(7.126)))
+    assert (total["out_n"], total["out_total"], total["collector_bal"], total["recycle_first"]) == (2, 3.0, 7.13, date(2024, 1, 1))
+    assert total["phase_first"] == date(2024, 1, 1) and total["phase_days"] == 1
     assert (total["days"], total["total"], total["share_cum"], total["share_median"], total["recycle_span_days"]) == (4, 17.0, 106.3, 45.0, 1)  # 106.25 rounds half up
     audit = one(funding.contract_audit(series, pct=0.5, rate=2.0))
     assert (audit["expected"], audit["actual"], audit["variance"], audit["variance_usd"], audit["old_pct"]) == (8.0, 17.0, 9.0, 18.0, 20.0)
@@ -115,8 +118,33 @@ def test_collisions_and_registry(spark):
     cps = ["0xabcd11ff99", "0xabcd22ff99", "0xABCD11FF99", "0xabcd1199ff99", "0x000000aaaa"]
     got = by(registry.short_collisions(spark.createDataFrame([(c,) for c in cps], "cp string")), "cp")
     assert {k: v["collision"] for k, v in got.items()} == {"0xabcd11ff99": "table", "0xabcd22ff99": "short", "0xabcd1199ff99": "table"}
-    reg = spark.createDataFrame([("0xA", "core", "Core")], "cp string, role string, grp string")
-    leaders = spark.createDataFrame([("0xa", None, "top", "R"), ("0xB", None, "top", "R"), ("0xb", None, "src", "S"), ("0xC", "Cee", "top", "R")], "cp string, label string, role string, grp string")
-    labels = spark.createDataFrame([("0xC", "Cee"), ("0xa", "Ay")], "cp string, label string")
-    rows = registry.extend_registry(reg, leaders, labels).collect()
-    assert sorted((r.cp, r.role) for r in rows) == [("0xA", "core"), ("0xB", "top"), ("0xC", "Cee")]
+    reg = spark.createDataFrame([("0xA", "core", "Core", True)], "cp string, role string, grp string, warn boolean")
+    board = lambda *rows: spark.createDataFrame(rows, "cp string, label string, role string, grp string")
+    recipients = board(("0xa", None, "top", "R"), ("0xB", None, "top", "R"), ("0xC", "Cee", "top", "R"), ("0xabcd11ff99", "El", "top", "R"))
+    sources = board(("0xb", None, "src", "A"), ("0xD", None, "src", "A"), ("0xabcd22ff99", None, "src", "A"))
+    labels = spark.createDataFrame([("0xC", "Cee"), ("0xa", "Ay"), ("0xE", "Eff (mind)"), ("0xF", "Eff"), ("0xf", "Ef")], "cp string, label string")
+    rows = registry.extend_registry(reg, [recipients, sources], labels, left_out="(mind)").collect()
+    assert sorted((r.cp, r.role, r.warn, r.collision) for r in rows) == [
+        ("0xA", "core", True, None), ("0xB", "top", False, None), ("0xC", "Cee", False, None), ("0xD", "src", False, None), ("0xabcd22ff99", "src", False, "short"), ("0xf", "Ef", False, None),
+    ]
+    assert registry.extend_registry(reg.limit(0), [], labels.limit(0)).count() == 0
+
+
+def test_a_form_that_half_of_all_addresses_share_is_split(spark):
+    cps = [f"0xaaaa{i:06}ffff" for i in range(400)] + [f"0x{i:08}{i:04}" for i in range(400)] + ["0xaaaa000001ffff"]
+    frame = spark.createDataFrame([(c,) for c in cps], "cp string").repartition(3)
+    for per_split in (10, 100_000):
+        got = {r.cp: r.collision for r in registry.short_collisions(frame, per_split=per_split).collect()}
+        shorts, longs = (Counter(c[:n] + c[-4:] for c in set(cps)) for n in (6, 8))
+        assert got == {c: "table" if longs[c[:8] + c[-4:]] > 1 else "short" for c in set(cps) if shorts[c[:6] + c[-4:]] > 1}
+    rows = frame.distinct().withColumn("form", F.concat(F.left("cp", F.lit(6)), F.right("cp", F.lit(4))))
+    heavy = spark.createDataFrame([("0xaaaaffff", 40)], "form string, splits int")
+    parts = Counter(r.salt for r in registry.split_keys(rows, "form", heavy).filter("form = '0xaaaaffff'").collect())
+    assert len(parts) > 30 and max(parts.values()) < 40
+
+
+def test_the_daily_phase_is_the_longest_run_of_days(spark):
+    days = [date(2024, 1, n) for n in (1, 2, 5, 6, 7, 8, 20, 21, 22, 23, 30)]
+    series = spark.createDataFrame([(d, 1) for d in days] + [(date(2024, 1, 9), 0)], "day date, n_r long")
+    assert one(funding.daily_phase(series)) == {"phase_first": date(2024, 1, 5), "phase_last": date(2024, 1, 8), "phase_days": 4}
+    assert one(funding.daily_phase(series.limit(0))) == {"phase_first": None, "phase_last": None, "phase_days": 0}
