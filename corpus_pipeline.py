@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir); its result is written and read again as the
 next one's documents. All but the last return the columns of documents, extra ones too.
 
-Null and empty texts are clean, are like nothing, take no share of a mix (so they
-may be left out or kept once) and pack as their end id. Null ids take part. Rows that repeat are
+Null and empty texts are clean, are like nothing, add no words to a mix (so they
+may be in it up to three times) and pack as their end id. Null ids take part. Rows that repeat are
 one after near duplicates, and texts that differ stay even if they repeat an id. Ties go by id, then by the
 text's hash. Whole texts count, however long. No documents give no pieces.
 """
