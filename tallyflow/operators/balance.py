@@ -44,7 +44,13 @@ def reconcile(
 
     ``balances`` is ``(asset, balance, degraded)``, ``prev`` is ``(asset, delta)``.
     """
-    net = pinned(ledger).groupBy("asset").agg(F.sum(signed()).alias("net"))
+    return reconcile_net(pinned(ledger).groupBy("asset").agg(F.sum(signed()).alias("net")), balances, prev, complete, hi, lo)
+
+
+def reconcile_net(
+    net: DataFrame, balances: DataFrame, prev: DataFrame, complete: bool = True, hi: float = 30, lo: float = -150
+) -> DataFrame:
+    """:func:`reconcile` from the pinned ``(asset, net)``; assets without one have moved nothing."""
     every = balances.select("asset").join(net, "asset", "left").select("asset", F.coalesce("net", F.lit(0.0)).alias("net"))
     return judge_net(every, balances, prev, complete, hi, lo)
 

@@ -513,8 +513,7 @@ ORACLES: dict[str, str] = {
     "alert_stream": f"""{_RECON.replace('WITH ' + A, 'WITH ' + _HISTORY)}, newest AS (SELECT max(ts) AS t FROM history)
       SELECT 'low runway' AS rule, '' AS subject, round(runway, 1) AS value FROM runs WHERE ts = (SELECT t FROM newest)
       UNION ALL SELECT 'burn accelerating', '', round(burn24 / burn_prev, 1) FROM history WHERE ts = (SELECT t FROM newest) AND burn_prev > 0 AND burn24 / burn_prev > 2
-      UNION ALL SELECT 'reconciliation drift', asset, round(balance - (SELECT sum(CASE WHEN direction = 'IN' THEN val ELSE -val END) FROM a WHERE a.asset = held.asset)
-         - CASE WHEN asset = 'A0' THEN round(balance, 1) ELSE 0 END, 1) FROM held WHERE true""",
+      UNION ALL SELECT 'reconciliation drift', asset, drift FROM recon WHERE warn""",
 }
 
 ORACLES["daily_from_rollup"] = ORACLES["daily_band_facts"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import classified, day_text, in_window, tidy
 from tallyflow.operators import alerts, balance, behaviour, earners, facts, funding, legacy, platform, quotes, rates, registry
 from tallyflow.operators.implied import implied_rates
+from tallyflow.operators.quotes import JUDGED
 from tallyflow.plans import hourly, roles
 from tallyflow.plans.roles import AS_OF, ASSETS, EVENTS, RECYCLE
 from tallyflow.session import scratch_path, settle
@@ -982,9 +983,12 @@ def quote_stream(spark, folder):
     """ST5"""
     path = scratch_path(spark, "quote_feed")
     feed = roles.quote_feed(spark, folder)
-    feed.write.parquet(path)
-    stream = streaming.landed(spark, path, feed.schema)
-    judged = streaming.drain(streaming.validate_quotes_stream(stream, {"A0": 20.0, "A1": 30.0}), scratch_path(spark, "judged"))
+    for half in (F.col("ts") < AS_OF - timedelta(days=15), F.col("ts") >= AS_OF - timedelta(days=15)):
+        feed.filter(half).coalesce(1).write.mode("append").parquet(path)
+    stream = streaming.landed(spark, path, feed.schema, files_per_trigger=1)
+    anchors = spark.createDataFrame([("A0", 20.0), ("A1", 30.0)], "asset string, anchor double")
+    out = scratch_path(spark, "judged")
+    judged = streaming.each_batch(stream, out, streaming.quote_batch(out, anchors, rows_per_slice=2000), "append", JUDGED)
     return _quote_report(judged)
 
 
@@ -1002,12 +1006,13 @@ def publish_stream(spark, folder):
 
 @query
 def alert_stream(spark, folder):
-    """ST7, WIN15"""
+    """ST7, WIN15, AGG15, FLT3"""
     path = scratch_path(spark, "alerts")
     held = settle(roles.balances(spark, folder), "balances")
     prev = held.select("asset", F.round(F.when(F.col("asset") == "A0", F.col("balance")).otherwise(0.0), 1).alias("delta"))
     history = settle(roles.hourly_history(spark, folder), "history")
-    net = _event_stream(spark, folder).groupBy("asset").agg(F.sum(balance.signed("usd")).alias("net"))
-    judge = lambda batch: balance.judge_net(batch, held, prev)
-    rows = streaming.each_batch(net, path, streaming.alert_batch(path, history, judge, every=True), "update", alerts.DUE)
+    judge = lambda net: balance.reconcile_net(net, held, prev)
+    judged = streaming.alert_batch(path, history, judge, every=True)
+    moves = _event_stream(spark, folder).withColumn("blk", F.col("event_id"))
+    rows = streaming.each_batch(moves, path, streaming.pinned_batch(scratch_path(spark, "net"), judged), "append", alerts.DUE)
     return streaming.latest_updates(rows, ["rule", "subject"]).select("rule", "subject", F.round("value", 1).alias("value"))

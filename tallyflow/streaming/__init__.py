@@ -1,4 +1,4 @@
-from tallyflow.streaming.quotes import validate_quotes_stream  # noqa: F401
+from tallyflow.streaming.quotes import ROCKSDB, quote_batch, validate_quotes_stream  # noqa: F401
 from tallyflow.streaming.streams import (  # noqa: F401
     alert_batch,
     drain,
@@ -7,6 +7,7 @@ from tallyflow.streaming.streams import (  # noqa: F401
     ingest_batch,
     landed,
     latest_updates,
+    pinned_batch,
     publish_batch,
     settled_days,
     sliding_kpis,

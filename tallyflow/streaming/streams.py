@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from tallyflow.functions import exprs, sum_where
 from tallyflow.operators.alerts import AlertRules, alerts
+from tallyflow.operators.balance import signed
 from tallyflow.operators.facts import IN, OUT
+from tallyflow.session import settle
 from tallyflow.sources.ingest import unseen
 from tallyflow.sources.sinks import publish_closed
 
@@ -149,6 +151,41 @@ def ingest_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], N
     return ingest
 
 
+def pinned_batch(path: str, then: Callable[[DataFrame, int], None], val: str = "usd") -> Callable[[DataFrame, int], None]:
+    """AGG15, FLT3 in a stream: a batch function that gives ``then`` each asset's net up to the pinned block.
+
+    The pin is the smaller of the two directions' newest blocks, so a side that lags
+    holds it back; while only one direction has come, it is that one's. Kept at ``path`` are one sum per
+    asset at or below the pin of both, one per asset and block above it, which leaves when the
+    pin passes it, and the newest blocks. Rows without a block do not count. A late row
+    below the pin counts at once. A batch reads what the one before it left and owns its
+    folder, so one that runs twice leaves the same. Rows are ``(asset, direction, blk)`` and ``val``.
+    """
+    none = "CAST(NULL AS STRING)"
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        empty = batch.limit(0).selectExpr("asset", "direction", "blk", "0D AS net")
+        empty.write.mode("ignore").parquet(f"{path}/batch=-1")
+        versions = spark.read.parquet(path).filter(F.col("batch") < batch_id)
+        before = versions.filter(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+        fresh = batch.filter("blk IS NOT NULL").groupBy("asset", "direction", "blk").agg(F.sum(signed(val)).alias("net"))
+        rows = settle(before.unionByName(fresh), "pinned")
+        newest = rows.filter("direction IS NOT NULL AND blk > 0").groupBy("direction").agg(F.max("blk").alias("blk"))
+        pin = F.coalesce(newest.agg(F.min("blk")).scalar(), F.lit(0))
+        passed = F.when(newest.agg(F.count("*")).scalar() > 1, pin).otherwise(0)
+        above = F.when(F.col("blk") > passed, F.col("blk"))
+        sums = rows.filter("asset IS NOT NULL").groupBy("asset", above.alias("blk")).agg(F.sum("net").alias("net"))
+        marks = newest.selectExpr(f"{none} AS asset", "direction", "blk", "0D AS net")
+        kept = sums.selectExpr("asset", f"{none} AS direction", "blk", "net").unionByName(marks)
+        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        state = spark.read.schema(empty.schema).parquet(f"{path}/batch={batch_id}").filter("asset IS NOT NULL")
+        due = F.when(F.col("blk").isNull() | (F.col("blk") <= pin), F.col("net")).otherwise(0.0)
+        then(state.groupBy("asset").agg(F.sum(due).alias("net")), batch_id)
+
+    return publish
+
+
 def alert_batch(
     path: str,
     history: DataFrame,
@@ -158,7 +195,8 @@ def alert_batch(
 ) -> Callable[[DataFrame, int], None]:
     """ST7: a batch function that reconciles what arrived and writes the alerts then due.
 
-    ``judge`` turns a batch of ``(asset, net)`` into reconciliation rows.
+    ``judge`` turns a batch of ``(asset, net)`` into reconciliation rows; behind
+    :func:`pinned_batch` the net is that at the pinned block.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:

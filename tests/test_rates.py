@@ -1,11 +1,14 @@
+import math
 import random
 import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyflow.operators import implied
+from tallyflow.operators import implied, quotemaps
 from tallyflow.operators import quotes as q
 from tallyflow.operators.implied import implied_rates
 from tallyflow.operators.rates import asof_rate, day_rate, market_deviation
@@ -150,6 +153,49 @@ def test_quotes_are_the_same_in_slices_of_any_length(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_quotes_take_rounds_by_the_logarithm_of_slices(spark):
+    feed = [(10.0, None), (11.0, None)] + [(None, None)] * 60 + [(12.0, None), (None, 13.0)]
+    start = spark.createDataFrame([("T", 10.0)], "asset string, anchor double")
+    frame = frame_of(spark, {"T": feed})
+    want = q.validate_quotes(frame, start).orderBy("key").collect()
+    assert q.validate_quotes(frame, start, rows_per_slice=2, fan=3).orderBy("key").collect() == want
+    maps = []
+    for row in q.sliced(frame, 2).select("slice").distinct().collect():
+        maps.append(("T", row.slice, None, [True, False], [-math.inf] * 2, [math.inf] * 2, [None, None], [None, None]))
+    states = start.selectExpr("asset", "anchor", "CAST(NULL AS DOUBLE) AS pending", "false AS accepted")
+    starts, rounds = q._slice_starts(spark.createDataFrame(maps, q._MAP), states, 2, 2)
+    assert starts.count() == 32 and rounds <= 2 * 5
+
+
+def test_quotes_of_one_second_are_cut_too(spark):
+    rnd = random.Random(6)
+    rows = [("T", T0 + timedelta(microseconds=i // 3), f"{i:04}", rnd.lognormvariate(2, 0.8), None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, key string, price double, fallback double")
+    start = spark.createDataFrame([("T", 10.0)], "asset string, anchor double")
+    sizes = [r["count"] for r in q.sliced(frame, 7).groupBy("slice").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 14
+    runs = [q.validate_quotes(frame, start, rows_per_slice=n).orderBy("key").collect() for n in (7, 1000)]
+    assert runs[0] == runs[1] and len(runs[0]) == 300
+    none = q.validate_quotes(frame.limit(0), start)
+    assert none.count() == 0 and none.columns == ["asset", "ts", "key", "price", "rate", "source", "anchor"]
+
+
+VALUES = st.one_of(st.none(), st.sampled_from([0.0, -1.0, 0.2, 0.5, 1.0, 2.0, 5.0, 25.0]), st.floats(0.01, 100))
+QUOTES = st.lists(st.tuples(VALUES, VALUES), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(QUOTES, st.integers(0, 12), VALUES, VALUES, st.booleans())
+def test_a_map_says_what_the_walk_does_from_any_state(quotes, cut, anchor, pending, accepted):
+    start = q.QuoteState(anchor, pending, accepted)
+    want = start
+    for price, fallback in quotes:
+        want = q.quote_step(want, price, fallback, 5, 2)[0]
+    parts = [quotemaps.quote_map([p for p, _ in part], [f for _, f in part], 5, 2) for part in (quotes, quotes[:cut], quotes[cut:])]
+    assert quotemaps.applied(parts[0], start, 2) == want
+    assert quotemaps.applied(quotemaps.chained(*parts[1:], 2), start, 2) == want
+
+
 def test_anchor_moves_only_after_two_close_quotes():
     step = lambda s, p, f=None: q.quote_step(s, p, f, 5, 2)
     s0 = q.QuoteState(1.0, None, False)

@@ -4,7 +4,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tallyflow import streaming
-from tallyflow.operators.quotes import validate_quotes
+from tallyflow.operators.balance import pinned, signed
+from tallyflow.operators.quotes import JUDGED, validate_quotes
 from tests.conftest import T0, by
 
 SCHEMA = "ts timestamp_ntz, key string, asset string, direction string, usd double"
@@ -77,14 +78,50 @@ def test_quote_stream_equals_batch(spark, tmp_path):
         (a, T0 + timedelta(minutes=i), f"{i:03}", rnd.choice([None, 0.0, rnd.lognormvariate(0, 1)]), rnd.choice([None, rnd.lognormvariate(0, 1)]))
         for a in "TU" for i in range(60)
     ]
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    for lo, hi in ((0, 25), (25, 60)):
-        land(spark, [r for r in rows if lo <= int(r[2]) < hi], src, schema)
-        stream = streaming.landed(spark, src, schema_of(spark, schema))
-        got = streaming.drain(streaming.validate_quotes_stream(stream, {"T": 1.0, "U": 2.0}), out)
+    src, out, sliced = (str(tmp_path / n) for n in ("src", "out", "sliced"))
     start = spark.createDataFrame([("T", 1.0), ("U", 2.0)], "asset string, anchor double")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.ROCKSDB)
+    batch = streaming.quote_batch(sliced, start, rows_per_slice=4)
+    try:
+        for lo, hi in ((0, 25), (25, 60)):
+            land(spark, [r for r in rows if lo <= int(r[2]) < hi], src, schema)
+            stream = streaming.landed(spark, src, schema_of(spark, schema))
+            got = streaming.drain(streaming.validate_quotes_stream(stream, {"T": 1.0, "U": 2.0}), out)
+            cut = streaming.each_batch(stream, sliced, batch, "append", JUDGED)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = by(validate_quotes(spark.createDataFrame(rows, schema), start), "asset", "key")
-    seen = by(got, "asset", "key")
-    assert set(seen) == set(want)
-    for k, w in want.items():
-        assert (seen[k]["rate"], seen[k]["source"], seen[k]["anchor"]) == (w["rate"], w["source"], w["anchor"])
+    judged = by(cut, "asset", "key")
+    for seen in (by(got, "asset", "key"), judged):
+        assert set(seen) == set(want)
+        for k, w in want.items():
+            assert (seen[k]["rate"], seen[k]["source"], seen[k]["anchor"]) == (w["rate"], w["source"], w["anchor"])
+    batch(spark.createDataFrame([r for r in rows if int(r[2]) >= 25], schema), 1)
+    assert by(spark.read.parquet(sliced).select(cut.columns), "asset", "key") == judged
+
+
+def test_pinned_net_follows_the_slower_side(spark, tmp_path):
+    schema = "asset string, direction string, blk long, usd double"
+    batches = [
+        [("T", "OUT", 5, 1.0), ("T", "OUT", 9, 2.0), ("U", "OUT", 7, 4.0), ("U", "OUT", None, 99.0)],
+        [("T", "IN", 3, 10.0), ("T", "IN", 6, 20.0)],
+        [],
+        [("T", "IN", 8, 40.0), ("T", "OUT", 4, 0.5), ("U", "IN", 0, 0.25)],
+        [("T", "IN", 30, 7.0), ("T", "OUT", 20, 3.0), ("T", "OUT", 20, 3.0)],
+    ]
+    path, seen = str(tmp_path / "net"), {}
+
+    def note(net, batch_id):
+        seen[batch_id] = {r.asset: r.net for r in net.collect()}
+
+    publish = streaming.pinned_batch(path, note)
+    sent = []
+    for i, rows in enumerate(batches):
+        sent += rows
+        for _ in range(2):  # a batch that runs again changes nothing
+            publish(spark.createDataFrame(rows, schema), i)
+        whole = pinned(spark.createDataFrame(sent, schema)).groupBy("asset").agg(F.sum(signed("usd")).alias("net"))
+        assert {a: n for a, n in seen[i].items() if n} == {r.asset: r.net for r in whole.collect() if r.net}
+    assert seen[1] == {"T": 29.0, "U": 0.0} and seen[4] == {"T": 60.5, "U": -3.75}
+    left = spark.read.parquet(path).filter("batch = 4 AND asset IS NOT NULL")
+    assert {(r.asset, r.blk) for r in left.collect()} == {("T", None), ("T", 30), ("U", None)}
