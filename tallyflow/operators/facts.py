@@ -40,26 +40,34 @@ def count_where(cond: str, rows: str) -> str:
     return f"coalesce(sum(CASE WHEN {cond} THEN {rows} END), 0L)"
 
 
+#: A transfer as a number of 31 bits; sums of it hold eight billion rows a day.
+_TRANSFER = "pmod(xxhash64(direction, asset, cp, band, fine, cat, usd, val), 2147483648L)"
+
+
 def rollup(ledger: DataFrame) -> DataFrame:
     """Transfers of a classified ledger counted per day, counterparty and class.
 
     Monthly, daily, leaderboard and class figures read this table as they read
-    the ledger. A closed day never changes, so it is rolled up once.
+    the ledger. A closed day never changes, so it is rolled up once. ``mark`` adds up a hash of each
+    transfer, by which :func:`roll_forward` knows a day again.
     """
     return ledger.groupBy("day", "direction", "asset", "cp", "band", "fine", "cat").agg(
-        *exprs("count(*) AS n", "sum(usd) AS usd", "sum(val) AS val")
+        *exprs("count(*) AS n", "sum(usd) AS usd", "sum(val) AS val", f"sum({_TRANSFER}) AS mark")
     )
 
 
 def roll_forward(state: DataFrame, ledger: DataFrame) -> DataFrame:
     """A stored rollup brought up to date with the ledger.
 
-    Days whose row count is not the stored one (new, still open when they were
-    stored, or with late rows) are rolled up anew; the others stay as stored.
-    Of those only the day is read from the ledger.
+    Days whose row count or sum of hashes is not the stored one (new, still open when they
+    were stored, with late rows, or with rows corrected or gone) are rolled up anew; the others stay as stored.
+    Of those the hashed columns are read from the ledger, and a row per day is shuffled.
     """
-    stored = state.groupBy("day").agg(F.sum("n").alias("stored"))
-    moved = ledger.groupBy("day").agg(F.count("*").alias("found")).join(stored, "day", "left")
+    if "mark" not in state.columns:  # stored before there were marks: every day moves
+        state = state.withColumn("mark", F.lit(None).cast("long"))
+    stored = state.groupBy("day").agg(F.struct(F.sum("n").alias("n"), F.sum("mark").alias("mark")).alias("stored"))
+    found = ledger.groupBy("day").agg(F.expr(f"struct(count(*) AS n, sum({_TRANSFER}) AS mark)").alias("found"))
+    moved = found.join(stored, "day", "full")
     moved = settle(moved.filter(~F.col("found").eqNullSafe(F.col("stored"))).select("day"), "moved_days")
     tail = settle(rollup(ledger.join(moved, "day", "left_semi")), "rollup_tail")
     return state.join(moved, "day", "left_anti").unionByName(tail)
@@ -226,8 +234,11 @@ def share(df: DataFrame, column: str, alias: str = "share") -> DataFrame:
     return df.withColumn(alias, tidy(F.col(column) / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1))
 
 
-def flow_ratios(facts: DataFrame, consumed_usd: Column | float | None = None, span_days: float = 7.0) -> DataFrame:
-    """AGG32, AGG33: recycled share and consumption ratio of all history, daily pace of the last week."""
+def flow_ratios(facts: DataFrame, consumed_usd: Column | float | None = None, span_days: Column | float = 7.0) -> DataFrame:
+    """AGG32, AGG33: recycled share and consumption ratio of all history, daily pace of the last week.
+
+    ``span_days`` is how much of that week the ledger covers (:func:`tallyflow.operators.balance.burn`).
+    """
     row = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
     used = F.lit(None).cast("double") if consumed_usd is None else (
         F.lit(consumed_usd) if isinstance(consumed_usd, (int, float)) else consumed_usd

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,6 +61,35 @@ def active_users(
     return last.agg(*(F.count_if(F.col("last") > cut).alias(f"active_{d}d") for d, cut in cuts.items()))
 
 
+def user_days(events: DataFrame, user: str = "user_id", ts: str = "ts", lg_k: int = 14) -> DataFrame:
+    """AGG29, AGG4: one sketch of the users of each day, to be stored and merged later.
+
+    A sketch has at most ``2 ** lg_k`` bytes whatever the users, and is off by about
+    ``1.04 / 2 ** (lg_k / 2)`` of the count, 0.8 % for 14.
+    """
+    return events.groupBy(F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(user, F.lit(lg_k)).alias("users"))
+
+
+def active_from_days(
+    stored: DataFrame, last: date, days: Sequence[int] = (1, 7, 30), user: str | None = None
+) -> DataFrame:
+    """AGG29 over stored days: users of the last ``days`` whole days up to ``last``, as ``(days, users)``.
+
+    ``stored`` has the sketches of :func:`user_days`, so events are not read again; with
+    ``user`` it has a row per day and user and the count is exact.
+    """
+    spans = F.explode(F.array(*(F.lit(d) for d in days))).alias("days")
+    widest = stored.filter((F.col("day") <= F.lit(last)) & (F.col("day") > F.lit(last - timedelta(days=max(days)))))
+    if user:
+        newest = widest.groupBy(user).agg(F.max("day").alias("day"))
+        per = newest.filter(F.col(user).isNotNull()).groupBy("day").agg(F.count("*").alias("n"))
+        value = F.sum("n")
+    else:
+        per, value = widest, F.hll_sketch_estimate(F.hll_union_agg("users"))
+    covered = per.select(spans, "*").filter(F.date_diff(F.lit(last), F.col("day")) < F.col("days"))
+    return covered.groupBy("days").agg(value.alias("users"))
+
+
 def ledger_days(ledger: DataFrame, scheme: Scheme) -> DataFrame:
     """Unbacked and purchase-backed payouts per day."""
     out = ledger.filter(F.col("direction") == "OUT")

@@ -289,8 +289,9 @@ ORACLES: dict[str, str] = {
       FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey ORDER BY usd DESC, cp LIMIT 10""",
     "flow_ratios": f"""WITH {A}, f AS (SELECT round(sum(usd) FILTER (WHERE direction = 'IN' AND cp = '3'), 2) AS rec, round(sum(usd) FILTER (WHERE direction = 'IN'), 2) AS inn,
         round(sum(usd) FILTER (WHERE direction = 'OUT'), 2) AS out, round(sum(usd) FILTER (WHERE direction = 'OUT' AND ts > TIMESTAMP '2024-01-24'), 2) AS week,
-        sum(usd) FILTER (WHERE event_type = 'click') AS used FROM a)
-      SELECT round(rec / inn * 100, 0) AS recycled_share, round(used / out * 100, 0) AS consumption_ratio, round(week / 7, 2) AS dist_pace FROM f""",
+        sum(usd) FILTER (WHERE event_type = 'click') AS used,
+        CASE WHEN min(ts) FILTER (WHERE direction = 'OUT') > TIMESTAMP '2024-01-24' THEN greatest(epoch(TIMESTAMP '2024-01-31' - min(ts) FILTER (WHERE direction = 'OUT')) / 86400, 1) ELSE 7 END AS span FROM a)
+      SELECT round(rec / inn * 100, 0) AS recycled_share, round(used / out * 100, 0) AS consumption_ratio, round(week / span, 2) AS dist_pace FROM f""",
     "projected_day": f"""WITH {A}, p AS (SELECT day, count(*) FILTER (WHERE direction = 'OUT') AS out_tx, round({s('usd', "direction = 'OUT'")}, 2) AS out_usd
         FROM a WHERE ts <= TIMESTAMP '2024-01-30 18:00:00' GROUP BY day)
       SELECT {d('day')} AS day, out_tx, out_usd, CASE WHEN p.day = DATE '2024-01-30' THEN round(out_tx / 0.75::DOUBLE, 2) END AS projected_out_tx,
@@ -411,6 +412,8 @@ ORACLES: dict[str, str] = {
     "event_days": f"SELECT {d('CAST(ts AS DATE)')} AS day, {_TELEMETRY} FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY CAST(ts AS DATE)",
     "active_users": """SELECT count(DISTINCT user_id) FILTER (WHERE ts > TIMESTAMP '2024-01-29 12:00:00') AS active_1d, count(DISTINCT user_id) FILTER (WHERE ts > TIMESTAMP '2024-01-23 12:00:00') AS active_7d,
       count(DISTINCT user_id) FILTER (WHERE ts > TIMESTAMP '2023-12-31 12:00:00') AS active_30d FROM events""",
+    "active_users_by_sketch": """SELECT days, count(DISTINCT user_id) AS users, true AS close FROM (VALUES (1), (7), (30)) w(days)
+      JOIN events ON CAST(ts AS DATE) <= DATE '2024-01-30' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') < days GROUP BY days""",
     "bank_days": f"WITH {C}, {_BANK} SELECT * REPLACE ({d('day')} AS day) FROM bank",
     "settled_tier": f"""WITH {C}, {_BANK}, last7 AS (SELECT * FROM bank WHERE settled ORDER BY day DESC LIMIT 7), z AS (SELECT min(last7.day) AS d0, max(last7.day) AS d1, round(sum(topup_usd), 2) AS topup,
         CAST(sum(topups) AS BIGINT) AS topups, CAST(sum(awakens) AS BIGINT) AS awakens, round(coalesce(sum(backed), 0), 2) AS backed, round(coalesce(sum(unbacked), 0), 2) AS unbacked FROM last7 LEFT JOIN ld USING (day)),
@@ -467,11 +470,13 @@ ORACLES: dict[str, str] = {
     "quote_scan": f"""WITH {A}, q AS (SELECT *, CASE asset WHEN 'A0' THEN 20.0::DOUBLE ELSE 30.0::DOUBLE END AS anchor FROM a),
       p AS (SELECT asset, ts, day, CASE WHEN val > anchor / 5 AND val < anchor * 5 THEN val WHEN val + 1 > anchor / 5 AND val + 1 < anchor * 5 THEN val + 1 END AS price FROM q)
       SELECT asset, {d('day')} AS day, count(*) AS n, round(sum(price), 2) AS price FROM p WHERE price IS NOT NULL GROUP BY asset, p.day""",
-    "export_rows": f"""WITH {C}, {SPARSE}, known AS (SELECT * FROM rates WHERE day > DATE '2024-01-04' AND day(day) < 29)
+    "export_rows": f"""WITH {C}, {SPARSE}, known AS (SELECT * FROM rates WHERE day > DATE '2024-01-04' AND day(day) < 29), opening AS (SELECT * FROM rates WHERE day(day) = 29)
       SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_utc, direction, c.asset AS token, printf('%.6f', val) AS amount,
         CASE WHEN k.day IS NOT NULL THEN 'day-implied' WHEN day(c.day) = 29 THEN 'day-implied (open)' WHEN c.day > DATE '2024-01-05' THEN 'carry-forward' ELSE 'carry-back' END AS rate_source,
-        printf('%.4f', usd) AS usd, CASE WHEN direction = 'OUT' THEN CASE band WHEN 'other' THEN 'other size' ELSE band END ELSE '' END AS size_band, cp AS counterparty,
-        coalesce(c_name, '') AS counterparty_label, key AS tx_hash FROM c LEFT JOIN known k ON k.asset = c.asset AND k.day = c.day LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = cp""",
+        printf('%.8f', coalesce(k.rate, op.rate, prior.rate, later.rate)) AS rate_usd, printf('%.4f', usd) AS usd, CASE WHEN direction = 'OUT' THEN CASE band WHEN 'other' THEN 'other size' ELSE band END ELSE '' END AS size_band, cp AS counterparty,
+        coalesce(c_name, '') AS counterparty_label, key AS tx_hash FROM c LEFT JOIN known k ON k.asset = c.asset AND k.day = c.day LEFT JOIN opening op ON op.asset = c.asset AND op.day = c.day
+        ASOF LEFT JOIN known prior ON prior.asset = c.asset AND prior.day <= c.day ASOF LEFT JOIN known later ON later.asset = c.asset AND later.day > c.day
+        LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = cp""",
     "publish_closed": f"WITH {A}, {_CANDLES} SELECT asset, {d('day')} AS day, CASE WHEN day <= DATE '2024-01-12' THEN 1.0::DOUBLE ELSE close END AS close FROM closes",
     "snapshot_history": """SELECT 'mid' AS run, count(*) AS n, CAST(NULL AS DOUBLE) AS val FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-15'
       UNION ALL SELECT 'end', count(*), round(sum(value), 2) FROM events""",
@@ -493,8 +498,8 @@ ORACLES: dict[str, str] = {
         {s("CASE fine WHEN 'invoke' THEN 5 WHEN 'equip' THEN 10 WHEN 'credit' THEN 25 WHEN 'referral' THEN 50 WHEN 'purchase' THEN 100 ELSE val * 0.9::DOUBLE END", "direction = 'OUT'")} AS promised,
         {s('val', "direction = 'OUT'")} * 0.9::DOUBLE AS settled, {s('val', "direction = 'OUT' AND lcat IN ('invoke', 'equip')")} AS earned FROM rows1),
       b7 AS (SELECT round(avg(usd), 2) AS burn7_usd FROM (SELECT day, {s('usd', "direction = 'OUT'")} AS usd FROM rows1 WHERE day < DATE '2024-01-31' GROUP BY day ORDER BY day DESC LIMIT 7)),
-      y AS (SELECT *, CASE WHEN burn_prev > 0 THEN least(burn24 / burn_prev, 2) ELSE 1 END AS growth FROM z, bal, b7)
-      SELECT round((earned - 123.0::DOUBLE / r) / earned * 100, 1) AS organic_share, round(123.0::DOUBLE / r * r, 2) AS at_risk_usd, round(in24 - out24, 0) AS bal_delta24, round(topup24, 0) AS topup24,
+      y AS (SELECT *, CASE WHEN burn_prev > 0 THEN least(burn24 / burn_prev, 2) ELSE 1 END AS growth FROM z, bal, b7, (SELECT at_risk_usd AS risk FROM (__GUARD__)))
+      SELECT round((earned - risk / r) / earned * 100, 1) AS organic_share, round(risk / r * r, 2) AS at_risk_usd, round(in24 - out24, 0) AS bal_delta24, round(topup24, 0) AS topup24,
         CASE WHEN burn24 > 0 THEN round(greatest(0, 7 * burn24 - bal * r) / r, 0) END AS topup_needed, CASE WHEN burn24 > 0 THEN round(bal * r / burn24, 1) END AS runway_days,
         CASE WHEN burn24 > 0 THEN round(bal * r / (burn24 * growth), 1) END AS runway_adj, round(burn24, 2) AS burn24, round(burn_prev, 2) AS burn_prev, round(promised, 2) AS promised_usd,
         round((settled - promised) / promised * 100, 1) AS fx_drift_pct, burn7_usd FROM y""",
@@ -517,6 +522,7 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["daily_from_rollup"] = ORACLES["daily_band_facts"]
+ORACLES["asset_guard"] = ORACLES["asset_guard"].replace("__GUARD__", ORACLES["guard_summary"])
 ORACLES = {name: decimal_rounding(sql) for name, sql in ORACLES.items()}
 
 ORACLES["review_board"] = f"""SELECT cp, label, n, usd, status, flags FROM ({ORACLES["cadence_flags"]}) ORDER BY status <> 'review', usd DESC, cp LIMIT 20"""

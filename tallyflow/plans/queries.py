@@ -106,7 +106,7 @@ def flow_ratios(spark, folder):
     ledger = adapters.event_ledger(spark, folder)
     windows = facts.flow_facts(ledger, facts.standard_windows(AS_OF), ASSETS, RECYCLE)
     used = ledger.filter("event_type = 'click'").agg(F.sum("usd")).scalar()
-    return facts.flow_ratios(windows, used)
+    return facts.flow_ratios(windows, used, balance.burn(roles.classified_events(spark, folder), AS_OF, EVENTS).select("span_days").scalar())
 
 
 @query
@@ -540,6 +540,22 @@ def active_users(spark, folder):
     return platform.active_users(adapters.table(spark, folder, "events"), datetime(2024, 1, 30, 12), days=(1, 7, 30))
 
 
+@query
+def active_users_by_sketch(spark, folder):
+    """AGG29, AGG4: stored sketches of days against exact counts"""
+    events = adapters.table(spark, folder, "events")
+    path, last = scratch_path(spark, "user_days"), (AS_OF - timedelta(days=1)).date()
+    runs = Runs(spark, path)
+    sketches = platform.user_days(events)
+    middle = F.col("day") <= F.lit((AS_OF - timedelta(days=15)).date())
+    for run, some in (("old", middle), ("new", ~middle), ("old", middle)):
+        runs.append(run, sketches.filter(some))
+    guess = platform.active_from_days(runs.read(sketches.schema), last)
+    exact = platform.active_from_days(events.select(F.to_date("ts").alias("day"), "user_id").distinct(), last, user="user_id")
+    both = guess.join(exact.withColumnRenamed("users", "exact"), "days")
+    return both.select("days", F.col("exact").alias("users"), (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @query
 def bank_days(spark, folder):
     """SNK4"""
@@ -812,7 +828,7 @@ def export_rows(spark, folder):
     export = sinks.export_rows(ledger, labels, {"other": "other size", **{b: b for b in ("micro", "b5", "b10", "b25", "b50", "b100")}})
     export.write.csv(path, header=True)
     return spark.read.csv(path, header=True).select(
-        *(F.coalesce(c, F.lit("")).alias(c) for c in export.columns if c not in ("rate_usd",))
+        *(F.coalesce(c, F.lit("")).alias(c) for c in export.columns)
     )
 
 
@@ -903,7 +919,8 @@ def asset_treasury(spark, folder):
 def asset_guard(spark, folder):
     """AGG35"""
     held = roles.balances(spark, folder).filter("asset = 'A0'").agg(F.max("balance") * 0.02).scalar()
-    return legacy.asset_guard(_single(spark, folder), AS_OF, 0.9, EVENTS, held, F.lit(123.0))
+    risk = earners.guard(_prints(spark, folder), F.lit(0.0)).select("at_risk_usd").scalar()
+    return legacy.asset_guard(_single(spark, folder), AS_OF, 0.9, EVENTS, held, risk)
 
 
 # --- streams ----------------------------------------------------------------

@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyflow.functions import DEFAULT_SCHEME
 from tallyflow.operators import facts
@@ -90,3 +91,6 @@ def test_roll_forward_counts_late_rows(ledger):
     stored = facts.rollup(rows.filter("blk in (1, 3)"))
     grown = facts.roll_forward(stored, rows)
     assert {r.day.day: r.n for r in grown.groupBy("day").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {1: 2, 2: 2, 3: 1}
+    fixed = rows.withColumn("usd", F.when(F.col("blk") == 3, 9.0).otherwise(F.col("usd"))).filter("blk <> 5")
+    got = {r.day.day: r.usd for r in facts.roll_forward(grown, fixed).groupBy("day").agg(F.sum("usd").alias("usd")).collect()}
+    assert got == {1: 2.0, 2: 10.0}

@@ -148,3 +148,17 @@ def test_the_daily_phase_is_the_longest_run_of_days(spark):
     series = spark.createDataFrame([(d, 1) for d in days] + [(date(2024, 1, 9), 0)], "day date, n_r long")
     assert one(funding.daily_phase(series)) == {"phase_first": date(2024, 1, 5), "phase_last": date(2024, 1, 8), "phase_days": 4}
     assert one(funding.daily_phase(series.limit(0))) == {"phase_first": None, "phase_last": None, "phase_days": 0}
+
+
+def test_sketches_of_days_merge_to_the_users_of_their_union(spark):
+    rows = [(T0 + timedelta(days=d, minutes=u), 37 * d + u) for d in range(40) for u in range(60)] + [(T0 + timedelta(days=39), None)]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, user_id long")
+    stored = platform.user_days(events)
+    assert stored.count() == 40
+    last = (T0 + timedelta(days=39)).date()
+    days = events.select(F.to_date("ts").alias("day"), "user_id").distinct()
+    exact = by(platform.active_from_days(days, last, user="user_id"), "days")
+    guess = by(platform.active_from_days(stored, last), "days")
+    assert {d: r["users"] for d, r in exact.items()} == {1: 60, 7: 60 + 37 * 6, 30: 60 + 37 * 29}
+    assert set(guess) == set(exact) and all(abs(guess[d]["users"] / exact[d]["users"] - 1) < 0.04 for d in exact)
+    assert platform.active_from_days(stored.limit(0), last).count() == 0
