@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -122,9 +123,12 @@ def sane_quotes(quotes: DataFrame, anchors: DataFrame, factor: float = 5) -> Dat
     return quotes.join(known, ["asset", "base"]).filter((price > anchor / factor) & (price < anchor * factor))
 
 
-def best_pair(quotes: DataFrame) -> DataFrame:
-    """WIN16: the most liquid pair per asset and time, the earlier listed on a tie."""
+def best_pair(quotes: DataFrame, by: Sequence[str] = ("asset", "ts")) -> DataFrame:
+    """WIN16: the most liquid pair per asset and time, the earlier listed on a tie.
+
+    ``by`` with ``list_id`` chooses within each list, for lists that may share asset and time.
+    """
     best = F.max(F.struct("liquidity", (-F.col("pair_rank")).alias("rank"), "price")).alias("best")
-    return quotes.groupBy("asset", "ts").agg(best).select(
-        "asset", "ts", F.col("best.price").alias("price"), F.col("best.liquidity").alias("liquidity")
+    return quotes.groupBy(*by).agg(best).select(
+        *by, F.col("best.price").alias("price"), F.col("best.liquidity").alias("liquidity")
     )

@@ -151,12 +151,17 @@ def read_state(spark: SparkSession, path: str, field: str, multi_line: bool = Tr
 
 
 def read_quotes(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """SRC14: market pair lists, one row per listed pair and its place in the list."""
+    """SRC14: market pair lists, one row per listed pair, its place in the list and the list's number.
+
+    Two lists may share asset and time; ``list_id`` tells them apart within one scan.
+    """
     docs = _json(spark, path, f"asset string, ts string, pairs {_PAIR}", multi_line)
     return docs.select(
-        "asset", F.col("ts").cast("timestamp_ntz").alias("ts"), F.posexplode("pairs").alias("pair_rank", "p")
+        F.monotonically_increasing_id().alias("list_id"), "asset", F.col("ts").cast("timestamp_ntz").alias("ts"), "pairs"
+    ).select(
+        "list_id", "asset", "ts", F.posexplode("pairs").alias("pair_rank", "p")
     ).select(
-        "asset", "ts", "pair_rank",
+        "list_id", "asset", "ts", "pair_rank",
         F.lower("p.baseToken.address").alias("base"),
         F.expr("try_cast(p.priceUsd AS double)").alias("price"),
         F.coalesce("p.liquidity.usd", F.lit(0.0)).alias("liquidity"),

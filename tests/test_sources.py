@@ -4,6 +4,7 @@ from datetime import date, datetime
 import pytest
 
 from tallyflow.operators.rates import best_pair, daily_close, sane_quotes
+from tallyflow.plans import queries
 from tallyflow.sources import ingest, normalise, excluded, readers, sinks
 from tallyflow.sources.runs import Runs
 from tests.conftest import by
@@ -86,6 +87,20 @@ def test_ohlcv_and_quotes(spark, tmp_path):
     assert [r.price for r in best_pair(sane_quotes(quotes, anchors)).collect()] == [2.0]
 
 
+def test_quote_lists_of_one_time_stay_apart(spark, tmp_path):
+    pair = lambda price, liq: {"baseToken": {"address": "0xtt"}, "priceUsd": price, "liquidity": {"usd": liq}}
+    docs = [{"asset": "T", "ts": "2024-01-01T00:00:00", "pairs": pairs} for pairs in ([pair("2.0", 50), pair("2.2", 50)], [pair("1.5", 10)], [pair("2.0", 50)], [pair("9.0", 90)])]
+    quotes = sane_quotes(readers.read_quotes(spark, write_lines(tmp_path / "q", docs)), spark.createDataFrame([("T", "0xtt", 1.0)], "asset string, base string, anchor double"))
+    assert sorted(r.price for r in best_pair(quotes, by=("list_id", "asset", "ts")).collect()) == [1.5, 2.0, 2.0]
+    assert [r.price for r in best_pair(quotes).collect()] == [2.0]
+
+
+def test_quote_scan_counts_every_event_of_a_time(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1, 5), 2 * i, "view", 20.0 + i, "{}") for i in range(4)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in queries.REGISTERED["quote_scan"](spark, str(tmp_path)).select("asset", "day", "n", "price").collect()] == [("A0", "2024-01-01", 4, 86.0)]
+
+
 def test_ingest_is_idempotent_and_guarded(ledger):
     bank = ledger([("OUT", s, "T", 1, "x") for s in range(10)])
     batch = bank.filter("blk >= 8").unionByName(bank.filter("blk = 9"))
