@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import DEFAULT_SCHEME, classified
 from tallyflow.operators import alerts, earners, funding, platform, registry
+from tallyflow.plans import queries
 from tests.conftest import T0, by, one
 
 
@@ -39,6 +40,16 @@ def test_lagged_share_uses_calendar_days(spark):
     assert (audit["expected"], audit["actual"], audit["variance"], audit["variance_usd"], audit["old_pct"]) == (8.0, 17.0, 9.0, 18.0, 20.0)
 
 
+def test_sweep_series_holds_the_days_before_recycling(spark, tmp_path):
+    orders = [(datetime(1997, 12, 30), 7.0), (datetime(1997, 12, 31), 5.0), (datetime(1998, 1, 2), 3.0)]
+    lines = [(datetime(1997, 12, 31), 2.0), (datetime(1998, 1, 1), 4.0)]
+    spark.createDataFrame(orders, "o_orderdate timestamp_ntz, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_shipdate timestamp_ntz, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = by(queries.REGISTERED["sweep_series"](spark, str(tmp_path)), "day")
+    assert {k: (v["i"], v["r"], v["s"]) for k, v in got.items()} == {"1997-12-30": (7.0, 0.0, 0.0), "1997-12-31": (5.0, 2.0, 0.0), "1998-01-01": (0.0, 0.0, 4.0), "1998-01-02": (3.0, 0.0, 0.0)}
+    assert sorted(r.day.day for r in funding.since_recycling(queries._sweeps(spark, str(tmp_path))).collect()) == [1, 2, 31]
+
+
 def test_archive_split_prices_each_day(spark, ledger):
     prices = spark.createDataFrame([("T", date(2024, 1, 1), 2.0)], "asset string, day date, rate double")
     rows = [("IN", 0, "T", 10, "a"), ("OUT", 1, "T", 4, "a"), ("IN", 86400, "T", 9000, "b"), ("OUT", 0, "T", 7, "c")]
