@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm import mixing, neardup, packing, toxicity
 from tallyflow.llm.queries import in_five, table, vocabulary
-from tallyflow.session import settle
+from tallyflow.session import settle, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below one half."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable=in_five() != 0)
     rows = docs.select(F.struct("*").alias("row"), toxicity.score(F.col("text"), model).alias("score"))
     return rows.filter("score < 0.5").select("row.*")
@@ -28,16 +29,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without words stay."""
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
+    small_batches(spark)
     return mixing.training_order(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences, with their ids."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 

@@ -211,8 +211,8 @@ def _meeter(p: Banding) -> Callable:
             right = np.flatnonzero(role == 1)
             after = np.cumsum(lefts[group[right]])
             found, at = [], 0
-            while at < len(right):  # about a quarter of a million pairs at a time
-                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 18), "right")))
+            while at < len(right):  # about 65,000 pairs at a time, of 200 bytes each side
+                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 16), "right")))
                 times = lefts[group[right[at:stop]]]
                 b = np.repeat(right[at:stop], times)
                 a = np.arange(len(b)) - np.repeat(np.cumsum(times) - times, times) + starts[group[b]]

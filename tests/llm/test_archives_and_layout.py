@@ -298,3 +298,14 @@ def test_the_pipeline_of_no_documents_gives_no_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, str(tmp_path)), "empty")
     assert docs.count() == 0
+
+
+def test_pipeline_hands_texts_to_workers_in_small_batches(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(40, numPartitions=1).select(F.repeat(F.lit("word "), 100_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    monkeypatch.setattr(corpus_pipeline.neardup, "deduplicated", lambda docs: docs.mapInArrow(sizes, "bytes long"))
+    got = [r.bytes for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sum(got) >= 40 * 500_000 and max(got) < 8_000_000
+    rows = F.arrow_udf(lambda t: pa.array([t.nbytes] * len(t), pa.int64()), "long")
+    assert max(r[0] for r in docs.select(rows("text")).collect()) < 8_000_000
