@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label: str = "toxi
     rows = settle(rows, "features")
     z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
     for _ in range(p.rounds):
-        state = spark.sparkContext.broadcast((z, n))
+        state = spark.sparkContext.broadcast(_moved(z, n))
         parts = [
             rows.filter(F.col("split") == k).coalesce(1).sortWithinPartitions("turn", "doc_id", "at").select("at", "label")
             .mapInArrow(_learner(state, p), "coordinate int, dz double, dn double")
@@ -118,13 +118,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label: str = "toxi
         ]
         merged = reduce(DataFrame.unionAll, parts).groupBy("coordinate").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
         at = merged["coordinate"].to_numpy()
-        z, n = z.copy(), n.copy()
         z[at] += merged["dz"].to_numpy()
         n[at] += merged["dn"].to_numpy()
+        del merged
         state.destroy()
+    at, z, n = _moved(z, n)
     w = weights(z, n, p)
-    at = np.flatnonzero(w)
-    return Model(p.bits, at.astype(np.int32), w[at])
+    return Model(p.bits, at[w != 0], w[w != 0])
+
+
+def _moved(z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The coordinates that any row has moved, and their state; the others are zero."""
+    at = np.flatnonzero((z != 0) | (n != 0)).astype(np.int32)
+    return at, z[at], n[at]
 
 
 def _feature_rows(bits: int):
@@ -137,7 +143,8 @@ def _feature_rows(bits: int):
 
 def _learner(state, p: Ftrl):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z0, n0 = state.value
+        z0, n0 = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
+        z0[state.value[0]], n0[state.value[0]] = state.value[1:]
         z, n = z0.copy(), n0.copy()
         for batch in batches:
             at, label = batch.column(0), batch.column(1).to_pylist()

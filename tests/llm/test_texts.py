@@ -381,3 +381,13 @@ def test_components_of_chains_and_stars(spark):
     rnd.shuffle(edges)
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 151)}, 500: 100, 800: 800, 801: 800}
+
+
+def test_a_state_travels_by_what_moved(corpus, spark, monkeypatch):
+    sent, put = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: (isinstance(value, tuple) and sent.append(value), put(value))[1])
+    rows = [(i, f"good day {i}" if i % 2 else f"vile day {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(corpus(rows), labels, toxicity.Ftrl(rounds=2, l1=0.1))
+    assert len(sent) == 2 and len(sent[0][0]) == 0 and all(len(x) < 1000 for state in sent for x in state)
+    assert len(sent[1][0]) >= len(model.at) > 0 and set(model.at) <= set(sent[1][0].tolist())
