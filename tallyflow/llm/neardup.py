@@ -88,8 +88,8 @@ def _signer(p: Banding) -> Callable:
                     node.append(None), halves.append(None), sketch.append(None), odd.append(None)
                     continue
                 least = np.full(number, 2**64 - 1, np.uint64)
-                for at in range(0, len(s), 1 << 14):
-                    np.minimum(least, ((s[at : at + (1 << 14)] ^ flip) * times).min(axis=1), out=least)
+                for at in range(0, len(s), 1 << 12):  # 1.5 MB at a time
+                    np.minimum(least, ((s[at : at + (1 << 12)] ^ flip) * times).min(axis=1), out=least)
                 value = salt.copy()
                 for r in range(p.rows):
                     value = mixed(value + least[r :: p.rows] * np.uint64(0xD6E8FEB86659FD93))
@@ -211,8 +211,8 @@ def _meeter(p: Banding) -> Callable:
             right = np.flatnonzero(role == 1)
             after = np.cumsum(lefts[group[right]])
             found, at = [], 0
-            while at < len(right):  # about 65,000 pairs at a time, of 200 bytes each side
-                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 16), "right")))
+            while at < len(right):  # about 16,000 pairs at a time, of 200 bytes each side
+                stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 14), "right")))
                 times = lefts[group[right[at:stop]]]
                 b = np.repeat(right[at:stop], times)
                 a = np.arange(len(b)) - np.repeat(np.cumsum(times) - times, times) + starts[group[b]]
@@ -296,38 +296,51 @@ def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, p: Banding) -
 # --- components --------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``node, label``: the smallest node reachable, for every node of the edges ``a, b``.
+def stars(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``a, b``: the edges ``a, b`` of stars around the smallest node reachable.
 
-    Alternates large and small stars until nothing changes; each round is written,
+    Alternates large and small stars until every node that points to another points
+    to one that points nowhere; each round is written,
     and its edges are no more than before. Degrees matter to no task: minima are
     combined before the shuffle, and the joins can be split by key. After a number
-    of ``rounds`` given, labels may still differ within a component, but nodes of one label are connected.
+    of ``rounds`` given, nodes may still point to several, but the edges connect what they connected.
     """
     now = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark, done = None, 0
-    while done != rounds:
+    done = 0
+    while done != rounds and (rounds or not _are_stars(now)):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a")
         moved = moved.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
         now = settle(moved.distinct(), "stars")
         done += 1
-        if rounds:
-            continue
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
+    return now
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up + down > 1 and up > 0").agg(F.count("*")).first()[0] == 0
+
+
+def labelled(now: DataFrame, ended: bool = True) -> DataFrame:
+    """``node, label``: the smallest node reachable, for every node of ``stars``. If they ended early, labels may
+    still differ within a component, but nodes of one label are connected."""
     least, ends = now.select(F.col("a").alias("node"), F.col("b").alias("label")), now.select(F.col("b").alias("node"))
-    if rounds:  # a node may still have several, or be another's label
+    if not ended:  # a node may still have several, or be another's label
         least = least.groupBy("node").agg(F.min("label").alias("label"))
         ends = ends.join(least, "node", "left_anti")
     return settle(least.unionAll(ends.select("node", F.col("node").alias("label")).distinct()), "labels")
 
 
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``node, label``: the smallest node reachable, for every node of the edges ``a, b``; see ``stars`` for ``rounds``."""
+    return labelled(stars(edges, rounds), ended=rounds is None)
+
+
 def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, th`` (the text's hash), ``n_shingles, node, label, component_id, kept``.
 
@@ -345,9 +358,10 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     members = buckets(nodes, p)
     tried = settle(star_edges(members, nodes, p), "tried")
     links = confirmed(tried, nodes, docs, p).select(F.col("hub").alias("a"), F.col("leaf").alias("b"))
-    # The first labels only say which pairs need no look, so two rounds of them do.
-    rest = settle(open_edges(members, nodes, components(links, rounds=2), tried, p), "rest")
-    labels = components(links.unionAll(confirmed(rest, nodes, docs, p)))
+    # The first labels only say which pairs need no look, so two rounds of them do; the others go on from there.
+    begun = stars(links, rounds=2)
+    rest = settle(open_edges(members, nodes, labelled(begun, ended=False), tried, p), "rest")
+    labels = components(begun.unionAll(confirmed(rest, nodes, docs, p)))
     linked = labels.join(nodes.select("node", "rep_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     linked = settle(linked.join(smallest, "label").select("node", "label", "component_id"), "components")

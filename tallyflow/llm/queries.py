@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm import bitplanes, editprints, hilbert, matching, merkle, mixing, neardup, packing, phrases, rollup, topk, toxicity, warc
-from tallyflow.session import scratch_path, settle
+from tallyflow.session import scratch_path, settle, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -72,6 +72,7 @@ def op6_tiered_packing(spark, folder):
 
 @query
 def op7_minhash_neardup(spark, folder):
+    small_batches(spark)
     return neardup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 

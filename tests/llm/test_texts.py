@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.llm import editprints, mixing, neardup, toxicity
+from tallyflow.llm import editprints, mixing, neardup, queries, toxicity
 from tests.llm.conftest import ODD
 
 SMALL = toxicity.Ftrl(bits=16, sample_rows=300, splits=2, rounds=3)
@@ -391,3 +391,33 @@ def test_a_state_travels_by_what_moved(corpus, spark, monkeypatch):
     model = toxicity.fit(corpus(rows), labels, toxicity.Ftrl(rounds=2, l1=0.1))
     assert len(sent) == 2 and len(sent[0][0]) == 0 and all(len(x) < 1000 for state in sent for x in state)
     assert len(sent[1][0]) >= len(model.at) > 0 and set(model.at) <= set(sent[1][0].tolist())
+
+
+def test_components_go_on_from_the_first_stars(corpus, monkeypatch):
+    written, settle = [], neardup.settle
+    monkeypatch.setattr(neardup, "settle", lambda df, name: (written.append(name), settle(df, name))[1])
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {'u' if i % 2 else 'v'}") for i in range(20)] + [(50, "alone")]
+    got = neardup.near_duplicates(corpus(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    assert written.count("stars") == 4  # two rounds, and nothing left to do then
+
+
+def test_stars_with_repeated_and_crossing_edges(spark):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(260)] * 2 + [(1000, i) for i in range(0, 300, 7)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(least)):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.label for r in neardup.components(frame).collect()} == least
+    begun = neardup.stars(frame.limit(400), rounds=1).unionAll(frame)
+    assert {r.node: r.label for r in neardup.components(begun).collect()} == least
+
+
+def test_near_duplicates_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    queries.op7_minhash_neardup(spark, "/root/testdata/sf0.001").count()
+    assert spark.conf.get(key) == "4m"
