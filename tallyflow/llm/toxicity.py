@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), label: str = "toxi
         z[at] += merged["dz"].to_numpy()
         n[at] += merged["dn"].to_numpy()
         del merged
+        pa.default_memory_pool().release_unused()  # else the driver keeps it
         state.destroy()
     at, z, n = _moved(z, n)
     w = weights(z, n, p)

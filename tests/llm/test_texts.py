@@ -421,3 +421,16 @@ def test_near_duplicates_get_small_batches(spark):
     spark.conf.unset(key)
     queries.op7_minhash_neardup(spark, "/root/testdata/sf0.001").count()
     assert spark.conf.get(key) == "4m"
+
+
+def test_the_driver_gives_back_what_a_fit_collected(corpus, spark, monkeypatch):
+    freed, pool = [], toxicity.pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            freed.append(pool.release_unused())
+
+    monkeypatch.setattr(toxicity.pa, "default_memory_pool", Pool)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    toxicity.fit(corpus([(i, f"day {i % 2}") for i in range(10)]), labels, toxicity.Ftrl(rounds=2))
+    assert len(freed) == 2
