@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import mixed, shingle_sets
@@ -138,7 +138,7 @@ def buckets(nodes: DataFrame, p: Banding) -> DataFrame:
 
 
 def _sketched(nodes: DataFrame, node: str, sketch: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(node), F.struct("sketch", "n_shingles").alias(sketch))
+    return nodes.select(F.col("node").alias(node), F.struct("sketch", "n_shingles", "rep_key", "rep_th").alias(sketch))
 
 
 def _may_link(a: str, b: str, p: Banding) -> Column:
@@ -151,10 +151,11 @@ def _may_link(a: str, b: str, p: Banding) -> Column:
 
 
 def star_edges(members: DataFrame, nodes: DataFrame, p: Banding) -> DataFrame:
-    """``hub, leaf`` of all cells, once each, whose sketches allow a link."""
+    """``PAIR`` of all cells, once each, whose sketches allow a link."""
     edges = members.filter("node != hub").select("hub", F.col("node").alias("leaf")).distinct()
     edges = edges.join(_sketched(nodes, "hub", "s"), "hub").join(_sketched(nodes, "leaf", "t"), "leaf")
-    return edges.filter(_may_link("s", "t", p)).select("hub", "leaf")
+    reps = [F.col(f"{sketch}.rep_{x}").alias(f"{node}_{x}") for node, sketch in (("hub", "s"), ("leaf", "t")) for x in ("key", "th")]
+    return edges.filter(_may_link("s", "t", p)).select("hub", "leaf", *reps)
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -182,6 +183,8 @@ def _sketches_may_link(sketch: np.ndarray, other: np.ndarray, n: np.ndarray, m:
     return sized & (_bits(sketch[:, :4] ^ other[:, :4]) <= share * parts + p.deviations * np.sqrt(share * (1 - share) * parts))
 
 
+#: Two nodes, and the rows whose texts stand for them.
+PAIR = "hub bigint, leaf bigint, hub_key bigint, hub_th bigint, leaf_key bigint, leaf_th bigint"
 #: What ``_meeter`` reads.
 OPEN = ("key", "lb", "rb", "role", "place", "node", "label", "top", "about")
 
@@ -203,7 +206,7 @@ def _meeter(p: Banding) -> Callable:
             if kept is not None:
                 rows = np.vstack([kept, rows])
             role, place, node, label, top = (rows[:, i] for i in range(3, 8))
-            sketch, odd, n, halves = rows[:, 8:16], rows[:, 16:32], rows[:, 32], rows[:, 33:]
+            sketch, odd, n, rep, halves = rows[:, 8:16], rows[:, 16:32], rows[:, 32], rows[:, 33:35], rows[:, 35:]
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
             group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -225,16 +228,16 @@ def _meeter(p: Banding) -> Callable:
                 ):
                     chosen = may(a, b)
                     a, b = a[chosen], b[chosen]
-                found.append(np.column_stack([node[a], node[b]]))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["hub", "leaf"])
+                found.append(np.column_stack([node[a], node[b], rep[a], rep[b]]))
+            pairs = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(6)], [column.split()[0] for column in PAIR.split(", ")])
             kept = rows[(group == group[-1]) & (role == 0)]
 
     return meet
 
 
 def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, p: Banding) -> DataFrame:
-    """``hub, leaf``: pairs of a cell that are in different components so far and weren't tried.
+    """``PAIR``: pairs of a cell that are in different components so far and weren't tried.
 
     In a cell, members of its largest component meet only members of others, so a
     large group of near copies, one component by now, makes no pairs within itself.
@@ -245,7 +248,7 @@ def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: D
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     cells = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
     cells = cells.select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
-    about = nodes.select("node", F.concat("sketch", "odd", F.array("n_shingles"), "halves").alias("about"))
+    about = nodes.select("node", F.concat("sketch", "odd", F.array("n_shingles", "rep_key", "rep_th"), "halves").alias("about"))
     named = settle(named.join(cells, "key").join(about, "node"), "open")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -254,7 +257,7 @@ def open_edges(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: D
     right = named.select("key", every.alias("lb"), own.alias("rb"), F.lit(1).alias("role"), *rest)
     rows = left.unionAll(right).select(*OPEN)
     rows = rows.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "role")
-    pairs = rows.mapInArrow(_meeter(p), "hub bigint, leaf bigint").distinct()
+    pairs = rows.mapInArrow(_meeter(p), PAIR).distinct()
     done = tried.select("hub", "leaf").unionAll(tried.select(F.col("leaf").alias("hub"), F.col("hub").alias("leaf")))
     return pairs.join(done, ["hub", "leaf"], "left_anti")
 
@@ -281,12 +284,14 @@ def _confirmer(p: Banding) -> Callable:
     return confirm
 
 
-def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, p: Banding) -> DataFrame:
-    """The edges whose full sets share enough. A hub is repeated for every ``star`` leaves, so no task gets a hub's leaves alone."""
-    shares = edges.groupBy("hub").agg(F.ceil(F.count("*") / p.star).cast("int").alias("shares"))
-    leaves = edges.join(shares, "hub").select("hub", F.pmod(F.xxhash64("leaf"), F.col("shares")).cast("int").alias("salt"), "leaf", F.col("leaf").alias("node"))
-    hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(None).cast("long").alias("leaf"), F.col("hub").alias("node"))
-    roles = leaves.unionAll(hubs).join(nodes.select("node", "rep_key", "rep_th"), "node").drop("node")
+def confirmed(edges: DataFrame, docs: DataFrame, p: Banding) -> DataFrame:
+    """The edges (``PAIR``) whose full sets share enough. A hub is repeated for every ``star`` leaves, so no task gets a hub's leaves alone."""
+    hub = ["hub", "hub_key", "hub_th"]  # one row's for each hub; all are grouped by, so both uses of the counts are one shuffle
+    shares = edges.groupBy(*hub).agg(F.ceil(F.count("*") / p.star).cast("int").alias("shares"))
+    salt = F.pmod(F.xxhash64("leaf"), F.col("shares")).cast("int").alias("salt")
+    leaves = edges.join(shares, hub).select("hub", salt, "leaf", F.col("leaf_key").alias("rep_key"), F.col("leaf_th").alias("rep_th"))
+    hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(None).cast("long").alias("leaf"), "hub_key", "hub_th")
+    roles = leaves.unionAll(hubs)
     rows = _identified(docs).select(_id_key().alias("rep_key"), F.col("th").alias("rep_th"), "text")
     rows = roles.join(rows, ["rep_key", "rep_th"]).select("hub", "salt", "leaf", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("leaf"))
@@ -301,44 +306,40 @@ def stars(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
     Alternates large and small stars until every node that points to another points
     to one that points nowhere; each round is written,
-    and its edges are no more than before. Degrees matter to no task: minima are
-    combined before the shuffle, and the joins can be split by key. After a number
-    of ``rounds`` given, nodes may still point to several, but the edges connect what they connected.
+    and its edges are no more than before. Minima are combined before the shuffle. A
+    round reads the edges twice and shuffles them to their smaller end, to their larger
+    end and to tell them apart: what it holds of the driver's memory follows the
+    number of scans and stages. After a number of ``rounds`` given, nodes may still point to several, but the edges connect what they connected.
     """
     now = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    done = 0
+    done, near = 0, Window.partitionBy("a")
     while done != rounds and (rounds or not _are_stars(now)):
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a")
-        moved = moved.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))  # neighbours above a node don't matter to it
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        small = large.withColumn("m", F.min("b").over(near))
+        moved = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = settle(moved.distinct(), "stars")
         done += 1
     return now
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    ends = ends.unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = [F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("a", 1), ("b", 0))]
+    ends = edges.select(F.inline(F.array(*ends)))
     ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     return ends.filter("up + down > 1 and up > 0").agg(F.count("*")).first()[0] == 0
 
 
-def labelled(now: DataFrame, ended: bool = True) -> DataFrame:
+def labelled(now: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable, for every node of ``stars``. If they ended early, labels may
     still differ within a component, but nodes of one label are connected."""
-    least, ends = now.select(F.col("a").alias("node"), F.col("b").alias("label")), now.select(F.col("b").alias("node"))
-    if not ended:  # a node may still have several, or be another's label
-        least = least.groupBy("node").agg(F.min("label").alias("label"))
-        ends = ends.join(least, "node", "left_anti")
-    return settle(least.unionAll(ends.select("node", F.col("node").alias("label")).distinct()), "labels")
+    labels = now.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))))
+    return settle(labels.groupBy("node").agg(F.min("label").alias("label")), "labels")
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, label``: the smallest node reachable, for every node of the edges ``a, b``; see ``stars`` for ``rounds``."""
-    return labelled(stars(edges, rounds), ended=rounds is None)
+    return labelled(stars(edges, rounds))
 
 
 def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
@@ -357,11 +358,11 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     nodes = settle(nodes.select("node", "n_shingles", F.col("rep.doc_id").alias("rep_id"), _id_key("rep.doc_id").alias("rep_key"), F.col("rep.th").alias("rep_th"), "halves", "sketch", "odd"), "nodes")
     members = buckets(nodes, p)
     tried = settle(star_edges(members, nodes, p), "tried")
-    links = confirmed(tried, nodes, docs, p).select(F.col("hub").alias("a"), F.col("leaf").alias("b"))
+    links = confirmed(tried, docs, p).select(F.col("hub").alias("a"), F.col("leaf").alias("b"))
     # The first labels only say which pairs need no look, so two rounds of them do; the others go on from there.
     begun = stars(links, rounds=2)
-    rest = settle(open_edges(members, nodes, labelled(begun, ended=False), tried, p), "rest")
-    labels = components(begun.unionAll(confirmed(rest, nodes, docs, p)))
+    rest = settle(open_edges(members, nodes, labelled(begun), tried, p), "rest")
+    labels = components(begun.unionAll(confirmed(rest, docs, p)))
     linked = labels.join(nodes.select("node", "rep_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     linked = settle(linked.join(smallest, "label").select("node", "label", "component_id"), "components")

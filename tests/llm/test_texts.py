@@ -434,3 +434,19 @@ def test_the_driver_gives_back_what_a_fit_collected(corpus, spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
     toxicity.fit(corpus([(i, f"day {i % 2}") for i in range(10)]), labels, toxicity.Ftrl(rounds=2))
     assert len(freed) == 2
+
+
+def test_near_duplicates_take_few_scans_and_shuffles(corpus, monkeypatch):
+    plans, settle = {}, neardup.settle
+
+    def planned(df, name):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        plans.setdefault(name, []).append((text.count("FileScan"), text.count("Exchange hashpartitioning")))
+        return settle(df, name)
+
+    monkeypatch.setattr(neardup, "settle", planned)
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {'u' if i % 2 else 'v'}") for i in range(20)] + [(50, "alone")]
+    got = neardup.near_duplicates(corpus(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    most = {"stars": (2, 4), "labels": (1, 1), "links": (4, 8)}  # the driver's memory follows them
+    assert all(scans <= most[name][0] and shuffles <= most[name][1] for name in most for scans, shuffles in plans[name]), plans
